@@ -127,13 +127,19 @@ def _pair_sq(qx, cx, qc, cc, rows, cols, spec: DistanceSpec) -> np.ndarray:
     return d2
 
 
-def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec):
+def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None):
     """(row, col, d2) triplets containing every top-k pair (ties included)."""
     nq, nc = qx.shape[0], cx.shape[0]
+    if qg is not None:
+        same_group = qg[:, None] == cg[None, :]
+    else:
+        same_group = None
     if spec.random_seed is not None:
         score = _pair_hash(qid, cid, spec.random_seed)
         if exclude_self:
             score[qid[:, None] == cid[None, :]] = np.inf
+        if same_group is not None:
+            score[same_group] = np.inf
         exact = score
         approx = None
     elif (spec.numeric == "sq" and not spec.tables and qx.shape[1] >= _BLAS_MIN_DIM):
@@ -142,11 +148,15 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec):
         approx = qn[:, None] + cn[None, :] - 2.0 * (qx @ cx.T)
         if exclude_self:
             approx[qid[:, None] == cid[None, :]] = np.inf
+        if same_group is not None:
+            approx[same_group] = np.inf
         exact = None
     else:
         exact = _exact_sq(qx, cx, qc, cc, spec)
         if exclude_self:
             exact[qid[:, None] == cid[None, :]] = np.inf
+        if same_group is not None:
+            exact[same_group] = np.inf
         approx = None
 
     base = exact if exact is not None else approx
@@ -208,7 +218,7 @@ def _as_matrix(pdf: pd.DataFrame, has_codes: bool):
 
 
 def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, has_codes,
-                final_rank_col="rank"):
+                final_rank_col="rank", group=None):
     """Top-k rows of one (query block, case block) tile as a pandas frame."""
     qid, qx, qc = _as_matrix(qpdf, has_codes)
     cid_all, cx_all, cc_all = _as_matrix(cpdf, has_codes)
@@ -218,15 +228,19 @@ def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, has_codes,
         labels = cpdf[by].to_numpy()
         groups = [(lab, np.flatnonzero(labels == lab)) for lab in pd.unique(labels)]
     random = spec.random_seed is not None
+    qg_all = qpdf[group].to_numpy() if group else None
+    cg_all = cpdf[group].to_numpy() if group else None
     for lab, idx in groups:
         cid, cx, cc = cid_all[idx], cx_all[idx], cc_all[idx]
+        cg = cg_all[idx] if group else None
         if len(cid) == 0 or len(qid) == 0:
             continue
         step = max(1, _CHUNK_ELEMS // max(1, len(cid)))
         for s in range(0, len(qid), step):
             sl = slice(s, s + step)
             rows, cols, d2 = _candidates(qid[sl], qx[sl], qc[sl], cid, cx, cc, k,
-                                         exclude_self, spec)
+                                         exclude_self, spec,
+                                         qg_all[sl] if group else None, cg)
             rows, cols, d2, key, rank = _select(rows, cols, d2, cid, k, random)
             rows = rows + s
             if random:
@@ -303,6 +317,7 @@ def knn_join(
     tile_rows: int = 20_000,
     broadcast_bytes: int | None = None,
     seed: int = 17,
+    exclude_group: str | None = None,
 ) -> DataFrame:
     """Exact top-k neighbours of every query among ``cases``.
 
@@ -310,7 +325,9 @@ def knn_join(
     with a different id stay at distance 0).  ``by`` names a case column
     (e.g. the class) and returns the top-k *per value of that column* for each
     query (K4).  ``carry`` copies case columns to the output (``(new, src)``
-    renames), ``keep`` copies query columns.
+    renames), ``keep`` copies query columns.  ``exclude_group`` names a column
+    present on both sides: pairs with equal values are never neighbours (one
+    join serves every cross-validation fold, E1/E2).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -318,7 +335,11 @@ def knn_join(
     has_codes = "codes" in queries.columns and "codes" in cases.columns
     qcols = ["id", "x"] + (["codes"] if has_codes else [])
     qcols += [s for _, s in keep_p if s not in qcols]
+    if exclude_group and exclude_group not in qcols:
+        qcols.append(exclude_group)
     ccols = ["id", "x"] + (["codes"] if has_codes else [])
+    if exclude_group and exclude_group not in ccols:
+        ccols.append(exclude_group)
     if by is not None and by not in ccols:
         ccols.append(by)
     ccols += [s for _, s in carry_p if s not in ccols]
@@ -342,12 +363,13 @@ def knn_join(
             raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound "
                              f"{broadcast_bytes}; use strategy='tiles'")
         return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p,
-                               has_codes, schema)
+                               has_codes, schema, exclude_group)
     return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
-                      schema, n_cases, tile_rows, seed)
+                      schema, n_cases, tile_rows, seed, exclude_group)
 
 
-def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema):
+def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
+                    group=None):
     spark = q.sparkSession
     # Bounded by the size check in knn_join.
     cpdf = c.toPandas()
@@ -359,7 +381,7 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
             if len(qpdf) == 0:
                 continue
             out = _topk_frame(qpdf, cases_pdf, k, exclude_self, spec, by, carry_p,
-                              keep_p, has_codes)
+                              keep_p, has_codes, group=group)
             if out is not None:
                 yield out
 
@@ -367,7 +389,7 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
 
 
 def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
-               n_cases, tile_rows, seed):
+               n_cases, tile_rows, seed, group=None):
     spark = q.sparkSession
     n_queries = q.count()
     parallelism = spark.sparkContext.defaultParallelism
@@ -392,7 +414,7 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, sche
         qpdf = qpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         cpdf = cpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         out = _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry_p, keep_p,
-                          has_codes, final_rank_col=local_rank)
+                          has_codes, final_rank_col=local_rank, group=group)
         return out if out is not None else _fit_empty(tile_schema)
 
     cand = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInPandas(
