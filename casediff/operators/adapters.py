@@ -58,8 +58,12 @@ class OlsAdapter(Adapter):
     def params(self):
         return {"index": self.index}
 
+    def _x(self, features: str) -> Column:
+        # Negative index counts from the end (e.g. -1 = appended distance).
+        return F.element_at(F.col(features), self.index + 1 if self.index >= 0 else self.index)
+
     def fit(self, diffs, features="features", label="dy", weight=None):
-        xf = F.col(features)[self.index]
+        xf = self._x(features)
         if weight:
             # Weighted least squares via the same sums (copies counted w times).
             w = F.col(weight).cast("double")
@@ -80,7 +84,7 @@ class OlsAdapter(Adapter):
 
     def score(self, df, features="features"):
         return df.withColumn(
-            "dhat", F.lit(self.slope) * F.col(features)[self.index] + F.lit(self.intercept))
+            "dhat", F.lit(self.slope) * self._x(features) + F.lit(self.intercept))
 
 
 class ModeAdapter(Adapter):
