@@ -7,6 +7,7 @@ carried (``n_x``, ``n_y``), so no extra join is needed.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def with_duplication_weight(diffs: DataFrame) -> DataFrame:
 
 def duplicate_by_distance(diffs: DataFrame) -> DataFrame:
     """D6 as row copies: rows with weight 0 are dropped, others repeated."""
-    w = with_duplication_weight(diffs)
+    w = with_duplication_weight(diffs.persist(StorageLevel.MEMORY_AND_DISK))
     return w.where(F.col("weight") > 0).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
 

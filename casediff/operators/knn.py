@@ -43,9 +43,10 @@ from pyspark.sql import types as T
 
 # Elements of a distance chunk held at once inside a task (float64 -> 32 MiB).
 _CHUNK_ELEMS = 4_000_000
-# Above this many numeric dimensions the kernel pre-selects with a BLAS product
-# and re-computes the exact distance for the candidates only.
-_BLAS_MIN_DIM = 24
+# From this many numeric dimensions on, Euclidean candidates are pre-selected
+# with a BLAS product and the exact distance is re-computed for them only.
+_BLAS_MIN_DIM = 4
+_EPS = np.finfo(np.float64).eps
 # Modulus and multiplier of the MINSTD generator used for seeded random order.
 _LEHMER_M = 2147483647
 _LEHMER_A = 48271
@@ -102,12 +103,15 @@ def _exact_sq(qx, cx, qc, cc, spec: DistanceSpec) -> np.ndarray:
     """Squared distance matrix, summed feature by feature (left to right)."""
     nq, nc = qx.shape[0], cx.shape[0]
     d2 = np.zeros((nq, nc), dtype=np.float64)
+    tmp = np.empty((nq, nc), dtype=np.float64)
     for j in range(qx.shape[1]):
-        diff = qx[:, j, None] - cx[None, :, j]
+        np.subtract(qx[:, j, None], cx[None, :, j], out=tmp)
         if spec.numeric == "clip":
-            diff = np.abs(diff)
-            diff = np.where(np.isnan(diff), 1.0, np.minimum(diff, 1.0))
-        d2 += diff * diff
+            np.abs(tmp, out=tmp)
+            np.minimum(tmp, 1.0, out=tmp)
+            tmp[np.isnan(tmp)] = 1.0
+        np.multiply(tmp, tmp, out=tmp)
+        d2 += tmp
     for f, table in enumerate(spec.tables):
         d2 += np.asarray(table)[qc[:, f][:, None], cc[:, f][None, :]]
     return d2
@@ -145,7 +149,10 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
     elif (spec.numeric == "sq" and not spec.tables and qx.shape[1] >= _BLAS_MIN_DIM):
         qn = np.einsum("ij,ij->i", qx, qx)
         cn = np.einsum("ij,ij->i", cx, cx)
-        approx = qn[:, None] + cn[None, :] - 2.0 * (qx @ cx.T)
+        approx = qx @ cx.T
+        approx *= -2.0
+        approx += qn[:, None]
+        approx += cn[None, :]
         if exclude_self:
             approx[qid[:, None] == cid[None, :]] = np.inf
         if same_group is not None:
@@ -168,7 +175,11 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
     else:
         kth = np.full(nq, np.inf)
     if approx is not None:
-        tol = 1e-7 * (1.0 + np.abs(kth[np.isfinite(kth)]).max(initial=0.0))
+        # Error of the expansion is below ~2 d u (|q|^2 + |c|^2); the 1e-9 grain
+        # keeps pairs that tie with the k-th after rounding to 9 places.
+        dim = qx.shape[1]
+        err = 8.0 * dim * _EPS * (qn + (cn.max() if cn.size else 0.0))
+        tol = 1e-9 + 1e-12 * np.abs(np.where(np.isfinite(kth), kth, 0.0)) + err
         mask = base <= (kth + tol)[:, None]
     else:
         mask = base <= kth[:, None]
@@ -368,11 +379,33 @@ def knn_join(
                       schema, n_cases, tile_rows, seed, exclude_group)
 
 
+# Distance evaluations a single task should take on before the query side is
+# spread over more partitions.
+_PAIRS_PER_TASK = 50_000_000
+
+
+def _spread_queries(q, n_cases: int):
+    """Give the query side enough partitions for the pair count.
+
+    Only when it has fewer than needed (e.g. one small file): a large input
+    already arrives in many partitions and is left alone (no shuffle).
+    """
+    spark = q.sparkSession
+    parallelism = spark.sparkContext.defaultParallelism
+    n_queries = q.count()
+    want = max(parallelism, math.ceil(n_queries * max(n_cases, 1) / _PAIRS_PER_TASK))
+    want = min(want, max(1, n_queries))
+    if q.rdd.getNumPartitions() < want:
+        q = q.repartition(want, "id")
+    return q
+
+
 def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
                     group=None):
     spark = q.sparkSession
     # Bounded by the size check in knn_join.
     cpdf = c.toPandas()
+    q = _spread_queries(q, len(cpdf))
     bc = spark.sparkContext.broadcast(cpdf)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

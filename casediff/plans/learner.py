@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,9 @@ def training_differences(cases: DataFrame, k: int, variant: Variant = Variant(),
     diffs = D.difference_table(pairs, context=variant.context,
                                distance_column=variant.distance_column)
     if variant.duplicate:
+        # Read twice (global bounds, then the weighted rows): keep it, it can
+        # be recomputed from its lineage if an executor is lost.
+        diffs = diffs.persist(StorageLevel.MEMORY_AND_DISK)
         diffs = D.with_duplication_weight(diffs).where(F.col("weight") > 0)
     return diffs
 

@@ -18,7 +18,7 @@ from casediff.operators.adapters import ModeAdapter, OlsAdapter
 from casediff.operators.knn import knn_join
 from casediff.plans import learner as L
 from casediff.plans.cases import (EMB_D2, EMB_SQL, K, PART_D2, PART_SQL, embedding_cases,
-                                  knn_sql, part_cases, r6, sql_r6)
+                                  knn_sql, part_cases, r5, r6, sql_r5, sql_r6)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -218,26 +218,26 @@ def u1_lr_ols(spark, sf):
 
 @register("E6_neg_mae",
           _with(PART_SQL, _P_K1, _P_K2, _OLS_FIT_SQL, _OLS_SCORE_SQL, _A2_BODY) + f"""
-SELECT {sql_r6('-avg(abs(a2.prediction - te.y))')} AS neg_mae
+SELECT {sql_r5('-avg(abs(a2.prediction - te.y))')} AS neg_mae
 FROM a2 JOIN te ON te.id = a2.query_id""")
 def e6_neg_mae(spark, sf):
     from casediff.plans.evaluate import neg_mae
     _, scored, te = _part_ols(spark, sf)
     p = L.aggregate(scored, "regression", weighted=True)
     j = p.join(te.select(F.col("id").alias("query_id"), "y"), "query_id")
-    return neg_mae(j, "prediction", "y").select(r6("neg_mae").alias("neg_mae"))
+    return neg_mae(j, "prediction", "y").select(r5("neg_mae").alias("neg_mae"))
 
 
 @register("E7_mse",
           _with(PART_SQL, _P_K1, _P_K2, _OLS_FIT_SQL, _OLS_SCORE_SQL, _A2_BODY) + f"""
-SELECT {sql_r6('avg((a2.prediction - te.y) * (a2.prediction - te.y))')} AS mse
+SELECT {sql_r5('avg((a2.prediction - te.y) * (a2.prediction - te.y))')} AS mse
 FROM a2 JOIN te ON te.id = a2.query_id""")
 def e7_mse(spark, sf):
     from casediff.plans.evaluate import mse
     _, scored, te = _part_ols(spark, sf)
     p = L.aggregate(scored, "regression", weighted=True)
     j = p.join(te.select(F.col("id").alias("query_id"), "y"), "query_id")
-    return mse(j, "prediction", "y").select(r6("mse").alias("mse"))
+    return mse(j, "prediction", "y").select(r5("mse").alias("mse"))
 
 
 @register("E8_target_variance", _with(PART_SQL) + f"""

@@ -12,7 +12,7 @@ from casediff.operators.prep import fit_preparation, fold_of, train_test_split
 from casediff.plans import evaluate as E
 from casediff.plans import learner as L
 from casediff.plans.cases import (K, PART_D2, PART_SCHEMA, PART_SQL, embedding_cases,
-                                  knn_sql, part_cases, r6, sql_r6)
+                                  knn_sql, part_cases, r5, r6, sql_r5, sql_r6)
 from casediff.plans.estimators import DifferenceClassifier, DifferenceRegressor
 from casediff.plans.registry import _with, register
 from casediff.plans.registry_metrics import (_CV_SQL, _DOC_K1_CV, _DOC_K2_CV, _DOC_SQL, _K7_SQL,
@@ -166,9 +166,9 @@ def _cv_scores(spark, sf):
 
 
 @register("E2_grid_search_k", _with(PART_SQL, _CV) + f"""
-SELECT CAST(k AS INTEGER) AS k, {sql_r6('score')} AS score FROM scores""")
+SELECT CAST(k AS INTEGER) AS k, {sql_r5('score')} AS score FROM scores""")
 def e2_grid(spark, sf):
-    return _cv_scores(spark, sf).select("k", r6("score").alias("score"))
+    return _cv_scores(spark, sf).select("k", r5("score").alias("score"))
 
 
 @register("E3_two_stage_tuning", _with(PART_SQL, _CV) + """
@@ -183,7 +183,7 @@ _P_K2_MAX = knn_sql("nn2", "te", "tr", PART_D2, max(GRID), False)
 
 
 @register("E4_refit_and_test", _with(PART_SQL, _CV, _P_K2_MAX) + f"""
-SELECT CAST(best_k AS INTEGER) AS best_k, {sql_r6('-avg(abs(pred - y))')} AS test_neg_mae FROM (
+SELECT CAST(best_k AS INTEGER) AS best_k, {sql_r5('-avg(abs(pred - y))')} AS test_neg_mae FROM (
   SELECT nn2.query_id, avg(b.y) AS pred, any_value(q.y) AS y, any_value(best_k) AS best_k
   FROM nn2 JOIN te q ON q.id = nn2.query_id JOIN tr b ON b.id = nn2.neighbour_id, best
   WHERE nn2.rank <= best_k GROUP BY nn2.query_id) GROUP BY best_k""")
@@ -194,7 +194,7 @@ def e4_refit(spark, sf):
     p = L.knn_baseline(tr, te, k, task="regression", weighted=False)
     j = p.join(te.select(F.col("id").alias("query_id"), "y"), "query_id")
     return E.neg_mae(j, "prediction", "y").select(F.lit(k).cast("int").alias("best_k"),
-                                                 r6("neg_mae").alias("test_neg_mae"))
+                                                 r5("neg_mae").alias("test_neg_mae"))
 
 
 SEEDS = (1, 2, 3)
@@ -223,7 +223,7 @@ sp{s} AS (SELECT id, (p_size - mu) / sd AS zz, p_type, y, bucket FROM raw{s}, st
 
 @register("E9_repeated_runs", "WITH " + ",".join(_seed_cte(s).strip() for s in SEEDS) + """
 , runs AS (""" + " UNION ALL ".join(_seed_sql(s) for s in SEEDS) + f""")
-SELECT seed, {sql_r6('neg_mae')} AS neg_mae FROM runs""")
+SELECT seed, {sql_r5('neg_mae')} AS neg_mae FROM runs""")
 def e9_repeats(spark, sf):
     """The kNN regression experiment repeated over split seeds (seeds as rows)."""
     part = read_table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
@@ -235,7 +235,7 @@ def e9_repeats(spark, sf):
         p = L.knn_baseline(tr, te, K, task="regression", weighted=False)
         j = p.join(te.select(F.col("id").alias("query_id"), "y"), "query_id")
         r = E.neg_mae(j, "prediction", "y").select(F.lit(s).alias("seed"),
-                                                   r6("neg_mae").alias("neg_mae"))
+                                                   r5("neg_mae").alias("neg_mae"))
         out = r if out is None else out.unionByName(r)
     return out
 
