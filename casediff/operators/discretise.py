@@ -46,7 +46,7 @@ class EqualWidth:
         s = F.col(seg) if isinstance(seg, str) else seg
         names = [f"{int(self.edge(i))}-{int(self.edge(i + 1)) if i < self.n - 1 else int(self.hi)}"
                  for i in range(self.n)]
-        return F.element_at(F.array(*[F.lit(v) for v in names]), s + 1)
+        return F.when(s.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in names]), s + 1))
 
 
 @dataclass

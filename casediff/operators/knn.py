@@ -47,9 +47,11 @@ _CHUNK_ELEMS = 4_000_000
 # with a BLAS product and the exact distance is re-computed for them only.
 _BLAS_MIN_DIM = 4
 _EPS = np.finfo(np.float64).eps
-# Modulus and multiplier of the MINSTD generator used for seeded random order.
+# Modulus and multiplier of the MINSTD generator, and its square (two steps),
+# used for seeded hashing; products stay below 2^63.
 _LEHMER_M = 2147483647
 _LEHMER_A = 48271
+_LEHMER_A2 = 182605794
 
 
 @dataclass(frozen=True)
@@ -89,14 +91,21 @@ def random_order(seed: int) -> DistanceSpec:
 # --------------------------------------------------------------------------
 
 
-def _lehmer(v: np.ndarray) -> np.ndarray:
-    return (np.mod(v, _LEHMER_M) * _LEHMER_A) % _LEHMER_M
+def _mix(v: np.ndarray) -> np.ndarray:
+    """Two MINSTD steps: ``(v mod M) * A^2 mod M``."""
+    return (np.mod(v, _LEHMER_M) * _LEHMER_A2) % _LEHMER_M
 
 
 def _pair_hash(qid: np.ndarray, cid: np.ndarray, seed: int) -> np.ndarray:
-    """``lehmer(lehmer(seed + q) + c)``; the same formula is used in the SQL oracle."""
-    hq = _lehmer(qid.astype(np.int64) + seed)
-    return _lehmer(hq[:, None] + np.mod(cid.astype(np.int64), _LEHMER_M)[None, :]).astype(np.float64)
+    """Seeded score of a (query, case) pair, independent per query.
+
+    ``h = mix(q + seed); s = mix(h xor c); s = mix(s xor (s >> 15))`` -- exact
+    integer arithmetic, so the SQL oracle computes the same value.
+    """
+    h = _mix(qid.astype(np.int64) + seed)
+    s = _mix(np.bitwise_xor(h[:, None], np.mod(cid.astype(np.int64), _LEHMER_M)[None, :]))
+    s = _mix(np.bitwise_xor(s, np.right_shift(s, 15)))
+    return s.astype(np.float64)
 
 
 def _exact_sq(qx, cx, qc, cc, spec: DistanceSpec) -> np.ndarray:
@@ -464,7 +473,3 @@ def self_knn(cases: DataFrame, k: int, **kw) -> DataFrame:
     """K1: the k nearest *other* cases of every case (self excluded by id)."""
     return knn_join(cases, cases, k, exclude_self=True, **kw)
 
-
-def lehmer_expr(col):
-    """Spark expression of one MINSTD step, as used by :func:`random_order`."""
-    return F.pmod(F.pmod(col, F.lit(_LEHMER_M)) * F.lit(_LEHMER_A), F.lit(_LEHMER_M))

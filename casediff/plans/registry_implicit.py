@@ -77,11 +77,12 @@ _E_K4 = knn_sql("k4", "ete", "pool", EMB_D2, N_PER_CLASS, False, partition="cls"
 _E_K5 = knn_sql("k5", "ete", "pool", EMB_D2, 1, False, partition="cls")
 
 
-def _lehmer(v: str) -> str:
-    return f"((({v}) % 2147483647) * 48271 % 2147483647)"
+def _mix(v: str) -> str:
+    return f"((({v}) % 2147483647) * 182605794 % 2147483647)"
 
 
-_RAND = _lehmer(f"{_lehmer(f'{RANDOM_SEED} + a.id')} + b.id % 2147483647")
+_H = _mix(f"xor({_mix(f'{RANDOM_SEED} + a.id')}, b.id % 2147483647)")
+_RAND = f"CAST({_mix(f'xor({_H}, {_H} >> 15)')} AS DOUBLE)"
 _E_K6 = knn_sql("k6", "ete", "pool", _RAND, N_PER_CLASS, False, partition="cls")
 
 
