@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ from pyspark.sql import functions as F
 from casediff.operators.prep import MAX_VOCABULARY
 
 
+def _fit_persisted(estimator, data: DataFrame):
+    """Iterative learners scan their input once per iteration: keep it (it can be
+    recomputed from its lineage if an executor is lost) for the fit only."""
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
+
+
 class Adapter:
     def fit(self, diffs: DataFrame, features: str = "features", label: str = "dy",
             weight: str | None = None) -> "Adapter":
@@ -130,7 +141,7 @@ class MLAdapter(Adapter):
             est.set(est.getParam("weightCol"), "_w")
         elif weight:
             data = data.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))))
-        self.model = est.fit(data)
+        self.model = _fit_persisted(est, data)
         return self
 
     def score(self, df, features="features"):
@@ -164,15 +175,17 @@ class MLClassAdapter(Adapter):
         return (F.array_position(F.array(*[F.lit(v) for v in self.values]), col) - 1).cast("double")
 
     def fit(self, diffs, features="features", label="dy", weight=None):
-        labels = diffs.select(F.col(label).cast("double").alias("v")).distinct()
-        if labels.count() > MAX_VOCABULARY:
+        # One pass: the label set of a classifier is its class set (small).
+        r = diffs.agg(F.array_sort(F.collect_set(F.col(label).cast("double"))).alias("v"),
+                      F.max(F.size(features)).alias("w")).first()
+        if len(r["v"]) > MAX_VOCABULARY:
             raise ValueError("too many distinct target differences for a classifier")
-        self.values = sorted(r["v"] for r in labels.collect())
+        self.values = list(r["v"])
         if len(self.values) <= 1:
             # A single difference: constant adapter.
             self.constant = self.values[0] if self.values else 0.0
             return self
-        width = diffs.select(F.size(features).alias("w")).first()["w"]
+        width = r["w"]
         est = self.estimator
         if est is None:
             from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -194,7 +207,7 @@ class MLClassAdapter(Adapter):
                 est.set(est.getParam("weightCol"), "_w")
             else:
                 data = data.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))))
-        self.model = est.fit(data)
+        self.model = _fit_persisted(est, data)
         return self
 
     def score(self, df, features="features"):

@@ -335,6 +335,7 @@ def knn_join(
     keep: Sequence[str | tuple[str, str]] = (),
     strategy: str = "auto",
     tile_rows: int = 20_000,
+    tile_bytes: int = 64 << 20,
     broadcast_bytes: int | None = None,
     seed: int = 17,
     exclude_group: str | None = None,
@@ -378,6 +379,8 @@ def knn_join(
     if strategy == "auto":
         strategy = "broadcast" if est <= broadcast_bytes else "tiles"
 
+    # A tile side holds at most tile_rows rows and about tile_bytes bytes.
+    tile_rows = min(tile_rows, max(64, tile_bytes // max(row_bytes, 1)))
     if strategy == "broadcast":
         if est > max(broadcast_bytes, 1):
             raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound "

@@ -15,8 +15,10 @@ kNN join is blocked by a hash of the id, not by class.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,8 @@ class ImplicitModel:
         cand = self.candidates(queries)
         if self.modes is not None:
             return cand.join(F.broadcast(self.modes), "cls").withColumnRenamed("mode_label", "pred")
+        # One filtered read per class: keep the candidates (recomputable on loss).
+        cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         parts = []
         for cls in self.classes:
             sub = cand.where(F.col("cls") == F.lit(cls))
@@ -89,9 +93,11 @@ class ImplicitModel:
 def fit_implicit(cases: DataFrame, *, adapter: str | object = "mode", n_neighbours: int = 5,
                  single_pair: bool = False, random_pairs: bool = False, seed: int = 0,
                  spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto",
-                 hidden_layer_sizes=(100,), max_iter: int = 200) -> ImplicitModel:
+                 hidden_layer_sizes=(100,), max_iter: int = 200,
+                 parallel_fits: int = 4) -> ImplicitModel:
     """Fit the implicit classifier on ``(id, x, y)`` with y a class label."""
-    pairs = case_pairs(cases, spec=spec, strategy=strategy)
+    # Read once per class and for the pools: keep it (recomputable on loss).
+    pairs = case_pairs(cases, spec=spec, strategy=strategy).persist(StorageLevel.MEMORY_AND_DISK)
     n_cls = pairs.select("src_class").distinct().count()
     if n_cls > MAX_VOCABULARY:
         raise ValueError(f"{n_cls} classes; too many for per-class adapters")
@@ -106,9 +112,14 @@ def fit_implicit(cases: DataFrame, *, adapter: str | object = "mode", n_neighbou
             F.min_by("label", F.struct((-F.col("n")).alias("nn"), F.col("label").alias("l")))
             .alias("mode_label"))
         return model
-    for cls in classes:
+    est = adapter if not isinstance(adapter, str) else None
+
+    def fit_one(cls):
         sub = pairs.where(F.col("src_class") == F.lit(cls)).select("pair", "label")
-        est = adapter if not isinstance(adapter, str) else None
         a = MLClassAdapter(est, hidden_layer_sizes=hidden_layer_sizes, max_iter=max_iter)
-        model.adapters[cls] = a.fit(sub, "pair", "label")
+        return cls, a.fit(sub, "pair", "label")
+
+    # Each fit is a distributed job; a few run at once from driver threads.
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(classes)))) as pool:
+        model.adapters = dict(pool.map(fit_one, classes))
     return model
