@@ -140,11 +140,13 @@ def _pair_sq(qx, cx, qc, cc, rows, cols, spec: DistanceSpec) -> np.ndarray:
     return d2
 
 
-def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None):
+def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None,
+                match=False):
     """(row, col, d2) triplets containing every top-k pair (ties included)."""
     nq, nc = qx.shape[0], cx.shape[0]
     if qg is not None:
-        same_group = qg[:, None] == cg[None, :]
+        # Pairs to drop: same group (exclude) or different group (match).
+        same_group = (qg[:, None] != cg[None, :]) if match else (qg[:, None] == cg[None, :])
     else:
         same_group = None
     if spec.random_seed is not None:
@@ -238,7 +240,7 @@ def _as_matrix(pdf: pd.DataFrame, has_codes: bool):
 
 
 def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, has_codes,
-                final_rank_col="rank", group=None):
+                final_rank_col="rank", group=None, match=False):
     """Top-k rows of one (query block, case block) tile as a pandas frame."""
     qid, qx, qc = _as_matrix(qpdf, has_codes)
     cid_all, cx_all, cc_all = _as_matrix(cpdf, has_codes)
@@ -260,7 +262,7 @@ def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, has_codes,
             sl = slice(s, s + step)
             rows, cols, d2 = _candidates(qid[sl], qx[sl], qc[sl], cid, cx, cc, k,
                                          exclude_self, spec,
-                                         qg_all[sl] if group else None, cg)
+                                         qg_all[sl] if group else None, cg, match)
             rows, cols, d2, key, rank = _select(rows, cols, d2, cid, k, random)
             rows = rows + s
             if random:
@@ -339,6 +341,7 @@ def knn_join(
     broadcast_bytes: int | None = None,
     seed: int = 17,
     exclude_group: str | None = None,
+    match_group: str | None = None,
 ) -> DataFrame:
     """Exact top-k neighbours of every query among ``cases``.
 
@@ -352,6 +355,10 @@ def knn_join(
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    if exclude_group and match_group:
+        raise ValueError("use exclude_group or match_group, not both")
+    match = match_group is not None
+    exclude_group = exclude_group or match_group
     carry_p, keep_p = _norm_pairs(carry), _norm_pairs(keep)
     has_codes = "codes" in queries.columns and "codes" in cases.columns
     qcols = ["id", "x"] + (["codes"] if has_codes else [])
@@ -386,9 +393,9 @@ def knn_join(
             raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound "
                              f"{broadcast_bytes}; use strategy='tiles'")
         return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p,
-                               has_codes, schema, exclude_group)
+                               has_codes, schema, exclude_group, match)
     return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
-                      schema, n_cases, tile_rows, seed, exclude_group)
+                      schema, n_cases, tile_rows, seed, exclude_group, match)
 
 
 # Distance evaluations a single task should take on before the query side is
@@ -413,7 +420,7 @@ def _spread_queries(q, n_cases: int):
 
 
 def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
-                    group=None):
+                    group=None, match=False):
     spark = q.sparkSession
     # Bounded by the size check in knn_join.
     cpdf = c.toPandas()
@@ -426,7 +433,7 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
             if len(qpdf) == 0:
                 continue
             out = _topk_frame(qpdf, cases_pdf, k, exclude_self, spec, by, carry_p,
-                              keep_p, has_codes, group=group)
+                              keep_p, has_codes, group=group, match=match)
             if out is not None:
                 yield out
 
@@ -434,7 +441,7 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
 
 
 def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
-               n_cases, tile_rows, seed, group=None):
+               n_cases, tile_rows, seed, group=None, match=False):
     spark = q.sparkSession
     n_queries = q.count()
     parallelism = spark.sparkContext.defaultParallelism
@@ -459,7 +466,7 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, sche
         qpdf = qpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         cpdf = cpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         out = _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry_p, keep_p,
-                          has_codes, final_rank_col=local_rank, group=group)
+                          has_codes, final_rank_col=local_rank, group=group, match=match)
         return out if out is not None else _fit_empty(tile_schema)
 
     cand = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInPandas(

@@ -68,7 +68,10 @@ class ImplicitModel:
 
     def score(self, queries: DataFrame) -> DataFrame:
         """Every candidate pair scored by its class's adapter -> ``pred``."""
-        cand = self.candidates(queries)
+        return self.score_candidates(self.candidates(queries))
+
+    def score_candidates(self, cand: DataFrame) -> DataFrame:
+        """L5 on any ``(query_id, cls, ..., pair)`` table."""
         if self.modes is not None:
             return cand.join(F.broadcast(self.modes), "cls").withColumnRenamed("mode_label", "pred")
         # One filtered read per class: keep the candidates (recomputable on loss).
@@ -123,3 +126,58 @@ def fit_implicit(cases: DataFrame, *, adapter: str | object = "mode", n_neighbou
     with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(classes)))) as pool:
         model.adapters = dict(pool.map(fit_one, classes))
     return model
+
+
+# -- report-only variants (R0-R5), composed from the operators above ------------------
+
+
+def predict_by_nearest_class(model: ImplicitModel, queries: DataFrame, n: int = 1,
+                             out: str = "prediction") -> DataFrame:
+    """R3 (``n=1``): the nearest retrieved case picks the class adapter; R4 (``n>1``):
+    the n nearest retrieved cases each use their class's adapter, then a vote (A3)."""
+    c = knn_join(queries, model.pools, n, spec=model.spec, strategy=model.strategy,
+                 keep=[("q_x", "x")], carry=[("n_x", "x"), "cls"])
+    cand = c.select("query_id", "cls", "neighbour_id", "rank", "dist",
+                    D.case_pair().alias("pair"))
+    scored = model.score_candidates(cand)
+    return V.majority_vote(scored, F.col("pred"), out)
+
+
+def predict_nearest_pair(cases: DataFrame, queries: DataFrame, *,
+                         spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto",
+                         out: str = "prediction") -> DataFrame:
+    """R0 (no learned model): the query's nearest case fixes a class; among the case
+    pairs of that class, the pair nearest to ``[nearest case : query]`` gives the label."""
+    pairs = case_pairs(cases, spec=spec, strategy=strategy)
+    pair_cases = pairs.select(F.col("target_id").alias("id"), F.col("pair").alias("x"),
+                              F.col("src_class").alias("grp"), "label")
+    nn = knn_join(queries, cases, 1, spec=spec, strategy=strategy,
+                  keep=[("q_x", "x")], carry=[("n_x", "x"), ("n_y", "y")])
+    qpairs = nn.select(F.col("query_id").alias("id"), D.case_pair().alias("x"),
+                       F.col("n_y").alias("grp"))
+    best = knn_join(qpairs, pair_cases, 1, strategy=strategy, match_group="grp",
+                    carry=["label"])
+    return best.select("query_id", F.col("label").alias(out))
+
+
+def fit_pair_classifier(cases: DataFrame, *, with_class: bool = False, adapter=None,
+                        strategy: str = "auto"):
+    """R1 (``[neighbour : base] -> base label``) / R2 (plus the neighbour's class)."""
+    pairs = case_pairs(cases, strategy=strategy).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = F.concat("pair", F.array(F.col("src_class").cast("double"))) if with_class \
+        else F.col("pair")
+    a = adapter or MLClassAdapter(hidden_layer_sizes=(16,), max_iter=50)
+    return a.fit(pairs.select(feats.alias("features"), "label"), "features", "label")
+
+
+def predict_pair_classifier(adapter, cases: DataFrame, queries: DataFrame, k: int = 5, *,
+                            with_class: bool = False, strategy: str = "auto",
+                            out: str = "prediction") -> DataFrame:
+    nb = knn_join(queries, cases, k, strategy=strategy, keep=[("q_x", "x")],
+                  carry=[("n_x", "x"), ("n_y", "y")])
+    feats = D.case_pair()
+    if with_class:
+        feats = F.concat(feats, F.array(F.col("n_y").cast("double")))
+    scored = adapter.score(nb.select("query_id", "rank", "dist", feats.alias("features")),
+                           "features")
+    return V.majority_vote(scored, F.col("dhat"), out)

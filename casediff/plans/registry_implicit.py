@@ -213,3 +213,70 @@ def u4_implicit_regressor(spark, sf):
     trs = tr.withColumn("y", ef.segment("y"))
     m = I.fit_implicit(trs, n_neighbours=N_PER_CLASS)
     return m.predict(te)
+
+
+# -- report-only variants R0-R5 (embeddings) ------------------------------------------
+
+_E_Q1 = knn_sql("q1", "ete", "etr", EMB_D2, 1, False)
+_R0 = """
+pairs AS (SELECT p1.query_id AS pid, b.y AS grp, list_concat(b.x, a.x) AS x, a.y AS label
+          FROM p1 JOIN etr a ON a.id = p1.query_id JOIN etr b ON b.id = p1.neighbour_id),
+qp AS (SELECT q1.query_id AS id, n.y AS grp, list_concat(n.x, q.x) AS x
+       FROM q1 JOIN ete q ON q.id = q1.query_id JOIN etr n ON n.id = q1.neighbour_id)"""
+_R0_NN = knn_sql("r0", "qp", "(SELECT pid AS id, grp, x, label FROM pairs)", EMB_D2, 1, False,
+                 extra_pred="a.grp = b.grp")
+
+
+@register("R0_nearest_pair_in_class", _with(EMB_SQL, _E_K1_1, _E_Q1, _R0, _R0_NN) + """
+SELECT r0.query_id, pairs.label AS prediction FROM r0 JOIN pairs ON pairs.pid = r0.neighbour_id""")
+def r0_nearest_pair(spark, sf):
+    tr, te = embedding_cases(spark, sf)
+    return I.predict_nearest_pair(tr, te)
+
+
+_POOL_NN = knn_sql("pn", "ete", "pool", EMB_D2, N_PER_CLASS, False)
+
+
+@register("R3_nearest_case_picks_adapter", _with(EMB_SQL, _E_K1_1, _POOLS, _POOL_NN, _MODES) + """
+SELECT pn.query_id, modes.mode_label AS prediction
+FROM pn JOIN pool ON pool.id = pn.neighbour_id JOIN modes ON modes.cls = pool.cls WHERE pn.rank = 1""")
+def r3_nearest_case(spark, sf):
+    m, te = _implicit(spark, sf)
+    return I.predict_by_nearest_class(m, te, 1)
+
+
+@register("R4_n_nearest_cases_vote", _with(EMB_SQL, _E_K1_1, _POOLS, _POOL_NN, _MODES) + """
+SELECT query_id, pred AS prediction FROM (
+  SELECT query_id, pred, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS o FROM (
+    SELECT pn.query_id, modes.mode_label AS pred, count(*) AS c, min(pn.rank) AS r
+    FROM pn JOIN pool ON pool.id = pn.neighbour_id JOIN modes ON modes.cls = pool.cls
+    GROUP BY ALL)) WHERE o = 1""")
+def r4_n_nearest(spark, sf):
+    m, te = _implicit(spark, sf)
+    return I.predict_by_nearest_class(m, te, N_PER_CLASS)
+
+
+_L5_SINGLE = """
+l5 AS (SELECT k5.query_id, k5.cls, k5.rank, modes.mode_label AS pred FROM k5 JOIN modes USING (cls))"""
+
+
+@register("R5_one_per_class_vote", _with(EMB_SQL, _E_K1_1, _POOLS, _E_K5, _MODES, _L5_SINGLE) + _A5)
+def r5_one_per_class(spark, sf):
+    m, te = _implicit(spark, sf, single_pair=True)
+    return m.predict(te)
+
+
+@register("R1_pair_classifier")
+def r1_pair_classifier(spark, sf):
+    """One classifier on ``[neighbour : base]`` (rows-only)."""
+    tr, te = embedding_cases(spark, sf)
+    a = I.fit_pair_classifier(tr)
+    return I.predict_pair_classifier(a, tr, te, N_PER_CLASS)
+
+
+@register("R2_pair_classifier_with_class")
+def r2_pair_classifier_class(spark, sf):
+    """As R1 with the neighbour's class as an extra feature (rows-only)."""
+    tr, te = embedding_cases(spark, sf)
+    a = I.fit_pair_classifier(tr, with_class=True)
+    return I.predict_pair_classifier(a, tr, te, N_PER_CLASS, with_class=True)

@@ -120,3 +120,18 @@ def test_random_order_is_seeded_and_per_query(spark):
     assert a == b
     assert a[1000] != a[1001]
     assert all(len(set(v)) == 5 for v in a.values())
+
+
+def test_match_group_restricts_to_same_group(spark, random_cases):
+    df, ids, x = random_cases
+    grouped = df.withColumn("g", (F.col("id") % 2).cast("int"))
+    res = got(knn_join(grouped, grouped, 2, exclude_self=True, match_group="g"))
+    for qid, nbrs in res.items():
+        assert all(n % 2 == qid % 2 for n in nbrs)
+    g = ids % 2
+    for qid, nbrs in res.items():
+        i = list(ids).index(qid)
+        same = np.flatnonzero((g == g[i]) & (ids != qid))
+        d2 = ((x[same] - x[i]) ** 2).sum(1)
+        want = ids[same][np.lexsort((ids[same], np.round(d2, 9)))][:2]
+        assert nbrs == [int(v) for v in want]
