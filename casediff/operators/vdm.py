@@ -41,6 +41,15 @@ def value_class_counts(df: DataFrame, features: Sequence[str], label: str) -> Da
             .groupBy("feature", "value", "cls").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _check_vocabulary(cnt: DataFrame) -> None:
+    """Pairs of values grow as V^2: refuse before they are built."""
+    sizes = cnt.groupBy("feature").agg(F.countDistinct("value").alias("n")).collect()
+    for r in sizes:
+        if r["n"] > MAX_VALUES:
+            raise ValueError(f"nominal feature {r['feature']} has {r['n']} values "
+                             f"(> {MAX_VALUES}); its value-pair lookup would not be bounded")
+
+
 def _value_pairs(vals: DataFrame) -> DataFrame:
     a = vals.select("feature", F.col("value").alias("v1"), *[F.col(c).alias(c + "_a")
                                                            for c in vals.columns if c not in ("feature", "value")])
@@ -56,6 +65,7 @@ def vdm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     the cross term only needs the classes both values occur with.
     """
     cnt = value_class_counts(df, features, label)
+    _check_vocabulary(cnt)
     tot = cnt.groupBy("feature", "value").agg(F.sum("n").alias("nv"))
     p = cnt.join(tot, ["feature", "value"]).select(
         "feature", "value", "cls", (F.col("n") / F.col("nv")).alias("p"))
@@ -80,6 +90,7 @@ def cvdhm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     ``t = sum_c p``; the min term only needs shared classes.
     """
     cnt = value_class_counts(df, features, label)
+    _check_vocabulary(cnt)
     ncls = df.where(F.col(label).isNotNull()).groupBy(
         F.col(label).cast("string").alias("cls")).agg(F.count(F.lit(1)).alias("nc"))
     p = cnt.join(ncls, "cls").select("feature", "value", "cls",
@@ -117,12 +128,7 @@ class NominalEncoding:
 
 
 def _collect_tables(lookup: DataFrame, features: Sequence[str], unknown_sq: dict[str, float]):
-    """Bounded collect of a lookup into per-feature squared matrices."""
-    sizes = {r["feature"]: r["n"] for r in
-             lookup.groupBy("feature").agg(F.countDistinct("v1").alias("n")).collect()}
-    for f in features:
-        if sizes.get(f, 0) > MAX_VALUES:
-            raise ValueError(f"nominal feature {f} has {sizes[f]} values (> {MAX_VALUES})")
+    """Collect a lookup (size checked when it was built) into per-feature squared matrices."""
     rows = lookup.collect()
     vocab = {f: sorted({r["v1"] for r in rows if r["feature"] == f}) for f in features}
     tables = []

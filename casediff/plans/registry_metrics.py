@@ -28,14 +28,17 @@ def document_cases(spark, sf, metric: str = "hvdm"):
     dl = docs.join(labels, "doc_id").withColumnRenamed("doc_id", "id")
     tr, te = train_test_split(dl, "id", 80, 2)
     mean, std = fit_numeric_stats(tr, ["n_chars"])["n_chars"]
-    if metric == "hvdm":
+    if metric is None:          # lookup-only queries: no kernel spec needed
+        enc, spec = None, None
+    elif metric == "hvdm":
         enc, spec = M.hvdm_spec(tr, NOMINAL, LABEL)
     else:
         enc, spec = M.cvdhm_spec(tr, NOMINAL, LABEL, final="half" if metric == "cvdhm_half" else "sqrt")
 
     def shape(df):
         zn = (F.col("n_chars").cast("double") - F.lit(mean)) / F.lit(std)
-        return df.select("id", F.array(zn).alias("x"), enc.codes().alias("codes"),
+        codes = [enc.codes().alias("codes")] if enc is not None else []
+        return df.select("id", F.array(zn).alias("x"), *codes,
                          F.col(LABEL).alias("y"), zn.alias("zn"), "lang", "source")
 
     return shape(tr), shape(te), enc, spec
@@ -97,7 +100,7 @@ _CV_SUM = ("power(CASE WHEN a.z IS NULL OR b.z IS NULL THEN 1.0 ELSE least(1.0,
 @register("M2_vdm", _with(_DOC_SQL, _VDM_SQL) + f"""
 SELECT feature, v1, v2, {sql_r6('sqrt(d2)')} AS d FROM vdm""")
 def m2_vdm(spark, sf):
-    tr, _, _, _ = document_cases(spark, sf)
+    tr, _, _, _ = document_cases(spark, sf, None)
     lk = M.vdm_lookup(tr.withColumnRenamed("y", LABEL), NOMINAL, LABEL)
     return lk.select("feature", "v1", "v2", r6("d").alias("d"))
 
@@ -116,7 +119,7 @@ def m3_hvdm_knn(spark, sf):
 @register("M4_cvdhm_value_distance", _with(_DOC_SQL, _CV_SQL) + f"""
 SELECT feature, v1, v2, {sql_r6('d')} AS d FROM cv WHERE v1 <> v2""")
 def m4_cvdhm(spark, sf):
-    tr, _, _, _ = document_cases(spark, sf, "cvdhm")
+    tr, _, _, _ = document_cases(spark, sf, None)
     lk = M.cvdhm_lookup(tr.withColumnRenamed("y", LABEL), NOMINAL, LABEL)
     return lk.where(F.col("v1") != F.col("v2")).select("feature", "v1", "v2", r6("d").alias("d"))
 
@@ -124,7 +127,7 @@ def m4_cvdhm(spark, sf):
 @register("M8_cvdhm_lookup", _with(_DOC_SQL, _CV_SQL) + f"""
 SELECT feature, v1, v2, {sql_r6('d')} AS d FROM cv""")
 def m8_lookup(spark, sf):
-    tr, _, _, _ = document_cases(spark, sf, "cvdhm")
+    tr, _, _, _ = document_cases(spark, sf, None)
     lk = M.cvdhm_lookup(tr.withColumnRenamed("y", LABEL), NOMINAL, LABEL)
     return lk.select("feature", "v1", "v2", r6("d").alias("d"))
 
