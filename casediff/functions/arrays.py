@@ -56,8 +56,10 @@ def onehot(col: ColumnLike, vocabulary: Sequence[str]) -> Column:
     c = _c(col)
     if not vocabulary:
         return F.array().cast("array<double>")
-    return F.array(*[F.when(c == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0))
-                     for v in vocabulary])
+    # One higher-order function over a literal array: the expression size does
+    # not grow with the vocabulary.
+    vocab = F.array(*[F.lit(v) for v in vocabulary])
+    return F.transform(vocab, lambda v: F.when(v == c, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def onehot_index(idx: ColumnLike, n: int) -> Column:

@@ -336,8 +336,8 @@ def knn_join(
     carry: Sequence[str | tuple[str, str]] = (),
     keep: Sequence[str | tuple[str, str]] = (),
     strategy: str = "auto",
-    tile_rows: int = 20_000,
-    tile_bytes: int = 64 << 20,
+    tile_rows: int = 200_000,
+    tile_bytes: int = 128 << 20,
     broadcast_bytes: int | None = None,
     seed: int = 17,
     exclude_group: str | None = None,

@@ -297,6 +297,19 @@ def k2_emb_tiles(spark, sf):
     return nb.select("query_id", "neighbour_id", "rank", r6("dist").alias("dist"))
 
 
+_E_K2_2 = knn_sql("e22", "ete", "etr", EMB_D2, 2, False)
+
+
+@register("K11_case_lookup", _with(EMB_SQL, _E_K2_2) + f"""
+SELECT query_id, neighbour_id, rank, {sql_r6('sqrt(d2)')} AS dist FROM e22""")
+def k11_case_lookup(spark, sf):
+    """The 2 nearest training cases of a case; run for every test case (a one-row
+    query table is the same operator)."""
+    tr, te = embedding_cases(spark, sf)
+    nb = knn_join(te, tr, 2)
+    return nb.select("query_id", "neighbour_id", "rank", r6("dist").alias("dist"))
+
+
 @register("M1_euclidean", _with(EMB_SQL, _E_K2) + f"""
 SELECT query_id, neighbour_id, {sql_r6('sqrt(d2)')} AS dist FROM en2""")
 def m1_euclidean(spark, sf):
