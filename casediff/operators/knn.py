@@ -469,6 +469,12 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, sche
                           has_codes, final_rank_col=local_rank, group=group, match=match)
         return out if out is not None else _fit_empty(tile_schema)
 
+    # Tiles are light in bytes but heavy in compute: an explicit partition count
+    # (one per tile) keeps AQE from coalescing many tiles into one task.  Both
+    # sides are hash-partitioned alike, so the cogroup adds no exchange.
+    n_parts = max(bq * bc, parallelism)
+    qb = qb.repartition(n_parts, "_qb", "_cb")
+    cb = cb.repartition(n_parts, "_qb", "_cb")
     cand = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInPandas(
         tile, tile_schema)
     if bc == 1:
