@@ -450,10 +450,10 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, sche
     # Fresh aliases on both sides: a self join would otherwise hand the cogroup
     # two plans with the same attribute ids.
     qb = q.select(*[F.col(n).alias("_q_" + n) for n in q.columns]) \
-          .withColumn("_qb", F.pmod(F.xxhash64("_q_id", F.lit(seed)), F.lit(bq))) \
+          .withColumn("_qb", F.pmod(F.xxhash64("_q_id", F.lit(seed)), F.lit(bq)).cast("int")) \
           .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
     cb = c.select(*[F.col(n).alias("_c_" + n) for n in c.columns]) \
-          .withColumn("_cb", F.pmod(F.xxhash64("_c_id", F.lit(seed + 1)), F.lit(bc))) \
+          .withColumn("_cb", F.pmod(F.xxhash64("_c_id", F.lit(seed + 1)), F.lit(bc)).cast("int")) \
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
     local_rank = "rank" if bc == 1 else "local_rank"
     tile_schema = schema if bc == 1 else T.StructType(
@@ -472,6 +472,7 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, sche
     # Tiles are light in bytes but heavy in compute: an explicit partition count
     # (one per tile) keeps AQE from coalescing many tiles into one task.  Both
     # sides are hash-partitioned alike, so the cogroup adds no exchange.
+    # Block ids are INT on both sides, so equal keys hash alike.
     n_parts = max(bq * bc, parallelism)
     qb = qb.repartition(n_parts, "_qb", "_cb")
     cb = cb.repartition(n_parts, "_qb", "_cb")
