@@ -371,6 +371,7 @@ def knn_join(
     if by is not None and by not in ccols:
         ccols.append(by)
     ccols += [s for _, s in carry_p if s not in ccols]
+    same_input = queries is cases
     q = queries.select(*qcols)
     c = cases.select(*ccols)
     schema = _out_schema(q, c, by, carry_p, keep_p)
@@ -393,9 +394,11 @@ def knn_join(
             raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound "
                              f"{broadcast_bytes}; use strategy='tiles'")
         return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p,
-                               has_codes, schema, exclude_group, match)
+                               has_codes, schema, exclude_group, match,
+                               n_cases if same_input else None)
     return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
-                      schema, n_cases, tile_rows, seed, exclude_group, match)
+                      schema, n_cases, tile_rows, seed, exclude_group, match,
+                      n_cases if same_input else None)
 
 
 # Distance evaluations a single task should take on before the query side is
@@ -403,7 +406,7 @@ def knn_join(
 _PAIRS_PER_TASK = 50_000_000
 
 
-def _spread_queries(q, n_cases: int):
+def _spread_queries(q, n_cases: int, n_queries: int | None = None):
     """Give the query side enough partitions for the pair count.
 
     Only when it has fewer than needed (e.g. one small file): a large input
@@ -411,7 +414,8 @@ def _spread_queries(q, n_cases: int):
     """
     spark = q.sparkSession
     parallelism = spark.sparkContext.defaultParallelism
-    n_queries = q.count()
+    if n_queries is None:
+        n_queries = q.count()
     want = max(parallelism, math.ceil(n_queries * max(n_cases, 1) / _PAIRS_PER_TASK))
     want = min(want, max(1, n_queries))
     if q.rdd.getNumPartitions() < want:
@@ -420,11 +424,11 @@ def _spread_queries(q, n_cases: int):
 
 
 def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
-                    group=None, match=False):
+                    group=None, match=False, n_queries=None):
     spark = q.sparkSession
     # Bounded by the size check in knn_join.
     cpdf = c.toPandas()
-    q = _spread_queries(q, len(cpdf))
+    q = _spread_queries(q, len(cpdf), n_queries)
     bc = spark.sparkContext.broadcast(cpdf)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -441,9 +445,10 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
 
 
 def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
-               n_cases, tile_rows, seed, group=None, match=False):
+               n_cases, tile_rows, seed, group=None, match=False, n_queries=None):
     spark = q.sparkSession
-    n_queries = q.count()
+    if n_queries is None:
+        n_queries = q.count()
     parallelism = spark.sparkContext.defaultParallelism
     bc = max(1, math.ceil(n_cases / tile_rows))
     bq = max(1, math.ceil(n_queries / tile_rows), math.ceil(parallelism / bc))

@@ -134,10 +134,10 @@ def fit_nominal_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[str
     if not cols:
         return {}
     counts = nominal_counts(df, cols)
-    size = counts.count()
-    if size > MAX_VOCABULARY * max(1, len(cols)):
-        raise ValueError(f"nominal vocabularies hold {size} values; too many to encode")
-    rows = counts.collect()
+    bound = MAX_VOCABULARY * max(1, len(cols))
+    rows = counts.limit(bound + 1).collect()        # bounded collect, one pass
+    if len(rows) > bound:
+        raise ValueError(f"nominal vocabularies hold more than {bound} values; too many to encode")
     out: dict[str, tuple[str | None, list[str]]] = {}
     for c in cols:
         vals = [(r["value"], r["n"]) for r in rows if r["feature"] == c]
@@ -156,10 +156,10 @@ def mode_expr(df: DataFrame, col: str) -> DataFrame:
 
 def label_vocabulary(df: DataFrame, col: str) -> list:
     """Sorted distinct labels (natural order of the column type)."""
-    n = df.select(col).distinct().count()
-    if n > MAX_VOCABULARY:
-        raise ValueError(f"{n} distinct labels; too many to encode")
-    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+    rows = df.select(col).distinct().limit(MAX_VOCABULARY + 1).collect()   # bounded, one pass
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} distinct labels; too many to encode")
+    return sorted(r[0] for r in rows if r[0] is not None)
 
 
 def label_encode(col: str | Column, labels: Sequence) -> Column:
