@@ -88,9 +88,13 @@ class OlsAdapter(Adapter):
             self.intercept = (sy - self.slope * sx) / n if n else 0.0
             return self
         r = diffs.agg(F.regr_slope(F.col(label), xf).alias("b"),
-                      F.regr_intercept(F.col(label), xf).alias("a")).first()
-        self.slope = float(r["b"]) if r["b"] is not None else 0.0
-        self.intercept = float(r["a"]) if r["a"] is not None else 0.0
+                      F.regr_intercept(F.col(label), xf).alias("a"),
+                      F.avg(F.col(label)).alias("m")).first()
+        if r["b"] is None or r["b"] != r["b"]:
+            # Constant feature: the least-squares fit is the mean difference.
+            self.slope, self.intercept = 0.0, float(r["m"]) if r["m"] is not None else 0.0
+        else:
+            self.slope, self.intercept = float(r["b"]), float(r["a"])
         return self
 
     def score(self, df, features="features"):

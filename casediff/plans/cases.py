@@ -43,6 +43,12 @@ def sql_r5(expr: str) -> str:
     return f"(round(({expr})::DOUBLE, 5) + 0.0)"
 
 
+def ols_sql(y: str, x: str) -> str:
+    """``s, i`` of least squares of y on x; a constant x gives ``0, avg(y)``."""
+    return (f"CASE WHEN var_pop({x}) > 0 THEN regr_slope({y}, {x}) ELSE 0.0 END AS s, "
+            f"CASE WHEN var_pop({x}) > 0 THEN regr_intercept({y}, {x}) ELSE avg({y}) END AS i")
+
+
 def bucket_sql(id_col: str, seed: int = SEED) -> str:
     return f"(((({id_col} + {seed}) % 2147483647) * 48271) % 2147483647)"
 

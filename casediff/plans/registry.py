@@ -18,7 +18,7 @@ from casediff.operators.adapters import ModeAdapter, OlsAdapter
 from casediff.operators.knn import knn_join
 from casediff.plans import learner as L
 from casediff.plans.cases import (EMB_D2, EMB_SQL, K, PART_D2, PART_SQL, embedding_cases,
-                                  knn_sql, part_cases, r5, r6, sql_r5, sql_r6)
+                                  knn_sql, ols_sql, part_cases, r5, r6, sql_r5, sql_r6)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,7 +151,7 @@ def d7_distance_column(spark, sf):
 
 
 _OLS_FIT_SQL = """
-fit AS (SELECT regr_slope(a.y - b.y, a.z - b.z) AS s, regr_intercept(a.y - b.y, a.z - b.z) AS i
+fit AS (SELECT """ + ols_sql("a.y - b.y", "a.z - b.z") + """
         FROM nn1 JOIN tr a ON a.id = nn1.query_id JOIN tr b ON b.id = nn1.neighbour_id)"""
 
 _OLS_SCORE_SQL = """

@@ -12,7 +12,7 @@ from casediff.operators.prep import fit_preparation, fold_of, train_test_split
 from casediff.plans import evaluate as E
 from casediff.plans import learner as L
 from casediff.plans.cases import (K, PART_D2, PART_SCHEMA, PART_SQL, embedding_cases,
-                                  knn_sql, part_cases, r5, r6, sql_r5, sql_r6)
+                                  knn_sql, ols_sql, part_cases, r5, r6, sql_r5, sql_r6)
 from casediff.plans.estimators import DifferenceClassifier, DifferenceRegressor
 from casediff.plans.registry import _with, register
 from casediff.plans.registry_metrics import (_CV_SQL, _DOC_K1_CV, _DOC_K2_CV, _DOC_SQL, _K7_SQL,
@@ -59,7 +59,7 @@ def _variant(spark, sf, variant: L.Variant, index: int):
 
 
 @register("V1_context_regressor", _with(PART_SQL, _P_K1, _P_K2, _PAIRS1) + """
-, fit AS (SELECT regr_slope(dy, bz) AS s, regr_intercept(dy, bz) AS i FROM p1)""" + _a2("qz"))
+, fit AS (SELECT """ + ols_sql("dy", "bz") + """ FROM p1)""" + _a2("qz"))
 def v1_context(spark, sf):
     """LR V1: interleaved layout; the adapter reads feature 1 (the case itself)."""
     return _variant(spark, sf, L.Variant(context=True), 1)
@@ -73,7 +73,7 @@ def v2_duplication(spark, sf):
 
 
 @register("V3_distance_column_regressor", _with(PART_SQL, _P_K1, _P_K2, _PAIRS1) + """
-, fit AS (SELECT regr_slope(dy, dist) AS s, regr_intercept(dy, dist) AS i FROM p1)""" + _a2("dist"))
+, fit AS (SELECT """ + ols_sql("dy", "dist") + """ FROM p1)""" + _a2("dist"))
 def v3_distance_column(spark, sf):
     """LR V3: distance appended in both phases; the adapter reads the last feature."""
     return _variant(spark, sf, L.Variant(distance_column=True), -1)
@@ -91,7 +91,7 @@ _P_K2_7 = knn_sql("nn2", "te", "tr", PART_D2, 7, False)
 
 
 @register("U8_parameters", _with(PART_SQL, _P_K1_3, _P_K2_7, _PAIRS1) + f"""
-, fit AS (SELECT regr_slope(dy, dz) AS s, regr_intercept(dy, dz) AS i FROM p1)
+, fit AS (SELECT {ols_sql("dy", "dz")} FROM p1)
 SELECT query_id AS id, {sql_r6('avg(ny + s * dz + i)')} AS prediction FROM p2, fit GROUP BY query_id""")
 def u8_parameters(spark, sf):
     """Reference parameter names are forwarded (k_fit=3, k_predict=7, unweighted)."""

@@ -13,7 +13,7 @@ from casediff.operators.adapters import OlsAdapter
 from casediff.operators.knn import knn_join
 from casediff.operators.prep import fit_numeric_stats, train_test_split
 from casediff.plans import learner as L
-from casediff.plans.cases import K, bucket_sql, knn_sql, r6, sql_r6
+from casediff.plans.cases import K, bucket_sql, knn_sql, ols_sql, r6, sql_r6
 from casediff.plans.registry import _with, register
 from casediff.sources.tables import read_table
 
@@ -173,7 +173,7 @@ def m7_root(spark, sf):
 _DOC_K1_CV = knn_sql("cn1", "dtr", "dtr", _CV_SUM, K, True)
 
 _K7_SQL = """
-fit AS (SELECT regr_slope(a.y - b.y, a.z - b.z) AS s, regr_intercept(a.y - b.y, a.z - b.z) AS i
+fit AS (SELECT """ + ols_sql("a.y - b.y", "a.z - b.z") + """
         FROM cn1 JOIN dtr a ON a.id = cn1.query_id JOIN dtr b ON b.id = cn1.neighbour_id),
 sc AS (SELECT cn.query_id, sqrt(cn.d2) AS dist, b.y + (s * (q.z - b.z) + i) AS v
        FROM cn JOIN dte q ON q.id = cn.query_id JOIN dtr b ON b.id = cn.neighbour_id, fit)"""

@@ -118,3 +118,11 @@ def test_classifier_mode_adapter(spark):
     m = DifferenceClassifier(adapter="mode").fit(tr)
     pred = {r["id"]: r["prediction"] for r in m.predictions(te).collect()}
     assert pred == {100: 0.0, 101: 3.0}
+
+
+def test_ols_constant_feature_fits_the_mean_difference(spark):
+    # Every neighbour has the same x: the difference feature is constant 0, so the
+    # least-squares fit is slope 0 and intercept mean(dy).
+    diffs = spark.createDataFrame([([0.0], 1.0), ([0.0], 3.0)], "features array<double>, dy double")
+    a = OlsAdapter(0).fit(diffs)
+    assert (a.slope, a.intercept) == (0.0, 2.0)
