@@ -41,8 +41,9 @@ def _wls(x: str) -> str:
     return f"""
 sums AS (SELECT sum(w) AS n, sum(w * {x}) AS sx, sum(w * dy) AS sy, sum(w * {x} * {x}) AS sxx,
                 sum(w * {x} * dy) AS sxy FROM pw WHERE w > 0),
-fit AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS s,
-               (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS i FROM sums)"""
+sl AS (SELECT CASE WHEN n * sxx - sx * sx = 0 THEN 0.0
+                   ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS s, sx, sy, n FROM sums),
+fit AS (SELECT s, (sy - s * sx) / n AS i FROM sl)"""
 
 
 def _a2(x: str) -> str:
