@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from casediff.operators.knn import DistanceSpec
 
-MAX_VALUES = 4096
+# Largest vocabulary of a nominal feature: its lookup has V^2 rows and its kernel
+# table V^2 doubles (8 MiB at 1024 values).
+MAX_VALUES = 1024
 
 
 def value_class_counts(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -180,7 +182,8 @@ def feature_distances(pairs: DataFrame, numeric: Sequence[str], nominal: Sequenc
         .select("query_id", "neighbour_id", "e.*")
     lk = lookup.select("feature", F.col("v1").alias("a"), F.col("v2").alias("b"),
                        F.col("d").alias("lk"))
-    j = long.join(F.broadcast(lk), ["feature", "a", "b"], "left")
+    # The lookup has up to V^2 rows per feature: Spark picks the join by its size.
+    j = long.join(lk, ["feature", "a", "b"], "left")
     d = (F.when(F.col("num").isNotNull(), F.col("num"))
          .when(F.col("a").isNull() | F.col("b").isNull(), F.lit(1.0))
          .when(F.col("a") == F.col("b"), F.lit(0.0))
