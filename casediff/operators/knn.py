@@ -32,6 +32,7 @@ Neither path emits a pair that is not a top-k candidate.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 from typing import Iterator, Sequence
 
@@ -240,10 +241,10 @@ def _as_matrix(pdf: pd.DataFrame, has_codes: bool):
 
 
 def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, has_codes,
-                final_rank_col="rank", group=None, match=False):
+                final_rank_col="rank", group=None, match=False, cmat=None):
     """Top-k rows of one (query block, case block) tile as a pandas frame."""
     qid, qx, qc = _as_matrix(qpdf, has_codes)
-    cid_all, cx_all, cc_all = _as_matrix(cpdf, has_codes)
+    cid_all, cx_all, cc_all = cmat if cmat is not None else _as_matrix(cpdf, has_codes)
     out_parts = []
     groups = [(None, np.arange(len(cpdf)))]
     if by is not None:
@@ -423,6 +424,23 @@ def _spread_queries(q, n_cases: int, n_queries: int | None = None):
     return q
 
 
+# Case matrices of broadcast case bases, per Python worker (workers are reused
+# across tasks); bounded by the broadcast size check, at most two kept.
+_CASE_CACHE: dict = {}
+
+
+def _cached_cases(bc, token: str, has_codes: bool):
+    key = (token, has_codes)
+    hit = _CASE_CACHE.get(key)
+    if hit is None:
+        cases_pdf = bc.value
+        hit = (cases_pdf, _as_matrix(cases_pdf, has_codes))
+        while len(_CASE_CACHE) >= 2:
+            _CASE_CACHE.pop(next(iter(_CASE_CACHE)))
+        _CASE_CACHE[key] = hit
+    return hit
+
+
 def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
                     group=None, match=False, n_queries=None):
     spark = q.sparkSession
@@ -430,14 +448,15 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
     cpdf = c.toPandas()
     q = _spread_queries(q, len(cpdf), n_queries)
     bc = spark.sparkContext.broadcast(cpdf)
+    token = uuid.uuid4().hex
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cases_pdf = bc.value
+        cases_pdf, cmat = _cached_cases(bc, token, has_codes)
         for qpdf in batches:
             if len(qpdf) == 0:
                 continue
             out = _topk_frame(qpdf, cases_pdf, k, exclude_self, spec, by, carry_p,
-                              keep_p, has_codes, group=group, match=match)
+                              keep_p, has_codes, group=group, match=match, cmat=cmat)
             if out is not None:
                 yield out
 
