@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from casediff.operators.adapters import make_adapter
 from casediff.operators.knn import EUCLIDEAN
 from casediff.plans import learner as L
+from casediff.session import checkpoint_root
 
 _ALIASES = {
     "n_neighbours_1": "kFit", "n_neighbours_2": "kPredict", "weighted_knn": "weighted",
@@ -47,11 +48,14 @@ class _DiffParams(Params):
                            typeConverter=TypeConverters.toBoolean)
     strategy = Param(Params._dummy(), "strategy", "kNN plan: auto | broadcast | tiles",
                      typeConverter=TypeConverters.toString)
+    checkpointCases = Param(Params._dummy(), "checkpointCases",
+                            "cut the case base's lineage with a reliable checkpoint",
+                            typeConverter=TypeConverters.toBoolean)
 
     def __init__(self):
         super().__init__()
         self._setDefault(kFit=5, kPredict=5, context=False, duplicate=False,
-                         distanceColumn=False, strategy="auto")
+                         distanceColumn=False, strategy="auto", checkpointCases=False)
 
     def set_params(self, **kw):
         """U8: set by reference or Spark name; unknown names raise."""
@@ -93,7 +97,13 @@ class _DifferenceEstimator(Estimator, _DiffParams):
         return that
 
     def _fit(self, dataset: DataFrame) -> "DifferenceModel":
-        cases = dataset.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.getOrDefault(self.checkpointCases):
+            # A long-lived model: write the case base to the cluster's checkpoint
+            # folder (spark.checkpoint.dir) so predictions never replay its lineage.
+            checkpoint_root(dataset.sparkSession)
+            cases = dataset.checkpoint(eager=True)
+        else:
+            cases = dataset.persist(StorageLevel.MEMORY_AND_DISK)
         variant = self._variant()
         diffs = L.training_differences(cases, self.getOrDefault(self.kFit), variant,
                                        spec=self._spec,

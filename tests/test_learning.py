@@ -126,3 +126,11 @@ def test_ols_constant_feature_fits_the_mean_difference(spark):
     diffs = spark.createDataFrame([([0.0], 1.0), ([0.0], 3.0)], "features array<double>, dy double")
     a = OlsAdapter(0).fit(diffs)
     assert (a.slope, a.intercept) == (0.0, 2.0)
+
+
+def test_checkpointed_case_base_predicts_the_same(spark):
+    tr = cases(spark, [(i, [float(i)], 2.0 * i) for i in range(15)])
+    te = cases(spark, [(100, [3.5], 0.0)])
+    a = DifferenceRegressor(adapter="ols").fit(tr).predictions(te).first()["prediction"]
+    b = DifferenceRegressor(adapter="ols", checkpointCases=True).fit(tr).predictions(te).first()["prediction"]
+    assert a == pytest.approx(b)
