@@ -29,6 +29,7 @@ from casediff.operators.knn import DistanceSpec
 # Largest vocabulary of a nominal feature: its lookup has V^2 rows and its kernel
 # table V^2 doubles (8 MiB at 1024 values).
 MAX_VALUES = 1024
+MAX_CLASSES = 1024
 
 
 def value_class_counts(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -129,35 +130,86 @@ class NominalEncoding:
         return F.array(*out) if out else F.array().cast("array<int>")
 
 
-def _collect_tables(lookup: DataFrame, features: Sequence[str], unknown_sq: dict[str, float]):
-    """Collect a lookup (size checked when it was built) into per-feature squared matrices."""
-    rows = lookup.collect()
-    vocab = {f: sorted({r["v1"] for r in rows if r["feature"] == f}) for f in features}
-    tables = []
+def _probability_tables(df: DataFrame, features: Sequence[str], label: str, given: str):
+    """Bounded collect of per-value class statistics: ``{feature: (values, P)}``.
+
+    ``given="value"``: ``P[v, c] = P(c | v)`` (VDM); ``given="class"``:
+    ``P[v, c] = P(v | c)`` (CVDHM).  At most ``MAX_VALUES x MAX_CLASSES`` numbers per
+    feature reach the driver; the value-pair tables are then formed in NumPy, so
+    no pair rows are emitted by Spark.
+    """
+    cls_rows = (df.where(F.col(label).isNotNull())
+                .groupBy(F.col(label).cast("string").alias("cls")).count()
+                .limit(MAX_CLASSES + 1).collect())
+    if len(cls_rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    classes = sorted(r["cls"] for r in cls_rows)
+    cidx = {c: i for i, c in enumerate(classes)}
+    class_n = np.zeros(len(classes))
+    for r in cls_rows:
+        class_n[cidx[r["cls"]]] = r["count"]
+    bound = MAX_VALUES * max(1, len(classes)) * max(1, len(features))
+    rows = value_class_counts(df, features, label).limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"nominal features hold more than {MAX_VALUES} values each")
+    out = {}
     for f in features:
-        v = vocab[f]
-        idx = {val: i for i, val in enumerate(v)}
-        m = np.full((len(v) + 1, len(v) + 1), float(unknown_sq[f]))
-        for r in rows:
-            if r["feature"] == f:
-                m[idx[r["v1"]], idx[r["v2"]]] = float(r["d"]) ** 2
-        tables.append(m)
-    return NominalEncoding(tuple(features), vocab), tuple(tables)
+        fr = [r for r in rows if r["feature"] == f]
+        values = sorted({r["value"] for r in fr})
+        if len(values) > MAX_VALUES:
+            raise ValueError(f"nominal feature {f} has {len(values)} values (> {MAX_VALUES})")
+        vidx = {v: i for i, v in enumerate(values)}
+        n = np.zeros((len(values), len(classes)))
+        for r in fr:
+            n[vidx[r["value"]], cidx[r["cls"]]] = r["n"]
+        if given == "value":
+            p = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
+        else:
+            p = n / np.maximum(class_n[None, :], 1)
+        out[f] = (values, p)
+    return out
+
+
+def _with_unknown(d2: np.ndarray, unknown: float) -> np.ndarray:
+    v = d2.shape[0]
+    m = np.full((v + 1, v + 1), float(unknown))
+    m[:v, :v] = d2
+    return m
 
 
 def hvdm_spec(train: DataFrame, nominal: Sequence[str], label: str):
     """M3: HVDM kernel spec; unseen nominal values cost ``|classes|`` (1 per class)."""
-    n_classes = train.select(label).distinct().count()
-    enc, tables = _collect_tables(vdm_lookup(train, nominal, label), nominal,
-                                  {f: float(n_classes) for f in nominal})
-    return enc, DistanceSpec(numeric="sq", tables=tables, final="sqrt")
+    probs = _probability_tables(train, nominal, label, given="value")
+    tables, vocab = [], {}
+    for f in nominal:
+        values, p = probs[f]
+        vocab[f] = values
+        d2 = np.zeros((len(values), len(values)))
+        for c in range(p.shape[1]):                 # sum over classes, left to right
+            diff = p[:, c, None] - p[None, :, c]
+            d2 += diff * diff
+        tables.append(_with_unknown(d2, p.shape[1]))
+    return NominalEncoding(tuple(nominal), vocab), DistanceSpec(numeric="sq", tables=tuple(tables),
+                                                                final="sqrt")
 
 
 def cvdhm_spec(train: DataFrame, nominal: Sequence[str], label: str, final: str = "sqrt"):
-    """M6 (``final='half'``) / M7 (``'sqrt'``): CVDHM kernel spec; unseen -> 1."""
-    enc, tables = _collect_tables(cvdhm_lookup(train, nominal, label), nominal,
-                                  {f: 1.0 for f in nominal})
-    return enc, DistanceSpec(numeric="clip", tables=tables, final=final)
+    """M6 (``final='half'``) / M7 (``'sqrt'``): CVDHM kernel spec; equal 0, unseen 1."""
+    probs = _probability_tables(train, nominal, label, given="class")
+    tables, vocab = [], {}
+    for f in nominal:
+        values, p = probs[f]
+        vocab[f] = values
+        num = np.zeros((len(values), len(values)))
+        den = np.zeros((len(values), len(values)))
+        for c in range(p.shape[1]):
+            num += np.abs(p[:, c, None] - p[None, :, c])
+            den += p[:, c, None] + p[None, :, c]
+        d = np.divide(num, den, out=np.zeros_like(num), where=den != 0)
+        np.fill_diagonal(d, 0.0)
+        tables.append(_with_unknown(d * d, 1.0))
+    return NominalEncoding(tuple(nominal), vocab), DistanceSpec(numeric="clip", tables=tuple(tables),
+                                                                final=final)
 
 
 def feature_distances(pairs: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
