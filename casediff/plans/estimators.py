@@ -105,10 +105,9 @@ class _DifferenceEstimator(Estimator, _DiffParams):
         else:
             cases = dataset.persist(StorageLevel.MEMORY_AND_DISK)
         variant = self._variant()
-        diffs = L.training_differences(cases, self.getOrDefault(self.kFit), variant,
-                                       spec=self._spec,
-                                       strategy=self.getOrDefault(self.strategy))
-        adapter = L.fit_adapter(diffs, make_adapter(self._adapter, self.task), variant)
+        adapter = L.fit_on_differences(cases, self.getOrDefault(self.kFit),
+                                       make_adapter(self._adapter, self.task), variant,
+                                       spec=self._spec, strategy=self.getOrDefault(self.strategy))
         model = DifferenceModel(cases, adapter, self.task, self._spec)
         self._copyValues(model)
         return model

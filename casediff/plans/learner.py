@@ -42,8 +42,13 @@ def neighbour_pairs(queries: DataFrame, cases: DataFrame, k: int, *, self_join:
 
 
 def training_differences(cases: DataFrame, k: int, variant: Variant = Variant(), *,
-                         spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto") -> DataFrame:
-    """Fit side: ``query_id, neighbour_id, rank, dist, dx, features, dy[, weight]``."""
+                         spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto",
+                         cached: list | None = None) -> DataFrame:
+    """Fit side: ``query_id, neighbour_id, rank, dist, dx, features, dy[, weight]``.
+
+    Frames persisted on the way are appended to ``cached`` so the caller can
+    release them once the adapter is fitted.
+    """
     pairs = neighbour_pairs(cases, cases, k, self_join=True, spec=spec, strategy=strategy)
     diffs = D.difference_table(pairs, context=variant.context,
                                distance_column=variant.distance_column)
@@ -51,10 +56,25 @@ def training_differences(cases: DataFrame, k: int, variant: Variant = Variant(),
         # Read twice (global bounds, then the weighted rows): keep it, it can
         # be recomputed from its lineage if an executor is lost.
         diffs = diffs.persist(StorageLevel.MEMORY_AND_DISK)
+        if cached is not None:
+            cached.append(diffs)
         diffs = D.with_duplication_weight(diffs).where(F.col("weight") > 0)
     return diffs
 
 
+def fit_on_differences(cases: DataFrame, k: int, adapter: Adapter, variant: Variant = Variant(),
+                       *, spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto") -> Adapter:
+    """K1 -> differences -> adapter fit; intermediate caches are released after."""
+    cached: list = []
+    try:
+        diffs = training_differences(cases, k, variant, spec=spec, strategy=strategy,
+                                     cached=cached)
+        return fit_adapter(diffs, adapter, variant)
+    finally:
+        for df in cached:
+            df.unpersist()
+
+
 def fit_adapter(diffs: DataFrame, adapter: Adapter, variant: Variant = Variant()) -> Adapter:
     return adapter.fit(diffs, "features", "dy", weight="weight" if variant.duplicate else None)
 
@@ -86,8 +106,7 @@ def fit_predict(train: DataFrame, test: DataFrame, *, task: str, adapter: Adapte
     """End to end: ``(query_id, prediction)`` for every test case."""
     if weighted is None:
         weighted = task == "regression"
-    diffs = training_differences(train, k_fit, variant, spec=spec, strategy=strategy)
-    fitted = fit_adapter(diffs, adapter, variant)
+    fitted = fit_on_differences(train, k_fit, adapter, variant, spec=spec, strategy=strategy)
     scored = scored_query_pairs(test, train, k_predict, fitted, variant, spec=spec,
                                 strategy=strategy)
     return aggregate(scored, task, weighted)
