@@ -415,11 +415,14 @@ def _spread_queries(q, n_cases: int, n_queries: int | None = None):
     """
     spark = q.sparkSession
     parallelism = spark.sparkContext.defaultParallelism
+    have = q.rdd.getNumPartitions()
+    if have >= parallelism:
+        return q                      # a large input: no extra pass, no shuffle
     if n_queries is None:
         n_queries = q.count()
     want = max(parallelism, math.ceil(n_queries * max(n_cases, 1) / _PAIRS_PER_TASK))
     want = min(want, max(1, n_queries))
-    if q.rdd.getNumPartitions() < want:
+    if have < want:
         q = q.repartition(want, "id")
     return q
 
