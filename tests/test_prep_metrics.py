@@ -112,3 +112,18 @@ def test_driver_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["query_id", "prediction"]
+
+
+def test_image_predict_with_external_model_and_mean_difference(spark):
+    from casediff.operators import differences as D
+    from casediff.plans import images as IM
+    tr = spark.createDataFrame([(1, [0, 0, 0, 0], 1), (2, [10, 10, 10, 10], 2),
+                                (3, [100, 100, 100, 100], 3)], "id long, px array<int>, y int")
+    te = spark.createDataFrame([(9, [4, 4, 4, 4], 0)], "id long, px array<int>, y int")
+    # neighbours of [4,4,4,4] (k=2): case 1 (|diff| 4) and case 2 (|diff| 6)
+    p = IM.predict(te, tr, IM.MeanPixelModel(), (2, 2, 1), task="regression", k=2).first()
+    assert p["prediction"] == pytest.approx(((1 + 4 / 255) + (2 + 6 / 255)) / 2)
+    pairs = knn_join(IM.as_vectors(te), IM.as_vectors(tr), 2, keep=[("q_x", "px")],
+                     carry=[("n_x", "px")])
+    m = D.mean_difference_image(pairs).first()["mean_diff"]
+    assert m == [5.0, 5.0, 5.0, 5.0]
