@@ -326,9 +326,44 @@ def _fit_empty(schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
 
 
+@dataclass
+class BroadcastCases:
+    """A case base shipped to the executors once and reused by many joins
+    (e.g. every micro-batch of a stream).  Built by :func:`broadcast_cases`."""
+
+    bc: object
+    token: str
+    n: int
+    frame: DataFrame          # the selected case columns (for the output schema)
+    has_codes: bool
+
+
+def broadcast_cases(cases: DataFrame, *, by: str | None = None,
+                    carry: Sequence[str | tuple[str, str]] = (),
+                    broadcast_bytes: int | None = None) -> BroadcastCases:
+    """Check the size of a case base and broadcast it once."""
+    spark = cases.sparkSession
+    has_codes = "codes" in cases.columns
+    ccols = ["id", "x"] + (["codes"] if has_codes else [])
+    if by is not None and by not in ccols:
+        ccols.append(by)
+    ccols += [src for _, src in _norm_pairs(carry) if src not in ccols]
+    c = cases.select(*ccols)
+    if broadcast_bytes is None:
+        broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
+    stats = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("w")).first()
+    n, width = int(stats["n"] or 0), int(stats["w"] or 0)
+    est = n * (8 * (width + 2) + (64 if has_codes else 0) + 16 * len(_norm_pairs(carry)))
+    if est > broadcast_bytes:
+        raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound {broadcast_bytes}")
+    cpdf = c.toPandas()                                  # bounded by the check above
+    return BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c,
+                          has_codes)
+
+
 def knn_join(
     queries: DataFrame,
-    cases: DataFrame,
+    cases: "DataFrame | BroadcastCases",
     k: int,
     *,
     exclude_self: bool = False,
@@ -361,6 +396,9 @@ def knn_join(
     match = match_group is not None
     exclude_group = exclude_group or match_group
     carry_p, keep_p = _norm_pairs(carry), _norm_pairs(keep)
+    prepared = cases if isinstance(cases, BroadcastCases) else None
+    if prepared is not None:
+        cases = prepared.frame
     has_codes = "codes" in queries.columns and "codes" in cases.columns
     qcols = ["id", "x"] + (["codes"] if has_codes else [])
     qcols += [s for _, s in keep_p if s not in qcols]
@@ -377,6 +415,9 @@ def knn_join(
     c = cases.select(*ccols)
     schema = _out_schema(q, c, by, carry_p, keep_p)
     spark = queries.sparkSession
+    if prepared is not None:
+        return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
+                               schema, exclude_group, match, None, prepared)
 
     if broadcast_bytes is None:
         broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
@@ -445,13 +486,15 @@ def _cached_cases(bc, token: str, has_codes: bool):
 
 
 def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
-                    group=None, match=False, n_queries=None):
+                    group=None, match=False, n_queries=None, prepared=None):
     spark = q.sparkSession
-    # Bounded by the size check in knn_join.
-    cpdf = c.toPandas()
-    q = _spread_queries(q, len(cpdf), n_queries)
-    bc = spark.sparkContext.broadcast(cpdf)
-    token = uuid.uuid4().hex
+    if prepared is not None:
+        bc, token, n_cases = prepared.bc, prepared.token, prepared.n
+    else:
+        # Bounded by the size check in knn_join.
+        cpdf = c.toPandas()
+        bc, token, n_cases = spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf)
+    q = _spread_queries(q, n_cases, n_queries)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cases_pdf, cmat = _cached_cases(bc, token, has_codes)

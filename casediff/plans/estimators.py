@@ -130,8 +130,16 @@ class DifferenceModel(Model, _DiffParams):
         super().__init__()
         self.cases, self.adapter, self.task, self._spec = cases, adapter, task, spec
 
+    def broadcast_case_base(self) -> "DifferenceModel":
+        """Ship the case base to the executors once (size checked); later
+        predictions, e.g. every micro-batch of a stream, reuse it."""
+        from casediff.operators.knn import broadcast_cases
+        self._prepared = broadcast_cases(self.cases, carry=[("n_x", "x"), ("n_y", "y")])
+        return self
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        scored = L.scored_query_pairs(dataset, self.cases, self.getOrDefault(self.kPredict),
+        cases = getattr(self, "_prepared", None) or self.cases
+        scored = L.scored_query_pairs(dataset, cases, self.getOrDefault(self.kPredict),
                                       self.adapter, self._variant(), spec=self._spec,
                                       strategy=self.getOrDefault(self.strategy))
         pred = L.aggregate(scored, self.task, self.getOrDefault(self.weighted))

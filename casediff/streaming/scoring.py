@@ -21,6 +21,12 @@ def score_stream(queries: DataFrame, model, out_path: str, checkpoint: str, *,
     fitted :class:`casediff.plans.estimators.DifferenceModel`.
     """
 
+    if getattr(model, "_prepared", None) is None:
+        try:
+            model.broadcast_case_base()         # once for all micro-batches
+        except ValueError:
+            pass                                # too large to broadcast: joins per batch
+
     def score(batch: DataFrame, epoch: int) -> None:
         preds = model.predictions(batch).withColumn("epoch", F.lit(int(epoch)))
         preds.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={int(epoch)}")

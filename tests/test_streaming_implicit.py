@@ -45,3 +45,13 @@ def test_stream_scoring_matches_batch(spark):
     want = {r["id"]: r["prediction"] for r in model.predictions(te).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_broadcast_once_case_base_gives_the_same_predictions(spark):
+    tr = cases(spark, [(i, [float(i), float(i % 3)], 2.0 * i) for i in range(25)])
+    te = cases(spark, [(100 + i, [i + 0.3, 1.0], 0.0) for i in range(6)])
+    model = DifferenceRegressor(adapter="ols").fit(tr)
+    want = {r["id"]: r["prediction"] for r in model.predictions(te).collect()}
+    model.broadcast_case_base()
+    got = {r["id"]: r["prediction"] for r in model.predictions(te).collect()}
+    assert got == want
