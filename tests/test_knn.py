@@ -135,3 +135,14 @@ def test_match_group_restricts_to_same_group(spark, random_cases):
         d2 = ((x[same] - x[i]) ** 2).sum(1)
         want = ids[same][np.lexsort((ids[same], np.round(d2, 9)))][:2]
         assert nbrs == [int(v) for v in want]
+
+
+def test_tiled_plan_pins_one_partition_per_tile(spark, random_cases):
+    # AQE coalesces shuffles by bytes; kNN tiles are small in bytes but heavy in
+    # compute, so their exchanges must be explicit (REPARTITION_BY_NUM).
+    df, _, _ = random_cases
+    out = self_knn(df, 3, strategy="tiles", tile_rows=30)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    assert plan.count("REPARTITION_BY_NUM") >= 2
