@@ -105,11 +105,20 @@ class _DifferenceEstimator(Estimator, _DiffParams):
         else:
             cases = dataset.persist(StorageLevel.MEMORY_AND_DISK)
         variant = self._variant()
-        adapter = L.fit_on_differences(cases, self.getOrDefault(self.kFit),
-                                       make_adapter(self._adapter, self.task), variant,
-                                       spec=self._spec, strategy=self.getOrDefault(self.strategy))
-        model = DifferenceModel(cases, adapter, self.task, self._spec)
+        model = DifferenceModel(cases, None, self.task, self._spec)
         self._copyValues(model)
+        if self.getOrDefault(self.strategy) in ("auto", "broadcast"):
+            try:
+                # Ship the case base once: the training self join and every
+                # later prediction reuse the same broadcast.
+                model.broadcast_case_base()
+            except ValueError:
+                if self.getOrDefault(self.strategy) == "broadcast":
+                    raise                       # too large: auto falls back to tiles
+        model.adapter = L.fit_on_differences(
+            cases, self.getOrDefault(self.kFit), make_adapter(self._adapter, self.task), variant,
+            spec=self._spec, strategy=self.getOrDefault(self.strategy),
+            case_base=getattr(model, "_prepared", None))
         return model
 
 

@@ -43,13 +43,15 @@ def neighbour_pairs(queries: DataFrame, cases: DataFrame, k: int, *, self_join:
 
 def training_differences(cases: DataFrame, k: int, variant: Variant = Variant(), *,
                          spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto",
-                         cached: list | None = None) -> DataFrame:
+                         cached: list | None = None, case_base=None) -> DataFrame:
     """Fit side: ``query_id, neighbour_id, rank, dist, dx, features, dy[, weight]``.
 
     Frames persisted on the way are appended to ``cached`` so the caller can
     release them once the adapter is fitted.
     """
-    pairs = neighbour_pairs(cases, cases, k, self_join=True, spec=spec, strategy=strategy)
+    # ``case_base``: the same cases already broadcast (see ``broadcast_cases``).
+    pairs = neighbour_pairs(cases, case_base if case_base is not None else cases, k,
+                            self_join=True, spec=spec, strategy=strategy)
     diffs = D.difference_table(pairs, context=variant.context,
                                distance_column=variant.distance_column)
     if variant.duplicate:
@@ -63,12 +65,13 @@ def training_differences(cases: DataFrame, k: int, variant: Variant = Variant(),
 
 
 def fit_on_differences(cases: DataFrame, k: int, adapter: Adapter, variant: Variant = Variant(),
-                       *, spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto") -> Adapter:
+                       *, spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto",
+                       case_base=None) -> Adapter:
     """K1 -> differences -> adapter fit; intermediate caches are released after."""
     cached: list = []
     try:
         diffs = training_differences(cases, k, variant, spec=spec, strategy=strategy,
-                                     cached=cached)
+                                     cached=cached, case_base=case_base)
         return fit_adapter(diffs, adapter, variant)
     finally:
         for df in cached:
