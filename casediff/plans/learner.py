@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from casediff.operators import differences as D
 from casediff.operators import vote as V
 from casediff.operators.adapters import Adapter
-from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join
+from casediff.operators.knn import EUCLIDEAN, DistanceSpec, broadcast_cases, knn_join
 
 
 @dataclass
@@ -109,9 +109,18 @@ def fit_predict(train: DataFrame, test: DataFrame, *, task: str, adapter: Adapte
     """End to end: ``(query_id, prediction)`` for every test case."""
     if weighted is None:
         weighted = task == "regression"
-    fitted = fit_on_differences(train, k_fit, adapter, variant, spec=spec, strategy=strategy)
-    scored = scored_query_pairs(test, train, k_predict, fitted, variant, spec=spec,
-                                strategy=strategy)
+    case_base = None
+    if strategy in ("auto", "broadcast"):
+        try:
+            # Ship the case base once for the self join and the query join.
+            case_base = broadcast_cases(train, carry=[("n_x", "x"), ("n_y", "y")])
+        except ValueError:
+            if strategy == "broadcast":
+                raise
+    fitted = fit_on_differences(train, k_fit, adapter, variant, spec=spec, strategy=strategy,
+                                case_base=case_base)
+    scored = scored_query_pairs(test, case_base if case_base is not None else train, k_predict,
+                                fitted, variant, spec=spec, strategy=strategy)
     return aggregate(scored, task, weighted)
 
 
