@@ -1,7 +1,9 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare.
 
 Usage: python tests/oracle_compare.py [sf_dir] [name ...]
-Prints one line per query: rows, schema and value match.
+Prints one line per query: rows, schema and value match.  Set PLAIN_SESSION=1 to
+run under a default SparkSession (no Arrow, 200 shuffle partitions) instead of
+``casediff.session.local_session``.
 """
 
 from __future__ import annotations
