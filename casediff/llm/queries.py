@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, quality
 
 QUERIES = {
+    "op7_decontamination": decontaminate.op7,
     "op9_quality_rules": quality.op9,
 }
 
 ORACLE_SQL = {
+    "op7_decontamination": decontaminate.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
