@@ -28,6 +28,8 @@ from .common import digest128, table, text_or_empty
 WIDTH = 10
 #: Distinct benchmark windows that may be broadcast (about 200 bytes each).
 MAX_BROADCAST = 1_000_000
+#: Window starts in one run of words.
+BLOCK = 32
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,16 +43,24 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(low, BREAKS), lambda w: w != "")
 
 
-def _windows(words: str, width: int) -> Column:
-    """The 1-based starts of all windows of ``width`` words."""
-    return F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(
-        F.array().cast("array<int>"))
+def _blocks(width: int) -> Column:
+    """Runs of ``BLOCK`` window starts of the words ``w``: (1-based first start, the words its windows cover).
+
+    Windows are exploded from these short runs, so that a window's row carries a
+    few dozen words to be compared with and never the document's whole array."""
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(BLOCK))
+    return F.when(F.size("w") > 0, F.transform(starts, lambda i: F.struct(
+        i.alias("at"), F.slice("w", i, BLOCK + width - 1).alias("bw")))).otherwise(
+        F.array().cast("array<struct<at:int,bw:array<string>>>"))
 
 
 def _probes(width: int) -> Column:
-    """(hash, length, position) of every window of ``width`` words of the word hashes ``wh``."""
-    return F.transform(_windows("wh", width), lambda i: F.struct(
-        F.xxhash64(F.slice("wh", i, width)).alias("h"), F.lit(width).alias("len"), i.alias("pos")))
+    """(hash, length, 1-based place) of the block's windows of ``width`` words, from the word hashes ``wh``."""
+    n = F.least(F.lit(BLOCK), F.size("wh") - (width - 1))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        F.xxhash64(*[F.get(F.col("wh"), i + (k - 1)) for k in range(width)]).alias("h"),
+        F.lit(width).alias("len"), i.alias("j")))).otherwise(
+        F.array().cast("array<struct<h:bigint,len:int,j:int>>"))
 
 
 def test_grams(items: DataFrame, width: int = WIDTH, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -69,18 +79,18 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadcast: i
     grams = test_grams(items, width)
     lengths = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
     d = docs.select(text_or_empty(text).alias("t"))
-    d = d.select("t", normal_words(F.col("t")).alias("w"))
-    d = d.select("t", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    d = d.select(digest128(F.col("t")).alias("digest"), normal_words(F.col("t")).alias("w"))
+    b = d.select("digest", F.inline(_blocks(width)))
+    b = b.select("digest", "at", "bw", F.transform("bw", lambda x: F.xxhash64(x)).alias("wh"))
     # at most ``width`` lengths: the full one and those of shorter items
     probes = [_probes(n) for n in sorted(lengths)]
-    probes = F.concat(*probes) if probes else F.array().cast("array<struct<h:bigint,len:int,pos:int>>")
+    probes = F.concat(*probes) if probes else F.array().cast("array<struct<h:bigint,len:int,j:int>>")
+    pos = (F.col("at") + F.col("j") - 1).alias("pos")
     if sum(lengths.values()) <= max_broadcast:
-        found = d.select("t", "w", F.inline(probes)).join(
-            F.broadcast(grams), ["h", "len"]).where(F.expr("slice(w, pos, len) = gram"))
-        return found.select(digest128(F.col("t")).alias("digest"), "pos", "len", "items")
-    probed = d.select(digest128(F.col("t")).alias("digest"), F.inline(probes)).join(grams, ["h", "len"])
-    words = d.select(digest128(F.col("t")).alias("digest"), "w").dropDuplicates(["digest"])
-    return (probed.join(words, "digest").where(F.expr("slice(w, pos, len) = gram"))
+        return (b.select("digest", "at", "bw", F.inline(probes)).join(F.broadcast(grams), ["h", "len"])
+                .where(F.expr("slice(bw, j, len) = gram")).select("digest", pos, "len", "items"))
+    probed = b.select("digest", "at", F.inline(probes)).select("digest", pos, "h", "len").join(grams, ["h", "len"])
+    return (probed.join(d.dropDuplicates(["digest"]), "digest").where(F.expr("slice(w, pos, len) = gram"))
             .select("digest", "pos", "len", "items"))
 
 
