@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, quality, secrets
 
 QUERIES = {
     "op7_decontamination": decontaminate.op7,
     "op9_quality_rules": quality.op9,
+    "op10_secret_scans": secrets.op10,
 }
 
 ORACLE_SQL = {
