@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, quality, secrets, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op7_decontamination": decontaminate.op7,
     "op9_quality_rules": quality.op9,
     "op10_secret_scans": secrets.op10,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
