@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets, warc
+from . import decontaminate, packing, quality, secrets, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
+    "op2_packing": packing.op2,
+    "op5_token_counts": token_counts.op5,
     "op7_decontamination": decontaminate.op7,
     "op9_quality_rules": quality.op9,
     "op10_secret_scans": secrets.op10,
