@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, secrets, token_counts, warc
+from . import decontaminate, packing, quality, secrets, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_packing": packing.op2,
+    "op4_substring_dedup": substring_dedup.op4,
     "op5_token_counts": token_counts.op5,
     "op7_decontamination": decontaminate.op7,
     "op9_quality_rules": quality.op9,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
