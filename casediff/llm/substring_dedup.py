@@ -19,7 +19,7 @@ Steps, each written to the shared folder before the next:
 2. anchors that occur twice, by a counted partial aggregate: a suffix whose anchor
    is unique is unique, and goes no further;
 3. contexts of the remaining anchors, grouped by anchor.  An anchor with more
-   than ``GROUP`` texts is split over salted groups, so that a group always fits
+   than ``GROUP`` places is split over salted groups, so that a group always fits
    in memory; its groups' first leaves are then compared by a native aggregate;
 4. the repeated windows join the texts.
 
@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import digest128, materialise, table, text_or_empty
-from .wordhash import run_hashes, word_hashes
+from .wordhash import mix, run_hashes, word_hashes
 
 WIDTH, ANCHOR = 20, 8
-#: Texts of one anchor that are compared in one group.
-GROUP = 20_000
+#: Places of one anchor that are compared in one group.
+GROUP = 8_000
 LAST = 2**63 - 1
 
 
@@ -72,22 +72,22 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _with_anchors(texts: DataFrame, width: int, anchor: int) -> DataFrame:
-    """``digest``, ``ord``, ``once`` (anchors) and ``twice`` (those that the text has more than once)."""
+    """``digest``, ``ord``, ``anchors`` (distinct) and how many ``times`` the text has each."""
 
     def find(batches):
         for b in batches:
-            once, twice = [], []
+            once, times = [], []
             for t in b.column(2):
                 h, n = np.unique(anchors(word_hashes(t.as_buffer()), width, anchor)[0].view(np.int64),
                                  return_counts=True)
                 once.append(h)
-                twice.append(h[n > 1])
+                times.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(once, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))],
-                names=["digest", "ord", "once", "twice"])
+                [b.column(0), b.column(1), pa.array(once, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                names=["digest", "ord", "anchors", "times"])
 
     return texts.select("digest", "ord", "t").mapInArrow(
-        find, "digest binary, ord bigint, once array<bigint>, twice array<bigint>")
+        find, "digest binary, ord bigint, anchors array<bigint>, times array<int>")
 
 
 def _contexts(found: DataFrame, width: int, anchor: int) -> DataFrame:
@@ -109,9 +109,10 @@ def _contexts(found: DataFrame, width: int, anchor: int) -> DataFrame:
                 raw, start = words.tobytes(), first[use]
                 ends = start + n[use] + width - 1
                 k = len(use)
-                key = int.from_bytes(digest[i].as_py()[:8], "little")
+                key = np.uint64(int.from_bytes(digest[i].as_py()[:8], "little"))
+                salt = mix(key + start.astype(np.uint64)) % of.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h[use].view(np.int64)), pa.array(np.uint64(key) % of.astype(np.uint64)).cast(pa.int32()),
+                    pa.array(h[use].view(np.int64)), pa.array(salt.astype(np.int32)),
                     pa.array(of.astype(np.int32)), pa.array([order[i].as_py()] * k, pa.int64()),
                     pa.array([digest[i].as_py()] * k, pa.binary()), pa.array(start.astype(np.int32)),
                     pa.array([raw[8 * s:8 * e] for s, e in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())],
@@ -187,11 +188,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """One row per distinct text: ``digest``, ``owner`` (smallest id), ``runs``: (start, bits) of its repeated windows."""
     texts = _texts(docs, id_col, text)
     own = materialise(_with_anchors(texts, width, anchor).groupBy("digest").agg(
-        F.min("ord").alias("owner"), F.first("once").alias("once"), F.first("twice").alias("twice")), "anchors")
-    each = own.select("digest", "owner", F.explode("once").alias("anchor"))
+        F.min("ord").alias("owner"), F.first("anchors").alias("anchors"), F.first("times").alias("times")), "anchors")
+    each = own.select("digest", "owner", F.explode("anchors").alias("anchor"))
     often = materialise(
-        own.select(F.explode(F.concat("once", "twice")).alias("anchor")).groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        own.select(F.explode(F.arrays_zip("anchors", "times")).alias("a")).groupBy(F.col("a.anchors").alias("anchor"))
+        .agg(F.sum("a.times").alias("n")).where("n > 1")
         .select("anchor", F.ceil(F.col("n") / group).cast("int").alias("salts")), "often")
     wanted = materialise(each.join(often, "anchor").groupBy("digest").agg(
         F.first("owner").alias("owner"), F.collect_list(F.struct("anchor", "salts")).alias("a")), "wanted")
