@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, secrets, substring_dedup, token_counts, warc
+from . import decontaminate, near_dedup, packing, quality, secrets, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4,
     "op5_token_counts": token_counts.op5,
     "op7_decontamination": decontaminate.op7,
+    "op8_near_dedup": near_dedup.op8,
     "op9_quality_rules": quality.op9,
     "op10_secret_scans": secrets.op10,
 }
