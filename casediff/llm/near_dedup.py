@@ -10,11 +10,14 @@ a place with the probability Jaccard similarity of the weighted sets.  A process
 stops as soon as its clock has passed the latest first arrival of all places.
 
 Candidates: texts that agree on all rows of a band.  All equal texts are one
-node from the start.  In each bucket every node is compared with the smallest
-one; the verified links give components.  Buckets that then still hold several
-components have the pairs across components compared, so no link between
-different texts is lost, and members of one component are never paired up: a
-group of thousands of copies costs a star, not all its pairs.
+node from the start.  In each bucket every node is compared with one hub, the
+node that meets most others over all its bands, and the verified links give
+components.  Where a bucket then still holds several components, all its nodes
+are compared across components in the hub's group, exactly and in tiles of two
+bounded blocks: a tile multiplies incidence matrices and gives back the links
+that join components, never the pairs.  Blocks of one large component are not
+compared with each other, so a group of thousands of copies costs a star and the
+few nodes around it, and no link between different texts is lost.
 
 The banding misses a link at exactly 0.8 with probability (1 - 0.8^4)^32 = 5e-8.
 
@@ -27,6 +30,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ from .wordhash import mix, run_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
+#: Nodes and shingles in a block of a tile, and shingles multiplied at a time.
+BLOCK_NODES, BLOCK_ITEMS, COLUMNS = 512, 1_000_000, 4096
 LAST = 2**63 - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,31 +191,95 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) ->
         "node", "t").mapInArrow(find, "node bigint, items binary")
 
 
+def _tile(width: int, threshold: float):
+    """Compare the nodes of one or two blocks across labels; a forest of the links that join labels."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+        own = (pdf["block"] == pdf["first"]).to_numpy()
+        items = [np.frombuffer(x, dtype=np.uint64) for x in pdf["items"]]
+        size = np.array([len(x) for x in items], dtype=np.float32)
+        row = np.repeat(np.arange(len(items)), size.astype(np.int64))
+        _, code, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        shared = count[code] > 1
+        number = np.cumsum(count > 1) - 1
+        row, code = row[shared], number[code[shared]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        left = np.flatnonzero(own)
+        right = np.flatnonzero(~own) if not own.all() else left
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+            lo, hi = np.searchsorted(code, [at, at + COLUMNS])
+            part = np.zeros((len(items), COLUMNS), dtype=np.float32)
+            part[row[lo:hi], code[lo:hi] - at] = 1
+            both += part[left] @ part[right].T
+        near = both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+        near &= label[left][:, None] != label[right][None, :]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(near), strict=True):
+            x, y = root(int(label[left[i]])), root(int(label[right[j]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(node[left[i]]), int(node[right[j]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _across(met: DataFrame, label: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links between components that share a bucket, from exact comparisons within the groups of the hubs."""
+    m = met.join(label, "node", "left").select("band", "hub", "node", "size", F.coalesce("label", "node").alias("label"))
+    mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
+    m = materialise(m.join(mixed, "band").select("hub", "node", "size", "label").distinct(), "near-mixed")
+    # blocks: a large component has blocks of its own, the small ones of a hub share some by their hash
+    big = m.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).select(
+        "hub", "label", F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("s") / BLOCK_ITEMS)).alias("own")).where("own > 1")
+    m = m.join(big, ["hub", "label"], "left")
+    small = m.where("own is null").groupBy("hub").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_ITEMS)).alias("some"))
+    m = m.join(small, "hub", "left").select("hub", "node", "label", F.when(
+        F.col("own").isNull(), F.struct(F.lit(-1).cast("bigint").alias("of"), F.pmod(
+            F.xxhash64("label"), "some").cast("bigint").alias("k"))).otherwise(
+        F.struct(F.col("label").alias("of"), F.pmod(F.xxhash64("node"), "own").cast("bigint").alias("k"))).alias("block"))
+    m = materialise(m, "near-blocks")
+    blocks = m.select("hub", "block").distinct()
+    tiles = blocks.select("hub", F.col("block").alias("first")).join(
+        blocks.select("hub", F.col("block").alias("second")), "hub").where(
+        "first <= second and (first.of != second.of or first.of = -1)")
+    ends = tiles.select("hub", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+    rows = m.join(ends, ["hub", "block"]).join(sets, "node")
+    return rows.groupBy("hub", "first", "second").applyInPandas(_tile(width, threshold), "a bigint, b bigint")
+
+
 def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE,
                threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (``node``, ``digest``, ``owner``) and the ``label`` of every linked node."""
     texts = _texts(docs, id_col, text)
     nodes = _nodes(texts, width, bands, rows)
     member = nodes.select("node", "size", F.explode("bands").alias("band"))
-    low = member.groupBy("band").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n"))
-    low = materialise(low.where("n > 1").select("band", "low.*").withColumnsRenamed(
-        {"node": "b", "size": "size2"}), "near-buckets")
-    met = materialise(member.join(low, "band"), "near-members")  # members of buckets with more than one
-    star = materialise(met.where("node != b").where(_pair_sizes(threshold)).select(
-        F.col("node").alias("a"), "b").distinct(), "near-pairs")
+    full = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(member.join(full, "band"), "near-members")  # members of buckets with more than one
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    best = met.join(weight, "node").groupBy("band").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size")).alias("best"))
+    met = materialise(met.join(best.select("band", (-F.col("best.minus")).alias("hub"), F.col("best.size").alias("size2")),
+                               "band"), "near-hubs")
+    star = materialise(met.where("node != hub").where(_pair_sizes(threshold)).select(
+        F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near-pairs")
     sets = materialise(_sets(texts, nodes, met.select("node").distinct(), width), "near-sets")
     links = materialise(verify(star, sets, threshold), "near-verified")
     label = materialise(components(links), "near-labels")
-    # what a star cannot show: pairs of different components that share a bucket
-    m = met.join(label, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-    mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
-    m = materialise(m.join(mixed, "band"), "near-mixed")
-    other = m.withColumnsRenamed({"node": "b", "size": "size2", "label": "label2"})
-    cross = m.join(other, "band").where("node > b and label != label2").where(_pair_sizes(threshold)).select(
-        F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = verify(materialise(cross, "near-cross"), sets, threshold)
-    joined = links.unionAll(more).unionAll(label.where("node != label").select(
-        F.col("node").alias("a"), F.col("label").alias("b")))
+    more = materialise(_across(met, label, sets, width, threshold), "near-across")
+    joined = more.unionAll(label.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
     return nodes.select("node", "digest", "owner"), materialise(components(joined), "near-labels")
 
 
