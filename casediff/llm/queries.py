@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, quality, secrets, substring_dedup, token_counts, warc
+from . import (
+    decontaminate,
+    html_layout,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    url_templates,
+    warc,
+)
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_packing": packing.op2,
+    "op3_url_templates": url_templates.op3,
     "op4_substring_dedup": substring_dedup.op4,
     "op5_token_counts": token_counts.op5,
+    "op6_html_layout": html_layout.op6,
     "op7_decontamination": decontaminate.op7,
     "op8_near_dedup": near_dedup.op8,
     "op9_quality_rules": quality.op9,
