@@ -25,12 +25,14 @@ from .common import blank_words, materialise, text_or_empty
 MEASURES = {
     "symbols_per_word": ("n_symbols / n_words", 0.1),
     "dup_line_share": ("n_dup_lines / n_lines", 0.3),
-    "repeat_share": ("n_repeat_words / n_words", 0.1),
-    "word_length": ("word_chars / n_words", 2.0),
+    "repeat_share": ("n_repeat_words / n_words", 0.2),
+    "word_length": ("word_chars / n_words", 4.0),
 }
 TWO_SIDED = ("word_length",)
 SPREADS = 6.0
 MIN_DOCS = 50
+#: Groups (about 150 bytes each) whose fences may be broadcast.
+MAX_BROADCAST = 100_000
 GRAM = 5
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -128,7 +130,10 @@ def judge(stats: DataFrame, fence: DataFrame, lang: str = "lang", source: str =
     """``stats`` plus ``base_failed`` and ``kept``: joined with the group's fences."""
     j = stats.withColumns({
         "__l": F.struct(F.col(lang).alias("v")), "__s": F.struct(F.col(source).alias("v"))})
-    j = j.join(fence.withColumnsRenamed({"l": "__l", "s": "__s"}), ["__l", "__s"], "left")
+    fence = materialise(fence.withColumnsRenamed({"l": "__l", "s": "__s"}), "quality-fences")
+    if fence.count() <= MAX_BROADCAST:  # else the join is dealt out by key, and AQE splits a hot group
+        fence = F.broadcast(fence)
+    j = j.join(fence, ["__l", "__s"], "left")
     bad = F.lit(False)
     for m, (e, _) in MEASURES.items():
         bad = bad | F.coalesce(F.expr(e) > F.col(f"fence.{m}_hi"), F.lit(False))
