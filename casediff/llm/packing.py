@@ -112,8 +112,8 @@ def _round(turn: int, last: bool, capacity: int, fan: int):
         base = (turn << _ROUND) + (worker << _WORKER)
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"])
         cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        pieces = [tuple(None if pd.isna(v) else int(v) for v in r)
-                  for r in group[cols].itertuples(index=False, name=None)]
+        pieces = list(zip(*[[None if v is pd.NA else int(v) for v in group[c].astype("Int64")] for c in cols],
+                          strict=True))
         bins, full = Bins(capacity), []
         for p in pieces:
             got = bins.add(p[2], p)
@@ -125,7 +125,9 @@ def _round(turn: int, last: bool, capacity: int, fan: int):
             rest = []
         rows = [(*p, worker) for i, got in enumerate(full) for p in _placed(got, base + i)]
         rows += [(*p, None, None, worker) for p in rest]
-        return pd.DataFrame(rows, columns=_ARROW.names).astype("Int64")
+        columns = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
+        # straight to nullable integers: by way of floats the sequence numbers would lose digits
+        return pd.DataFrame({n: pd.array(c, dtype="Int64") for n, c in zip(_ARROW.names, columns, strict=True)})
 
     return again
 

@@ -23,10 +23,10 @@ from .common import blank_words, materialise, text_or_empty
 #: The slack is the spread that is always allowed, so that a group without any
 #: spread does not reject a document for a tiny deviation.
 MEASURES = {
-    "symbols_per_word": ("n_symbols / n_words", 0.1),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.3),
-    "repeat_share": ("n_repeat_words / n_words", 0.2),
-    "word_length": ("word_chars / n_words", 4.0),
+    "symbols_per_word": ("try_divide(n_symbols, n_words)", 0.1),
+    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", 0.3),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", 0.2),
+    "word_length": ("try_divide(word_chars, n_words)", 4.0),
 }
 TWO_SIDED = ("word_length",)
 SPREADS = 6.0
@@ -167,6 +167,11 @@ def op9(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _sql_ratio(e: str) -> str:
+    a, b = e.removeprefix("try_divide(").removesuffix(")").split(", ")
+    return f"{a}::DOUBLE / nullif({b}, 0)"
+
+
 def _sql_fence(m: str) -> str:
     e, slack = MEASURES[m]
     hi = f"q_{m}[3] + {SPREADS} * (q_{m}[3] - q_{m}[2]) + {slack} AS {m}_hi"
@@ -174,7 +179,7 @@ def _sql_fence(m: str) -> str:
 
 
 def _sql_level(keys: str, name: str) -> str:
-    qs = ", ".join(f"quantile_disc({e.replace(' / ', '::DOUBLE / ')}, [0.25, 0.5, 0.75]) AS q_{m}"
+    qs = ", ".join(f"quantile_disc({_sql_ratio(e)}, [0.25, 0.5, 0.75]) AS q_{m}"
                    for m, (e, _) in MEASURES.items())
     sel = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
@@ -185,7 +190,7 @@ def _sql_level(keys: str, name: str) -> str:
 def _sql_bad() -> str:
     tests = []
     for m, (e, _) in MEASURES.items():
-        x = e.replace(" / ", "::DOUBLE / ")
+        x = _sql_ratio(e)
 
         def pick(side: str, m: str = m) -> str:
             return (f"CASE WHEN g.n >= {MIN_DOCS} THEN g.{m}_{side} WHEN l.n >= {MIN_DOCS} THEN l.{m}_{side} "

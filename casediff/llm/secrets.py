@@ -107,8 +107,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_
     """Log-likelihood ratio (random over ordinary) of every transition cell.
 
     The sample takes rows by the hash of their id and text, about ``train_docs``
-    of them (all where there are no more); a cell's probability is smoothed by
-    one count spread over its row.
+    of them (all where there are no more); every cell counts once more than seen.
     """
     t = docs.select(F.col(id_col).alias("i"), text_or_empty(text).alias("t"))
     n = t.count()
@@ -132,7 +131,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_
             for k in (0, 1) for a in range(ALPHABET)}
 
     def log_p(k: int, cell: int) -> float:
-        return math.log((counts.get((k, cell), 0) + 1 / ALPHABET) / (rows[k, cell // ALPHABET] + 1))
+        return math.log((counts.get((k, cell), 0) + 1) / (rows[k, cell // ALPHABET] + ALPHABET))
 
     return [log_p(1, c) - log_p(0, c) for c in range(ALPHABET * ALPHABET)]
 
