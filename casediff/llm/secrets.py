@@ -38,10 +38,12 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 #: Tokens the models judge.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Ordinary identifiers for training: whole tokens without digits, so that unlabelled secrets stay out.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{4,}(?![A-Za-z0-9+/_=-])"
 #: An ``ASSIGN`` match has one of these in its lower-cased text; a search for them is many times cheaper.
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
-MIN_RATIO = 0.5
+MIN_RATIO = 0.25
 TRAIN_DOCS = 5_000
 ALPHABET = 65
 STEP = 64
@@ -121,7 +123,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_
     values = values.select(F.explode(F.array(
         "v", F.upper(F.sha2("v", 256)), F.base64(F.unhex(F.sha2("v", 256))))).alias("v"))
     rest = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), HEX, " ")
-    words = t.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("v"))
+    words = t.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("v"))
     tokens = (values.select(F.lit(1).alias("random"), "v").unionAll(words.select(F.lit(0).alias("random"), "v"))
               .where(F.length("v") >= 2).groupBy("random", "v").agg(F.count(F.lit(1)).alias("n")))
     cells = tokens.select("random", "n", F.explode(_cells(F.col("v"))).alias("cell"))
