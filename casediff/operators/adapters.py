@@ -28,11 +28,6 @@ from casediff.operators.prep import MAX_VOCABULARY
 def _fit_persisted(estimator, data: DataFrame):
     """Iterative learners scan their input once per iteration: keep it (it can be
     recomputed from its lineage if an executor is lost) for the fit only."""
-    # One partition per core is enough for an iterative learner: more only adds
-    # tasks to every iteration (coalesce, no shuffle).
-    parallelism = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() > parallelism:
-        data = data.coalesce(parallelism)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(data)

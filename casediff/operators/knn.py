@@ -180,18 +180,18 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
 
     base = exact if exact is not None else approx
     if spec.random_seed is None and exact is not None:
-        base = np.round(base, 9)
+        base = _digits(base)
     kk = min(k, nc)
     if kk < nc:
         kth = np.partition(base, kk - 1, axis=1)[:, kk - 1]
     else:
         kth = np.full(nq, np.inf)
     if approx is not None:
-        # Error of the expansion is below ~2 d u (|q|^2 + |c|^2); the 1e-9 grain
-        # keeps pairs that tie with the k-th after rounding to 9 places.
+        # Error of the expansion is below ~2 d u (|q|^2 + |c|^2); the relative grain
+        # keeps pairs that tie with the k-th after rounding to 12 digits.
         dim = qx.shape[1]
         err = 8.0 * dim * _EPS * (qn + (cn.max() if cn.size else 0.0))
-        tol = 1e-9 + 1e-12 * np.abs(np.where(np.isfinite(kth), kth, 0.0)) + err
+        tol = 2e-11 * np.abs(np.where(np.isfinite(kth), kth, 0.0)) + err
         mask = base <= (kth + tol)[:, None]
     else:
         mask = base <= kth[:, None]
@@ -204,9 +204,18 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
     return rows, cols, d2
 
 
+def _digits(d2: np.ndarray) -> np.ndarray:
+    """Squared distances to 12 significant digits, whatever the unit: enough to
+    rank by, and values that differ only in the order of summation tie."""
+    d2 = np.asarray(d2, dtype=np.float64)
+    fine = np.isfinite(d2) & (d2 > 0)
+    unit = np.power(10.0, np.floor(np.log10(np.where(fine, d2, 1.0))) - 11)
+    return np.where(fine, np.round(d2 / unit) * unit, np.where(np.isfinite(d2), 0.0, d2))
+
+
 def _select(rows, cols, d2, cid, k, random: bool):
-    """Keep the first k per row ordered by (round(d2, 9), neighbour id)."""
-    key = d2 if random else np.round(d2, 9)
+    """Keep the first k per row ordered by (d2 to 12 digits, neighbour id)."""
+    key = d2 if random else _digits(d2)
     order = np.lexsort((cid[cols], key, rows))
     rows, cols, d2, key = rows[order], cols[order], d2[order], key[order]
     if rows.size == 0:

@@ -22,6 +22,8 @@ MAX_VOCABULARY = 100_000
 
 _M = 2147483647
 _A = 48271
+_SHIFTS = (15, 13, 16)
+_SEED_STEP = 1_000_003
 
 
 # -- P1-P4 ---------------------------------------------------------------
@@ -57,13 +59,19 @@ def range_filter(df: DataFrame, col: str, lo=None, hi=None, *, hi_inclusive=Fals
 
 
 def seeded_hash(id_col: str | Column, seed: int = 0) -> Column:
-    """Seeded integer hash of an id in ``[0, 2^31 - 1)`` (one MINSTD step).
+    """Seeded integer hash of an id in ``[0, 2^31 - 1)``.
 
-    Pure integer arithmetic, so the same value is computed by the SQL oracle
-    and it never changes with the partitioning.
+    Three MINSTD steps with a xor-shift after each: a single step is linear, so
+    neighbouring ids would keep their order and their remainders.  Pure integer
+    arithmetic, so the SQL oracle computes the same value and it never changes
+    with the partitioning.
     """
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod(F.pmod(c + F.lit(seed), F.lit(_M)) * F.lit(_A), F.lit(_M))
+    x = F.pmod(c.cast("bigint") + F.lit(seed * _SEED_STEP), F.lit(_M))
+    for shift in _SHIFTS:
+        x = F.pmod(x * F.lit(_A), F.lit(_M))
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return F.pmod(x, F.lit(_M))
 
 
 def fold_of(id_col: str | Column, n_folds: int, seed: int = 0) -> Column:

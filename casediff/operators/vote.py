@@ -63,11 +63,16 @@ def _resolve(pairs: DataFrame, value: Column, score: str, tie: str, out: str) ->
     def total(e):
         same = F.filter(c, lambda o: o["v"] == e["v"])
         s = F.aggregate(same, F.lit(0.0), lambda acc, o: acc + weight(o))
-        return F.round(s, 6) if score != "count" else s
+        return s
 
     scored = F.transform(c, lambda e: F.struct(total(e).alias("s"), e["r"].alias("r"),
                                                e["v"].alias("v")))
 
+    if score != "count":  # to 9 digits of the largest total, so that units do not matter and equal votes tie
+        most = F.array_max(F.transform(scored, lambda e: e["s"]))
+        scored = F.transform(scored, lambda e: F.struct(
+            F.round(e["s"] / most, 9).alias("s"), e["r"].alias("r"), e["v"].alias("v")))
+
     def cmp(a, b):
         by_tie = (F.when(a["r"] < b["r"], -1).when(a["r"] > b["r"], 1).otherwise(0)
                   if tie == "rank" else

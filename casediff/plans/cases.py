@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casediff.functions.arrays import as_double_array
-from casediff.operators.prep import fit_preparation, seeded_hash, train_test_split
+from casediff.operators.prep import (
+    _A,
+    _M,
+    _SEED_STEP,
+    _SHIFTS,
+    fit_preparation,
+    seeded_hash,
+    train_test_split,
+)
 from casediff.schema import CaseSchema
 from casediff.sources.tables import read_table
 
@@ -50,7 +58,11 @@ def ols_sql(y: str, x: str) -> str:
 
 
 def bucket_sql(id_col: str, seed: int = SEED) -> str:
-    return f"(((({id_col} + {seed}) % 2147483647) * 48271) % 2147483647)"
+    """The SQL form of :func:`casediff.operators.prep.seeded_hash`."""
+    x = f"(({id_col}::BIGINT + {seed * _SEED_STEP}) % {_M})"
+    for shift in _SHIFTS:
+        x = f"(list_transform([({x} * {_A}) % {_M}], lambda h: xor(h, h >> {shift}))[1])"
+    return f"({x} % {_M})"
 
 
 # -- part: mixed-type regression ------------------------------------------
@@ -110,9 +122,14 @@ ete AS (SELECT id, x, y FROM e WHERE bucket >= {TRAIN_PERCENT})
 EMB_D2 = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
+def rank_key_sql(d2: str) -> str:
+    """A squared distance to 12 significant digits: engines that add up in another order agree on ties."""
+    return f"(CASE WHEN ({d2}) > 0 THEN round(({d2}) / pow(10.0, floor(log10({d2})) - 11)) * pow(10.0, floor(log10({d2})) - 11) ELSE 0.0 END)"
+
+
 def knn_sql(name: str, q: str, c: str, d2: str, k: int, self_join: bool,
             extra_pred: str = "", partition: str = "") -> str:
-    """CTE ``name(query_id, neighbour_id, rank, d2[, partition])``: top-k by (round(d2, 9), id)."""
+    """CTE ``name(query_id, neighbour_id, rank, d2[, partition])``: top-k by (d2 to 12 digits, id)."""
     on = "a.id <> b.id" if self_join else "TRUE"
     if extra_pred:
         on = f"{on} AND {extra_pred}"
@@ -123,10 +140,10 @@ def knn_sql(name: str, q: str, c: str, d2: str, k: int, self_join: bool,
                FROM {q} a JOIN {c} b ON {on}),
 {name} AS (SELECT * FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id{part_by}
-                                      ORDER BY round(d2, 9), neighbour_id) AS INTEGER) AS rank
+                                      ORDER BY {rank_key_sql('d2')}, neighbour_id) AS INTEGER) AS rank
     FROM {name}_all) WHERE rank <= {k})
 """
 
 
 __all__ = ["part_cases", "embedding_cases", "PART_SQL", "EMB_SQL", "PART_D2", "EMB_D2",
-           "knn_sql", "r6", "sql_r6", "bucket_sql", "seeded_hash", "K", "SEED"]
+           "knn_sql", "r6", "sql_r6", "bucket_sql", "rank_key_sql", "seeded_hash", "K", "SEED"]

@@ -1,4 +1,4 @@
-"""The learning-from-differences flow as DataFrame steps.
+"""Fitting on case differences and predicting from them, as DataFrame steps.
 
 Case tables have ``id BIGINT, x ARRAY<DOUBLE>, y`` (and ``codes ARRAY<INT>``
 for mixed metrics).

@@ -339,9 +339,10 @@ def b3_knn_vote(spark, sf):
 SELECT query_id, ny AS prediction FROM (
   SELECT query_id, ny, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ny) AS o
   FROM (SELECT query_id, ny,
-               round(sum(CASE WHEN z = 1 THEN CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END
-                              ELSE 1.0 / dist END), 6) AS s
-        FROM w GROUP BY ALL)) WHERE o = 1""")
+               round(t / max(t) OVER (PARTITION BY query_id), 9) AS s
+        FROM (SELECT query_id, ny, sum(CASE WHEN z = 1 THEN CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END
+                                            ELSE 1.0 / dist END) AS t
+              FROM w GROUP BY ALL))) WHERE o = 1""")
 def b4_knn_weighted_vote(spark, sf):
     tr, te = embedding_cases(spark, sf)
     return L.knn_baseline(tr, te, K, task="classification", weighted=True)
@@ -377,8 +378,9 @@ def a3_majority_vote(spark, sf):
 @register("A4_inverse_distance_vote", _with(EMB_SQL, _E_K1, _E_K2, _E_MODE) + f"""
 SELECT query_id, {sql_r6('v')} AS prediction FROM (
   SELECT query_id, v, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS o
-  FROM (SELECT query_id, v, round(sum(1.0 / (dist + 1e-8)), 6) AS s, min(rank) AS r
-        FROM sv GROUP BY ALL)) WHERE o = 1""")
+  FROM (SELECT query_id, v, r, round(t / max(t) OVER (PARTITION BY query_id), 9) AS s
+        FROM (SELECT query_id, v, sum(1.0 / (dist + 1e-8)) AS t, min(rank) AS r
+              FROM sv GROUP BY ALL))) WHERE o = 1""")
 def a4_inverse_distance_vote(spark, sf):
     p, _ = _emb_lc(spark, sf, weighted=True)
     return p.select("query_id", r6("prediction").alias("prediction"))
@@ -403,16 +405,16 @@ def e5_accuracy(spark, sf):
     return accuracy(j, "prediction", "y").select(r6("accuracy").alias("accuracy"))
 
 
-@register("A9_distinct_classes", _with(EMB_SQL) + "SELECT DISTINCT y AS label FROM etr")
+@register("A9_distinct_classes", "WITH e_all AS (SELECT label AS y FROM embeddings) SELECT DISTINCT y AS label FROM e_all")
 def a9_distinct(spark, sf):
-    tr, _ = embedding_cases(spark, sf)
-    return V.distinct_classes(tr.withColumnRenamed("y", "label"), "label")
+    tr, te = embedding_cases(spark, sf)
+    return V.distinct_classes(tr.unionAll(te).withColumnRenamed("y", "label"), "label")
 
 
-@register("A10_class_counts", _with(EMB_SQL) + "SELECT y AS label, count(*) AS n FROM etr GROUP BY y")
+@register("A10_class_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def a10_counts(spark, sf):
-    tr, _ = embedding_cases(spark, sf)
-    return V.class_counts(tr.withColumnRenamed("y", "label"), "label")
+    tr, te = embedding_cases(spark, sf)
+    return V.class_counts(tr.unionAll(te).withColumnRenamed("y", "label"), "label")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,11 +430,7 @@ _EXTRA_MODULES = ("casediff.plans.registry_prep", "casediff.plans.registry_metri
 def _load_all() -> None:
     import importlib
     for m in _EXTRA_MODULES:
-        try:
-            importlib.import_module(m)
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != m:
-                raise
+        importlib.import_module(m)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,8 +11,8 @@ from casediff.operators.knn import knn_join
 from casediff.operators.prep import fit_preparation, fold_of, train_test_split
 from casediff.plans import evaluate as E
 from casediff.plans import learner as L
-from casediff.plans.cases import (K, PART_D2, PART_SCHEMA, PART_SQL, embedding_cases,
-                                  knn_sql, ols_sql, part_cases, r5, r6, sql_r5, sql_r6)
+from casediff.plans.cases import (K, PART_D2, PART_SCHEMA, PART_SQL, bucket_sql, embedding_cases,
+                                  knn_sql, ols_sql, part_cases, r5, r6, rank_key_sql, sql_r5, sql_r6)
 from casediff.plans.estimators import DifferenceClassifier, DifferenceRegressor
 from casediff.plans.registry import _with, register
 from casediff.plans.registry_metrics import (_CV_SQL, _DOC_K1_CV, _DOC_K2_CV, _DOC_SQL, _K7_SQL,
@@ -140,13 +140,13 @@ def l2_classifier_adapter(spark, sf):
 # -- evaluation ---------------------------------------------------------------------
 
 GRID = (1, 3, 5, 7)
-_FOLD = "((((id + 0) % 2147483647) * 48271) % 2147483647) % 10"
+_FOLD = f"{bucket_sql('id', 0)} % 10"
 _CV = f"""
 f AS (SELECT *, {_FOLD} AS fold FROM tr),
 cv_all AS (SELECT a.id AS query_id, b.id AS neighbour_id, a.fold AS q_fold, a.y AS q_y, b.y AS n_y,
                   ({PART_D2}) AS d2
            FROM f a JOIN f b ON a.id <> b.id AND a.fold <> b.fold),
-cv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), neighbour_id) AS rank
+cv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {rank_key_sql('d2')}, neighbour_id) AS rank
                       FROM cv_all) WHERE rank <= {max(GRID)}),
 grid AS (SELECT unnest({list(GRID)}) AS k),
 per_k AS (SELECT k, query_id, q_fold, q_y, avg(n_y) AS pred FROM cv JOIN grid ON rank <= k GROUP BY ALL),
@@ -202,18 +202,18 @@ SEEDS = (1, 2, 3)
 
 
 def _seed_sql(s: int) -> str:
-    b = f"(((((p_partkey + {s}) % 2147483647) * 48271) % 2147483647) % 100)"
+    b = f"({bucket_sql('p_partkey', s)} % 100)"
     return f"""
 SELECT {s} AS seed, -avg(abs(pred - y)) AS neg_mae FROM (
   SELECT query_id, avg(ny) AS pred, any_value(qy) AS y FROM (
     SELECT a.id AS query_id, a.y AS qy, b.y AS ny,
-           row_number() OVER (PARTITION BY a.id ORDER BY round({PART_D2.replace('a.z', 'a.zz').replace('b.z', 'b.zz')}, 9), b.id) AS rank
+           row_number() OVER (PARTITION BY a.id ORDER BY {rank_key_sql(PART_D2.replace('a.z', 'a.zz').replace('b.z', 'b.zz'))}, b.id) AS rank
     FROM (SELECT * FROM sp{s} WHERE bucket >= 80) a JOIN (SELECT * FROM sp{s} WHERE bucket < 80) b ON TRUE)
   WHERE rank <= {K} GROUP BY query_id)"""
 
 
 def _seed_cte(s: int) -> str:
-    b = f"(((((p_partkey + {s}) % 2147483647) * 48271) % 2147483647) % 100)"
+    b = f"({bucket_sql('p_partkey', s)} % 100)"
     return f"""
 raw{s} AS (SELECT p_partkey AS id, p_size, p_type, p_retailprice AS y, {b} AS bucket FROM part),
 st{s} AS (SELECT avg(p_size)::DOUBLE AS mu,
