@@ -137,11 +137,12 @@ def remove_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH,
     j = docs.withColumn("__digest", digest128(text_or_empty())).join(bad, "__digest", "left")
     hit = F.array_distinct(F.flatten(F.transform(
         "__spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))
-    words = normal_words(text_or_empty())
-    left = F.array_except(F.sequence(F.lit(1), F.size(words)), hit)
-    clean = F.array_join(F.transform(left, lambda i: F.get(words, i - 1)), " ")
-    return j.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).when(
-        F.size(words) == F.size(hit), F.lit("")).otherwise(clean)).drop("__digest", "__spans")
+    # the words are a column of their own: inside the function of an array element they would be split anew
+    j = j.withColumn("__w", F.when(F.col("__spans").isNotNull(), normal_words(text_or_empty())))
+    j = j.withColumn("__left", F.array_except(F.sequence(F.lit(1), F.size("__w")), hit))
+    clean = F.array_join(F.transform("__left", lambda i: F.get(F.col("__w"), i - 1)), " ")
+    return j.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)).drop(
+        "__digest", "__spans", "__w", "__left")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
