@@ -1,11 +1,7 @@
-import os
-import sys
+"""Shared by the tests of the corpus operators."""
 
 import pytest
 
-HERE = os.path.dirname(os.path.abspath(__file__))
-sys.path[:0] = [HERE, os.path.dirname(os.path.dirname(HERE))]
-
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -23,7 +19,3 @@ def docs(spark):
 
 
 CLASH = ("t", "w", "h", "digest", "node", "ord", "row", "spans", "n", "label", "band", "fence", "kept", "pos", "items")
-
-
-def rows(df):
-    return sorted(df.collect(), key=str)

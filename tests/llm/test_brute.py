@@ -8,7 +8,7 @@ from collections import defaultdict
 import brute_secrets
 import numpy as np
 import pytest
-from conftest import SF
+from llm_helpers import SF, docs  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -1,7 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, for every operator."""
 
 import pytest
-from conftest import CLASH
+from llm_helpers import CLASH, docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from casediff.llm import (
