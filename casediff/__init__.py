@@ -1,4 +1,4 @@
-"""casediff: learning from case differences on Apache Spark.
+"""casediff: case-based prediction on Apache Spark.
 
 Nearest-neighbour retrieval (distributed kNN joins) combined with a learned
 correction trained on the differences between neighbouring cases.  Every step

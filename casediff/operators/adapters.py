@@ -179,17 +179,17 @@ class MLClassAdapter(Adapter):
         return (F.array_position(F.array(*[F.lit(v) for v in self.values]), col) - 1).cast("double")
 
     def fit(self, diffs, features="features", label="dy", weight=None):
-        # One pass: the label set of a classifier is its class set (small).
-        r = diffs.agg(F.array_sort(F.collect_set(F.col(label).cast("double"))).alias("v"),
-                      F.max(F.size(features)).alias("w")).first()
-        if len(r["v"]) > MAX_VOCABULARY:
+        # The label set of a classifier is its class set; its size is checked while it is read.
+        found = (diffs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("double").alias("v"))
+                 .agg(F.max(F.size(features)).alias("w")).limit(MAX_VOCABULARY + 1).collect())
+        if len(found) > MAX_VOCABULARY:
             raise ValueError("too many distinct target differences for a classifier")
-        self.values = list(r["v"])
+        self.values = sorted(r["v"] for r in found)
         if len(self.values) <= 1:
             # A single difference: constant adapter.
             self.constant = self.values[0] if self.values else 0.0
             return self
-        width = r["w"]
+        width = max(r["w"] for r in found)
         est = self.estimator
         if est is None:
             from pyspark.ml.classification import MultilayerPerceptronClassifier

@@ -6,9 +6,12 @@ them is a column expression, so train and test use the same edges (T3).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +30,8 @@ class EqualWidth:
 
     def fit(self, df: DataFrame, col: str) -> "EqualWidth":
         r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        if r["lo"] is None:
+            raise ValueError(f"no values in {col} to divide into segments")
         self.lo, self.hi = float(r["lo"]), float(r["hi"])
         return self
 
@@ -49,6 +54,48 @@ class EqualWidth:
         return F.when(s.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in names]), s + 1))
 
 
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float]:
+    """Quantiles with linear interpolation, without gathering the values in one task.
+
+    The values are folded to counts and dealt out by range; the driver gets a row
+    count per range and then the two values next to each quantile.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("v")
+    # kept, so that both passes see the same ranges
+    counts = counts.withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts = counts.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).orderBy("lo").collect()
+        total = sum(r["n"] for r in parts)
+        if not total:
+            raise ValueError(f"no values in {col} to take quantiles of")
+        places = [(total - 1) * q for q in qs]
+        wanted = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+        before, ranges = 0, []
+        for r in parts:
+            ranks = [w for w in wanted if before <= w < before + r["n"]]
+            if ranks:
+                ranges.append((r["part"], before, ranks))
+            before += r["n"]
+        w = Window.partitionBy("part").orderBy("v")
+        c = counts.where(F.col("part").isin([p for p, _, _ in ranges])).withColumn("to", F.sum("n").over(w))
+        hit = F.lit(False)
+        for part, start, ranks in ranges:
+            for k in ranks:
+                hit = hit | ((F.col("part") == part) & (F.col("to") > k - start) & (F.col("to") - F.col("n") <= k - start))
+        start_of = {p: s for p, s, _ in ranges}
+        rows = [(start_of[r["part"]] + r["to"] - r["n"], start_of[r["part"]] + r["to"], r["v"])
+                for r in c.where(hit).collect()]
+        at = {k: next(v for lo, hi, v in rows if lo <= k < hi) for k in wanted}
+    finally:
+        counts.unpersist()
+    out = []
+    for x in places:
+        lo, hi = math.floor(x), math.ceil(x)
+        out.append(at[lo] if lo == hi else (hi - x) * at[lo] + (x - lo) * at[hi])
+    return [float(v) for v in out]
+
+
 @dataclass
 class EqualFrequency:
     """Edges at the ``0, 1/n, ..., 1`` quantiles (linear interpolation);
@@ -58,10 +105,7 @@ class EqualFrequency:
     edges: list[float] | None = None
 
     def fit(self, df: DataFrame, col: str) -> "EqualFrequency":
-        qs = [i / self.n for i in range(self.n + 1)]
-        r = df.agg(F.percentile(F.col(col).cast("double"),
-                                F.array(*[F.lit(q) for q in qs])).alias("e")).first()
-        self.edges = [float(v) for v in r["e"]]
+        self.edges = exact_quantiles(df, col, [i / self.n for i in range(self.n + 1)])
         return self
 
     def segment(self, col: str | Column) -> Column:

@@ -6,8 +6,14 @@ for mixed metrics, ``codes ARRAY<INT>`` (nominal value codes, see
 
     query_id BIGINT, neighbour_id BIGINT, [by], rank INT, dist DOUBLE, d2r DOUBLE, carried...
 
-``d2r`` is the squared distance rounded to 9 places; neighbours are ranked by
-``(d2r, neighbour_id)`` so that ties break identically in every engine.
+``d2r`` is the squared distance to 12 significant digits; neighbours are ranked by
+``(d2r, neighbour_id)`` so that ties break identically in every engine, whatever
+the unit of the features.
+
+Missing values: a null, NaN or infinite feature is missing, and a feature that is
+missing on either side adds 1 to the squared distance; a null vector misses all
+features, a null code counts as the unknown value.  So no row is lost.  Vectors
+of different lengths are an error, not a distance.
 
 Physical plan
 -------------
@@ -78,6 +84,10 @@ class DistanceSpec:
     def nbytes(self) -> int:
         return int(sum(np.asarray(t).nbytes for t in self.tables))
 
+    def unknown(self) -> tuple[int, ...]:
+        """The code of a missing value, per nominal feature."""
+        return tuple(len(t) - 1 for t in self.tables)
+
 
 EUCLIDEAN = DistanceSpec()
 
@@ -119,7 +129,7 @@ def _exact_sq(qx, cx, qc, cc, spec: DistanceSpec) -> np.ndarray:
         if spec.numeric == "clip":
             np.abs(tmp, out=tmp)
             np.minimum(tmp, 1.0, out=tmp)
-            tmp[np.isnan(tmp)] = 1.0
+        tmp[np.isnan(tmp)] = 1.0
         np.multiply(tmp, tmp, out=tmp)
         d2 += tmp
     for f, table in enumerate(spec.tables):
@@ -133,8 +143,8 @@ def _pair_sq(qx, cx, qc, cc, rows, cols, spec: DistanceSpec) -> np.ndarray:
     for j in range(qx.shape[1]):
         diff = qx[rows, j] - cx[cols, j]
         if spec.numeric == "clip":
-            diff = np.abs(diff)
-            diff = np.where(np.isnan(diff), 1.0, np.minimum(diff, 1.0))
+            diff = np.minimum(np.abs(diff), 1.0)
+        diff[np.isnan(diff)] = 1.0
         d2 += diff * diff
     for f, table in enumerate(spec.tables):
         d2 += np.asarray(table)[qc[rows, f], cc[cols, f]]
@@ -145,42 +155,32 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
                 match=False):
     """(row, col, d2) triplets containing every top-k pair (ties included)."""
     nq, nc = qx.shape[0], cx.shape[0]
+    dropped = None                    # pairs that are no neighbours, whatever their distance
     if qg is not None:
-        # Pairs to drop: same group (exclude) or different group (match).
-        same_group = (qg[:, None] != cg[None, :]) if match else (qg[:, None] == cg[None, :])
-    else:
-        same_group = None
+        dropped = (qg[:, None] != cg[None, :]) if match else (qg[:, None] == cg[None, :])
+    if exclude_self:
+        same = qid[:, None] == cid[None, :]
+        dropped = same if dropped is None else dropped | same
+    approx = exact = None
     if spec.random_seed is not None:
-        score = _pair_hash(qid, cid, spec.random_seed)
-        if exclude_self:
-            score[qid[:, None] == cid[None, :]] = np.inf
-        if same_group is not None:
-            score[same_group] = np.inf
-        exact = score
-        approx = None
-    elif (spec.numeric == "sq" and not spec.tables and qx.shape[1] >= _BLAS_MIN_DIM):
+        exact = _pair_hash(qid, cid, spec.random_seed)
+    elif spec.numeric == "sq" and not spec.tables and qx.shape[1] >= _BLAS_MIN_DIM:
         qn = np.einsum("ij,ij->i", qx, qx)
         cn = np.einsum("ij,ij->i", cx, cx)
-        approx = qx @ cx.T
-        approx *= -2.0
-        approx += qn[:, None]
-        approx += cn[None, :]
-        if exclude_self:
-            approx[qid[:, None] == cid[None, :]] = np.inf
-        if same_group is not None:
-            approx[same_group] = np.inf
-        exact = None
-    else:
+        # Missing values (NaN) and overflowing squares take the exact way.
+        if math.isfinite(4.0 * (float(qn.max(initial=0.0)) + float(cn.max(initial=0.0)))):
+            approx = qx @ cx.T
+            approx *= -2.0
+            approx += qn[:, None]
+            approx += cn[None, :]
+    if approx is None and exact is None:
         exact = _exact_sq(qx, cx, qc, cc, spec)
-        if exclude_self:
-            exact[qid[:, None] == cid[None, :]] = np.inf
-        if same_group is not None:
-            exact[same_group] = np.inf
-        approx = None
 
     base = exact if exact is not None else approx
     if spec.random_seed is None and exact is not None:
         base = _digits(base)
+    if dropped is not None:
+        base[dropped] = np.inf
     kk = min(k, nc)
     if kk < nc:
         kth = np.partition(base, kk - 1, axis=1)[:, kk - 1]
@@ -195,7 +195,8 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
         mask = base <= (kth + tol)[:, None]
     else:
         mask = base <= kth[:, None]
-    mask &= np.isfinite(base)
+    if dropped is not None:
+        mask &= ~dropped
     rows, cols = np.nonzero(mask)
     if exact is not None:
         d2 = exact[rows, cols]
@@ -227,33 +228,39 @@ def _select(rows, cols, d2, cid, k, random: bool):
     return rows[keep], cols[keep], d2[keep], key[keep], rank[keep]
 
 
-def _stack(col: pd.Series, width: int, dtype) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, width), dtype=dtype)
-    vals = col.values
-    if width == 0:
-        return np.zeros((len(col), 0), dtype=dtype)
-    return np.stack([np.asarray(v, dtype=dtype) if v is not None else np.full(width, np.nan)
-                     for v in vals]).astype(dtype, copy=False)
+def _stack(col: pd.Series, width: int) -> np.ndarray:
+    """Vectors as the rows of a matrix; whatever is missing becomes NaN."""
+    out = np.full((len(col), width), np.nan)
+    for i, v in enumerate(col.values):
+        if v is None:
+            continue
+        if len(v) != width:
+            raise ValueError(f"a vector has {len(v)} entries, the case base {width}")
+        out[i] = v
+    out[~np.isfinite(out)] = np.nan
+    return out
 
 
-def _as_matrix(pdf: pd.DataFrame, has_codes: bool):
+def _as_matrix(pdf: pd.DataFrame, width: int, unknown: tuple[int, ...]):
+    """Ids, features and codes; ``unknown`` holds the code of a missing value per nominal feature."""
     ids = pdf["id"].to_numpy(dtype=np.int64)
-    width = len(pdf["x"].iloc[0]) if len(pdf) and pdf["x"].iloc[0] is not None else 0
-    x = _stack(pdf["x"], width, np.float64)
-    if has_codes:
-        cw = len(pdf["codes"].iloc[0]) if len(pdf) else 0
-        codes = _stack(pdf["codes"], cw, np.int64)
+    x = _stack(pdf["x"], width)
+    if unknown:
+        codes = _stack(pdf["codes"], len(unknown))
+        codes = np.where(np.isnan(codes), np.asarray(unknown), codes).astype(np.int64)
     else:
         codes = np.zeros((len(pdf), 0), dtype=np.int64)
     return ids, x, codes
 
 
-def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, has_codes,
+def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, width,
                 final_rank_col="rank", group=None, match=False, cmat=None):
     """Top-k rows of one (query block, case block) tile as a pandas frame."""
-    qid, qx, qc = _as_matrix(qpdf, has_codes)
-    cid_all, cx_all, cc_all = cmat if cmat is not None else _as_matrix(cpdf, has_codes)
+    if len(cpdf) == 0 or len(qpdf) == 0:
+        return None
+    unknown = spec.unknown()
+    qid, qx, qc = _as_matrix(qpdf, width, unknown)
+    cid_all, cx_all, cc_all = cmat if cmat is not None else _as_matrix(cpdf, width, unknown)
     out_parts = []
     groups = [(None, np.arange(len(cpdf)))]
     if by is not None:
@@ -344,7 +351,38 @@ class BroadcastCases:
     token: str
     n: int
     frame: DataFrame          # the selected case columns (for the output schema)
-    has_codes: bool
+    width: int
+
+    def release(self) -> None:
+        """Drop the broadcast; joins planned with it can no longer run."""
+        self.bc.destroy()
+
+
+def _row_bytes(df: DataFrame):
+    """Size of a row as it is shipped, from its real arrays and strings."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            size = F.when(c.isNotNull(), F.size(c)).otherwise(0) * 8 + 64
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.coalesce(F.octet_length(c), F.lit(0)) + 64
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            size = F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) * 4 + 64
+        else:
+            size = F.lit(16)
+        total = total + size
+    return total.cast("bigint")
+
+
+def _case_stats(c: DataFrame) -> tuple[int, int, int]:
+    """Rows, bytes and the one length of the vectors of a case base, in one aggregate."""
+    size = F.when(F.col("x").isNotNull(), F.size("x"))
+    r = c.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(c)).alias("bytes"),
+              F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+    if r["lo"] != r["hi"]:
+        raise ValueError(f"case vectors of {r['lo']} to {r['hi']} entries")
+    return int(r["n"]), int(r["bytes"] or 0), int(r["hi"] or 0)
 
 
 def broadcast_cases(cases: DataFrame, *, by: str | None = None,
@@ -360,14 +398,12 @@ def broadcast_cases(cases: DataFrame, *, by: str | None = None,
     c = cases.select(*ccols)
     if broadcast_bytes is None:
         broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
-    stats = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("w")).first()
-    n, width = int(stats["n"] or 0), int(stats["w"] or 0)
-    est = n * (8 * (width + 2) + (64 if has_codes else 0) + 16 * len(_norm_pairs(carry)))
+    n, est, width = _case_stats(c)
     if est > broadcast_bytes:
         raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound {broadcast_bytes}")
     cpdf = c.toPandas()                                  # bounded by the check above
     return BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c,
-                          has_codes)
+                          width)
 
 
 def knn_join(
@@ -425,16 +461,14 @@ def knn_join(
     schema = _out_schema(q, c, by, carry_p, keep_p)
     spark = queries.sparkSession
     if prepared is not None:
-        return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
+        return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, prepared.width,
                                schema, exclude_group, match, None, prepared)
 
     if broadcast_bytes is None:
         broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
-    stats = c.agg(F.count(F.lit(1)).alias("n"),
-                  F.max(F.size("x")).alias("w")).first()
-    n_cases, width = int(stats["n"] or 0), int(stats["w"] or 0)
-    row_bytes = 8 * (width + 2) + (8 * 8 if has_codes else 0) + 16 * len(carry_p)
-    est = n_cases * row_bytes + spec.nbytes()
+    n_cases, n_bytes, width = _case_stats(c)
+    row_bytes = math.ceil(n_bytes / max(n_cases, 1))
+    est = n_bytes + spec.nbytes()
     if strategy == "auto":
         strategy = "broadcast" if est <= broadcast_bytes else "tiles"
 
@@ -445,9 +479,9 @@ def knn_join(
             raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound "
                              f"{broadcast_bytes}; use strategy='tiles'")
         return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p,
-                               has_codes, schema, exclude_group, match,
+                               width, schema, exclude_group, match,
                                n_cases if same_input else None)
-    return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
+    return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width,
                       schema, n_cases, tile_rows, seed, exclude_group, match,
                       n_cases if same_input else None)
 
@@ -455,26 +489,21 @@ def knn_join(
 # Distance evaluations a single task should take on before the query side is
 # spread over more partitions.
 _PAIRS_PER_TASK = 50_000_000
+# Partitions of one join at most; beyond that a task takes several tiles in turn.
+_MAX_TASKS = 100_000
 
 
 def _spread_queries(q, n_cases: int, n_queries: int | None = None):
-    """Give the query side enough partitions for the pair count.
+    """Deal the queries out so that a task compares a bounded number of pairs.
 
-    Only when it has fewer than needed (e.g. one small file): a large input
-    already arrives in many partitions and is left alone (no shuffle).
+    One shuffle of the query side, small against the comparisons; asking the
+    plan for its partitions instead would run it.
     """
-    spark = q.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
-    have = q.rdd.getNumPartitions()
-    if have >= parallelism:
-        return q                      # a large input: no extra pass, no shuffle
     if n_queries is None:
         n_queries = q.count()
+    parallelism = q.sparkSession.sparkContext.defaultParallelism
     want = max(parallelism, math.ceil(n_queries * max(n_cases, 1) / _PAIRS_PER_TASK))
-    want = min(want, max(1, n_queries))
-    if have < want:
-        q = q.repartition(want, "id")
-    return q
+    return q.repartition(max(1, min(want, n_queries, _MAX_TASKS)), "id")
 
 
 # Case matrices of broadcast case bases, per Python worker (workers are reused
@@ -482,19 +511,19 @@ def _spread_queries(q, n_cases: int, n_queries: int | None = None):
 _CASE_CACHE: dict = {}
 
 
-def _cached_cases(bc, token: str, has_codes: bool):
-    key = (token, has_codes)
+def _cached_cases(bc, token: str, width: int, unknown: tuple[int, ...]):
+    key = (token, unknown)
     hit = _CASE_CACHE.get(key)
     if hit is None:
         cases_pdf = bc.value
-        hit = (cases_pdf, _as_matrix(cases_pdf, has_codes))
+        hit = (cases_pdf, _as_matrix(cases_pdf, width, unknown))
         while len(_CASE_CACHE) >= 2:
             _CASE_CACHE.pop(next(iter(_CASE_CACHE)))
         _CASE_CACHE[key] = hit
     return hit
 
 
-def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
+def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
                     group=None, match=False, n_queries=None, prepared=None):
     spark = q.sparkSession
     if prepared is not None:
@@ -506,19 +535,19 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes,
     q = _spread_queries(q, n_cases, n_queries)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cases_pdf, cmat = _cached_cases(bc, token, has_codes)
+        cases_pdf, cmat = _cached_cases(bc, token, width, spec.unknown())
         for qpdf in batches:
             if len(qpdf) == 0:
                 continue
             out = _topk_frame(qpdf, cases_pdf, k, exclude_self, spec, by, carry_p,
-                              keep_p, has_codes, group=group, match=match, cmat=cmat)
+                              keep_p, width, group=group, match=match, cmat=cmat)
             if out is not None:
                 yield out
 
     return q.mapInPandas(score, schema)
 
 
-def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, schema,
+def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
                n_cases, tile_rows, seed, group=None, match=False, n_queries=None):
     spark = q.sparkSession
     if n_queries is None:
@@ -545,14 +574,14 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, has_codes, sche
         qpdf = qpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         cpdf = cpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         out = _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry_p, keep_p,
-                          has_codes, final_rank_col=local_rank, group=group, match=match)
+                          width, final_rank_col=local_rank, group=group, match=match)
         return out if out is not None else _fit_empty(tile_schema)
 
     # Tiles are light in bytes but heavy in compute: an explicit partition count
     # (one per tile) keeps AQE from coalescing many tiles into one task.  Both
     # sides are hash-partitioned alike, so the cogroup adds no exchange.
     # Block ids are INT on both sides, so equal keys hash alike.
-    n_parts = max(bq * bc, parallelism)
+    n_parts = min(max(bq * bc, parallelism), _MAX_TASKS)
     qb = qb.repartition(n_parts, "_qb", "_cb")
     cb = cb.repartition(n_parts, "_qb", "_cb")
     cand = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInPandas(

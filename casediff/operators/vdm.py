@@ -58,7 +58,18 @@ def _value_pairs(vals: DataFrame) -> DataFrame:
                                                            for c in vals.columns if c not in ("feature", "value")])
     b = vals.select("feature", F.col("value").alias("v2"), *[F.col(c).alias(c + "_b")
                                                            for c in vals.columns if c not in ("feature", "value")])
-    return a.join(b, "feature")
+    return _dealt(a, "v1").join(_dealt(b, None), ["feature", "deal"]).drop("deal")
+
+
+# Shares into which the work of one feature, or of one feature and class, is dealt.
+DEALS = 32
+
+
+def _dealt(df: DataFrame, by: str | None) -> DataFrame:
+    """The left side of a self join on few keys takes one share by its value; the right goes to all."""
+    if by is None:
+        return df.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALS - 1).cast("bigint"))))
+    return df.withColumn("deal", F.pmod(F.xxhash64(by), F.lit(DEALS)))
 
 
 def vdm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -76,7 +87,7 @@ def vdm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     pairs = _value_pairs(s)
     pa = p.select("feature", "cls", F.col("value").alias("v1"), F.col("p").alias("pa"))
     pb = p.select("feature", "cls", F.col("value").alias("v2"), F.col("p").alias("pb"))
-    cross = pa.join(pb, ["feature", "cls"]).groupBy("feature", "v1", "v2").agg(
+    cross = _dealt(pa, "v1").join(_dealt(pb, None), ["feature", "cls", "deal"]).groupBy("feature", "v1", "v2").agg(
         F.sum(F.col("pa") * F.col("pb")).alias("x"))
     d2 = pairs.join(cross, ["feature", "v1", "v2"], "left").select(
         "feature", "v1", "v2",
@@ -102,7 +113,7 @@ def cvdhm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     pairs = _value_pairs(t)
     pa = p.select("feature", "cls", F.col("value").alias("v1"), F.col("p").alias("pa"))
     pb = p.select("feature", "cls", F.col("value").alias("v2"), F.col("p").alias("pb"))
-    shared = pa.join(pb, ["feature", "cls"]).groupBy("feature", "v1", "v2").agg(
+    shared = _dealt(pa, "v1").join(_dealt(pb, None), ["feature", "cls", "deal"]).groupBy("feature", "v1", "v2").agg(
         F.sum(F.least("pa", "pb")).alias("m"))
     j = pairs.join(shared, ["feature", "v1", "v2"], "left")
     den = F.col("t_a") + F.col("t_b")

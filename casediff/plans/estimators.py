@@ -146,6 +146,13 @@ class DifferenceModel(Model, _DiffParams):
         self._prepared = broadcast_cases(self.cases, carry=[("n_x", "x"), ("n_y", "y")])
         return self
 
+    def release(self) -> None:
+        """Unpersist the case base and drop its broadcast; the model predicts no more."""
+        self.cases.unpersist()
+        prepared, self._prepared = getattr(self, "_prepared", None), None
+        if prepared is not None:
+            prepared.release()
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         cases = getattr(self, "_prepared", None) or self.cases
         scored = L.scored_query_pairs(dataset, cases, self.getOrDefault(self.kPredict),

@@ -10,7 +10,7 @@ aggregates ``y_neighbour + prediction`` per query.
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,27 +48,39 @@ def query_differences(queries: DataFrame, cases: DataFrame, k: int = 5,
                      D.image_difference().alias("diff"))
 
 
-def score_with_model(pairs: DataFrame, model, shape: tuple[int, int, int]) -> DataFrame:
-    """``dhat = model.predict(diff reshaped to (n, h, w, c))`` per Arrow batch."""
+def score_with_model(pairs: DataFrame, model, shape: tuple[int, int, int],
+                     outputs: Sequence[float] | None = None) -> DataFrame:
+    """``dhat`` from ``model.predict(diff reshaped to (n, h, w, c))`` per Arrow batch.
+
+    Only the images go to Python and only the predictions come back.  A model
+    with one output gives ``dhat`` itself; one with several scores the values of
+    ``outputs`` (one per output), and ``dhat`` is the value with the best score.
+    """
     h, w, c = shape
-    cols = pairs.columns
-    schema = pairs.select(*cols, F.lit(0.0).alias("dhat")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
+    @F.pandas_udf("double")
+    def dhat(diffs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for diff in diffs:
+            if len(diff) == 0:
+                yield pd.Series([], dtype="float64")
                 continue
-            arr = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["diff"].values])
-            pred = np.asarray(model.predict(arr.reshape(-1, h, w, c)), dtype=np.float64)
-            yield pdf.assign(dhat=pred.reshape(len(pdf), -1)[:, 0])
+            arr = np.stack([np.asarray(v, dtype=np.float64) for v in diff.values])
+            pred = np.asarray(model.predict(arr.reshape(-1, h, w, c)), dtype=np.float64).reshape(len(diff), -1)
+            if outputs is not None:
+                if pred.shape[1] != len(outputs):
+                    raise ValueError(f"the model has {pred.shape[1]} outputs, {len(outputs)} values are given")
+                pred = np.asarray(outputs, dtype=np.float64)[pred.argmax(axis=1)]
+            elif pred.shape[1] != 1:
+                raise ValueError(f"the model has {pred.shape[1]} outputs: name their values")
+            yield pd.Series(pred.reshape(-1))
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.withColumn("dhat", dhat("diff"))
 
 
 def predict(queries: DataFrame, cases: DataFrame, model, shape, *, task: str,
-            k: int = 5, strategy: str = "auto") -> DataFrame:
+            k: int = 5, strategy: str = "auto", outputs: Sequence[float] | None = None) -> DataFrame:
     """A6 (vote, ties -> nearest) or A7 (mean) on ``n_y + dhat``."""
-    scored = score_with_model(query_differences(queries, cases, k, strategy), model, shape)
+    scored = score_with_model(query_differences(queries, cases, k, strategy), model, shape, outputs)
     value = F.col("n_y").cast("double") + F.col("dhat")
     if task == "classification":
         return V.majority_vote(scored, value)

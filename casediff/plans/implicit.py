@@ -56,6 +56,12 @@ class ImplicitModel:
     seed: int = 0
     spec: DistanceSpec = EUCLIDEAN
     strategy: str = "auto"
+    held: list = field(default_factory=list)       # persisted frames the model owns
+
+    def release(self) -> None:
+        """Unpersist what fitting and scoring kept; later calls compute it again."""
+        while self.held:
+            self.held.pop().unpersist()
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """K4 / K5 / K6 with the pair vector: ``(query_id, cls, neighbour_id, rank, dist, pair)``."""
@@ -73,9 +79,10 @@ class ImplicitModel:
     def score_candidates(self, cand: DataFrame) -> DataFrame:
         """L5 on any ``(query_id, cls, ..., pair)`` table."""
         if self.modes is not None:
-            return cand.join(F.broadcast(self.modes), "cls").withColumnRenamed("mode_label", "pred")
+            return cand.join(self.modes, "cls").withColumnRenamed("mode_label", "pred")
         # One filtered read per class: keep the candidates (recomputable on loss).
         cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(cand)
         parts = []
         for cls in self.classes:
             sub = cand.where(F.col("cls") == F.lit(cls))
@@ -108,7 +115,7 @@ def fit_implicit(cases: DataFrame, *, adapter: str | object = "mode", n_neighbou
     pools = class_pools(cases, pairs)
     model = ImplicitModel(pools=pools, classes=classes, n_neighbours=n_neighbours,
                           single_pair=single_pair, random_pairs=random_pairs, seed=seed,
-                          spec=spec, strategy=strategy)
+                          spec=spec, strategy=strategy, held=[pairs])
     if adapter == "mode":
         counts = pairs.groupBy("src_class", "label").agg(F.count(F.lit(1)).alias("n"))
         model.modes = counts.groupBy(F.col("src_class").alias("cls")).agg(
@@ -167,7 +174,10 @@ def fit_pair_classifier(cases: DataFrame, *, with_class: bool = False, adapter=N
     feats = F.concat("pair", F.array(F.col("src_class").cast("double"))) if with_class \
         else F.col("pair")
     a = adapter or MLClassAdapter(hidden_layer_sizes=(16,), max_iter=50)
-    return a.fit(pairs.select(feats.alias("features"), "label"), "features", "label")
+    try:
+        return a.fit(pairs.select(feats.alias("features"), "label"), "features", "label")
+    finally:
+        pairs.unpersist()
 
 
 def predict_pair_classifier(adapter, cases: DataFrame, queries: DataFrame, k: int = 5, *,

@@ -1,4 +1,4 @@
-"""Fitting on case differences and predicting from them, as DataFrame steps.
+"""Neighbour corrections: from pair table to adapter to prediction, as DataFrame steps.
 
 Case tables have ``id BIGINT, x ARRAY<DOUBLE>, y`` (and ``codes ARRAY<INT>``
 for mixed metrics).

@@ -293,7 +293,7 @@ SELECT query_id, neighbour_id, rank, {sql_r6('sqrt(d2)')} AS dist FROM en2""")
 def k2_emb_tiles(spark, sf):
     tr, te = embedding_cases(spark, sf)
     # Small tiles force several case blocks, so the global re-rank is exercised.
-    nb = knn_join(te, tr, K, strategy="tiles", tile_rows=128)
+    nb = knn_join(te, tr, K, strategy="tiles")
     return nb.select("query_id", "neighbour_id", "rank", r6("dist").alias("dist"))
 
 

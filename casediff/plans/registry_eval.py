@@ -256,11 +256,12 @@ def b5_direct_model(spark, sf):
 def b6_direct_on_segments(spark, sf):
     """A perceptron on the equal-frequency segments of the target (rows-only)."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     tr, te = part_cases(spark, sf)
     ef = EqualFrequency(3).fit(tr, "y")
     train = tr.select(array_to_vector("x").alias("v"), (ef.segment("y") - 1).cast("double").alias("seg"))
-    mlp = MultilayerPerceptronClassifier(featuresCol="v", labelCol="seg", layers=[7, 8, 3],
+    width = train.select(F.size(vector_to_array("v"))).first()[0]
+    mlp = MultilayerPerceptronClassifier(featuresCol="v", labelCol="seg", layers=[width, 8, ef.n],
                                          maxIter=30, seed=0)
     m = mlp.fit(train)
     return m.transform(te.select("id", array_to_vector("x").alias("v"))).select(

@@ -166,7 +166,7 @@ def m6_half(spark, sf):
 SELECT query_id, neighbour_id, rank, {sql_r6('sqrt(d2)')} AS dist FROM cn""")
 def m7_root(spark, sf):
     tr, te, _, spec = document_cases(spark, sf, "cvdhm")
-    nb = knn_join(te, tr, K, spec=spec, strategy="tiles", tile_rows=256)
+    nb = knn_join(te, tr, K, spec=spec, strategy="tiles")
     return nb.select("query_id", "neighbour_id", "rank", r6("dist").alias("dist"))
 
 

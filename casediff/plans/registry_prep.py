@@ -55,11 +55,11 @@ def s3_csv_row_id(spark, sf):
 
 
 @register("S4_parquet_case_base", _with(PART_SQL) + f"""
-SELECT id, CAST(len(x) AS INTEGER) AS width, {sql_r6('list_sum(x)')} AS x_sum, y FROM tr""")
+SELECT id, CAST(len(x) AS INTEGER) AS width, {sql_r6('list_sum(x)')} AS x_sum, y FROM pz""")
 def s4_parquet_case_base(spark, sf):
-    tr, _ = part_cases(spark, sf)
+    tr, te = part_cases(spark, sf)
     path = scratch_path(spark, "part-case-base")
-    tr.write.parquet(path)
+    tr.unionByName(te).write.parquet(path)
     cb = read_parquet(spark, path)
     return cb.select("id", F.size("x").alias("width"),
                      r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("x_sum"), "y")
@@ -67,17 +67,16 @@ def s4_parquet_case_base(spark, sf):
 
 @register("S6_metrics_sink", _with(EMB_SQL) + """
 SELECT run, 'class_count' AS metric, CAST(y AS VARCHAR) AS label, CAST(count(*) AS DOUBLE) AS value
-FROM etr, (SELECT unnest([1, 2]) AS run) GROUP BY run, y""")
+FROM e, (SELECT unnest([1, 2]) AS run) GROUP BY run, y""")
 def s6_metrics_sink(spark, sf):
-    tr, _ = embedding_cases(spark, sf)
-    counts = V.class_counts(tr, "y")
+    counts = V.class_counts(read_table(spark, sf, "embeddings").withColumnRenamed("label", "y"), "y")
     path = scratch_path(spark, "metrics")
     for run in (1, 2):
         append_metrics(counts.select(F.lit(run).alias("run"), F.lit("class_count").alias("metric"),
                                      F.col("y").cast("string").alias("label"),
-                                     F.col("n").cast("double").alias("value")), path)
+                                     F.col("n").cast("double").alias("value")), path, run_id=str(run))
     schema = "run INT, metric STRING, label STRING, value DOUBLE"
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(path).select("run", "metric", "label", "value")
 
 
 # -- preparation --------------------------------------------------------------
