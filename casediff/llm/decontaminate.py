@@ -5,7 +5,8 @@ item is one window).  The distinct windows form a broadcast hash set; every
 training document hashes all its windows in place, the hashes are probed, and a
 hit counts only after its words were compared with the benchmark window's.
 
-The set is broadcast only after its rows were counted (``max_broadcast``).
+The set is broadcast only after its rows and bytes were counted (``max_broadcast``,
+``MAX_BROADCAST_BYTES``).
 Beyond that the windows' hashes are shuffled to it instead, without the words,
 and the hits are joined back to the texts to be compared.
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import digest128, table, text_or_empty
 
 WIDTH = 10
-#: Distinct benchmark windows that may be broadcast (about 200 bytes each).
-MAX_BROADCAST = 1_000_000
+#: Distinct benchmark windows that may be broadcast (about 200 bytes each), and their bytes, for words and
+#: lists of items can be long.
+MAX_BROADCAST, MAX_BROADCAST_BYTES = 1_000_000, 256 << 20
 #: Window starts in one run of words.
 BLOCK = 32
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,16 +79,18 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadcast: i
          text: str = "text") -> DataFrame:
     """Verified hits: ``digest`` of the text, 1-based ``pos``, ``len``, ``items``."""
     grams = test_grams(items, width)
-    lengths = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = (F.octet_length(F.array_join("gram", "")) + F.octet_length(F.array_join("items", ""))
+            + 16 * (F.size("gram") + F.size("items")) + 64)
+    sizes = grams.groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("bytes")).collect()
     d = docs.select(text_or_empty(text).alias("t"))
     d = d.select(digest128(F.col("t")).alias("digest"), normal_words(F.col("t")).alias("w"))
     b = d.select("digest", F.inline(_blocks(width)))
     b = b.select("digest", "at", "bw", F.transform("bw", lambda x: F.xxhash64(x)).alias("wh"))
     # at most ``width`` lengths: the full one and those of shorter items
-    probes = [_probes(n) for n in sorted(lengths)]
+    probes = [_probes(n) for n in sorted(r["len"] for r in sizes)]
     probes = F.concat(*probes) if probes else F.array().cast("array<struct<h:bigint,len:int,j:int>>")
     pos = (F.col("at") + F.col("j") - 1).alias("pos")
-    if sum(lengths.values()) <= max_broadcast:
+    if sum(r["n"] for r in sizes) <= max_broadcast and sum(r["bytes"] for r in sizes) <= MAX_BROADCAST_BYTES:
         return (b.select("digest", "at", "bw", F.inline(probes)).join(F.broadcast(grams), ["h", "len"])
                 .where(F.expr("slice(bw, j, len) = gram")).select("digest", pos, "len", "items"))
     probed = b.select("digest", "at", F.inline(probes)).select("digest", pos, "h", "len").join(grams, ["h", "len"])

@@ -161,10 +161,14 @@ def test_probability_jaccard():
     assert abs((a == b).mean() - exact) < 0.03
 
 
-def test_decontamination_without_broadcast(spark):
+def test_decontamination_without_broadcast(spark, monkeypatch):
     d, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     one, two = (sorted(decontaminate.report(d, b, max_broadcast=n).collect(), key=str) for n in (10**6, 0))
     assert one == two and any(r.contaminated for r in one)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", 1)  # few windows, but too many bytes
+    plan = decontaminate.hits(d, b)._jdf.queryExecution().simpleString()
+    monkeypatch.undo()
+    assert "slice(w#" in plan and "slice(bw#" not in plan
     clean = decontaminate.remove_spans(d, b)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in one)
 
