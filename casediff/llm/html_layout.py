@@ -32,8 +32,9 @@ TAG = re.compile(
     r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in
            ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object")}
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-COLSPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+NUMBER = re.compile(r"\s*(\d{1,3})")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
@@ -55,6 +56,27 @@ IMPLIED = {
 WALLS = ("td", "th", "table", "caption")
 
 
+def attributes(s: str) -> dict[str, str]:
+    """Names in lower case and values of a start tag's attributes; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(s):
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+def style_hides(style: str) -> bool:
+    """Whether a style attribute ends up with ``display: none`` or without visibility."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in CSS_COMMENT.sub("", style).split(";"):
+        name, _, value = declaration.partition(":")
+        name, (value, mark, rank) = name.strip().lower(), value.lower().partition("!")
+        important = bool(mark) and rank.strip() == "important"
+        if important or not found.get(name, (False,))[0]:
+            found[name] = important, value.strip()
+    return found.get("display", "  ")[1] == "none" or found.get("visibility", "  ")[1] in ("hidden", "collapse")
+
+
 class Flow:
     """Lines of laid-out text."""
 
@@ -126,8 +148,9 @@ class Layout:
             self.close_open(ends, walls)
         if tag in BLOCKS and tag not in ("html", "body"):
             self.close_open(("p",), WALLS)
-        hidden = tag in INVISIBLE or bool(attrs and HIDDEN.search(attrs)) or (
-            tag == "dialog" and not re.search(r"(?:^|\s)open(?=[\s=/]|$)", attrs))
+        given = attributes(attrs) if attrs else {}
+        hidden = tag in INVISIBLE or "hidden" in given or style_hides(given.get("style", "")) or (
+            tag == "dialog" and "open" not in given)
         if tag in VOID:
             if not self.invisible and not hidden:
                 if tag == "br":
@@ -167,7 +190,7 @@ class Layout:
             elif tag in ("td", "th") and self.tables:
                 if not self.tables[-1]:
                     self.tables[-1].append([])
-                span = COLSPAN.search(attrs)
+                span = NUMBER.match(given.get("colspan", ""))
                 self.flows.append(self.flow)
                 self.flow = Flow()
                 state = ("cell", max(1, int(span[1])) if span else 1)
