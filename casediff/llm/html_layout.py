@@ -3,7 +3,7 @@
 Tags are read in order into a stack of open elements.  Implied end tags close
 paragraphs, list items, definition parts, options, rows and cells, as HTML's tree
 construction does; a stray end tag is ignored, an unclosed element ends with its
-parent.  Invisible parts give nothing: head, scripts, styles, templates, hidden
+parent, and a head ends where something other than head content begins.  Invisible parts give nothing: head, scripts, styles, templates, hidden
 elements (attribute, ``display:none``, ``visibility:hidden``), closed dialogs and
 form controls.  Blocks start on lines of their own, paragraphs, headings, lists and
 tables with a blank line around; list items are marked and indented by depth;
@@ -50,8 +50,11 @@ IMPLIED = {
     "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
-    "body": (("head",), ()),
 }
+#: Start tags that leave an open head open.
+HEAD_CONTENT = frozenset("html head base basefont bgsound link meta title noframes noscript script style template".split())
+#: Without an end tag these count as not there; the other raw elements then take the rest of the page, as in a browser.
+ENDED = frozenset("svg math object noscript".split())
 #: End tags do not reach beyond these.
 WALLS = ("td", "th", "table", "caption")
 
@@ -143,6 +146,10 @@ class Layout:
         self.invisible = self.pre = 0
 
     def start(self, tag: str, attrs: str) -> None:
+        if tag == "html" and self.open or tag in ("head", "body") and any(t == tag for t, _ in self.open):
+            return
+        if tag not in HEAD_CONTENT:
+            self.end_head()
         if tag in IMPLIED:
             ends, walls = IMPLIED[tag]
             self.close_open(ends, walls)
@@ -222,6 +229,10 @@ class Layout:
                 if len(ends) < 2:
                     return
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.pop()
+
     def pop(self) -> None:
         tag, state = self.open.pop()
         if state == "hidden":
@@ -252,9 +263,11 @@ class Layout:
             self.flow.end_line()
 
     def data(self, s: str) -> None:
+        s = unescape(s) if "&" in s else s
+        if s.strip(" \t\n\r\f"):
+            self.end_head()
         if self.invisible or not s:
             return
-        s = unescape(s) if "&" in s else s
         if self.pre:
             first, *rest = s.split("\n")
             self.flow.line += first
@@ -269,6 +282,7 @@ def render(html: str | None) -> str:
     """The visible text of a page."""
     page, at = Layout(), 0
     html = html or ""
+    unended: set[str] = set()  # tags of ENDED without an end tag from here on
     while m := TAG.search(html, at):
         if m.start() > at:
             page.data(html[at:m.start()])
@@ -278,9 +292,16 @@ def render(html: str | None) -> str:
         elif m[2]:
             tag = m[2].lower()
             closed = RAW_END.get(tag)
+            if tag not in HEAD_CONTENT:
+                page.end_head()
             if closed is not None and not m[3].endswith("/"):
-                end = closed.search(html, at)
-                at = end.end() if end else len(html)
+                end = None if tag in unended else closed.search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in ENDED:
+                    unended.add(tag)
+                else:
+                    at = len(html)
             elif closed is None:
                 page.start(tag, m[3])
     page.data(html[at:])

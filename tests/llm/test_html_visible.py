@@ -24,3 +24,30 @@ def test_attributes_that_hide(tag):
 
 def test_colspan_is_an_attribute():
     assert render('<table><tr><td data-colspan="2">a<td>b<tr><td>ccc<td>d</table>') == "a   | b\nccc | d"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><p>text", "<head><title>x</title><meta charset=utf-8>text", "<head><link rel=a>&amp;text",
+    "<head><body>text", "<head></head>text", "<head><script>a</script><div>text</div>", "<head><svg/>text",
+    "<body>text<head>", "<head><html><p>text", "<p>a</p><head><p>text", "<head><style>a</style><h1>text</h1></html>"])
+def test_head_ends_without_its_end_tag(page):
+    assert render(page).endswith("text")
+
+
+def test_head_content_stays_hidden():
+    assert render("<head>\n <title>no</title> <style>no</style><template>no</template>\n<noscript>no</noscript></head>a") == "a"
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "noscript", "object"])
+def test_unclosed_elements_drop_nothing(tag):
+    assert render(f"<p>one</p><{tag}>two<p>three").split() == ["one", "two", "three"]
+    assert render(f"<{tag}>no</{tag}><p>two<{tag}><p>three").split()[-2:] == ["two", "three"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "template"])
+def test_unclosed_raw_text_takes_the_rest(tag):
+    assert render(f"<p>one</p><{tag}>two<p>three") == "one"
+
+
+def test_many_unclosed_elements():
+    assert render("<object>" * 50000 + "text") == "text"
