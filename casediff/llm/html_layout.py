@@ -4,8 +4,10 @@ Tags are read in order into a stack of open elements.  Implied end tags close
 paragraphs, list items, definition parts, options, rows and cells, as HTML's tree
 construction does; a stray end tag is ignored, an unclosed element ends with its
 parent, and a head ends where something other than head content begins.  Invisible parts give nothing: head, scripts, styles, templates, hidden
-elements (attribute, ``display:none``, ``visibility:hidden``), closed dialogs and
-form controls.  Blocks start on lines of their own, paragraphs, headings, lists and
+elements (attribute, ``display:none``, ``visibility:hidden``), closed dialogs, data
+lists, what stands in for media, frames and objects, and notes for browsers without
+scripts.  Buttons, text areas, the chosen option of a select (all of a list), formulas
+and the text elements of drawings are text in the line.  Blocks start on lines of their own, paragraphs, headings, lists and
 tables with a blank line around; list items are marked and indented by depth;
 table cells are padded so that columns line up; ``pre`` keeps its white space.
 
@@ -31,7 +33,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
     r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in
-           ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object")}
+           ("script", "style", "textarea", "title", "noscript", "iframe", "template", "object")}
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 NUMBER = re.compile(r"\s*(\d{1,3})")
@@ -41,11 +43,23 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div article section nav aside header footer main address form fieldset li dt dd tr td th thead tbody "
     "tfoot caption figcaption details summary hr center legend menu dir option".split())
-INVISIBLE = frozenset("head select datalist audio video canvas button".split())
+INVISIBLE = frozenset("head datalist audio video canvas".split())
+#: Shown in the line, set off from what stands beside them.
+CONTROLS = frozenset("button textarea select".split())
+#: Drawings show their text elements only, formulas all but these.
+SVG_INVISIBLE = frozenset("desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient".split())
+MATH_INVISIBLE = frozenset("annotation annotation-xml mphantom".split())
+MATH_TEXT = frozenset("mi mo mn ms mtext".split())
+#: Parts of these stand one above or beside the other.
+MATH_PARTS = frozenset("mfrac mtable mtr mlabeledtr".split())
+#: These end a drawing or formula that is still open.
+BREAKOUT = BLOCKS | frozenset(
+    "b big br code em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 #: A start tag ends these open elements, up to the nearest of the third column.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
-    "option": (("option",), ("select", "datalist")), "tr": (("tr", "td", "th", "caption"), ("table",)),
+    "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select", "datalist")),
+    "tr": (("tr", "td", "th", "caption"), ("table",)),
     "td": (("td", "th", "caption"), ("tr", "table")), "th": (("td", "th", "caption"), ("tr", "table")),
     "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
@@ -54,9 +68,11 @@ IMPLIED = {
 #: Start tags that leave an open head open.
 HEAD_CONTENT = frozenset("html head base basefont bgsound link meta title noframes noscript script style template".split())
 #: Without an end tag these count as not there; the other raw elements then take the rest of the page, as in a browser.
-ENDED = frozenset("svg math object noscript".split())
+ENDED = frozenset("svg math object noscript select".split())
 #: End tags do not reach beyond these.
 WALLS = ("td", "th", "table", "caption")
+#: Blocks do not end a paragraph beyond these.
+PARAGRAPH_WALLS = (*WALLS, "button", "select", "foreignobject")
 
 
 def attributes(s: str) -> dict[str, str]:
@@ -139,25 +155,45 @@ def align(rows: list[list[tuple[str, int]]]) -> list[str]:
 class Layout:
     def __init__(self):
         self.flow = Flow()
-        self.open: list[tuple] = []  # (tag, what to do at its end)
-        self.flows: list[Flow] = []  # flows around the open cells
+        self.open: list[tuple] = []  # (tag, what to do at its end, ``foreign`` around it)
+        self.flows: list[Flow] = []  # flows around the open cells, selects and options
+        self.selects: list[tuple[bool, list]] = []  # (all options shown, options so far) of the open selects
         self.tables: list[list] = []  # rows of the open tables
         self.lists: list[list] = []  # [ordered, items so far] of the open lists
         self.invisible = self.pre = 0
+        self.foreign = ""  # "svg", "text" in a drawing, "math", or empty in HTML
 
     def start(self, tag: str, attrs: str) -> None:
-        if tag == "html" and self.open or tag in ("head", "body") and any(t == tag for t, _ in self.open):
-            return
+        if tag == "html" and self.open or tag in ("head", "body") and any(t == tag for t, *_ in self.open):
+            return None
         if tag not in HEAD_CONTENT:
             self.end_head()
+        if self.foreign and tag in BREAKOUT:
+            while self.foreign:
+                self.pop()
+        if tag == "select" and any(t == "select" for t, *_ in self.open):
+            return self.end("select")
         if tag in IMPLIED:
             ends, walls = IMPLIED[tag]
             self.close_open(ends, walls)
-        if tag in BLOCKS and tag not in ("html", "body"):
-            self.close_open(("p",), WALLS)
+        if tag in BLOCKS and tag not in ("html", "body", "option"):
+            self.close_open(("p",), PARAGRAPH_WALLS)
         given = attributes(attrs) if attrs else {}
         hidden = tag in INVISIBLE or "hidden" in given or style_hides(given.get("style", "")) or (
             tag == "dialog" and "open" not in given)
+        around, inside = self.foreign, self.foreign
+        if tag in ("svg", "math"):
+            inside = tag
+        elif around in ("svg", "text"):
+            inside = "text" if tag == "text" else "" if tag == "foreignobject" else around
+            hidden = hidden or tag in SVG_INVISIBLE
+        elif around == "math":
+            inside = "" if tag in MATH_TEXT else around
+            hidden = hidden or tag in MATH_INVISIBLE
+        if around or inside:
+            if attrs.endswith("/"):
+                return None
+            hidden = hidden or given.get("display") == "none" or given.get("visibility") in ("hidden", "collapse")
         if tag in VOID:
             if not self.invisible and not hidden:
                 if tag == "br":
@@ -165,13 +201,25 @@ class Layout:
                         self.flow.end_line()
                 elif tag == "hr":
                     self.flow.paragraph()
-            return
+            return None
         if hidden:
             self.invisible += 1
         state = "hidden" if hidden else ""
         if not self.invisible:
+            if tag in CONTROLS or inside == "text" or around == "math" and self.open[-1][0] in MATH_PARTS:
+                self.flow.space = True
             if tag in PARAGRAPHS and not (tag in ("ul", "ol") and self.lists):
                 self.flow.paragraph()
+            elif tag == "option" and self.selects:
+                self.flows.append(self.flow)
+                self.flow = Flow()
+                state = ("option", given)
+            elif tag == "select":
+                size = NUMBER.match(given.get("size", ""))
+                self.selects.append(("multiple" in given or bool(size) and int(size[1]) > 1, []))
+                self.flows.append(self.flow)
+                self.flow = Flow()
+                state = "select"
             elif tag in BLOCKS:
                 self.flow.end_line()
             if tag in ("ul", "ol", "menu", "dir"):
@@ -201,10 +249,12 @@ class Layout:
                 self.flows.append(self.flow)
                 self.flow = Flow()
                 state = ("cell", max(1, int(span[1])) if span else 1)
-        self.open.append((tag, state))
+        self.open.append((tag, state, around))
+        self.foreign = inside
+        return None
 
     def end(self, tag: str) -> None:
-        if tag == "p" and not any(t == "p" for t, _ in self.open):
+        if tag == "p" and not any(t == "p" for t, *_ in self.open):
             if not self.invisible:
                 self.flow.paragraph()
             return
@@ -234,12 +284,15 @@ class Layout:
             self.pop()
 
     def pop(self) -> None:
-        tag, state = self.open.pop()
+        tag, state, around = self.open.pop()
+        inside, self.foreign = self.foreign, around
         if state == "hidden":
             self.invisible -= 1
             return
         if self.invisible:
             return
+        if tag in CONTROLS or inside == "text" and tag == "text":
+            self.flow.space = True
         if state == "list":
             self.flow.end_line()
             self.lists.pop()
@@ -253,6 +306,13 @@ class Layout:
             for line in align(self.tables.pop()):
                 self.flow.put(line)
             self.flow.paragraph()
+        elif state == "select":
+            self.flow = self.flows.pop()
+            self.choose(*self.selects.pop())
+        elif state and state[0] == "option":
+            text = " ".join(x.strip() for x in self.flow.result() if x.strip())
+            self.flow = self.flows.pop()
+            self.selects[-1][1].append((state[1].get("label") or text, state[1]))
         elif state and state[0] == "cell":
             cell = " ".join(x.strip() for x in self.flow.result() if x.strip())
             self.flow = self.flows.pop()
@@ -262,11 +322,25 @@ class Layout:
         elif tag in BLOCKS:
             self.flow.end_line()
 
+    def choose(self, all_shown: bool, options: list[tuple[str, dict]]) -> None:
+        """The text of a select: all options of a list, or else the chosen one."""
+        if all_shown:
+            for text, _ in options:
+                self.flow.end_line()
+                self.flow.text(text)
+            self.flow.end_line()
+            return
+        chosen = [x for x, given in options if "selected" in given]
+        free = [x for x, given in options if "disabled" not in given]
+        self.flow.space = True
+        self.flow.text((chosen[-1:] or free[:1] or [""])[0])
+        self.flow.space = True
+
     def data(self, s: str) -> None:
         s = unescape(s) if "&" in s else s
         if s.strip(" \t\n\r\f"):
             self.end_head()
-        if self.invisible or not s:
+        if self.invisible or self.foreign == "svg" or not s:
             return
         if self.pre:
             first, *rest = s.split("\n")
@@ -282,7 +356,7 @@ def render(html: str | None) -> str:
     """The visible text of a page."""
     page, at = Layout(), 0
     html = html or ""
-    unended: set[str] = set()  # tags of ENDED without an end tag from here on
+    last: dict[str, int] = {}  # where the last end tag of a tag of ENDED begins
     while m := TAG.search(html, at):
         if m.start() > at:
             page.data(html[at:m.start()])
@@ -294,16 +368,20 @@ def render(html: str | None) -> str:
             closed = RAW_END.get(tag)
             if tag not in HEAD_CONTENT:
                 page.end_head()
-            if closed is not None and not m[3].endswith("/"):
-                end = None if tag in unended else closed.search(html, at)
-                if end:
-                    at = end.end()
-                elif tag in ENDED:
-                    unended.add(tag)
-                else:
-                    at = len(html)
-            elif closed is None:
+            if tag in ENDED and not m[3].endswith("/"):
+                if tag not in last:
+                    last[tag] = max((x.start() for x in re.finditer(rf"</{tag}\s*>", html, re.I)), default=-1)
+                if last[tag] < at:
+                    continue
+            if closed is None:
                 page.start(tag, m[3])
+            elif not m[3].endswith("/"):
+                end = closed.search(html, at)
+                if tag == "textarea":
+                    page.start(tag, m[3])
+                    page.data(html[at:end.start() if end else len(html)])
+                    page.end(tag)
+                at = end.end() if end else len(html)
     page.data(html[at:])
     while page.open:
         page.pop()

@@ -51,3 +51,37 @@ def test_unclosed_raw_text_takes_the_rest(tag):
 
 def test_many_unclosed_elements():
     assert render("<object>" * 50000 + "text") == "text"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("Press <button class=x>Save <b>now</b></button> or wait", "Press Save now or wait"),
+    ("<button>Yes</button><button>No</button>", "Yes No"),
+    ("<p>a <button><div>b</div></button> c", "a\nb\nc"),
+    ("Note: <textarea rows=2>\n1 &lt; 2 <b>as is</b></textarea>.", "Note: 1 < 2 <b>as is</b> ."),
+    ("<textarea hidden>no</textarea>a<button hidden>no</button>", "a"),
+    ("a <textarea>open", "a open"),
+    ("<p>Size <select><option>S<option selected>M<option>L</select> please</p>", "Size M please"),
+    ("<select><option disabled>pick<optgroup label=x><option>S</option></optgroup></select>", "S"),
+    ("<select><option label=Small>S</select>", "Small"),
+    ("in <select multiple><option>S<option>M</select> out", "in\nS\nM\nout"),
+    ("<select hidden><option>no</select>a", "a"),
+    ("<select><option hidden>no<option>b</select>a", "b a"),
+    ("a <select><option>b<p>c", "a\nb\n\nc"),
+    ("<table><tr><td>x<td><select><option>S<option>M</select><td>y</table>", "x | S | y")])
+def test_controls_show_their_text(page, text):
+    assert render(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("Let <math><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow></math> be", "Let x+1 be"),
+    ("is <math display=block><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.", "is 1 2."),
+    ("<math><semantics><mi>x</mi><annotation>no</annotation></semantics></math>y", "xy"),
+    ("<p>a <svg width=9><title>no</title><desc>no</desc><g>no<text>b <tspan>c</tspan></text><text>d</text></g></svg> e",
+     "a b c d e"),
+    ("<svg><defs><text>no</text></defs><path d=''/><foreignObject><p>a</p></foreignObject></svg>b", "a\n\nb"),
+    ("<svg hidden><text>no</text></svg>a<svg style='display:none'><text>no</text></svg>", "a"),
+    ("<svg><text/>no<g><p>a</p><svg></svg>", "a"),
+    ("<math><mi>a<mo>b<p>c</math>", "ab\n\nc"),
+    ("<p>a<svg display=none><text>no</text><p>b</svg>", "a\n\nb")])
+def test_formulas_and_drawings_show_their_text(page, text):
+    assert render(page) == text
