@@ -8,6 +8,9 @@ process of arrivals, at a rate equal to its weight, to random places of the
 signature; a place keeps the shingle that came first, so two signatures agree at
 a place with the probability Jaccard similarity of the weighted sets.  A process
 stops as soon as its clock has passed the latest first arrival of all places.
+Links are defined on the sets without weights, and shingles that repeat inside a
+text can push the weighted similarity far below; so a text with a repeated shingle
+has a second signature with all weights 1.  Without repeats both are the same.
 
 Candidates: texts that agree on all rows of a band.  All equal texts are one
 node from the start.  In each bucket every node is compared with one hub, the
@@ -17,9 +20,10 @@ are compared across components in the hub's group, exactly and in tiles of two
 bounded blocks: a tile multiplies incidence matrices and gives back the links
 that join components, never the pairs.  Blocks of one large component are not
 compared with each other, so a group of thousands of copies costs a star and the
-few nodes around it, and no link between different texts is lost.
+few nodes around it, and no link between texts that met in a band is lost.
 
-The banding misses a link at exactly 0.8 with probability (1 - 0.8^4)^32 = 5e-8.
+By the weights of 1 alone, which any two texts have in common, the banding misses a
+link at exactly 0.8 with probability (1 - 0.8^4)^32 = 5e-8, and a closer one less often.
 
 Edge cases: null and empty texts have no shingles and are near nothing, but equal
 texts (also empty ones; null counts as empty) share a class; null ids come last
@@ -83,6 +87,17 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def text_bands(items: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Bands of the weighted signature, and of the unweighted one where a shingle repeats (else they are the same)."""
+    if not len(items):
+        return np.empty(0, dtype=np.int64)
+    found = band_hashes(signature(items, 1 + np.log(counts), bands * rows), bands, rows)
+    if counts.max() == 1:
+        return found
+    plain = band_hashes(signature(items, np.ones(len(items)), bands * rows), bands, rows)
+    return np.unique(np.concatenate([found, plain]))
+
+
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("ord"),
                     text_or_empty(text).alias("t"))
@@ -98,8 +113,7 @@ def _nodes(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for t in b.column(2):
                 items, counts = shingles(t.as_buffer(), width)
                 size.append(len(items))
-                found.append(band_hashes(signature(items, 1 + np.log(counts), bands * rows), bands, rows)
-                             if len(items) else np.empty(0, dtype=np.int64))
+                found.append(text_bands(items, counts, bands, rows))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
                 names=["digest", "ord", "size", "bands"])
