@@ -1,16 +1,15 @@
-"""Exact removal of repeated word runs with prefix-partitioned suffix trees.
+"""Exact removal of repeated word runs by hashed windows, grouped by their minimisers.
 
 Every window of ``width`` words that also starts earlier (in a document with a
 smaller id, or earlier in the same one) is repeated; the words it covers go.
 
-A window is a suffix of its text cut at ``width`` words.  Suffixes are grouped by
-a prefix of variable length: it ends with the suffix's anchor, the run of
-``ANCHOR`` words with the smallest hash inside the window.  Equal windows have
-equal anchors at equal places, so they meet in one group, and all suffixes with
-one anchor travel as one short context instead of one row each.  A group's
-subtree is held as its sorted leaves: leaves that agree on the whole path of
-``width`` words hang below one internal node of that depth, and all but the first
-of them are repeats.
+This stands in for prefix-partitioned suffix trees: there is no order of suffixes
+and there are no nodes of other depths, hence no maximal repeats.  Windows are
+grouped by their anchor, the run of ``ANCHOR`` words with the smallest hash inside
+the window.  Equal windows have equal anchors at equal places, so they meet in one
+group, and all windows with one anchor travel as one short context instead of one
+row each.  A group's windows are sorted by a hash of 128 bits; of equal ones, all
+but the first are repeats.
 
 Steps, each written to the shared folder before the next:
 
