@@ -7,6 +7,7 @@ from . import (
     html_layout,
     near_dedup,
     packing,
+    phrases,
     quality,
     secrets,
     substring_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8,
     "op9_quality_rules": quality.op9,
     "op10_secret_scans": secrets.op10,
+    "op12_phrases": phrases.op12,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }

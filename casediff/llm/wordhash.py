@@ -79,3 +79,9 @@ def run_hashes(words: np.ndarray, width: int, which: int = 1) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     total = _sums(words, which)
     return mix((total[width:] - total[:n]) * _powers(which, n)[1][:n])
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges ``start``..``end`` of ``data``, from prefix polynomials."""
+    total = _sums(data.astype(np.uint64) + np.uint64(1), 0)
+    return mix((total[end] - total[start]) * _powers(0, len(data))[1][start] + (end - start).astype(np.uint64))
