@@ -5,10 +5,12 @@ from __future__ import annotations
 from . import (
     decontaminate,
     html_layout,
+    language_crf,
     near_dedup,
     packing,
     phrases,
     quality,
+    ranked_search,
     secrets,
     substring_dedup,
     token_counts,
@@ -27,7 +29,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8,
     "op9_quality_rules": quality.op9,
     "op10_secret_scans": secrets.op10,
+    "op11_language_crf": language_crf.op11,
     "op12_phrases": phrases.op12,
+    "op13_ranked_search": ranked_search.op13,
 }
 
 ORACLE_SQL = {
@@ -36,4 +40,5 @@ ORACLE_SQL = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op12_phrases": phrases.OP12_SQL,
+    "op13_ranked_search": ranked_search.OP13_SQL,
 }
