@@ -51,6 +51,8 @@ TOP = 20
 BLOCK_TERMS = 200_000
 #: Documents and postings of a segment at most (a single document may have more postings).
 SEGMENT_DOCS, SEGMENT_POSTINGS = 16_384, 1_500_000
+#: Documents scored in each segment to find a query's threshold, times ``top``.
+SEEDS = 8
 #: Terms are runs of ASCII letters, digits and bytes beyond ASCII, after A-Z were lower-cased.
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of a long text that are read at a time.
@@ -157,11 +159,19 @@ class Segment:
         return slice(int(self.starts[place]), int(self.starts[place + 1]))
 
     def added(self, place: int, docs: np.ndarray) -> np.ndarray:
-        """Impacts of a term in the given documents (0 where it does not occur)."""
+        """Impacts of a term in the given rising documents (0 where it does not occur); the shorter side is looked up
+        in the longer one."""
         lies = self.postings(place)
-        listed = self.docs[lies]
-        i = np.minimum(np.searchsorted(listed, docs), len(listed) - 1)
-        return np.where(listed[i] == docs, self.impacts[lies][i], 0)
+        listed, impacts = self.docs[lies], self.impacts[lies]
+        if len(listed) > len(docs):
+            i = np.minimum(np.searchsorted(listed, docs), len(listed) - 1)
+            return np.where(listed[i] == docs, impacts[i], 0)
+        out = np.zeros(len(docs), dtype=np.int64)
+        if len(docs):
+            i = np.minimum(np.searchsorted(docs, listed), len(docs) - 1)
+            there = docs[i] == listed
+            out[i[there]] = impacts[there]
+        return out
 
 
 def _segments(batches) -> Iterator[tuple[dict, Segment]]:
@@ -240,11 +250,19 @@ def _whole_scores(s: Segment, terms: list[tuple[int, int]], docs: np.ndarray) ->
 
 
 def seeds(s: Segment, terms: list[tuple[int, int]], pairs: list[int], top: int) -> np.ndarray:
-    """Scores of some documents: the first of the pair lists with the largest joint impacts."""
-    lists = sorted((p for p in pairs if s.joint[p] > 0), key=lambda p: -s.joint[p])
-    docs = [s.pair_docs[s.pair_starts[p]:min(s.pair_starts[p + 1], s.pair_starts[p] + 2 * top)] for p in lists[:8]]
-    if not docs:
-        return np.empty(0, dtype=np.int64)
+    """Scores of some documents: the first of the pair lists with the largest joint impacts, and where these are few,
+    of the terms' own lists."""
+    docs, n = [np.empty(0, dtype=np.int32)], 0
+    for p in sorted((p for p in pairs if s.joint[p] > 0), key=lambda p: -s.joint[p]):
+        docs.append(s.pair_docs[s.pair_starts[p]:min(s.pair_starts[p + 1], s.pair_starts[p] + 2 * top)])
+        n += len(docs[-1])
+        if n >= SEEDS * top:
+            break
+    for _, p in sorted(((int(s.most[p]), p) for t, _ in terms if (p := s.place(t)) >= 0), reverse=True):
+        if n >= SEEDS * top:
+            break
+        docs.append(s.docs[s.postings(p)][:2 * top])
+        n += len(docs[-1])
     score = np.sort(_whole_scores(s, terms, np.unique(np.concatenate(docs))))[::-1][:top]
     return score[score > 0]
 
@@ -293,7 +311,7 @@ def best(s: Segment, terms: list[tuple[int, int]], pairs: list[int], named: list
             break
         p, times = lists[i - 1]
         score = score + times * s.added(p, docs)
-        read += len(docs)
+        read += min(len(docs), len(s.docs[s.postings(p)]))
     good = score >= max(threshold, 1)
     docs, score = docs[good], score[good]
     if len(docs) > top:
