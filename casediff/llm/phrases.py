@@ -13,13 +13,13 @@ lets a run through to be counted.  A task sums up its own fingerprints before th
 shuffle, so a very common phrase costs one row a task.
 
 Fingerprints only choose.  The last pass takes the runs whose fingerprint may be
-frequent, and each fingerprint's first place in a block as its pointer: the words
-of every other place are compared, byte by byte, with those at the pointer, and
-only then the phrase is written out from there, with its count.  A block where
-two words or runs collide is told apart by the words themselves.  The sums by
-phrase are exact whatever collides, since two phrases under one fingerprint only
-make its count larger; one occurrence pointer (``doc_id``, ``at``: words before
-it in its text) stays with every phrase.
+frequent and tells them apart by their text: a word's fingerprint leads to the
+first word that had it (the pointer), every other one is compared with that byte
+by byte, and a run is known by its words.  Only then phrases are written out from
+their pointers, with their counts.  The sums by phrase are exact whatever
+collides, since two phrases under one fingerprint only make its count larger; one
+occurrence pointer (``doc_id``, ``at``: words before it in its text) stays with
+every phrase.
 
 Edge cases: null and empty texts have no words; a null language is ``und``, the
 same as the word; a repeated row counts again; texts of any length are taken in
@@ -52,9 +52,12 @@ BLOCK = 1 << 18
 #: Fingerprints a task holds before it sums them up, and sums it holds before it hands them on.
 HELD, SUMMED = 2_000_000, 1_000_000
 #: Phrases a task holds before it hands them on.
-PHRASES = 200_000
+PHRASES = 1_000_000
 COUNTS = "fp bigint, n bigint"
 FOUND = "lang string, k int, phrase string, n bigint, doc_id bigint, at bigint"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+#: Languages whose word counts may be broadcast; more are shuffled.
+BROADCAST_LANGS = 10_000
 
 #: 0: part of a word, 1: blank, 2: end of a piece.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -151,9 +154,9 @@ def _may_be(bits: np.ndarray, width: int, fp: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def _chosen(block: Block, langs: np.ndarray, tables: list[np.ndarray], width: int, upto: int):
-    """(k, places, fingerprints) of the runs of 1 to ``upto`` words whose shorter runs may be frequent, and which
-    may be frequent themselves as far as there is a table for them."""
+def _chosen(block: Block, langs: np.ndarray, tables: list[np.ndarray], width: int, upto: int, last: bool = False):
+    """(k, places) of the runs of 1 to ``upto`` words whose shorter runs may be frequent, and which may be frequent
+    themselves as far as there is a table for them.  With ``last``, only (fingerprints, places) of the longest."""
     alive = np.ones(len(block.piece), dtype=bool)
     for k in range(1, upto + 1):
         at = block.places(k)
@@ -163,10 +166,12 @@ def _chosen(block: Block, langs: np.ndarray, tables: list[np.ndarray], width: in
         if k <= len(tables):
             good = _may_be(tables[k - 1], width, fp)
             at, fp = at[good], fp[good]
+        if not last:
+            yield k, at
+        elif k == upto:
+            yield fp, at
         alive = np.zeros(len(block.piece), dtype=bool)
         alive[at] = True
-        new = at + k > block.lead
-        yield k, at[new], fp[new]
 
 
 def _distinct(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +208,9 @@ def frequent_bits(docs: DataFrame, order: int, tables: list[bytes], min_count: i
         for b in batches:
             keys, _ = _lang_keys(b.column(0))
             for block in _blocks(b.column(1)):
-                for k, _, fp in _chosen(block, keys, known, width, order):
-                    if k == order and len(fp):
+                for fp, at in _chosen(block, keys, known, width, order, last=True):
+                    fp = fp[at + order > block.lead]
+                    if len(fp):
                         held.append(_distinct(fp))
                         n_held += len(held[-1][0])
                 if n_held > HELD:
@@ -237,40 +243,145 @@ def frequent_bits(docs: DataFrame, order: int, tables: list[bytes], min_count: i
     return out.tobytes()
 
 
-def _same_words(block: Block, used: np.ndarray) -> np.ndarray:
-    """Numbers of the block's words, equal exactly for equal words; compared byte by byte, by the words' hashes
-    where no two of them collide.  Words outside ``used`` get -1."""
-    number = np.full(len(block.start), -1, dtype=np.int64)
-    _, first, inverse = np.unique(block.hash[used], return_index=True, return_inverse=True)
-    size = (block.end - block.start)[used]
-    pointer = used[first][inverse]
-    clash = bool((size != (block.end - block.start)[pointer]).any())
-    if not clash:
+class Table:
+    """Numbers of distinct 64-bit keys, in the order of meeting."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+    def number(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of rising distinct keys, and which of them are new."""
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        out = np.empty(len(keys), dtype=np.int64)
+        out[~new] = self.numbers[at[~new]]
+        out[new] = np.arange(len(self.keys), len(self.keys) + int(new.sum()))
+        self.keys = np.insert(self.keys, at[new], keys[new])
+        self.numbers = np.insert(self.numbers, at[new], out[new])
+        return out, new
+
+
+def _same_bytes(one: np.ndarray, start: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> bool:
+    """Whether ``size`` bytes from ``start`` in ``one`` equal those from ``there`` in ``other``, throughout."""
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return np.array_equal(one[np.repeat(start, size) + step], other[np.repeat(there, size) + step])
+
+
+class Written:
+    """The words and runs that a task has met, told apart by their bytes.
+
+    A word's number stands for its language and bytes: a fingerprint only leads to
+    the first word that had it, the pointer, with which each word is compared.  A
+    run's number stands for those of the run without its last word and of that
+    word, so runs need no fingerprints here.  After the first collision in a task
+    its words are looked up by their bytes."""
+
+    def __init__(self):
+        self.words, self.size, self.start = Table(), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.lang, self.bytes, self.by_text = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint8), None
+        self.runs = {k: Table() for k in range(2, LONGEST + 1)}
+        self.n = {k: np.empty(0, dtype=np.int64) for k in range(1, LONGEST + 1)}
+        self.doc, self.null, self.at = ({k: np.empty(0, dtype=kind) for k in self.n} for kind in (np.int64, bool, np.int64))
+
+    def total(self) -> int:
+        return sum(len(x) for x in self.n.values())
+
+    def word_numbers(self, block: Block, used: np.ndarray, fp: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Numbers of the words ``used``, which have the fingerprints ``fp`` and languages ``lang``."""
+        if self.by_text is None:
+            distinct, first, inverse = np.unique(fp, return_index=True, return_inverse=True)
+            pointer = used[first]
+            size = block.end - block.start
+            if ((size[used] == size[pointer][inverse]).all() and (lang == lang[first][inverse]).all()
+                    and _same_bytes(block.data, block.start[used], block.data, block.start[pointer][inverse], size[used])):
+                at = np.minimum(np.searchsorted(self.words.keys, distinct), max(len(self.words.keys) - 1, 0))
+                old = self.words.keys[at] == distinct if len(self.words.keys) else np.zeros(len(distinct), dtype=bool)
+                n, here = self.words.numbers[at[old]] if old.any() else at[:0], pointer[old]
+                if ((self.size[n] == size[here]).all() and (self.lang[n] == lang[first][old]).all()
+                        and _same_bytes(block.data, block.start[here], self.bytes, self.start[n], size[here])):
+                    number, new = self.words.number(distinct)
+                    if new.any():
+                        self._keep(block, pointer[new], lang[first][new])
+                    return number[inverse]
+            self.by_text = {(int(y), self._text(i)): i for i, y in enumerate(self.lang)}
+        out = np.empty(len(used), dtype=np.int64)
+        for i, (w, y) in enumerate(zip(used.tolist(), lang.tolist(), strict=True)):
+            key = (y, block.data[block.start[w]:block.end[w]].tobytes())
+            if key not in self.by_text:
+                self.by_text[key] = len(self.by_text)
+                self._keep(block, np.array([w]), np.array([y]))
+            out[i] = self.by_text[key]
+        return out
+
+    def _text(self, number: int) -> bytes:
+        return self.bytes[self.start[number]:self.start[number] + self.size[number]].tobytes()
+
+    def _keep(self, block: Block, words: np.ndarray, lang: np.ndarray) -> None:
+        size = (block.end - block.start)[words]
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        clash = not np.array_equal(block.data[np.repeat(block.start[used], size) + step],
-                                   block.data[np.repeat(block.start[pointer], size) + step])
-    if clash:
-        seen: dict[bytes, int] = {}
-        inverse = np.array([seen.setdefault(block.data[block.start[i]:block.end[i]].tobytes(), len(seen)) for i in used])
-    number[used] = inverse
-    return number
-
-
-def _told_apart(words: np.ndarray, at: np.ndarray, k: int, fp: np.ndarray):
-    """(pointer, count) of the distinct runs of ``k`` words at ``at``."""
-    _, first, inverse, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
-    pointer = at[first]
-    if all(np.array_equal(words[at + j], words[pointer[inverse] + j]) for j in range(k)):
-        return pointer, n
-    _, first, n = np.unique(np.stack([words[at + j] for j in range(k)], axis=1), axis=0, return_index=True,
-                            return_counts=True)
-    return at[first], n
+        self.start = np.concatenate([self.start, len(self.bytes) + np.cumsum(size) - size])
+        self.bytes = np.concatenate([self.bytes, block.data[np.repeat(block.start[words], size) + step]])
+        self.size, self.lang = np.concatenate([self.size, size]), np.concatenate([self.lang, lang])
+
+    def add(self, block: Block, runs, lang: np.ndarray, fp: np.ndarray, ids: np.ndarray, nulls: np.ndarray) -> None:
+        """Count the (k, places, new) ``runs`` of a block; ``fp`` and ``lang`` are those of its words."""
+        used = np.zeros(len(block.start), dtype=bool)
+        for k, at, _ in runs:
+            for j in range(k):
+                used[at + j] = True
+        used = np.flatnonzero(used)
+        word = np.full(len(block.start), -1, dtype=np.int64)
+        word[used] = self.word_numbers(block, used, fp[used], lang[used])
+        before = word.copy()
+        for k, at, new in runs:
+            if k > 1:
+                key = (before[at].astype(np.uint64) << np.uint64(32)) | word[at + k - 1].astype(np.uint64)
+                distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                number = self.runs[k].number(distinct)[0][inverse]
+                before = np.full(len(block.start), -1, dtype=np.int64)
+                before[at] = number
+            else:
+                number = word[at]
+            size = len(self.runs[k].keys) if k > 1 else len(self.size)
+            more = size - len(self.n[k])
+            self.n[k] = np.append(self.n[k], np.zeros(more, dtype=np.int64))
+            for held in (self.doc, self.null, self.at):
+                held[k] = np.append(held[k], np.zeros(more, dtype=held[k].dtype))
+            number, at = number[new], at[new]
+            fresh = self.n[k][number] == 0
+            # of a run's first places here any may be its pointer
+            self.doc[k][number[fresh]], self.null[k][number[fresh]] = ids[block.doc[at[fresh]]], nulls[block.doc[at[fresh]]]
+            self.at[k][number[fresh]] = block.at[at[fresh]]
+            self.n[k] += np.bincount(number, minlength=size)
+
+    def rows(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """All counted phrases, with their texts."""
+        words = [self._text(i) for i in range(len(self.size))]
+        texts, lang = words, self.lang
+        for k in range(1, LONGEST + 1):
+            if k > 1:
+                by_number = np.empty(len(self.runs[k].keys), dtype=np.uint64)
+                by_number[self.runs[k].numbers] = self.runs[k].keys
+                last = (by_number & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                rest = (by_number >> np.uint64(32)).astype(np.int64)
+                texts = [texts[a] + b" " + words[b] for a, b in zip(rest.tolist(), last.tolist(), strict=True)]
+                lang = self.lang[last]
+            for i in range(0, len(self.n[k]), 100_000):
+                part = np.flatnonzero(self.n[k][i:i + 100_000]) + i
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[y] for y in lang[part].tolist()], pa.string()), pa.array(np.full(len(part), k, np.int32)),
+                     pa.array([texts[j] for j in part.tolist()], pa.binary()).cast(pa.string()), pa.array(self.n[k][part]),
+                     pa.array(self.doc[k][part], mask=self.null[k][part]), pa.array(self.at[k][part])], names=FOUND_NAMES)
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, bits: int = BITS,
                   id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang``, ``k``, ``phrase``, ``n``, ``doc_id``, ``at``: all phrases of 1 to ``longest`` words that occur
     ``min_count`` times or more, and as ``k`` = 0 the number of all words."""
+    if not 1 <= longest <= LONGEST:
+        raise ValueError(f"longest must be 1 to {LONGEST}")
     spark = docs.sparkSession
     tables: list[bytes] = []
     for k in range(1, longest + 1):
@@ -278,50 +389,31 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     sent = spark.sparkContext.broadcast(tables)
 
     def write_out(batches):
-        tabs = [np.frombuffer(t, dtype=np.uint8) for t in sent.value]
-        found: dict = {}
-        words: dict[str, int] = {}
-
-        def rows():
-            if found:
-                keys, vals = list(zip(*found, strict=True)), list(zip(*found.values(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()),
-                     pa.array(keys[2], pa.binary()).cast(pa.string()), pa.array(vals[0], pa.int64()),
-                     pa.array(vals[1], pa.int64()), pa.array(vals[2], pa.int64())],
-                    names=["lang", "k", "phrase", "n", "doc_id", "at"])
-                found.clear()
-
+        known = [np.frombuffer(t, dtype=np.uint8) for t in sent.value]
+        written, total = Written(), {}
+        langs: dict[str, int] = {}
         for b in batches:
             keys, names = _lang_keys(b.column(0))
-            ids = b.column(2).to_pylist()
+            lang = np.array([langs.setdefault(x, len(langs)) for x in names], dtype=np.int64)
+            nulls = b.column(2).is_null().to_numpy(zero_copy_only=False)
+            ids = b.column(2).fill_null(0).to_numpy(zero_copy_only=False)
             for block in _blocks(b.column(1)):
-                for d, n in zip(*np.unique(block.doc[block.lead:], return_counts=True), strict=True):
-                    words[names[d]] = words.get(names[d], 0) + int(n)
-                runs = [r for r in _chosen(block, keys, tabs, bits, longest) if len(r[1])]
-                if not runs:
-                    continue
-                used = np.zeros(len(block.start), dtype=bool)
-                for k, at, _ in runs:
-                    for j in range(k):
-                        used[at + j] = True
-                number = _same_words(block, np.flatnonzero(used))
-                buffer = block.data.tobytes()
-                for k, at, fp in runs:
-                    pointer, n = _told_apart(number, at, k, fp)
-                    ends = [block.end[pointer + j].tolist() for j in range(k)]
-                    starts = [block.start[pointer + j].tolist() for j in range(k)]
-                    for i, (p, c) in enumerate(zip(pointer.tolist(), n.tolist(), strict=True)):
-                        phrase = b" ".join([buffer[starts[j][i]:ends[j][i]] for j in range(k)])
-                        d = int(block.doc[p])
-                        key = (names[d], k, phrase)
-                        was = found.get(key)
-                        found[key] = (c, ids[d], int(block.at[p])) if was is None else (was[0] + c, was[1], was[2])
-                if len(found) > PHRASES:
-                    yield from rows()
-        yield from rows()
-        found.update({(name, 0, b""): (n, None, None) for name, n in words.items()})
-        yield from rows()
+                for y, n in zip(*np.unique(lang[block.doc[block.lead:]], return_counts=True), strict=True):
+                    total[y] = total.get(y, 0) + int(n)
+                # runs of the words before the block are needed for those that go on into it
+                runs = [(k, at, at + k > block.lead) for k, at in _chosen(block, keys, known, bits, longest) if len(at)]
+                if runs:
+                    written.add(block, runs, lang[block.doc], block.runs(1, keys), ids, nulls)
+                if written.total() > PHRASES:
+                    yield from written.rows(list(langs))
+                    written = Written()
+        yield from written.rows(list(langs))
+        if total:
+            names = list(langs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[y] for y in total], pa.string()), pa.array([0] * len(total), pa.int32()),
+                 pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64()),
+                 pa.array([None] * len(total), pa.int64()), pa.array([None] * len(total), pa.int64())], names=FOUND_NAMES)
 
     read = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
                        F.col(id_col).cast("bigint").alias("doc_id"))
@@ -349,6 +441,8 @@ def scores(counts: DataFrame) -> DataFrame:
     left = known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     right = known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
     cuts = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"])
+    if total.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        total = F.broadcast(total)
     cuts = cuts.join(total, F.col("lang") == F.col("total_lang"))
     # products of 38 digits at most: decimals hold them exactly
     wide = lambda c, p: F.col(c).cast(f"decimal({p},0)")
