@@ -15,12 +15,24 @@ missing on either side adds 1 to the squared distance; a null vector misses all
 features, a null code counts as the unknown value.  So no row is lost.  Vectors
 of different lengths are an error, not a distance.
 
+Ids must not be null.  A null value of ``by`` or of a group column is a value of
+its own.
+
 Physical plan
 -------------
 Spark has no spatial index, and a theta join followed by a window would
 materialise ``|Q| x |C|`` rows.  Instead the join is *blocked*:
 
-* **tiles** (general path): queries get a block ``hash(id) % Bq`` and are
+* **dictionary** (before any of the plans): of cases that agree in vector, codes,
+  class and group only the ``k + 1`` with the smallest ids can be neighbours, so
+  where vectors repeat only those stay; a task compares each distinct query
+  vector once and expands the answer to its queries.
+* **cells** (large tables, see :mod:`casediff.operators.knn_cells`): cases lie in
+  cells around pivots, and a query visits only the cells that the triangle
+  inequality cannot rule out.
+* **groups** (large tables with ``match_group``): both sides meet per group, large
+  groups in blocks.
+* **tiles** (without numeric features, and for random neighbours): queries get a block ``hash(id) % Bq`` and are
   copied once per case block; cases get ``hash(id) % Bc`` and are copied once
   per query block.  ``cogroup`` on ``(qblock, cblock)`` hands each tile to a
   NumPy kernel that computes the distance tile in bounded chunks and emits only
@@ -151,13 +163,12 @@ def _pair_sq(qx, cx, qc, cc, rows, cols, spec: DistanceSpec) -> np.ndarray:
     return d2
 
 
-def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None,
-                match=False):
+def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None):
     """(row, col, d2) triplets containing every top-k pair (ties included)."""
     nq, nc = qx.shape[0], cx.shape[0]
     dropped = None                    # pairs that are no neighbours, whatever their distance
     if qg is not None:
-        dropped = (qg[:, None] != cg[None, :]) if match else (qg[:, None] == cg[None, :])
+        dropped = qg[:, None] == cg[None, :]
     if exclude_self:
         same = qid[:, None] == cid[None, :]
         dropped = same if dropped is None else dropped | same
@@ -243,6 +254,8 @@ def _stack(col: pd.Series, width: int) -> np.ndarray:
 
 def _as_matrix(pdf: pd.DataFrame, width: int, unknown: tuple[int, ...]):
     """Ids, features and codes; ``unknown`` holds the code of a missing value per nominal feature."""
+    if pdf["id"].isna().any():
+        raise ValueError("a case or query has a null id")
     ids = pdf["id"].to_numpy(dtype=np.int64)
     x = _stack(pdf["x"], width)
     if unknown:
@@ -253,8 +266,83 @@ def _as_matrix(pdf: pd.DataFrame, width: int, unknown: tuple[int, ...]):
     return ids, x, codes
 
 
+def _group_codes(qpdf: pd.DataFrame, cpdf: pd.DataFrame, group: str | None):
+    """Numbers of the group values on both sides, equal for equal values; a null is a value of its own."""
+    if group is None:
+        return None, None
+    both = pd.concat([qpdf[group], cpdf[group]], ignore_index=True)
+    codes = pd.factorize(both, use_na_sentinel=False)[0]
+    return codes[:len(qpdf)], codes[len(qpdf):]
+
+
+def _distinct_rows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct rows of matrices laid side by side, and each row's number among them."""
+    flat = np.ascontiguousarray(np.hstack([np.ascontiguousarray(p).view(np.uint8).reshape(len(p), -1) for p in parts if p.size]))
+    rows = flat.view(np.dtype((np.void, flat.shape[1]))).ravel()
+    _, first, inverse = np.unique(rows, return_index=True, return_inverse=True)
+    return first, inverse
+
+
+def _nearest(qid, qx, qc, qg, cid, cx, cc, cg, k, exclude_self, spec, match, counter=None):
+    """(query row, case row, d2, rounded d2, rank) of the first k of every query, in chunks of bounded size.
+
+    Queries that agree in everything but the id are compared once, with one neighbour more where a query may meet
+    itself, and the answer is expanded to all of them."""
+    random = spec.random_seed is not None
+    if not random and len(qid) > 1:
+        parts = [qx + 0.0, qc] + ([qg[:, None]] if qg is not None else [])
+        if sum(p.size for p in parts):
+            first, inverse = _distinct_rows(parts)
+            if len(first) * 2 <= len(qid):
+                some = _nearest(qid[first], qx[first], qc[first], None if qg is None else qg[first], cid, cx, cc, cg,
+                                k + exclude_self, False, spec, match, counter)
+                return _expand(some, inverse, qid, cid, k, exclude_self)
+    out = []
+    if match:
+        for g in np.unique(qg):
+            mine, theirs = np.flatnonzero(qg == g), np.flatnonzero(cg == g)
+            if len(theirs):
+                rows, cols, *rest = _nearest(qid[mine], qx[mine], qc[mine], None, cid[theirs], cx[theirs], cc[theirs],
+                                             None, k, exclude_self, spec, False, counter)
+                out.append((mine[rows], theirs[cols], *rest))
+    else:
+        step = max(1, _CHUNK_ELEMS // max(1, len(cid)))
+        for at in range(0, len(qid), step):
+            sl = slice(at, at + step)
+            if counter is not None:
+                counter.add(len(qid[sl]) * len(cid))
+            rows, cols, d2 = _candidates(qid[sl], qx[sl], qc[sl], cid, cx, cc, k, exclude_self, spec,
+                                         None if qg is None else qg[sl], cg)
+            rows, cols, d2, key, rank = _select(rows, cols, d2, cid, k, random)
+            out.append((rows + at, cols, d2, key, rank))
+    if not out:
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none.astype(float), none.astype(float), none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _expand(some, inverse, qid, cid, k, exclude_self):
+    """The answers of distinct queries, given to all queries they stand for."""
+    rows, cols, d2, key, _ = some
+    order = np.argsort(rows, kind="stable")
+    rows, cols, d2, key = rows[order], cols[order], d2[order], key[order]
+    n = np.bincount(rows, minlength=int(inverse.max(initial=-1)) + 1)
+    begin = np.cumsum(n) - n
+    size = n[inverse]
+    to = np.repeat(np.arange(len(qid)), size)
+    at = np.repeat(begin[inverse] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    if exclude_self:
+        other = cid[cols[at]] != qid[to]
+        to, at = to[other], at[other]
+    size = np.bincount(to, minlength=len(qid))
+    rank = np.arange(len(to)) - np.repeat(np.cumsum(size) - size, size) + 1
+    good = rank <= k
+    to, at = to[good], at[good]
+    return to, cols[at], d2[at], key[at], rank[good]
+
+
 def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, width,
-                final_rank_col="rank", group=None, match=False, cmat=None):
+                final_rank_col="rank", group=None, match=False, cmat=None, counter=None):
     """Top-k rows of one (query block, case block) tile as a pandas frame."""
     if len(cpdf) == 0 or len(qpdf) == 0:
         return None
@@ -264,44 +352,34 @@ def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, width,
     out_parts = []
     groups = [(None, np.arange(len(cpdf)))]
     if by is not None:
-        labels = cpdf[by].to_numpy()
-        groups = [(lab, np.flatnonzero(labels == lab)) for lab in pd.unique(labels)]
+        codes, labels = pd.factorize(cpdf[by], use_na_sentinel=False)
+        groups = [(None if pd.isna(lab) else lab, np.flatnonzero(codes == i)) for i, lab in enumerate(labels)]
     random = spec.random_seed is not None
-    qg_all = qpdf[group].to_numpy() if group else None
-    cg_all = cpdf[group].to_numpy() if group else None
+    qg, cg_all = _group_codes(qpdf, cpdf, group)
     for lab, idx in groups:
-        cid, cx, cc = cid_all[idx], cx_all[idx], cc_all[idx]
-        cg = cg_all[idx] if group else None
-        if len(cid) == 0 or len(qid) == 0:
-            continue
-        step = max(1, _CHUNK_ELEMS // max(1, len(cid)))
-        for s in range(0, len(qid), step):
-            sl = slice(s, s + step)
-            rows, cols, d2 = _candidates(qid[sl], qx[sl], qc[sl], cid, cx, cc, k,
-                                         exclude_self, spec,
-                                         qg_all[sl] if group else None, cg, match)
-            rows, cols, d2, key, rank = _select(rows, cols, d2, cid, k, random)
-            rows = rows + s
-            if random:
-                dist = d2
-            elif spec.final == "half":
-                dist = d2 / 2.0
-            else:
-                dist = np.sqrt(d2)
-            part = {
-                "query_id": qid[rows],
-                "neighbour_id": cid[cols],
-                final_rank_col: rank.astype(np.int32),
-                "dist": dist,
-                "d2r": key,
-            }
-            if by is not None:
-                part[by] = np.repeat(np.asarray([lab], dtype=object), rows.size) if rows.size else np.array([], dtype=object)
-            for name, src in carry:
-                part[name] = cpdf[src].to_numpy()[idx][cols]
-            for name, src in keep:
-                part[name] = qpdf[src].to_numpy()[rows]
-            out_parts.append(pd.DataFrame(part))
+        cid = cid_all[idx]
+        rows, cols, d2, key, rank = _nearest(qid, qx, qc, qg, cid, cx_all[idx], cc_all[idx],
+                                             None if group is None else cg_all[idx], k, exclude_self, spec, match, counter)
+        if random:
+            dist = d2
+        elif spec.final == "half":
+            dist = d2 / 2.0
+        else:
+            dist = np.sqrt(d2)
+        part = {
+            "query_id": qid[rows],
+            "neighbour_id": cid[cols],
+            final_rank_col: rank.astype(np.int32),
+            "dist": dist,
+            "d2r": key,
+        }
+        if by is not None:
+            part[by] = np.repeat(np.asarray([lab], dtype=object), rows.size) if rows.size else np.array([], dtype=object)
+        for name, src in carry:
+            part[name] = cpdf[src].to_numpy()[idx][cols]
+        for name, src in keep:
+            part[name] = qpdf[src].to_numpy()[rows]
+        out_parts.append(pd.DataFrame(part))
     if not out_parts:
         return None
     return pd.concat(out_parts, ignore_index=True)
@@ -352,6 +430,7 @@ class BroadcastCases:
     n: int
     frame: DataFrame          # the selected case columns (for the output schema)
     width: int
+    k: int | None = None      # joins may ask for so many neighbours; None: any number
 
     def release(self) -> None:
         """Drop the broadcast; joins planned with it can no longer run."""
@@ -375,20 +454,71 @@ def _row_bytes(df: DataFrame):
     return total.cast("bigint")
 
 
-def _case_stats(c: DataFrame) -> tuple[int, int, int]:
-    """Rows, bytes and the one length of the vectors of a case base, in one aggregate."""
+@dataclass
+class _Stats:
+    """Rows, bytes, largest row, length of the vectors and (about) the distinct cases of a case base."""
+
+    n: int
+    bytes: int
+    row_bytes: int
+    width: int
+    distinct: int
+
+
+def _alike(c: DataFrame, by: str | None, group: str | None) -> list[str]:
+    """Columns in which interchangeable cases agree."""
+    return ["x"] + [n for n in ("codes", by, group) if n is not None and n in c.columns]
+
+
+def _case_stats(c: DataFrame, by: str | None = None, group: str | None = None) -> _Stats:
+    """One aggregate over a case base."""
     size = F.when(F.col("x").isNotNull(), F.size("x"))
-    r = c.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(c)).alias("bytes"),
-              F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+    alike = F.xxhash64(*[F.col(f"`{n}`") for n in dict.fromkeys(_alike(c, by, group))])
+    r = c.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(c)).alias("bytes"), F.max(_row_bytes(c)).alias("row"),
+              F.min(size).alias("lo"), F.max(size).alias("hi"), F.approx_count_distinct(alike).alias("distinct")).first()
     if r["lo"] != r["hi"]:
         raise ValueError(f"case vectors of {r['lo']} to {r['hi']} entries")
-    return int(r["n"]), int(r["bytes"] or 0), int(r["hi"] or 0)
+    return _Stats(int(r["n"]), int(r["bytes"] or 0), int(r["row"] or 0), int(r["hi"] or 0), int(r["distinct"]))
+
+
+def distinct_cases(c: DataFrame, k: int, by: str | None = None, group: str | None = None) -> DataFrame:
+    """Of the cases that agree in vector, codes, ``by`` and ``group`` the ``k + 1`` with the smallest ids.
+
+    The others are never among a query's first k: as many of smaller id lie at the same distance, and one of them
+    at most is the query itself.  Spark keeps k + 1 a task before the shuffle, so a vector that a third of the
+    rows share makes no hot task."""
+    w = Window.partitionBy(*[F.col(f"`{n}`") for n in dict.fromkeys(_alike(c, by, group))]).orderBy("id")
+    return c.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k + 1).drop("_copy")
+
+
+def _fewer_cases(c: DataFrame, k: int, stats: _Stats, by: str | None, group: str | None) -> tuple[DataFrame, int]:
+    """The case base by the dictionary where that halves it at least, and (about) its rows."""
+    rows = (stats.distinct + stats.distinct // 10 + 1) * (k + 1)
+    if stats.n < _MIN_DICTIONARY or rows * 2 > stats.n:
+        return c, stats.n
+    return distinct_cases(c, k, by, group), rows
+
+
+def _collect_within(c: DataFrame, stats: _Stats, rows: int, limit: int) -> pd.DataFrame | None:
+    """The case base on the driver, or None if it may have more than ``limit`` bytes.
+
+    All ``stats.n`` rows fit, or no more rows are asked for than fit at the size of the largest."""
+    if rows >= stats.n:
+        return c.toPandas() if stats.bytes <= limit else None
+    most = limit // max(stats.row_bytes, 1)
+    if rows > most:
+        return None
+    pdf = c.limit(most + 1).toPandas()
+    return pdf if len(pdf) <= most else None
 
 
 def broadcast_cases(cases: DataFrame, *, by: str | None = None,
                     carry: Sequence[str | tuple[str, str]] = (),
-                    broadcast_bytes: int | None = None) -> BroadcastCases:
-    """Check the size of a case base and broadcast it once."""
+                    broadcast_bytes: int | None = None, k: int | None = None) -> BroadcastCases:
+    """Check the size of a case base and broadcast it once.
+
+    ``k``: the joins will ask for so many neighbours at most, under a distance (not a random order); copies of a
+    vector that cannot be among them stay out."""
     spark = cases.sparkSession
     has_codes = "codes" in cases.columns
     ccols = ["id", "x"] + (["codes"] if has_codes else [])
@@ -398,12 +528,13 @@ def broadcast_cases(cases: DataFrame, *, by: str | None = None,
     c = cases.select(*ccols)
     if broadcast_bytes is None:
         broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
-    n, est, width = _case_stats(c)
-    if est > broadcast_bytes:
-        raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound {broadcast_bytes}")
-    cpdf = c.toPandas()                                  # bounded by the check above
-    return BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c,
-                          width)
+    stats = _case_stats(c, by)
+    fewer, rows = _fewer_cases(c, k, stats, by, None) if k else (c, stats.n)
+    cpdf = _collect_within(fewer, stats, rows, broadcast_bytes)
+    if cpdf is None:
+        raise ValueError(f"case base of ~{stats.bytes} bytes exceeds the broadcast bound {broadcast_bytes}")
+    return BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c, stats.width,
+                          k if rows < stats.n else None)
 
 
 def knn_join(
@@ -423,6 +554,7 @@ def knn_join(
     seed: int = 17,
     exclude_group: str | None = None,
     match_group: str | None = None,
+    counter=None,
 ) -> DataFrame:
     """Exact top-k neighbours of every query among ``cases``.
 
@@ -432,7 +564,9 @@ def knn_join(
     query (K4).  ``carry`` copies case columns to the output (``(new, src)``
     renames), ``keep`` copies query columns.  ``exclude_group`` names a column
     present on both sides: pairs with equal values are never neighbours (one
-    join serves every cross-validation fold, E1/E2).
+    join serves every cross-validation fold, E1/E2).  ``match_group``: only
+    pairs with equal values are.  ``counter`` is an accumulator that gets the
+    number of distances computed.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -461,34 +595,55 @@ def knn_join(
     schema = _out_schema(q, c, by, carry_p, keep_p)
     spark = queries.sparkSession
     if prepared is not None:
-        return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, prepared.width,
-                               schema, exclude_group, match, None, prepared)
+        if prepared.k is not None and (k > prepared.k or exclude_group or spec.random_seed is not None):
+            raise ValueError(f"the case base was broadcast for up to {prepared.k} nearest neighbours without groups")
+        return _broadcast_plan(q, k, exclude_self, spec, by, carry_p, keep_p, prepared.width,
+                               schema, exclude_group, match, None, prepared, counter)
 
     if broadcast_bytes is None:
         broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
-    n_cases, n_bytes, width = _case_stats(c)
-    row_bytes = math.ceil(n_bytes / max(n_cases, 1))
-    est = n_bytes + spec.nbytes()
-    if strategy == "auto":
-        strategy = "broadcast" if est <= broadcast_bytes else "tiles"
+    stats = _case_stats(c, by, exclude_group)
+    row_bytes = math.ceil(stats.bytes / max(stats.n, 1))
+    n_queries = stats.n if same_input else None
+    rows = stats.n
+    if spec.random_seed is None:
+        c, rows = _fewer_cases(c, k, stats, by, exclude_group)
+    if strategy in ("auto", "broadcast"):
+        limit = max(broadcast_bytes, 1) - spec.nbytes()
+        cpdf = _collect_within(c, stats, rows, limit)
+        if cpdf is not None:
+            shipped = BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c, stats.width)
+            return _broadcast_plan(q, k, exclude_self, spec, by, carry_p, keep_p, stats.width, schema,
+                                   exclude_group, match, n_queries, shipped, counter)
+        if strategy == "broadcast":
+            raise ValueError(f"case base of ~{stats.bytes} bytes exceeds the broadcast bound "
+                             f"{broadcast_bytes}; use another strategy")
+        strategy = "groups" if match else "tiles" if spec.random_seed is not None or not stats.width else "cells"
 
     # A tile side holds at most tile_rows rows and about tile_bytes bytes.
     tile_rows = min(tile_rows, max(64, tile_bytes // max(row_bytes, 1)))
-    if strategy == "broadcast":
-        if est > max(broadcast_bytes, 1):
-            raise ValueError(f"case base of ~{est} bytes exceeds the broadcast bound "
-                             f"{broadcast_bytes}; use strategy='tiles'")
-        return _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p,
-                               width, schema, exclude_group, match,
-                               n_cases if same_input else None)
-    return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width,
-                      schema, n_cases, tile_rows, seed, exclude_group, match,
-                      n_cases if same_input else None)
+    if n_queries is None:
+        n_queries = q.count()
+    if strategy in ("cells", "groups"):
+        from casediff.operators import knn_cells
+        if strategy == "groups":
+            if not match:
+                raise ValueError("strategy='groups' needs match_group")
+            return knn_cells.group_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, stats.width, schema,
+                                        exclude_group, tile_rows, seed, counter)
+        if match or spec.random_seed is not None or not stats.width:
+            raise ValueError("strategy='cells' needs numeric features and takes neither match_group nor a random order")
+        return knn_cells.cell_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, stats.width, schema,
+                                   exclude_group, rows, tile_rows, seed, counter)
+    return _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, stats.width,
+                      schema, rows, tile_rows, seed, exclude_group, match, n_queries, counter)
 
 
 # Distance evaluations a single task should take on before the query side is
 # spread over more partitions.
 _PAIRS_PER_TASK = 50_000_000
+# From this many cases on, repeated vectors are looked for.
+_MIN_DICTIONARY = 500
 # Partitions of one join at most; beyond that a task takes several tiles in turn.
 _MAX_TASKS = 100_000
 
@@ -523,16 +678,10 @@ def _cached_cases(bc, token: str, width: int, unknown: tuple[int, ...]):
     return hit
 
 
-def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
-                    group=None, match=False, n_queries=None, prepared=None):
-    spark = q.sparkSession
-    if prepared is not None:
-        bc, token, n_cases = prepared.bc, prepared.token, prepared.n
-    else:
-        # Bounded by the size check in knn_join.
-        cpdf = c.toPandas()
-        bc, token, n_cases = spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf)
-    q = _spread_queries(q, n_cases, n_queries)
+def _broadcast_plan(q, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
+                    group, match, n_queries, prepared, counter=None):
+    bc, token = prepared.bc, prepared.token
+    q = _spread_queries(q, prepared.n, n_queries)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cases_pdf, cmat = _cached_cases(bc, token, width, spec.unknown())
@@ -540,7 +689,7 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, sch
             if len(qpdf) == 0:
                 continue
             out = _topk_frame(qpdf, cases_pdf, k, exclude_self, spec, by, carry_p,
-                              keep_p, width, group=group, match=match, cmat=cmat)
+                              keep_p, width, group=group, match=match, cmat=cmat, counter=counter)
             if out is not None:
                 yield out
 
@@ -548,10 +697,8 @@ def _broadcast_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, sch
 
 
 def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
-               n_cases, tile_rows, seed, group=None, match=False, n_queries=None):
+               n_cases, tile_rows, seed, group, match, n_queries, counter=None):
     spark = q.sparkSession
-    if n_queries is None:
-        n_queries = q.count()
     parallelism = spark.sparkContext.defaultParallelism
     bc = max(1, math.ceil(n_cases / tile_rows))
     bq = max(1, math.ceil(n_queries / tile_rows), math.ceil(parallelism / bc))
@@ -574,7 +721,7 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
         qpdf = qpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         cpdf = cpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
         out = _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry_p, keep_p,
-                          width, final_rank_col=local_rank, group=group, match=match)
+                          width, final_rank_col=local_rank, group=group, match=match, counter=counter)
         return out if out is not None else _fit_empty(tile_schema)
 
     # Tiles are light in bytes but heavy in compute: an explicit partition count
