@@ -548,7 +548,7 @@ def knn_join(
     carry: Sequence[str | tuple[str, str]] = (),
     keep: Sequence[str | tuple[str, str]] = (),
     strategy: str = "auto",
-    tile_rows: int = 200_000,
+    tile_rows: int | None = None,
     tile_bytes: int = 128 << 20,
     broadcast_bytes: int | None = None,
     seed: int = 17,
@@ -621,6 +621,8 @@ def knn_join(
         strategy = "groups" if match else "tiles" if spec.random_seed is not None or not stats.width else "cells"
 
     # A tile side holds at most tile_rows rows and about tile_bytes bytes.
+    if tile_rows is None:
+        tile_rows = int(spark.conf.get("casediff.knn.tileRows", "200000"))
     tile_rows = min(tile_rows, max(64, tile_bytes // max(row_bytes, 1)))
     if n_queries is None:
         n_queries = q.count()

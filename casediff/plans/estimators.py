@@ -143,7 +143,8 @@ class DifferenceModel(Model, _DiffParams):
         """Ship the case base to the executors once (size checked); later
         predictions, e.g. every micro-batch of a stream, reuse it."""
         from casediff.operators.knn import broadcast_cases
-        self._prepared = broadcast_cases(self.cases, carry=[("n_x", "x"), ("n_y", "y")])
+        self._prepared = broadcast_cases(self.cases, carry=[("n_x", "x"), ("n_y", "y")],
+                                         k=self.getOrDefault(self.kPredict))
         return self
 
     def release(self) -> None:

@@ -113,7 +113,7 @@ def fit_predict(train: DataFrame, test: DataFrame, *, task: str, adapter: Adapte
     if strategy in ("auto", "broadcast"):
         try:
             # Ship the case base once for the self join and the query join.
-            case_base = broadcast_cases(train, carry=[("n_x", "x"), ("n_y", "y")])
+            case_base = broadcast_cases(train, carry=[("n_x", "x"), ("n_y", "y")], k=max(k_fit, k_predict))
         except ValueError:
             if strategy == "broadcast":
                 raise

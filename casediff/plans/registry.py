@@ -292,11 +292,19 @@ def k1_emb(spark, sf):
 SELECT query_id, neighbour_id, rank, {sql_r6('sqrt(d2)')} AS dist FROM en2""")
 def k2_emb_tiles(spark, sf):
     tr, te = embedding_cases(spark, sf)
-    # Small tiles force several case blocks, so the global re-rank is exercised.
+    # One case block here; ``casediff.knn.tileRows`` sets smaller ones.
     nb = knn_join(te, tr, K, strategy="tiles")
     return nb.select("query_id", "neighbour_id", "rank", r6("dist").alias("dist"))
 
 
+@register("K2_embedding_knn_cells", _with(EMB_SQL, _E_K2) + f"""
+SELECT query_id, neighbour_id, rank, {sql_r6('sqrt(d2)')} AS dist FROM en2""")
+def k2_emb_cells(spark, sf):
+    tr, te = embedding_cases(spark, sf)
+    nb = knn_join(te, tr, K, strategy="cells")
+    return nb.select("query_id", "neighbour_id", "rank", r6("dist").alias("dist"))
+
+
 _E_K2_2 = knn_sql("e22", "ete", "etr", EMB_D2, 2, False)
 
 
