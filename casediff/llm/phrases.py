@@ -53,6 +53,8 @@ BLOCK = 1 << 18
 HELD, SUMMED = 2_000_000, 1_000_000
 #: Phrases a task holds before it hands them on.
 PHRASES = 1_000_000
+#: Tasks of the last pass for each core, at most.
+TASKS_PER_CORE = 2
 COUNTS = "fp bigint, n bigint"
 FOUND = "lang string, k int, phrase string, n bigint, doc_id bigint, at bigint"
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
@@ -417,6 +419,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
 
     read = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
                        F.col(id_col).cast("bigint").alias("doc_id"))
+    # Each task writes every frequent phrase that it meets once, so fewer and longer tasks write fewer rows; what a
+    # task holds is bounded all the same.
+    read = read.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     pointer = F.min(F.struct("doc_id", "at"))
     return (read.mapInArrow(write_out, FOUND).groupBy("lang", "k", "phrase")
             .agg(F.sum("n").alias("n"), pointer.alias("p")).where((F.col("n") >= min_count) | (F.col("k") == 0))
