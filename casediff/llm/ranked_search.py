@@ -35,7 +35,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ TOP = 20
 #: Distinct terms of the queries that are answered together; their dictionary goes to every task.
 BLOCK_TERMS = 200_000
 #: Documents and postings of a segment at most (a single document may have more postings).
-SEGMENT_DOCS, SEGMENT_POSTINGS = 16_384, 1_500_000
+SEGMENT_DOCS, SEGMENT_POSTINGS = 8_192, 400_000
 #: Documents scored in each segment to find a query's threshold, times ``top``.
 SEEDS = 8
 #: Terms are runs of ASCII letters, digits and bytes beyond ASCII, after A-Z were lower-cased.
@@ -78,7 +79,7 @@ def terms_of(text: str | None) -> Iterator[list[bytes]]:
         at = end
 
 
-def _packed(a: list | np.ndarray, kind) -> bytes:
+def _packed(a, kind) -> bytes:
     return np.asarray(a, dtype=kind).tobytes()
 
 
@@ -88,7 +89,7 @@ def build(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id",
 
     def index(batches):
         known, part, made = sent.value, TaskContext.get().partitionId(), 0
-        ids, nulls, lengths, found_terms, found_docs, found_tfs = [], [], [], [], [], []
+        ids, nulls, lengths, found_terms, found_docs, found_tfs = (array(kind) for kind in "qbqiiq")
 
         def segment():
             nonlocal made
@@ -101,7 +102,7 @@ def build(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id",
                    np.array(found_tfs, dtype=np.int64)[order].tobytes()]
             made += 1
             for held in (ids, nulls, lengths, found_terms, found_docs, found_tfs):
-                held.clear()
+                del held[:]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=SEGMENT_NAMES)
 
         for b in batches:
@@ -329,9 +330,10 @@ def thresholds(index: DataFrame, queries: list[Query], of_query: list[list[int]]
     def score(batches):
         asked, pairs = sent.value
         for _, s in _segments(batches):
-            for (q, terms), own in zip(asked, pairs, strict=True):
-                found = seeds(s, terms, own, top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q)), pa.array(found)], names=["q", "score"])
+            some = [(q, seeds(s, terms, own, top)) for (q, terms), own in zip(asked, pairs, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([q for q, _ in some], [len(x) for _, x in some])),
+                 pa.array(np.concatenate([x for _, x in some]))], names=["q", "score"])
 
     found = index.mapInArrow(score, "q bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
@@ -354,11 +356,13 @@ def _answer(docs: DataFrame, queries: list[tuple[int, Counter]], top: int, id_co
     def look(batches):
         mine, pairs, own, least = sent.value
         for _, s in _segments(batches):
-            for (q, terms), numbers in zip(mine, own, strict=True):
-                d, score, _ = best(s, terms, numbers, pairs, top, least.get(q, 0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(d), q)), pa.array(s.ids[d], mask=s.null_ids[d]), pa.array(score)],
-                    names=["q", "doc_id", "score"])
+            some = [(q, *best(s, terms, numbers, pairs, top, least.get(q, 0))[:2])
+                    for (q, terms), numbers in zip(mine, own, strict=True)]
+            d = np.concatenate([x for _, x, _ in some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([q for q, _, _ in some], [len(x) for _, x, _ in some])),
+                 pa.array(s.ids[d], mask=s.null_ids[d]), pa.array(np.concatenate([x for _, _, x in some]))],
+                names=["q", "doc_id", "score"])
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return (index.mapInArrow(look, "q bigint, doc_id bigint, score bigint")
