@@ -80,3 +80,69 @@ def best_k(scores: DataFrame) -> int:
     """The k with the highest CV score (smallest k on ties)."""
     r = scores.orderBy(F.col("score").desc(), F.col("k")).first()
     return int(r["k"])
+
+
+# -- tuning of the learner (E2, E3, second stage) ---------------------------------------
+
+#: The flags of the learner and the feature that its one-feature adapter reads: the difference
+#: itself, the case in the interleaved layout (V1), the appended distance (V3).
+FLAGS = {"plain": "dx", "context": "x", "distance": "dist"}
+
+
+def cv_learner_scores(cases: DataFrame, k_fit: Sequence[int], k_predict: Sequence[int], *, index: int = 0,
+                      n_folds: int = 10, seed: int = 0, spec: DistanceSpec = EUCLIDEAN,
+                      strategy: str = "auto") -> DataFrame:
+    """Second stage of E3: ``k_fit, k_predict, flag, weighted, score`` (mean over the folds of -MAE) of the
+    difference regressor with least squares on one feature (``index`` of the vector).
+
+    One join finds every case's nearest cases in each fold, at the largest k; without fold ``v`` its
+    neighbours are the first of the other folds' lists.  So no join is repeated for a fold.  The
+    adapters of all folds and settings come from one aggregate of additive sums per (fold left out,
+    rank): those of ``kFit`` are the sums over the ranks up to it."""
+    k_max = max(*k_fit, *k_predict)
+    at = index + 1 if index >= 0 else index
+    flat = with_folds(cases, n_folds, seed).withColumn("v", F.element_at("x", at))
+    near = knn_join(flat, flat, k_max, exclude_self=True, spec=spec, by="fold", strategy=strategy,
+                    carry=[("n_y", "y"), ("n_v", "v")], keep=[("q_y", "y"), ("q_v", "v"), ("q_fold", "fold")])
+    neighbour = F.struct("d2r", "neighbour_id", "fold", "dist", "n_y", "n_v")
+    lists = near.groupBy("query_id", "q_y", "q_v", "q_fold").agg(F.sort_array(F.collect_list(neighbour)).alias("all"))
+    # without fold v: at most k_max of n_folds * k_max neighbours
+    out = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("left_out")
+    lists = lists.select("query_id", "q_y", "q_v", "q_fold", "all", out)
+    first = F.slice(F.filter("all", lambda n: n["fold"] != F.col("left_out")), 1, k_max)
+    pairs = lists.select("query_id", "q_y", "q_v", "q_fold", "left_out", F.posexplode(first).alias("pos", "n"))
+    pairs = pairs.select("query_id", "q_y", "q_fold", "left_out", (F.col("pos") + 1).alias("rank"), F.col("n.dist").alias("dist"),
+                         F.col("n.n_y").alias("n_y"), (F.col("q_v") - F.col("n.n_v")).alias("dx"), F.col("q_v").alias("x"))
+    flags = F.explode(F.array(*[F.struct(F.lit(name).alias("flag"), F.col(col).cast("double").alias("f"))
+                                for name, col in FLAGS.items()])).alias("s")
+    dy = F.col("q_y") - F.col("n_y")
+    train = pairs.where(F.col("q_fold") != F.col("left_out")).select("left_out", "rank", dy.alias("dy"), flags).select(
+        "left_out", "rank", "dy", "s.flag", "s.f")
+    sums = train.groupBy("left_out", "flag", "rank").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("f").alias("sx"), F.sum("dy").alias("sy"),
+        F.sum(F.col("f") * F.col("f")).alias("sxx"), F.sum(F.col("f") * F.col("dy")).alias("sxy"))
+    ks = F.array(*[F.lit(int(k)) for k in sorted(set(k_fit))])
+    sums = sums.withColumn("k_fit", F.explode(F.filter(ks, lambda k: k >= F.col("rank"))))
+    sums = sums.groupBy("left_out", "flag", "k_fit").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
+    # a feature whose variance is rounding error counts as constant
+    den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(den > 1e-9 * F.col("n") * F.col("sxx"), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(0.0)
+    fits = sums.withColumn("slope", slope).select(
+        "left_out", "flag", "k_fit", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
+    # all adapters: folds x flags x kFit rows, a number of settings
+    check = pairs.where(F.col("q_fold") == F.col("left_out")).select(
+        "query_id", "q_y", "left_out", "rank", "dist", "n_y", flags).select(
+        "query_id", "q_y", "left_out", "rank", "dist", "n_y", "s.flag", "s.f")
+    scored = check.join(F.broadcast(fits), ["left_out", "flag"])
+    value = F.col("n_y") + F.col("slope") * F.col("f") + F.col("intercept")
+    kp = F.array(*[F.lit(int(k)) for k in sorted(set(k_predict))])
+    scored = scored.withColumn("value", value).withColumn("k_predict", F.explode(F.filter(kp, lambda k: k >= F.col("rank"))))
+    w = 1.0 / (F.col("dist") + 1e-8)
+    pred = scored.groupBy("left_out", "query_id", "q_y", "k_fit", "k_predict", "flag").agg(
+        F.avg("value").alias("plain_mean"), (F.sum(w * F.col("value")) / F.sum(w)).alias("weighted_mean"))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("weighted"), F.col("plain_mean").alias("p")),
+                             F.struct(F.lit(True).alias("weighted"), F.col("weighted_mean").alias("p")))).alias("m")
+    pred = pred.select("left_out", "q_y", "k_fit", "k_predict", "flag", both)
+    per_fold = pred.groupBy("left_out", "k_fit", "k_predict", "flag", "m.weighted").agg(
+        (-F.avg(F.abs(F.col("m.p") - F.col("q_y")))).alias("s"))
+    return per_fold.groupBy("k_fit", "k_predict", "flag", "weighted").agg(F.avg("s").alias("score"))

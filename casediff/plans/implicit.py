@@ -8,8 +8,8 @@ predict:  K4 N nearest per class (K5: one; K6: N random, seeded) ->
           pair ``[pool case : query]`` -> that class's adapter (L5) ->
           vote over all classes (A5; ties -> first class, then nearest).
 
-Per-class training is a driver loop over the classes (each ``fit`` is
-distributed); class skew does not concentrate work in one task because the
+Modes and trees are fitted and scored for all classes at once; ``pyspark.ml``
+learners in a driver loop over the classes (each ``fit`` is distributed).  Class skew does not concentrate work in one task because the
 kNN join is blocked by a hash of the id, not by class.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from casediff.operators import differences as D
 from casediff.operators import vote as V
-from casediff.operators.adapters import MLClassAdapter
+from casediff.operators.adapters import MLClassAdapter, TreeAdapter
 from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join, random_order
 from casediff.operators.prep import MAX_VOCABULARY
 
@@ -50,6 +50,7 @@ class ImplicitModel:
     classes: list
     adapters: dict = field(default_factory=dict)   # class -> MLClassAdapter
     modes: DataFrame | None = None                 # (cls, mode_label) for adapter="mode"
+    trees: TreeAdapter | None = None               # one tree a class, for adapter="tree"
     n_neighbours: int = 5
     single_pair: bool = False
     random_pairs: bool = False
@@ -80,6 +81,8 @@ class ImplicitModel:
         """L5 on any ``(query_id, cls, ..., pair)`` table."""
         if self.modes is not None:
             return cand.join(self.modes, "cls").withColumnRenamed("mode_label", "pred")
+        if self.trees is not None:
+            return self.trees.score(cand, "pair").withColumnRenamed("dhat", "pred")
         # One filtered read per class: keep the candidates (recomputable on loss).
         cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         self.held.append(cand)
@@ -105,9 +108,27 @@ def fit_implicit(cases: DataFrame, *, adapter: str | object = "mode", n_neighbou
                  spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto",
                  hidden_layer_sizes=(100,), max_iter: int = 200,
                  parallel_fits: int = 4) -> ImplicitModel:
-    """Fit the implicit classifier on ``(id, x, y)`` with y a class label."""
+    """Fit the implicit classifier on ``(id, x, y)`` with y a class label.
+
+    ``adapter``: ``"mode"`` (the class's most frequent target label) and ``"tree"`` or a
+    ``TreeAdapter`` serve all classes in one job; a ``pyspark.ml`` learner or ``"mlp"`` is
+    fitted per class from the driver."""
     # Read once per class and for the pools: keep it (recomputable on loss).
     pairs = case_pairs(cases, spec=spec, strategy=strategy).persist(StorageLevel.MEMORY_AND_DISK)
+    if adapter in ("mode", "tree") or isinstance(adapter, TreeAdapter):
+        model = ImplicitModel(pools=class_pools(cases, pairs), classes=[], n_neighbours=n_neighbours,
+                              single_pair=single_pair, random_pairs=random_pairs, seed=seed,
+                              spec=spec, strategy=strategy, held=[pairs])
+        if adapter == "mode":
+            counts = pairs.groupBy("src_class", "label").agg(F.count(F.lit(1)).alias("n"))
+            model.modes = counts.groupBy(F.col("src_class").alias("cls")).agg(
+                F.min_by("label", F.struct((-F.col("n")).alias("nn"), F.col("label").alias("l")))
+                .alias("mode_label"))
+            return model
+        trees = adapter if isinstance(adapter, TreeAdapter) else TreeAdapter()
+        model.trees = TreeAdapter(trees.depth, trees.bins, group="cls").fit(
+            pairs.withColumnRenamed("src_class", "cls"), "pair", "label")
+        return model
     n_cls = pairs.select("src_class").distinct().count()
     if n_cls > MAX_VOCABULARY:
         raise ValueError(f"{n_cls} classes; too many for per-class adapters")
@@ -116,12 +137,6 @@ def fit_implicit(cases: DataFrame, *, adapter: str | object = "mode", n_neighbou
     model = ImplicitModel(pools=pools, classes=classes, n_neighbours=n_neighbours,
                           single_pair=single_pair, random_pairs=random_pairs, seed=seed,
                           spec=spec, strategy=strategy, held=[pairs])
-    if adapter == "mode":
-        counts = pairs.groupBy("src_class", "label").agg(F.count(F.lit(1)).alias("n"))
-        model.modes = counts.groupBy(F.col("src_class").alias("cls")).agg(
-            F.min_by("label", F.struct((-F.col("n")).alias("nn"), F.col("label").alias("l")))
-            .alias("mode_label"))
-        return model
     est = adapter if not isinstance(adapter, str) else None
 
     def fit_one(cls):

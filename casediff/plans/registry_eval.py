@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casediff.operators.adapters import MLAdapter, OlsAdapter
+from casediff.operators.adapters import LinearAdapter, OlsAdapter, TreeAdapter
 from casediff.operators.discretise import EqualFrequency
 from casediff.operators.knn import knn_join
 from casediff.operators.prep import fit_preparation, fold_of, train_test_split
 from casediff.plans import evaluate as E
 from casediff.plans import learner as L
-from casediff.plans.cases import (K, PART_D2, PART_SCHEMA, PART_SQL, bucket_sql, embedding_cases,
+from casediff.plans.cases import (K, EMB_D2, EMB_SQL, PART_D2, PART_SCHEMA, PART_SQL, bucket_sql, embedding_cases,
                                   knn_sql, ols_sql, part_cases, r5, r6, rank_key_sql, sql_r5, sql_r6)
+from casediff.plans.learner_sql import ridge_sql, score_sql, tree_score_sql, tree_sql
 from casediff.plans.estimators import DifferenceClassifier, DifferenceRegressor
 from casediff.plans.registry import _with, register
 from casediff.plans.registry_metrics import (_CV_SQL, _DOC_K1_CV, _DOC_K2_CV, _DOC_SQL, _K7_SQL,
@@ -111,11 +112,22 @@ def u7_custom_metric(spark, sf):
     return model.predictions(te).select("id", r6("prediction").alias("prediction"))
 
 
-@register("U1_lr_linear")
+_LINEAR_PAIRS = """
+dp1 AS (SELECT list_transform(list_zip(a.x, b.x), lambda p: p[1] - p[2]) AS x, a.y - b.y AS y
+        FROM nn1 JOIN tr a ON a.id = nn1.query_id JOIN tr b ON b.id = nn1.neighbour_id),
+dp2 AS (SELECT nn2.query_id, sqrt(nn2.d2) AS dist, b.y AS ny,
+               list_transform(list_zip(q.x, b.x), lambda p: p[1] - p[2]) AS x
+        FROM nn2 JOIN te q ON q.id = nn2.query_id JOIN tr b ON b.id = nn2.neighbour_id)"""
+
+
+@register("U1_lr_linear", _with(PART_SQL, _P_K1, _P_K2, _LINEAR_PAIRS, ridge_sql("dp1")) + f"""
+SELECT query_id AS id, {sql_r6('sum((1.0 / (dist + 1e-8)) * (ny + ' + score_sql("x") + ')) / sum(1.0 / (dist + 1e-8))')} AS prediction
+FROM dp2, solved GROUP BY query_id""")
 def u1_lr_linear(spark, sf):
-    """LR with a ``pyspark.ml`` linear regression adapter (rows-only check)."""
+    """LR with a ridge adapter on all difference features."""
     tr, te = part_cases(spark, sf)
-    return DifferenceRegressor(adapter=MLAdapter()).fit(tr).predictions(te)
+    model = DifferenceRegressor(adapter=LinearAdapter()).fit(tr)
+    return model.predictions(te).select("id", r6("prediction").alias("prediction"))
 
 
 @register("U2_lc_mlp")
@@ -127,13 +139,23 @@ def u2_lc_mlp(spark, sf):
     return est.fit(tr).predictions(te)
 
 
-@register("L2_classifier_adapter")
+_E_K1 = knn_sql("en1", "etr", "etr", EMB_D2, K, True)
+_E_K2 = knn_sql("en2", "ete", "etr", EMB_D2, K, False)
+_EMB_DIFFS = """
+ed1 AS (SELECT 0 AS g, list_transform(list_zip(a.x, b.x), lambda p: p[1] - p[2]) AS x, (a.y - b.y)::DOUBLE AS label
+        FROM en1 JOIN etr a ON a.id = en1.query_id JOIN etr b ON b.id = en1.neighbour_id),
+ed2 AS (SELECT 0 AS g, en2.query_id, en2.neighbour_id,
+               list_transform(list_zip(q.x, b.x), lambda p: p[1] - p[2]) AS x
+        FROM en2 JOIN ete q ON q.id = en2.query_id JOIN etr b ON b.id = en2.neighbour_id)"""
+
+
+@register("L2_classifier_adapter", _with(EMB_SQL, _E_K1, _E_K2, _EMB_DIFFS, tree_sql("ed1"), tree_score_sql("ed2", "query_id, neighbour_id")) + """
+SELECT query_id, neighbour_id, pred::DOUBLE AS dhat FROM scored""")
 def l2_classifier_adapter(spark, sf):
-    """L2 on its own: difference classes predicted for the query pairs (rows-only)."""
-    from casediff.operators.adapters import MLClassAdapter
+    """L2 on its own: a tree on the differences gives a class difference for every query pair."""
     tr, te = embedding_cases(spark, sf)
-    diffs = L.training_differences(tr, K)
-    a = L.fit_adapter(diffs, MLClassAdapter(hidden_layer_sizes=(16,), max_iter=30))
+    diffs = L.training_differences(tr, K).withColumn("dy", F.col("dy").cast("double"))
+    a = L.fit_adapter(diffs, TreeAdapter())
     return L.scored_query_pairs(te, tr, K, a).select("query_id", "neighbour_id", "dhat")
 
 
@@ -172,12 +194,41 @@ def e2_grid(spark, sf):
     return _cv_scores(spark, sf).select("k", r5("score").alias("score"))
 
 
-@register("E3_two_stage_tuning", _with(PART_SQL, _CV) + """
-SELECT CAST(best_k AS INTEGER) AS best_k FROM best""")
+K_FIT = (1, 3, 5)
+_STAGE_TWO = f"""
+fv AS (SELECT range AS v FROM range(10)),
+per_fold_nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, n_fold ORDER BY {rank_key_sql('d2')}, neighbour_id) AS fr
+                FROM (SELECT a.id AS query_id, b.id AS neighbour_id, a.fold AS q_fold, b.fold AS n_fold, a.y AS q_y, b.y AS n_y,
+                             a.z AS q_z, b.z AS n_z, ({PART_D2}) AS d2
+                      FROM f a JOIN f b ON a.id <> b.id)) WHERE fr <= {max(GRID)}),
+loo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY {rank_key_sql('d2')}, neighbour_id) AS rank
+        FROM per_fold_nn JOIN fv ON n_fold <> v) WHERE rank <= {max(GRID)}),
+lp AS (SELECT v, query_id, q_fold, q_y, n_y, rank, sqrt(d2) AS dist,
+              unnest([{{'flag': 'plain', 'x': q_z - n_z}}, {{'flag': 'context', 'x': q_z}}, {{'flag': 'distance', 'x': sqrt(d2)}}]) AS s FROM loo),
+kf AS (SELECT unnest({list(K_FIT)}) AS k_fit),
+ls AS (SELECT v, s.flag AS flag, k_fit, count(*) AS n, sum(s.x) AS sx, sum(q_y - n_y) AS sy, sum(s.x * s.x) AS sxx,
+              sum(s.x * (q_y - n_y)) AS sxy FROM lp JOIN kf ON rank <= k_fit WHERE q_fold <> v GROUP BY ALL),
+lc AS (SELECT *, CASE WHEN n * sxx - sx * sx > 1e-9 * n * sxx THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0.0 END AS slope FROM ls),
+lf AS (SELECT v, flag, k_fit, slope, (sy - slope * sx) / n AS icpt FROM lc),
+lv AS (SELECT lp.v, query_id, q_y, k_fit, k AS k_predict, lf.flag, dist, n_y + slope * s.x + icpt AS value
+       FROM lp JOIN lf ON lf.v = lp.v AND lf.flag = s.flag JOIN grid ON rank <= k WHERE q_fold = lp.v),
+lq AS (SELECT v, query_id, q_y, k_fit, k_predict, flag,
+              unnest([{{'w': FALSE, 'p': avg(value)}}, {{'w': TRUE, 'p': sum(value / (dist + 1e-8)) / sum(1.0 / (dist + 1e-8))}}]) AS m
+       FROM lv GROUP BY v, query_id, q_y, k_fit, k_predict, flag),
+lo AS (SELECT v, k_fit, k_predict, flag, m.w AS weighted, -avg(abs(m.p - q_y)) AS s FROM lq GROUP BY ALL)"""
+
+
+@register("E3_two_stage_tuning", _with(PART_SQL, _CV, _STAGE_TWO) + f"""
+SELECT best_k::INTEGER AS best_k, k_fit::INTEGER AS k_fit, k_predict::INTEGER AS k_predict, flag, weighted,
+       {sql_r5('avg(s)')} AS score FROM lo, best GROUP BY ALL""")
 def e3_two_stage(spark, sf):
-    """Stage one tunes k of the kNN baseline; its best k is what stage two reuses."""
-    scores = _cv_scores(spark, sf).withColumn("score", F.round("score", 9))
-    return spark.range(1).select(F.lit(E.best_k(scores)).cast("int").alias("best_k"))
+    """Stage one tunes k of the kNN baseline (``best_k``); stage two scores the learner over kFit, kPredict (that k
+    and the others of the grid), V1 / V3 and the weighting, in 10 folds."""
+    tr, _ = part_cases(spark, sf)
+    best = E.best_k(_cv_scores(spark, sf).withColumn("score", F.round("score", 9)))
+    scores = E.cv_learner_scores(tr, K_FIT, GRID, n_folds=10, seed=0)
+    return scores.select(F.lit(best).cast("int").alias("best_k"), F.col("k_fit").cast("int").alias("k_fit"),
+                         F.col("k_predict").cast("int").alias("k_predict"), "flag", "weighted", r5("score").alias("score"))
 
 
 _P_K2_MAX = knn_sql("nn2", "te", "tr", PART_D2, max(GRID), False)
@@ -255,28 +306,26 @@ def e9_mean(spark, sf):
         "n_runs", r5("mean").alias("mean_neg_mae"))
 
 
-@register("B5_direct_model")
+@register("B5_direct_model", _with(PART_SQL, ridge_sql("tr")) + f"""
+SELECT id, {sql_r6(score_sql("x"))} AS prediction FROM te, solved""")
 def b5_direct_model(spark, sf):
-    """The adapter's learner on raw features (rows-only)."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
+    """The linear adapter on raw features."""
     tr, te = part_cases(spark, sf)
-    lr = LinearRegression(featuresCol="v", labelCol="y", regParam=1e-6)
-    m = lr.fit(tr.select(array_to_vector("x").alias("v"), "y"))
-    return m.transform(te.select("id", array_to_vector("x").alias("v"))).select("id", "prediction")
+    a = LinearAdapter().fit(tr, "x", "y")
+    return a.score(te, "x").select("id", r6("dhat").alias("prediction"))
+
+
+_PART_SEGMENTS = """
+pq AS (SELECT quantile_cont(y, [0.0, 1.0 / 3, 2.0 / 3, 1.0]) AS e FROM tr),
+b6 AS (SELECT 0 AS g, x, CAST(y >= e[1] AS INTEGER) + CAST(y >= e[2] AS INTEGER) + CAST(y >= e[3] AS INTEGER) AS label FROM tr, pq),
+b6t AS (SELECT 0 AS g, id, x FROM te)"""
 
 
-@register("B6_direct_on_segments")
+@register("B6_direct_on_segments", _with(PART_SQL, _PART_SEGMENTS, tree_sql("b6"), tree_score_sql("b6t", "id")) + """
+SELECT id, pred::INTEGER AS segment FROM scored""")
 def b6_direct_on_segments(spark, sf):
-    """A perceptron on the equal-frequency segments of the target (rows-only)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """A tree on the equal-frequency segments of the target."""
     tr, te = part_cases(spark, sf)
     ef = EqualFrequency(3).fit(tr, "y")
-    train = tr.select(array_to_vector("x").alias("v"), (ef.segment("y") - 1).cast("double").alias("seg"))
-    width = train.select(F.size(vector_to_array("v"))).first()[0]
-    mlp = MultilayerPerceptronClassifier(featuresCol="v", labelCol="seg", layers=[width, 8, ef.n],
-                                         maxIter=30, seed=0)
-    m = mlp.fit(train)
-    return m.transform(te.select("id", array_to_vector("x").alias("v"))).select(
-        "id", (F.col("prediction") + 1).cast("int").alias("segment"))
+    a = TreeAdapter().fit(tr.withColumn("seg", ef.segment("y")), "x", "seg")
+    return a.score(te, "x").select("id", F.col("dhat").cast("int").alias("segment"))

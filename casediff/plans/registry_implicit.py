@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from casediff.operators.discretise import EqualFrequency, EqualWidth
 from casediff.operators.knn import knn_join
 from casediff.operators.prep import train_test_split
+from casediff.operators.adapters import TreeAdapter
 from casediff.plans import implicit as I
+from casediff.plans.learner_sql import tree_score_sql, tree_sql
 from casediff.plans.cases import (EMB_D2, EMB_SQL, PART_D2, PART_SQL, bucket_sql,
                                   embedding_cases, knn_sql, part_cases, r6, sql_r6)
 from casediff.plans.registry import _with, register
@@ -180,10 +182,24 @@ def u3_implicit(spark, sf):
     return a5_implicit_vote(spark, sf)
 
 
-@register("L3_per_class_models")
+_PAIR_ROWS = """
+prs AS (SELECT b.y AS g, list_concat(b.x, a.x) AS x, a.y AS label
+        FROM p1 JOIN etr a ON a.id = p1.query_id JOIN etr b ON b.id = p1.neighbour_id)"""
+_PAIR_CANDIDATES = """
+prc AS (SELECT k4.cls AS g, k4.query_id, k4.rank, list_concat(pool.x, q.x) AS x
+        FROM k4 JOIN ete q ON q.id = k4.query_id JOIN pool ON pool.id = k4.neighbour_id)"""
+_TREE_VOTE = """
+SELECT query_id, pred AS prediction FROM (
+  SELECT query_id, pred, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, o) AS r FROM (
+    SELECT query_id, pred, count(*) AS c, min(g * 1000000 + rank) AS o FROM scored GROUP BY query_id, pred))
+WHERE r = 1"""
+
+
+@register("L3_per_class_models", _with(EMB_SQL, _E_K1_1, _POOLS, _E_K4, _PAIR_ROWS, _PAIR_CANDIDATES, tree_sql("prs"),
+                                       tree_score_sql("prc", "query_id, g, rank")) + _TREE_VOTE)
 def l3_per_class_models(spark, sf):
-    """U3 with one multilayer perceptron per source class (rows-only check)."""
-    m, te = _implicit(spark, sf, adapter="mlp", hidden_layer_sizes=(16,), max_iter=25)
+    """U3 with one tree per source class, all fitted and scored at once."""
+    m, te = _implicit(spark, sf, adapter="tree")
     return m.predict(te)
 
 
@@ -266,17 +282,40 @@ def r5_one_per_class(spark, sf):
     return m.predict(te)
 
 
-@register("R1_pair_classifier")
+_E_QN = knn_sql("qn", "ete", "etr", EMB_D2, N_PER_CLASS, False)
+
+
+def _r_sql(with_class: bool) -> str:
+    more = ", [(b.y)::DOUBLE]" if with_class else ", []::DOUBLE[]"
+    return f"""
+rp AS (SELECT 0 AS g, list_concat(list_concat(b.x, a.x){more}) AS x, a.y AS label
+       FROM p1 JOIN etr a ON a.id = p1.query_id JOIN etr b ON b.id = p1.neighbour_id),
+rq AS (SELECT 0 AS g, qn.query_id, qn.rank, list_concat(list_concat(b.x, q.x){more}) AS x
+       FROM qn JOIN ete q ON q.id = qn.query_id JOIN etr b ON b.id = qn.neighbour_id)"""
+
+
+_R_VOTE = """
+SELECT query_id, pred AS prediction FROM (
+  SELECT query_id, pred, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, o) AS r FROM (
+    SELECT query_id, pred, count(*) AS c, min(rank) AS o FROM scored GROUP BY query_id, pred))
+WHERE r = 1"""
+
+
+def _r_query(with_class: bool) -> str:
+    return _with(EMB_SQL, _E_K1_1, _E_QN, _r_sql(with_class), tree_sql("rp"), tree_score_sql("rq", "query_id, rank")) + _R_VOTE
+
+
+@register("R1_pair_classifier", _r_query(False))
 def r1_pair_classifier(spark, sf):
-    """One classifier on ``[neighbour : base]`` (rows-only)."""
+    """One classifier, a tree, on ``[neighbour : base]``."""
     tr, te = embedding_cases(spark, sf)
-    a = I.fit_pair_classifier(tr)
+    a = I.fit_pair_classifier(tr, adapter=TreeAdapter())
     return I.predict_pair_classifier(a, tr, te, N_PER_CLASS)
 
 
-@register("R2_pair_classifier_with_class")
+@register("R2_pair_classifier_with_class", _r_query(True))
 def r2_pair_classifier_class(spark, sf):
-    """As R1 with the neighbour's class as an extra feature (rows-only)."""
+    """As R1 with the neighbour's class as an extra feature."""
     tr, te = embedding_cases(spark, sf)
-    a = I.fit_pair_classifier(tr, with_class=True)
+    a = I.fit_pair_classifier(tr, with_class=True, adapter=TreeAdapter())
     return I.predict_pair_classifier(a, tr, te, N_PER_CLASS, with_class=True)
