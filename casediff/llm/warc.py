@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import math
 import posixpath
 import re
 import uuid
@@ -188,8 +189,10 @@ def read_records(index: DataFrame, gap: int = GAP, most: int = READ, chunk: int
         if source is not None:
             source.close()
 
+    # as many tasks as the archives have chunks; the index alone is too small for Spark to tell
+    size = index.agg(F.sum("length")).first()[0] or 0
     dealt = index.select("file", "offset", "length").repartition(
-        F.col("file"), F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")
+        max(1, math.ceil(size / chunk)), F.col("file"), F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, RECORD)
 
 
