@@ -11,8 +11,13 @@ and the text elements of drawings are text in the line.  Blocks start on lines o
 tables with a blank line around; list items are marked and indented by depth;
 table cells are padded so that columns line up; ``pre`` keeps its white space.
 
-All state is a stack and the text so far, without recursion, so deep nesting and
-very long pages are only as large as themselves.
+All state is a stack, the places of the open elements by tag, and the text so far,
+without recursion; tags are found in one pass.  So time grows with the page, also
+with deep nesting and unclosed quotes: a tag that never ends takes the rest of the
+page, as in a browser.  The text is at most ``12`` times as long as the page:
+a cell is padded to ``WIDE`` characters at most (a longer one breaks the alignment of
+its own row), lists are indented ``DEEP_LISTS`` levels at most, and tables nested
+deeper than ``DEEP_CELLS`` are laid out as blocks.
 
 Edge cases: a null or empty page gives empty text; repeated rows each get a row;
 an empty table gives an empty result; other columns are ignored.
@@ -29,21 +34,26 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN_ATTRIBUTES = re.compile(r"""[^>"']*""")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in
            ("script", "style", "textarea", "title", "noscript", "iframe", "template", "object")}
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-NUMBER = re.compile(r"\s*(\d{1,3})")
+NUMBER = re.compile(r"\s*(\d+)")
+#: Limits of the attributes, as in HTML.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Padding of a cell, depth of indentation, and open cells at most.
+WIDE, DEEP_LISTS, DEEP_CELLS = 32, 16, 32
+#: Columns that line up.
+COLUMNS = 100
 BLANK = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div article section nav aside header footer main address form fieldset li dt dd tr td th thead tbody "
     "tfoot caption figcaption details summary hr center legend menu dir option".split())
-INVISIBLE = frozenset("head datalist audio video canvas".split())
+INVISIBLE = frozenset("head datalist audio video canvas rp".split())
 #: Shown in the line, set off from what stands beside them.
 CONTROLS = frozenset("button textarea select".split())
 #: Drawings show their text elements only, formulas all but these.
@@ -58,6 +68,7 @@ BREAKOUT = BLOCKS | frozenset(
 #: A start tag ends these open elements, up to the nearest of the third column.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "rt": (("rt", "rp"), ("ruby",)), "rp": (("rt", "rp"), ("ruby",)),
     "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select", "datalist")),
     "tr": (("tr", "td", "th", "caption"), ("table",)),
     "td": (("td", "th", "caption"), ("tr", "table")), "th": (("td", "th", "caption"), ("tr", "table")),
@@ -96,26 +107,42 @@ def style_hides(style: str) -> bool:
     return found.get("display", "  ")[1] == "none" or found.get("visibility", "  ")[1] in ("hidden", "collapse")
 
 
+def number(value: str | None, least: int, most: int) -> int:
+    """An attribute's whole number within bounds; the lower one where it has none."""
+    found = NUMBER.match(value or "")
+    return min(max(int(found[1][:9]), least), most) if found else least
+
+
 class Flow:
-    """Lines of laid-out text."""
+    """Lines of laid-out text; the last one in parts."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.space = [], "", False, False
+        self.lines, self.gap, self.space = [], False, False
+        self.set("")
+
+    def set(self, line: str) -> None:
+        self.parts, self.last, self.shows = [line], line[-1:], bool(line.strip())
+
+    def add(self, s: str) -> None:
+        if s:
+            self.parts.append(s)
+            self.last, self.shows = s[-1], self.shows or bool(s.strip())
 
     def text(self, s: str) -> None:
         words = BLANK.sub(" ", s)
         if words == " " or not words:
             self.space = self.space or bool(words)
             return
-        if (self.space or words[0] == " ") and self.line and not self.line.endswith(" "):
-            self.line += " "
-        self.line += words.strip(" ")
+        if (self.space or words[0] == " ") and self.last and self.last != " ":
+            self.add(" ")
+        self.add(words.strip(" "))
         self.space = words[-1] == " "
 
     def end_line(self) -> None:
-        if self.line.strip():
-            self.put(self.line.rstrip())
-        self.line, self.space = "", False
+        if self.shows:
+            self.put("".join(self.parts).rstrip())
+        self.set("")
+        self.space = False
 
     def put(self, line: str) -> None:
         if self.gap and self.lines:
@@ -132,30 +159,46 @@ class Flow:
         return self.lines
 
 
-def align(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns spanned) as lines whose columns line up."""
-    widths: dict[int, int] = {}
+def align(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (text, columns spanned, rows spanned) as lines whose first ``COLUMNS`` columns line up."""
+    placed, widths, columns = [], {}, 0
+    taken: dict[int, int] = {}  # for a column, the rows that a cell above still reaches into
     for row in rows:
-        at = 0
-        for cell, span in row:
-            if span == 1:
+        out, at, new = [], 0, {}
+        for cell, span, down in row:
+            free = at
+            while taken.get(free, 0):
+                free += 1
+            if free > at:
+                out.append((at, free, ""))
+            at = free
+            if span == 1 and len(cell) <= WIDE:
                 widths[at] = max(widths.get(at, 0), len(cell))
+            out.append((at, at + span, cell))
+            columns = max(columns, min(at + 1, COLUMNS))
+            if down > 1:
+                new.update(dict.fromkeys(range(at, min(at + span, COLUMNS)), down - 1))
             at += span
-    out = []
-    for row in rows:
-        line, at = "", 0
-        for cell, span in row:
-            width = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
-            line += (" | " if at else "") + cell.ljust(width)
-            at += span
-        out.append(line.rstrip())
-    return [x for x in out if x.strip(" |")]
+        taken = {i: n - 1 for i, n in taken.items() if n > 1} | new
+        placed.append(out)
+    lines = []
+    for row in placed:
+        line = []
+        for at, end, cell in row:
+            width, i = -3, at
+            while i < min(end, columns) and width < WIDE:
+                width += widths.get(i, 0) + 3
+                i += 1
+            line.append(cell.ljust(min(max(width, 0), WIDE)))
+        lines.append(" | ".join(line).rstrip())
+    return [x for x in lines if x.strip(" |")]
 
 
 class Layout:
     def __init__(self):
         self.flow = Flow()
         self.open: list[tuple] = []  # (tag, what to do at its end, ``foreign`` around it)
+        self.places: dict[str, list[int]] = {}  # by tag, its places in ``open``
         self.flows: list[Flow] = []  # flows around the open cells, selects and options
         self.selects: list[tuple[bool, list]] = []  # (all options shown, options so far) of the open selects
         self.tables: list[list] = []  # rows of the open tables
@@ -164,14 +207,14 @@ class Layout:
         self.foreign = ""  # "svg", "text" in a drawing, "math", or empty in HTML
 
     def start(self, tag: str, attrs: str) -> None:
-        if tag == "html" and self.open or tag in ("head", "body") and any(t == tag for t, *_ in self.open):
+        if tag == "html" and self.open or tag in ("head", "body") and self.places.get(tag):
             return None
         if tag not in HEAD_CONTENT:
             self.end_head()
         if self.foreign and tag in BREAKOUT:
             while self.foreign:
                 self.pop()
-        if tag == "select" and any(t == "select" for t, *_ in self.open):
+        if tag == "select" and self.places.get("select"):
             return self.end("select")
         if tag in IMPLIED:
             ends, walls = IMPLIED[tag]
@@ -181,6 +224,9 @@ class Layout:
         given = attributes(attrs) if attrs else {}
         hidden = tag in INVISIBLE or "hidden" in given or style_hides(given.get("style", "")) or (
             tag == "dialog" and "open" not in given)
+        if self.open and isinstance(self.open[-1][1], list):  # in a closed details element only its first summary shows
+            hidden = hidden or tag != "summary" or self.open[-1][1][0]
+            self.open[-1][1][0] = self.open[-1][1][0] or tag == "summary"
         around, inside = self.foreign, self.foreign
         if tag in ("svg", "math"):
             inside = tag
@@ -197,7 +243,7 @@ class Layout:
         if tag in VOID:
             if not self.invisible and not hidden:
                 if tag == "br":
-                    if self.flow.line.strip():
+                    if self.flow.shows:
                         self.flow.end_line()
                 elif tag == "hr":
                     self.flow.paragraph()
@@ -215,8 +261,7 @@ class Layout:
                 self.flow = Flow()
                 state = ("option", given)
             elif tag == "select":
-                size = NUMBER.match(given.get("size", ""))
-                self.selects.append(("multiple" in given or bool(size) and int(size[1]) > 1, []))
+                self.selects.append(("multiple" in given or number(given.get("size"), 1, 1000) > 1, []))
                 self.flows.append(self.flow)
                 self.flow = Flow()
                 state = "select"
@@ -231,53 +276,56 @@ class Layout:
                     self.lists[-1][1] += 1
                     if self.lists[-1][0]:
                         mark = f"{self.lists[-1][1]}. "
-                self.flow.line = "  " * max(0, len(self.lists) - 1) + mark
+                self.flow.set("  " * min(max(0, len(self.lists) - 1), DEEP_LISTS) + mark)
             elif tag == "dd":
-                self.flow.line = "  "
+                self.flow.set("  ")
+            elif tag == "details" and "open" not in given:
+                state = [False]
             elif tag == "pre":
                 self.pre += 1
                 state = "pre"
-            elif tag == "table":
+            elif tag == "table" and len(self.flows) < DEEP_CELLS:
                 self.tables.append([])
                 state = "table"
-            elif tag == "tr" and self.tables:
+            elif tag == "tr" and self.tables and len(self.flows) < DEEP_CELLS:
                 self.tables[-1].append([])
-            elif tag in ("td", "th") and self.tables:
+            elif tag in ("td", "th") and self.tables and len(self.flows) < DEEP_CELLS:
                 if not self.tables[-1]:
                     self.tables[-1].append([])
-                span = NUMBER.match(given.get("colspan", ""))
                 self.flows.append(self.flow)
                 self.flow = Flow()
-                state = ("cell", max(1, int(span[1])) if span else 1)
+                # no row spanned: down to the last
+                state = ("cell", number(given.get("colspan"), 1, MOST_COLUMNS),
+                         (number(given.get("rowspan"), 0, MOST_ROWS) or MOST_ROWS) if "rowspan" in given else 1)
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, state, around))
         self.foreign = inside
         return None
 
+    def highest(self, tags) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def end(self, tag: str) -> None:
-        if tag == "p" and not any(t == "p" for t, *_ in self.open):
+        at = self.highest((tag,))
+        if tag == "p" and at < 0:
             if not self.invisible:
                 self.flow.paragraph()
             return
         if tag == "br":
             return self.start("br", "")
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self.pop()
-                return None
-            if self.open[i][0] in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return None
+        if at < 0 or tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") and self.highest(WALLS) > at:
+            return None
+        while len(self.open) > at:
+            self.pop()
         return None
 
     def close_open(self, ends: tuple, walls: tuple) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in walls:
+        while (at := self.highest(ends)) > self.highest(walls):
+            while len(self.open) > at:
+                self.pop()
+            if len(ends) < 2:
                 return
-            if self.open[i][0] in ends:
-                while len(self.open) > i:
-                    self.pop()
-                if len(ends) < 2:
-                    return
 
     def end_head(self) -> None:
         if self.open and self.open[-1][0] == "head":
@@ -285,6 +333,7 @@ class Layout:
 
     def pop(self) -> None:
         tag, state, around = self.open.pop()
+        self.places[tag].pop()
         inside, self.foreign = self.foreign, around
         if state == "hidden":
             self.invisible -= 1
@@ -316,7 +365,7 @@ class Layout:
         elif state and state[0] == "cell":
             cell = " ".join(x.strip() for x in self.flow.result() if x.strip())
             self.flow = self.flows.pop()
-            self.tables[-1][-1].append((cell, state[1]))
+            self.tables[-1][-1].append((cell, *state[1:]))
         elif tag in PARAGRAPHS:
             self.flow.paragraph()
         elif tag in BLOCKS:
@@ -340,49 +389,77 @@ class Layout:
         s = unescape(s) if "&" in s else s
         if s.strip(" \t\n\r\f"):
             self.end_head()
-        if self.invisible or self.foreign == "svg" or not s:
+        if self.invisible or self.foreign == "svg" or not s or self.open and isinstance(self.open[-1][1], list):
             return
         if self.pre:
             first, *rest = s.split("\n")
-            self.flow.line += first
+            self.flow.add(first)
             for line in rest:
-                self.flow.put(self.flow.line.rstrip())
-                self.flow.line = line
+                self.flow.put("".join(self.flow.parts).rstrip())
+                self.flow.set(line)
         else:
             self.flow.text(s)
 
 
+def next_tag(html: str, at: int) -> tuple[int, int, str, str, str] | None:
+    """(start, end, ``""``, ``"start"`` or ``"end"``, name, attributes) of the next comment or tag from ``at`` on.
+
+    One that never ends takes the rest of the page."""
+    size = len(html)
+    while (i := html.find("<", at)) >= 0:
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            return i, size if end < 0 else end + 3, "", "", ""
+        if html.startswith(("<!", "<?"), i):
+            end = html.find(">", i)
+            return i, size if end < 0 else end + 1, "", "", ""
+        if name := NAME.match(html, i + 2) if html.startswith("</", i) else None:
+            end = html.find(">", name.end())
+            return i, size if end < 0 else end + 1, "" if end < 0 else "end", name[0].lower(), ""
+        if name := NAME.match(html, i + 1):
+            end = PLAIN_ATTRIBUTES.match(html, name.end()).end()
+            while end < size and html[end] != ">":
+                closing = html.find(html[end], end + 1)
+                end = size if closing < 0 else PLAIN_ATTRIBUTES.match(html, closing + 1).end()
+            return i, min(end + 1, size), "start" if end < size else "", name[0].lower(), html[name.end():end]
+        at = i + 1
+    return None
+
+
 def render(html: str | None) -> str:
     """The visible text of a page."""
-    page, at = Layout(), 0
+    page, at, seen = Layout(), 0, 0
     html = html or ""
     last: dict[str, int] = {}  # where the last end tag of a tag of ENDED begins
-    while m := TAG.search(html, at):
-        if m.start() > at:
-            page.data(html[at:m.start()])
-        at = m.end()
-        if m[1]:
-            page.end(m[1].lower())
-        elif m[2]:
-            tag = m[2].lower()
+    never: set[str] = set()  # raw elements without another end tag
+    while found := next_tag(html, at):
+        begin, end, kind, tag, attrs = found
+        if begin > seen:
+            page.data(html[seen:begin])
+        at = seen = end
+        if kind == "end":
+            page.end(tag)
+        elif kind == "start":
             closed = RAW_END.get(tag)
             if tag not in HEAD_CONTENT:
                 page.end_head()
-            if tag in ENDED and not m[3].endswith("/"):
+            if tag in ENDED and not attrs.endswith("/"):
                 if tag not in last:
                     last[tag] = max((x.start() for x in re.finditer(rf"</{tag}\s*>", html, re.I)), default=-1)
                 if last[tag] < at:
                     continue
             if closed is None:
-                page.start(tag, m[3])
-            elif not m[3].endswith("/"):
-                end = closed.search(html, at)
+                page.start(tag, attrs)
+            elif not attrs.endswith("/"):
+                stop = closed.search(html, at) if tag not in never else None
+                if stop is None:
+                    never.add(tag)
                 if tag == "textarea":
-                    page.start(tag, m[3])
-                    page.data(html[at:end.start() if end else len(html)])
+                    page.start(tag, attrs)
+                    page.data(html[at:stop.start() if stop else len(html)])
                     page.end(tag)
-                at = end.end() if end else len(html)
-    page.data(html[at:])
+                at = seen = stop.end() if stop else len(html)
+    page.data(html[seen:])
     while page.open:
         page.pop()
     return "\n".join(page.flow.result())
