@@ -12,8 +12,18 @@ from llm_helpers import SF, docs  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casediff.llm import decontaminate, near_dedup, packing, quality, secrets, substring_dedup, token_counts, wordhash
-from casediff.llm.tokens import Encoder, load
+from casediff.llm import (
+    decontaminate,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    tokens,
+    wordhash,
+)
+from casediff.llm.tokens import Counter, Encoder, load
 from casediff.session import scratch_path
 
 
@@ -82,6 +92,40 @@ def test_token_cache(spark, docs):
     assert token_counts.open_cache(spark, path).count() == 6
 
 
+def test_counts_by_word_equal_library(spark):
+    """All texts of sf0.01 and made-up ones, against the library on whole texts."""
+    t, counter, rng = load(token_counts.TOKENIZER), Counter(token_counts.TOKENIZER), random.Random(2)
+    assert counter.by_word
+    letters = [chr(c) for c in range(32, 127)] + list("\n\t\r  ''äßéèøÀÿ×÷ªº") + ["’", "\u00a0", "\x0b", "日", "<|endoftext|>", "'RE", "'ll"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(4000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert [counter(x) for x in texts] == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert len(counter.known) > 1000 and max(map(len, counter.known)) <= Counter.LONG_WORD
+    assert not Counter("byte_bpe_50k.json").by_word
+
+
+def test_counts_in_pieces_with_few_words_remembered(monkeypatch):
+    t, texts = load(token_counts.TOKENIZER), ["It's 'd ''s ab12 it'll-we've?! " * 20, "x" * 300 + " y"]
+    monkeypatch.setattr(tokens, "PIECE", 5)
+    monkeypatch.setattr(Counter, "REMEMBERED", 3)
+    assert [Counter(token_counts.TOKENIZER)(x) for x in texts] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "a", "7", "!"])
+def test_packing_ids_of_very_long_runs(run):
+    """A run of a million characters of one kind overflows one of the libraries; the other takes it."""
+    fast, slow = Encoder(packing.TOKENIZER, packing.RANKS), load(packing.TOKENIZER)
+    n = 1_000_000 if run.isspace() else 60_000
+    text = "a " + run * (n // len(run)) + " b"
+    assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_five_million_blanks(spark, docs):
+    rows = [(1, "a" + " " * 5_000_000 + "b"), (2, "short")]
+    pieces = packing.pack(docs(rows)).collect()
+    check_pieces(rows, pieces)
+
+
 def removed(texts, width):
     seen, out = set(), {}
     for i in sorted(texts):

@@ -140,3 +140,14 @@ def test_html():
     assert html_layout.render(page) == (
         "A & B\n\none\n\ntwo bold end\nnext\n\n- a\n- b\n  1. x\n  2. y\n\nName  | Qty\nApple | 1\n\n k\n  z\n\ntail")
     assert html_layout.render("<td>x</td><a href='") and html_layout.render("<!-- open") == ""
+
+
+def test_archives_are_read_in_as_many_tasks_as_chunks(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, f"http://h/{i}", "".join(chr(97 + (i * j * j) % 26) for j in range(3000))) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    index = warc.archive(pages, scratch_path(spark, "warc"))
+    size = index.agg(F.sum("length")).first()[0]
+    back = warc.read_records(index, chunk=8 << 10)
+    assert back.rdd.getNumPartitions() == -(-size // (8 << 10)) > 4
+    assert back.count() == 200
