@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from casediff.operators.adapters import make_adapter
 from casediff.operators.knn import EUCLIDEAN
 from casediff.plans import learner as L
+from casediff.plans import persistence as P
 from casediff.session import checkpoint_root
 
 _ALIASES = {
@@ -48,6 +49,9 @@ class _DiffParams(Params):
                            typeConverter=TypeConverters.toBoolean)
     strategy = Param(Params._dummy(), "strategy", "kNN plan: auto | broadcast | tiles",
                      typeConverter=TypeConverters.toString)
+    clampToKnown = Param(Params._dummy(), "clampToKnown",
+                         "classification: a predicted label outside the known ones becomes the nearest known one",
+                         typeConverter=TypeConverters.toBoolean)
     checkpointCases = Param(Params._dummy(), "checkpointCases",
                             "cut the case base's lineage with a reliable checkpoint",
                             typeConverter=TypeConverters.toBoolean)
@@ -55,7 +59,7 @@ class _DiffParams(Params):
     def __init__(self):
         super().__init__()
         self._setDefault(kFit=5, kPredict=5, context=False, duplicate=False,
-                         distanceColumn=False, strategy="auto", checkpointCases=False)
+                         distanceColumn=False, strategy="auto", checkpointCases=False, clampToKnown=False)
 
     def set_params(self, **kw):
         """U8: set by reference or Spark name; unknown names raise."""
@@ -160,8 +164,28 @@ class DifferenceModel(Model, _DiffParams):
                                       self.adapter, self._variant(), spec=self._spec,
                                       strategy=self.getOrDefault(self.strategy))
         pred = L.aggregate(scored, self.task, self.getOrDefault(self.weighted))
+        if self.task == "classification" and self.getOrDefault(self.clampToKnown):
+            pred = L.clamp_to_known(pred, self.cases.select("y"))
         return dataset.join(pred.withColumnRenamed("query_id", "id"), "id", "left")
 
     def predictions(self, dataset: DataFrame) -> DataFrame:
         """``(id, prediction)`` only."""
         return self._transform(dataset).select("id", "prediction")
+
+    def save(self, path: str) -> None:
+        """Write the model below ``path``: cases as Parquet, adapter, metric and parameters as metadata."""
+        spark = self.cases.sparkSession
+        P.write_table(self.cases, f"{path}/cases")
+        P.save_adapter(spark, self.adapter, f"{path}/adapter")
+        P.save_spec(spark, self._spec, f"{path}/spec")
+        P.write_json(spark, f"{path}/metadata", {"task": self.task, "params": {
+            p.name: self.getOrDefault(p) for p in self.params if self.isDefined(p)}})
+
+    @classmethod
+    def load(cls, spark, path: str) -> "DifferenceModel":
+        meta = P.read_json(spark, f"{path}/metadata")
+        model = cls(P.read_table(spark, f"{path}/cases"), P.load_adapter(spark, f"{path}/adapter"), meta["task"],
+                    P.load_spec(spark, f"{path}/spec"))
+        for name, value in meta["params"].items():
+            model.set(model.getParam(name), value)
+        return model

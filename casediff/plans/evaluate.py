@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from casediff.operators import vote as V
 from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join
 from casediff.operators.prep import fold_of
+from casediff.operators.sampling import stratified_folds
 
 
 def accuracy(df: DataFrame, pred: str, label: str) -> DataFrame:
@@ -39,19 +40,22 @@ def target_variance(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.var_pop(F.col(label)).alias("var_y"))
 
 
-def with_folds(cases: DataFrame, n_folds: int = 10, seed: int = 0) -> DataFrame:
-    """Fold column from the seeded hash of the id."""
+def with_folds(cases: DataFrame, n_folds: int = 10, seed: int = 0, stratify: str | None = None) -> DataFrame:
+    """Fold column from the seeded hash of the id; with ``stratify``, the rows of each value of that column are
+    dealt evenly over the folds."""
+    if stratify is not None:
+        return stratified_folds(cases, stratify, n_folds, seed)
     return cases.withColumn("fold", fold_of("id", n_folds, seed))
 
 
 def cv_knn_scores(cases: DataFrame, ks: Sequence[int], *, task: str, weighted: bool,
                   n_folds: int = 10, seed: int = 0, spec: DistanceSpec = EUCLIDEAN,
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "auto", stratify: str | None = None) -> DataFrame:
     """E1 + E2 for the kNN baselines: ``(k, score)`` with the fold-mean score.
 
     Score is ``neg_mae`` for regression and ``accuracy`` for classification.
     """
-    folded = with_folds(cases, n_folds, seed)
+    folded = with_folds(cases, n_folds, seed, stratify)
     k_max = max(ks)
     pairs = knn_join(folded, folded, k_max, exclude_self=True, spec=spec,
                      carry=[("n_y", "y")], keep=[("q_y", "y"), ("q_fold", "fold")],

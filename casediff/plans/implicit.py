@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from casediff.operators import differences as D
 from casediff.operators import vote as V
 from casediff.operators.adapters import MLClassAdapter, TreeAdapter
-from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join, random_order
+from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join
 from casediff.operators.prep import MAX_VOCABULARY
+from casediff.operators.sampling import random_cases
 
 
 def case_pairs(cases: DataFrame, *, spec: DistanceSpec = EUCLIDEAN, strategy: str = "auto") -> DataFrame:
@@ -67,9 +68,12 @@ class ImplicitModel:
     def candidates(self, queries: DataFrame) -> DataFrame:
         """K4 / K5 / K6 with the pair vector: ``(query_id, cls, neighbour_id, rank, dist, pair)``."""
         n = 1 if self.single_pair else self.n_neighbours
-        spec = random_order(self.seed) if self.random_pairs else self.spec
-        c = knn_join(queries, self.pools, n, by="cls", spec=spec, strategy=self.strategy,
-                     keep=[("q_x", "x")], carry=[("n_x", "x")])
+        if self.random_pairs:
+            c = random_cases(queries, self.pools, n, "cls", seed=self.seed, keep=[("q_x", "x")],
+                             carry=[("n_x", "x")]).withColumn("dist", F.lit(None).cast("double"))
+        else:
+            c = knn_join(queries, self.pools, n, by="cls", spec=self.spec, strategy=self.strategy,
+                         keep=[("q_x", "x")], carry=[("n_x", "x")])
         return c.select("query_id", "cls", "neighbour_id", "rank", "dist",
                         D.case_pair().alias("pair"))
 

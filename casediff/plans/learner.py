@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casediff.operators import differences as D
@@ -124,6 +124,23 @@ def fit_predict(train: DataFrame, test: DataFrame, *, task: str, adapter: Adapte
     return aggregate(scored, task, weighted)
 
 
+def clamp_to_known(predictions: DataFrame, labels: DataFrame, out: str = "prediction") -> DataFrame:
+    """Predictions outside the known labels ``y`` become the nearest of them (ties: the smaller).
+
+    The labels are sorted once and looked up from both sides; only distinct predictions meet them."""
+    known = labels.select(F.col("y").cast("double").alias("v")).distinct().withColumn("known", F.col("v"))
+    asked = predictions.select(F.col(out).cast("double").alias("v")).distinct()
+    both = asked.withColumn("known", F.lit(None).cast("double")).unionByName(known)
+    # distinct labels and predictions only: as many rows as there are classes and sums of class differences
+    order = Window.orderBy("v")
+    below = F.last("known", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.first("known", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = both.select("v", "known", below.alias("lo"), above.alias("hi")).where(F.col("known").isNull()).select(
+        F.col("v").alias("_v"), F.when(F.col("lo").isNull() | (F.col("hi") - F.col("v") < F.col("v") - F.col("lo")), F.col("hi"))
+        .otherwise(F.col("lo")).alias("_near"))
+    return predictions.join(near, F.col(out).cast("double") == F.col("_v"), "left").withColumn(out, F.col("_near")).drop("_v", "_near")
+
+
 # -- kNN baselines (B1-B4) -------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from casediff.operators.adapters import LinearAdapter, OlsAdapter, TreeAdapter
 from casediff.operators.discretise import EqualFrequency
 from casediff.operators.knn import knn_join
 from casediff.operators.prep import fit_preparation, fold_of, train_test_split
+from casediff.operators.sampling import stratified_folds
 from casediff.plans import evaluate as E
 from casediff.plans import learner as L
 from casediff.plans.cases import (K, EMB_D2, EMB_SQL, PART_D2, PART_SCHEMA, PART_SQL, bucket_sql, embedding_cases,
@@ -183,6 +184,13 @@ def e1_folds(spark, sf):
     return tr.select("id", fold_of("id", 10, 0).alias("fold"))
 
 
+@register("E1_stratified_folds", _with(EMB_SQL) + f"""
+SELECT id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {bucket_sql('id', 0)}, id) - 1) % 10 AS INTEGER) AS fold FROM etr""")
+def e1_stratified(spark, sf):
+    tr, _ = embedding_cases(spark, sf)
+    return stratified_folds(tr, "y", 10, 0).select("id", "y", "fold")
+
+
 def _cv_scores(spark, sf):
     tr, _ = part_cases(spark, sf)
     return E.cv_knn_scores(tr, GRID, task="regression", weighted=False, n_folds=10, seed=0)

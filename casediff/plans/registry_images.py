@@ -13,6 +13,7 @@ from casediff.operators import vote as V
 from casediff.operators.knn import knn_join
 from casediff.operators.prep import train_test_split
 from casediff.plans import images as IM
+from casediff.plans.implicit_estimators import ImageClassifier, ImageRegressor
 from casediff.plans.cases import K, bucket_sql, knn_sql, r6, sql_r6
 from casediff.plans.registry import _with, register
 from casediff.sources.images import flatten_image, pseudo_image
@@ -133,7 +134,9 @@ def a6_image_vote(spark, sf):
 @register("U5_image_classifier", _with(_IMG_SQL, _I_K2, _SCORED, _A6) + f"""
 SELECT query_id, {sql_r6('prediction')} AS prediction FROM a6""")
 def u5_image_classifier(spark, sf):
-    return a6_image_vote(spark, sf)
+    tr, te = image_cases(spark, sf)
+    model = ImageClassifier(IM.PixelBandModel(), SHAPE, kPredict=K).fit(tr)
+    return model.predictions(te).select(F.col("id").alias("query_id"), r6("prediction").alias("prediction"))
 
 
 _A7 = """
@@ -151,7 +154,9 @@ def a7_image_mean(spark, sf):
 @register("U6_image_regressor", _with(_IMG_SQL, _I_K2, _SCORED, _A7) + f"""
 SELECT query_id, {sql_r6('prediction')} AS prediction FROM a7""")
 def u6_image_regressor(spark, sf):
-    return a7_image_mean(spark, sf)
+    tr, te = image_cases(spark, sf)
+    model = ImageRegressor(IM.MeanPixelModel(), SHAPE, kPredict=K).fit(tr)
+    return model.predictions(te).select(F.col("id").alias("query_id"), r6("prediction").alias("prediction"))
 
 
 @register("A8_round_label", _with(_IMG_SQL, _I_K2, _SCORED, _A7) + """

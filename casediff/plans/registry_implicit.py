@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casediff.operators.discretise import EqualFrequency, EqualWidth
-from casediff.operators.knn import knn_join
+from casediff.operators.knn import knn_join, random_order
 from casediff.operators.prep import train_test_split
 from casediff.operators.adapters import TreeAdapter
 from casediff.plans import implicit as I
+from casediff.plans.implicit_estimators import ImplicitClassifier, ImplicitRegressor
 from casediff.plans.learner_sql import tree_score_sql, tree_sql
 from casediff.plans.cases import (EMB_D2, EMB_SQL, PART_D2, PART_SQL, bucket_sql,
                                   embedding_cases, knn_sql, part_cases, r6, sql_r6)
@@ -142,11 +143,25 @@ def k5_single(spark, sf):
 @register("K6_random_per_class", _with(EMB_SQL, _E_K1_1, _POOLS, _E_K6) + """
 SELECT query_id, cls, neighbour_id, rank FROM k6""")
 def k6_random(spark, sf):
-    m, te = _implicit(spark, sf, random_pairs=True, seed=RANDOM_SEED)
-    c = m.candidates(te)
+    """Random order of all pairs by a hash (the sampled form is ``K6_random_positions``)."""
+    m, te = _implicit(spark, sf)
+    c = knn_join(te, m.pools, N_PER_CLASS, by="cls", spec=random_order(RANDOM_SEED))
     return c.select("query_id", "cls", "neighbour_id", "rank")
 
 
+@register("K6_random_positions", _with(EMB_SQL, _E_K1_1, _POOLS) + f"""
+, np AS (SELECT id, cls, row_number() OVER (PARTITION BY cls ORDER BY {bucket_sql('id', RANDOM_SEED)}, id) - 1 AS pos,
+                count(*) OVER (PARTITION BY cls) AS n FROM pool),
+nc AS (SELECT cls, max(n) AS n FROM np GROUP BY cls),
+dr AS (SELECT q.id AS query_id, cls, j + 1 AS rank, ({bucket_sql('q.id', RANDOM_SEED)} + j) % n AS pos
+       FROM ete q, nc, range({N_PER_CLASS}) t(j) WHERE j < n)
+SELECT dr.query_id, dr.cls, np.id AS neighbour_id, dr.rank::INTEGER AS rank FROM dr JOIN np ON np.cls = dr.cls AND np.pos = dr.pos""")
+def k6_positions(spark, sf):
+    """Random cases per class by position: work is N a class and query."""
+    m, te = _implicit(spark, sf, random_pairs=True, seed=RANDOM_SEED)
+    return m.candidates(te).select("query_id", "cls", "neighbour_id", "rank")
+
+
 _MODES = """
 modes AS (SELECT cls, label AS mode_label FROM (
   SELECT b.y AS cls, a.y AS label, row_number() OVER (PARTITION BY b.y ORDER BY count(*) DESC, a.y) AS o
@@ -179,7 +194,9 @@ def a5_implicit_vote(spark, sf):
 
 @register("U3_implicit_classifier", _with(EMB_SQL, _E_K1_1, _POOLS, _E_K4, _MODES, _L5) + _A5)
 def u3_implicit(spark, sf):
-    return a5_implicit_vote(spark, sf)
+    tr, te = embedding_cases(spark, sf)
+    model = ImplicitClassifier(nNeighbours=N_PER_CLASS, adapter="mode").fit(tr)
+    return model.predictions(te).select(F.col("id").alias("query_id"), "prediction")
 
 
 _PAIR_ROWS = """
@@ -225,10 +242,8 @@ l5 AS (SELECT pk4.query_id, pk4.cls, pk4.rank, modes.mode_label AS pred FROM pk4
 """ + _A5)
 def u4_implicit_regressor(spark, sf):
     tr, te = part_cases(spark, sf)
-    ef = EqualFrequency(3).fit(tr, "y")
-    trs = tr.withColumn("y", ef.segment("y"))
-    m = I.fit_implicit(trs, n_neighbours=N_PER_CLASS)
-    return m.predict(te)
+    model = ImplicitRegressor(nNeighbours=N_PER_CLASS, adapter="mode", nSegments=3).fit(tr)
+    return model.predictions(te).select(F.col("id").alias("query_id"), "prediction")
 
 
 # -- report-only variants R0-R5 (embeddings) ------------------------------------------
