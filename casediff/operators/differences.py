@@ -7,7 +7,6 @@ carried (``n_x``, ``n_y``), so no extra join is needed.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +86,11 @@ def with_duplication_weight(diffs: DataFrame) -> DataFrame:
 
 
 def duplicate_by_distance(diffs: DataFrame) -> DataFrame:
-    """D6 as row copies: rows with weight 0 are dropped, others repeated."""
-    w = with_duplication_weight(diffs.persist(StorageLevel.MEMORY_AND_DISK))
+    """D6 as row copies: rows with weight 0 are dropped, others repeated.
+
+    The two bounds come from an aggregate of their own; nothing stays cached (a caller
+    that reads ``diffs`` often keeps it, as ``training_differences`` does)."""
+    w = with_duplication_weight(diffs)
     return w.where(F.col("weight") > 0).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
 

@@ -81,8 +81,8 @@ class DistanceSpec:
     HVDM numeric part); ``"clip"`` adds ``min(1, |a-b|)^2`` and counts a null
     as 1 (CVDHM, M5).
     ``tables``: one square matrix per nominal code column holding the
-    *squared* per-feature contribution for each pair of codes.  The last code
-    of each matrix is "unknown" (null or unseen).
+    *squared* per-feature contribution for each pair of codes, or an object that computes
+    them (``vdm.ProfileTable``).  The last code of each is "unknown" (null or unseen).
     ``final``: ``"sqrt"`` (M1, M3, M7) or ``"half"`` (``sum / 2``, M6).
     ``random_seed``: when set, the "distance" is a seeded hash of the pair,
     so the top-k is a random sample per query (K6).
@@ -94,7 +94,7 @@ class DistanceSpec:
     random_seed: int | None = None
 
     def nbytes(self) -> int:
-        return int(sum(np.asarray(t).nbytes for t in self.tables))
+        return int(sum(t.nbytes if hasattr(t, "nbytes") else np.asarray(t).nbytes for t in self.tables))
 
     def unknown(self) -> tuple[int, ...]:
         """The code of a missing value, per nominal feature."""
@@ -145,7 +145,10 @@ def _exact_sq(qx, cx, qc, cc, spec: DistanceSpec) -> np.ndarray:
         np.multiply(tmp, tmp, out=tmp)
         d2 += tmp
     for f, table in enumerate(spec.tables):
-        d2 += np.asarray(table)[qc[:, f][:, None], cc[:, f][None, :]]
+        if hasattr(table, "matrix"):
+            d2 += table.matrix(qc[:, f], cc[:, f])
+        else:
+            d2 += np.asarray(table)[qc[:, f][:, None], cc[:, f][None, :]]
     return d2
 
 
@@ -159,7 +162,7 @@ def _pair_sq(qx, cx, qc, cc, rows, cols, spec: DistanceSpec) -> np.ndarray:
         diff[np.isnan(diff)] = 1.0
         d2 += diff * diff
     for f, table in enumerate(spec.tables):
-        d2 += np.asarray(table)[qc[rows, f], cc[cols, f]]
+        d2 += table.pairs(qc[rows, f], cc[cols, f]) if hasattr(table, "pairs") else np.asarray(table)[qc[rows, f], cc[cols, f]]
     return d2
 
 

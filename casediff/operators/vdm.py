@@ -21,15 +21,18 @@ from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casediff.operators.knn import DistanceSpec
 
-# Largest vocabulary of a nominal feature: its lookup has V^2 rows and its kernel
-# table V^2 doubles (8 MiB at 1024 values).
+# Up to so many values of a feature its kernel table is a V x V matrix (8 MiB); more are
+# compared by their class profiles.  A full lookup has V^2 rows, which is its output.
 MAX_VALUES = 1024
-MAX_CLASSES = 1024
+MAX_PAIR_VALUES = 20_000
+# Counts (feature, value, class) that the driver gathers for a metric, at most.
+MAX_CELLS = 4_000_000
 
 
 def value_class_counts(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -48,9 +51,9 @@ def _check_vocabulary(cnt: DataFrame) -> None:
     """Pairs of values grow as V^2: refuse before they are built."""
     sizes = cnt.groupBy("feature").agg(F.countDistinct("value").alias("n")).collect()
     for r in sizes:
-        if r["n"] > MAX_VALUES:
+        if r["n"] > MAX_PAIR_VALUES:
             raise ValueError(f"nominal feature {r['feature']} has {r['n']} values "
-                             f"(> {MAX_VALUES}); its value-pair lookup would not be bounded")
+                             f"(> {MAX_PAIR_VALUES}); its lookup of all value pairs would not be bounded")
 
 
 def _value_pairs(vals: DataFrame) -> DataFrame:
@@ -97,25 +100,31 @@ def vdm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return d2.select("feature", "v1", "v2", F.sqrt("d2").alias("d"))
 
 
-def cvdhm_lookup(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def cvdhm_lookup(df: DataFrame, features: Sequence[str], label: str, sparse: bool = False) -> DataFrame:
     """M4 / M8: ``(feature, v1, v2, d)`` with ``p = P(value | class)``; equal values -> 0.
 
     ``sum_c |p_a - p_b| = t_a + t_b - 2 sum_c min(p_a, p_b)`` with
-    ``t = sum_c p``; the min term only needs shared classes.
+    ``t = sum_c p``; the min term only needs shared classes.  ``sparse``: only the pairs that
+    share a class, for a lookup that takes 1 for all others (which is their distance);
+    it has no bound on the number of values.
     """
     cnt = value_class_counts(df, features, label)
-    _check_vocabulary(cnt)
+    if not sparse:
+        _check_vocabulary(cnt)
     ncls = df.where(F.col(label).isNotNull()).groupBy(
         F.col(label).cast("string").alias("cls")).agg(F.count(F.lit(1)).alias("nc"))
     p = cnt.join(ncls, "cls").select("feature", "value", "cls",
                                      (F.col("n") / F.col("nc")).alias("p"))
     t = p.groupBy("feature", "value").agg(F.sum("p").alias("t"))
-    pairs = _value_pairs(t)
     pa = p.select("feature", "cls", F.col("value").alias("v1"), F.col("p").alias("pa"))
     pb = p.select("feature", "cls", F.col("value").alias("v2"), F.col("p").alias("pb"))
     shared = _dealt(pa, "v1").join(_dealt(pb, None), ["feature", "cls", "deal"]).groupBy("feature", "v1", "v2").agg(
         F.sum(F.least("pa", "pb")).alias("m"))
-    j = pairs.join(shared, ["feature", "v1", "v2"], "left")
+    if sparse:
+        of = lambda v, out: t.select("feature", F.col("value").alias(v), F.col("t").alias(out))
+        j = shared.join(of("v1", "t_a"), ["feature", "v1"]).join(of("v2", "t_b"), ["feature", "v2"])
+    else:
+        j = _value_pairs(t).join(shared, ["feature", "v1", "v2"], "left")
     den = F.col("t_a") + F.col("t_b")
     num = den - 2.0 * F.coalesce(F.col("m"), F.lit(0.0))
     return j.select("feature", "v1", "v2",
@@ -135,50 +144,115 @@ class NominalEncoding:
         out = []
         for f in self.features:
             vocab = self.vocabularies[f]
-            pos = F.array_position(F.array(*[F.lit(v) for v in vocab]),
-                                   F.col(f).cast("string")) if vocab else F.lit(0)
-            out.append(F.when(pos > 0, pos - 1).otherwise(F.lit(len(vocab))).cast("int"))
+            value = F.col(f).cast("string")
+            if len(vocab) <= LITERALS:
+                pos = F.array_position(F.array(*[F.lit(v) for v in vocab]), value) if vocab else F.lit(0)
+                out.append(F.when(pos > 0, pos - 1).otherwise(F.lit(len(vocab))).cast("int"))
+            else:
+                out.append(_code_of(vocab)(value))
         return F.array(*out) if out else F.array().cast("array<int>")
 
 
-def _probability_tables(df: DataFrame, features: Sequence[str], label: str, given: str):
-    """Bounded collect of per-value class statistics: ``{feature: (values, P)}``.
+# Values of a feature that are written into a plan; more are looked up in Arrow batches.
+LITERALS = 256
 
-    ``given="value"``: ``P[v, c] = P(c | v)`` (VDM); ``given="class"``:
-    ``P[v, c] = P(v | c)`` (CVDHM).  At most ``MAX_VALUES x MAX_CLASSES`` numbers per
-    feature reach the driver; the value-pair tables are then formed in NumPy, so
-    no pair rows are emitted by Spark.
-    """
-    cls_rows = (df.where(F.col(label).isNotNull())
-                .groupBy(F.col(label).cast("string").alias("cls")).count()
-                .limit(MAX_CLASSES + 1).collect())
-    if len(cls_rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    classes = sorted(r["cls"] for r in cls_rows)
-    cidx = {c: i for i, c in enumerate(classes)}
-    class_n = np.zeros(len(classes))
-    for r in cls_rows:
+
+def _code_of(vocab: list[str]):
+    """A column function: the place of a value in the vocabulary, its length for others and nulls."""
+    numbers = {v: i for i, v in enumerate(vocab)}
+
+    @F.pandas_udf("int")
+    def code(values: pd.Series) -> pd.Series:
+        return values.map(numbers).fillna(len(numbers)).astype("int32")
+
+    return code
+
+
+def _profiles(df: DataFrame, features: Sequence[str], label: str, given: str):
+    """Class profiles of the values: ``{feature: (values, number of value, number of class, p)}``, one entry for
+    each pair of value and class that occurs, and the number of classes.
+
+    ``given="value"``: ``p = P(c | v)`` (VDM); ``given="class"``: ``p = P(v | c)`` (CVDHM).  The counts are
+    bounded by ``MAX_CELLS``, checked while they are read."""
+    rows = value_class_counts(df.where(F.col(label).isNotNull()), features, label).limit(MAX_CELLS + 1).collect()
+    classes = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("cls")).count().limit(
+        MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS or len(classes) > MAX_CELLS:
+        raise ValueError(f"nominal features have more than {MAX_CELLS} pairs of value and class")
+    cidx = {c: i for i, c in enumerate(sorted(r["cls"] for r in classes))}
+    class_n = np.zeros(max(len(cidx), 1))
+    for r in classes:
         class_n[cidx[r["cls"]]] = r["count"]
-    bound = MAX_VALUES * max(1, len(classes)) * max(1, len(features))
-    rows = value_class_counts(df, features, label).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"nominal features hold more than {MAX_VALUES} values each")
     out = {}
-    for f in features:
-        fr = [r for r in rows if r["feature"] == f]
-        values = sorted({r["value"] for r in fr})
-        if len(values) > MAX_VALUES:
-            raise ValueError(f"nominal feature {f} has {len(values)} values (> {MAX_VALUES})")
+    by_feature: dict[str, list] = {f: [] for f in features}
+    for r in rows:
+        by_feature[r["feature"]].append((r["value"], cidx[r["cls"]], r["n"]))
+    for f, cells in by_feature.items():
+        values = sorted({v for v, _, _ in cells})
         vidx = {v: i for i, v in enumerate(values)}
-        n = np.zeros((len(values), len(classes)))
-        for r in fr:
-            n[vidx[r["value"]], cidx[r["cls"]]] = r["n"]
-        if given == "value":
-            p = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
-        else:
-            p = n / np.maximum(class_n[None, :], 1)
-        out[f] = (values, p)
-    return out
+        cells.sort(key=lambda t: (vidx[t[0]], t[1]))
+        v = np.array([vidx[t[0]] for t in cells], dtype=np.int64)
+        c = np.array([t[1] for t in cells], dtype=np.int64)
+        n = np.array([t[2] for t in cells], dtype=float)
+        total = np.bincount(v, n, len(values))[v] if given == "value" else class_n[c]
+        out[f] = (values, v, c, n / np.maximum(total, 1))
+    return out, len(cidx)
+
+
+class ProfileTable:
+    """Squared distances of nominal codes from their sparse class profiles, without a table of all pairs.
+
+    ``kind``: ``"vdm"`` ``sum_c (p_a - p_b)^2``, or ``"cvdhm"`` ``(sum_c |p_a - p_b| / sum_c (p_a + p_b))^2``.  Only the
+    classes that both codes have need their pairs; what each has alone comes from its sums.  The code after
+    the last is unknown and costs ``unknown``; equal codes cost 0."""
+
+    def __init__(self, kind: str, n: int, value: np.ndarray, cls: np.ndarray, p: np.ndarray, unknown: float):
+        self.kind, self.n, self.unknown = kind, n, float(unknown)
+        self.value, self.cls, self.p = value, cls, p
+        self.sums = np.bincount(value, p * p if kind == "vdm" else p, n)
+        self.starts = np.searchsorted(value, np.arange(n + 1))
+        self.nbytes = value.nbytes + cls.nbytes + p.nbytes + self.sums.nbytes + self.starts.nbytes
+
+    def __len__(self) -> int:
+        return self.n + 1
+
+    def _entries(self, codes: np.ndarray):
+        """(class, row in ``codes``, p) of the codes' profiles, by class."""
+        known = np.flatnonzero(codes < self.n)
+        size = self.starts[codes[known] + 1] - self.starts[codes[known]]
+        at = np.repeat(self.starts[codes[known]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        row = np.repeat(known, size)
+        order = np.argsort(self.cls[at], kind="stable")
+        return self.cls[at][order], row[order], self.p[at][order]
+
+    def _finish(self, shared, a, b):
+        sa, sb = (np.append(self.sums, 0.0)[x] for x in (a, b))
+        both = sa + sb
+        d = both - 2.0 * shared
+        # what is left of equal profiles is rounding error
+        d = np.where(d <= 1e-13 * both, 0.0, d)
+        if self.kind == "cvdhm":
+            d = np.divide(d, both, out=np.zeros_like(d), where=both != 0) ** 2
+        return np.where((a == self.n) | (b == self.n), self.unknown, np.where(a == b, 0.0, d))
+
+    def matrix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared distances of all pairs of two lists of codes."""
+        ua, ia = np.unique(a, return_inverse=True)
+        ub, ib = np.unique(b, return_inverse=True)
+        ca, ra, pa = self._entries(ua)
+        cb, rb, pb = self._entries(ub)
+        shared = np.zeros((len(ua), len(ub)))
+        for c in np.intersect1d(ca, cb):
+            x, y = (slice(*np.searchsorted(of, [c, c + 1])) for of in (ca, cb))
+            part = np.multiply.outer(pa[x], pb[y]) if self.kind == "vdm" else np.minimum.outer(pa[x], pb[y])
+            shared[np.ix_(ra[x], rb[y])] += part
+        return self._finish(shared, ua[:, None], ub[None, :])[ia[:, None], ib[None, :]]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared distances of codes side by side."""
+        codes, inverse = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+        found = np.array([self.matrix(x[:1], x[1:])[0, 0] for x in codes]) if len(codes) else np.empty(0)
+        return found[inverse.reshape(-1)]
 
 
 def _with_unknown(d2: np.ndarray, unknown: float) -> np.ndarray:
@@ -188,34 +262,48 @@ def _with_unknown(d2: np.ndarray, unknown: float) -> np.ndarray:
     return m
 
 
+def _dense(n_values: int, n_classes: int, v: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    out = np.zeros((n_values, n_classes))
+    out[v, c] = p
+    return out
+
+
 def hvdm_spec(train: DataFrame, nominal: Sequence[str], label: str):
     """M3: HVDM kernel spec; unseen nominal values cost ``|classes|`` (1 per class)."""
-    probs = _probability_tables(train, nominal, label, given="value")
+    profiles, n_classes = _profiles(train, nominal, label, given="value")
     tables, vocab = [], {}
     for f in nominal:
-        values, p = probs[f]
+        values, v, c, prob = profiles[f]
         vocab[f] = values
+        if max(len(values), n_classes) > MAX_VALUES:
+            tables.append(ProfileTable("vdm", len(values), v, c, prob, n_classes))
+            continue
+        p = _dense(len(values), n_classes, v, c, prob)
         d2 = np.zeros((len(values), len(values)))
-        for c in range(p.shape[1]):                 # sum over classes, left to right
-            diff = p[:, c, None] - p[None, :, c]
+        for i in range(p.shape[1]):                 # sum over classes, left to right
+            diff = p[:, i, None] - p[None, :, i]
             d2 += diff * diff
-        tables.append(_with_unknown(d2, p.shape[1]))
+        tables.append(_with_unknown(d2, n_classes))
     return NominalEncoding(tuple(nominal), vocab), DistanceSpec(numeric="sq", tables=tuple(tables),
                                                                 final="sqrt")
 
 
 def cvdhm_spec(train: DataFrame, nominal: Sequence[str], label: str, final: str = "sqrt"):
     """M6 (``final='half'``) / M7 (``'sqrt'``): CVDHM kernel spec; equal 0, unseen 1."""
-    probs = _probability_tables(train, nominal, label, given="class")
+    profiles, n_classes = _profiles(train, nominal, label, given="class")
     tables, vocab = [], {}
     for f in nominal:
-        values, p = probs[f]
+        values, v, c, prob = profiles[f]
         vocab[f] = values
+        if max(len(values), n_classes) > MAX_VALUES:
+            tables.append(ProfileTable("cvdhm", len(values), v, c, prob, 1.0))
+            continue
+        p = _dense(len(values), n_classes, v, c, prob)
         num = np.zeros((len(values), len(values)))
         den = np.zeros((len(values), len(values)))
-        for c in range(p.shape[1]):
-            num += np.abs(p[:, c, None] - p[None, :, c])
-            den += p[:, c, None] + p[None, :, c]
+        for i in range(p.shape[1]):
+            num += np.abs(p[:, i, None] - p[None, :, i])
+            den += p[:, i, None] + p[None, :, i]
         d = np.divide(num, den, out=np.zeros_like(num), where=den != 0)
         np.fill_diagonal(d, 0.0)
         tables.append(_with_unknown(d * d, 1.0))

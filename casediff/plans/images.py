@@ -48,6 +48,15 @@ def query_differences(queries: DataFrame, cases: DataFrame, k: int = 5,
                      D.image_difference().alias("diff"))
 
 
+def mean_differences(queries: DataFrame, cases: DataFrame, k: int = 5, exclude_self: bool = False,
+                     strategy: str = "auto") -> DataFrame:
+    """Per query the mean absolute difference image over its k nearest cases; ``exclude_self`` leaves out the
+    query's own image where it is a case (equal id)."""
+    nb = knn_join(as_vectors(queries), as_vectors(cases), k, exclude_self=exclude_self, strategy=strategy,
+                  keep=[("q_x", "px")], carry=[("n_x", "px")])
+    return D.mean_difference_image(nb)
+
+
 def score_with_model(pairs: DataFrame, model, shape: tuple[int, int, int],
                      outputs: Sequence[float] | None = None) -> DataFrame:
     """``dhat`` from ``model.predict(diff reshaped to (n, h, w, c))`` per Arrow batch.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casediff.operators import adapters as A
 from casediff.operators.knn import DistanceSpec
+from casediff.operators.vdm import ProfileTable
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -33,6 +34,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def save_spec(spark: SparkSession, spec: DistanceSpec, path: str) -> None:
     """The metric; its tables are one row per matrix row."""
+    if any(isinstance(t, ProfileTable) for t in spec.tables):
+        raise ValueError("a metric with class profiles is fitted again, not saved")
     write_json(spark, f"{path}/metadata", {"numeric": spec.numeric, "final": spec.final, "random_seed": spec.random_seed,
                                            "tables": len(spec.tables)})
     rows = [(f, i, [float(v) for v in row]) for f, t in enumerate(spec.tables) for i, row in enumerate(np.asarray(t))]

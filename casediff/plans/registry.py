@@ -243,6 +243,7 @@ def e7_mse(spark, sf):
 @register("E8_target_variance", _with(PART_SQL) + f"""
 SELECT {sql_r6('var_pop(y)')} AS var_y FROM te""")
 def e8_var(spark, sf):
+    """Population variance of the target over the test split (20 % of ``part``), the base line of its MSE."""
     from casediff.plans.evaluate import target_variance
     _, te = part_cases(spark, sf)
     return target_variance(te, "y").select(r6("var_y").alias("var_y"))

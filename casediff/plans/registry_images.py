@@ -94,9 +94,7 @@ SELECT query_id, CAST(pos AS INTEGER) AS pos, {sql_r6('avg(abs(ax[pos + 1] - bx[
 GROUP BY query_id, pos""")
 def d12_mean_diff_image(spark, sf):
     tr, te = image_cases(spark, sf)
-    q, c = IM.as_vectors(te), IM.as_vectors(tr)
-    pairs = knn_join(q, c, K, keep=[("q_x", "px")], carry=[("n_x", "px")])
-    m = D.mean_difference_image(pairs)
+    m = IM.mean_differences(te, tr, K)
     return m.select("query_id", F.posexplode("mean_diff")).select(
         "query_id", "pos", r6("col").alias("v"))
 
