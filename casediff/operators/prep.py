@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casediff.functions.arrays import onehot, onehot_index
@@ -155,6 +155,40 @@ def fit_nominal_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[str
     return out
 
 
+def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
+    """The most frequent value of each column (ties: the smallest); one row a column reaches the driver,
+    whatever the number of values."""
+    rows = nominal_counts(df, cols).groupBy("feature").agg(F.min_by("value", F.struct(
+        (-F.col("n")).alias("n"), F.col("value").alias("v"))).alias("mode")).collect() if cols else []
+    found = {r["feature"]: r["mode"] for r in rows}
+    return {c: found.get(c) for c in cols}
+
+
+def value_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
+    """P11 for any number of labels: ``(value, code)``, the distinct non-null values numbered from 0 in their order.
+
+    The distinct values are dealt out by range and numbered within each range, with the sizes of the ranges before
+    added; the driver sees neither values nor numbers.  They are written once, so that ranges and sizes agree."""
+    from casediff.session import scratch_path
+    spark = df.sparkSession
+    n = max(2, spark.sparkContext.defaultParallelism)
+    values = df.select(F.col(f"`{col}`").alias("value")).where(F.col("value").isNotNull()).distinct()
+    path = scratch_path(spark, "values")
+    values.repartitionByRange(n, "value").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(values.withColumn("_part", F.lit(0)).schema).parquet(path)
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("value"))
+    return dealt.join(F.broadcast(parts), "_part").select("value", (F.col("_before") + place - 1).alias(out))
+
+
+def encode_by_table(df: DataFrame, col: str, codes: DataFrame, code: str = "code") -> DataFrame:
+    """``df`` with the code of its label from ``value_codes``; unknown and null labels get null."""
+    table = codes.select(F.col("value").alias("_value"), F.col(code))
+    return df.join(table, F.col(f"`{col}`") == F.col("_value"), "left").drop("_value")
+
+
 def mode_expr(df: DataFrame, col: str) -> DataFrame:
     """P8 as a DataFrame: one row with the most frequent value (ties -> smallest)."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))

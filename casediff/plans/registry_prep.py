@@ -156,7 +156,7 @@ def p8_mode_impute(spark, sf):
     c = read_table(spark, sf, "customer").select(
         "c_custkey", F.when(F.col("c_acctbal") < 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
         .alias("segment"))
-    mode, _ = P.fit_nominal_stats(c, ["segment"])["segment"]
+    mode = P.fit_modes(c, ["segment"])["segment"]
     return c.select(F.col("c_custkey").alias("id"),
                     F.coalesce(F.col("segment"), F.lit(mode)).alias("segment"))
 
@@ -191,8 +191,7 @@ def p11_label_encode(spark, sf):
     c = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"),
                                                  F.col("c_mktsegment").alias("seg"))
     tr, _ = P.train_test_split(c, "id", 80, 2)
-    labels = P.label_vocabulary(tr, "seg")
-    return c.select("id", P.label_encode("seg", labels).alias("code"))
+    return P.encode_by_table(c, "seg", P.value_codes(tr, "seg")).select("id", F.col("code").cast("int").alias("code"))
 
 
 @register("P12_compose_features", _with(PART_SQL) + f"""

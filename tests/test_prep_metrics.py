@@ -127,3 +127,20 @@ def test_image_predict_with_external_model_and_mean_difference(spark):
                      carry=[("n_x", "px")])
     m = D.mean_difference_image(pairs).first()["mean_diff"]
     assert m == [5.0, 5.0, 5.0, 5.0]
+
+
+def test_many_labels_are_encoded_by_a_table(spark):
+    """Three times the old limit of distinct labels: numbered in their order without the driver seeing them."""
+    from pyspark.sql import functions as F
+    from casediff.operators import prep
+    n = 3 * prep.MAX_VOCABULARY
+    df = spark.range(n, numPartitions=8).select("id", F.format_string("v%07d", (F.col("id") * 7919) % n).alias("label"))
+    codes = prep.value_codes(df, "label")
+    got = prep.encode_by_table(df, "label", codes)
+    assert got.where(F.col("code") == (F.col("id") * 7919) % n).count() == n
+    odd = spark.createDataFrame([("v0000001",), ("zz",), (None,)], "label string")
+    assert [r.code for r in prep.encode_by_table(odd, "label", codes).orderBy(F.asc_nulls_last("label")).collect()] == [1, None, None]
+    assert prep.fit_modes(df.unionByName(spark.createDataFrame([(0, "v0000005")], "id bigint, label string")), ["label"]) == {
+        "label": "v0000005"}
+    assert prep.fit_modes(odd.where("label is null"), ["label"]) == {"label": None} and prep.fit_modes(odd, []) == {}
+    assert prep.value_codes(odd.where("false"), "label").count() == 0
