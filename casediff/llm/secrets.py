@@ -4,13 +4,16 @@ Base patterns are found leftmost and without overlap by Java regular
 expressions; spans are in code points.  Beyond them, long tokens are scored by
 two first-order character models, one of random strings and one of ordinary
 identifiers, and a token whose log-likelihood ratio per transition is over
-``min_ratio`` is a span of kind ``markov`` unless it touches a base span.
+the model's cut-off is a span of kind ``markov`` unless it touches a base span.
 
 Training: the values of the base spans in a bounded sample of documents
 (``train_docs``) are the labelled random strings, together with their SHA-256 in
 upper-case hex and Base64 so that the model knows those alphabets too; the
-words of the same documents outside base spans are the ordinary identifiers.
-The transition table has at most 2 x 65 x 65 cells and is all that reaches the
+words of the same documents outside base spans are the ordinary identifiers, each
+also joined to itself as identifiers are (by a sign, a capital, a number, in upper
+case), so that such transitions count as ordinary.  A quarter of the labelled
+values is held out: the cut-off is ``CUT_SHARE`` of the ratio that all but ``CUT_MISSED`` of 20-character
+Base64 strings hashed from them reach, and ``MIN_RATIO`` at least.  The transition table has at most 2 x 65 x 65 cells and is all that reaches the
 driver.  Scoring covers every whole text.
 
 Positions come from splitting a text at the matches: the lengths of the pieces
@@ -26,6 +29,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +47,8 @@ ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{4,}(?![A-Za-z0-9+/_=-])"
 #: An ``ASSIGN`` match has one of these in its lower-cased text; a search for them is many times cheaper.
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
-MIN_RATIO = 0.25
+#: Least cut-off; share of the held-out strings' low ratio that is the cut-off, and how many of them lie below that ratio.
+MIN_RATIO, CUT_SHARE, CUT_MISSED = 1.5, 0.75, 0.02
 TRAIN_DOCS = 5_000
 ALPHABET = 65
 STEP = 64
@@ -105,8 +110,21 @@ def _cells(token: Column) -> Column:
                       lambda a, b: a * ALPHABET + b)
 
 
-def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> list[float]:
-    """Log-likelihood ratio (random over ordinary) of every transition cell.
+class Model(NamedTuple):
+    """Log-likelihood ratio (random over ordinary) of every transition cell, and the cut-off per transition."""
+
+    ratios: list[float]
+    cut: float
+
+
+def _ratio(token: Column, ratios: Column) -> Column:
+    """Mean ratio of a token's transitions."""
+    cells = _cells(token)
+    return F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.get(ratios, c)) / F.size(cells)
+
+
+def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> Model:
+    """The models of a bounded sample.
 
     The sample takes rows by the hash of their id and text, about ``train_docs``
     of them (all where there are no more); every cell counts once more than seen.
@@ -120,10 +138,17 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_
         F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 12),
         F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))))
     values = t.select(value.alias("v")).distinct()
+    held = F.pmod(F.xxhash64("v"), F.lit(4)) == 0
+    unseen, values = values.where(held), values.where(~held)
     values = values.select(F.explode(F.array(
         "v", F.upper(F.sha2("v", 256)), F.base64(F.unhex(F.sha2("v", 256))))).alias("v"))
     rest = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), HEX, " ")
     words = t.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("v"))
+    # identifiers join words by a sign or a capital, and may end in a number: these transitions are ordinary too
+    w = F.col("v")
+    words = words.select(F.explode(F.array(
+        w, F.concat(w, F.lit("_"), w), F.concat(w, F.lit("-"), w), F.concat(w, F.lit("/"), w), F.concat(w, F.initcap(w)),
+        F.upper(F.concat(w, F.lit("_"), w)), F.concat(w, (F.length(w) % 10).cast("string"), F.lit("_"), w))).alias("v"))
     tokens = (values.select(F.lit(1).alias("random"), "v").unionAll(words.select(F.lit(0).alias("random"), "v"))
               .where(F.length("v") >= 2).groupBy("random", "v").agg(F.count(F.lit(1)).alias("n")))
     cells = tokens.select("random", "n", F.explode(_cells(F.col("v"))).alias("cell"))
@@ -135,11 +160,15 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, id_
     def log_p(k: int, cell: int) -> float:
         return math.log((counts.get((k, cell), 0) + 1) / (rows[k, cell // ALPHABET] + ALPHABET))
 
-    return [log_p(1, c) - log_p(0, c) for c in range(ALPHABET * ALPHABET)]
+    ratios = [log_p(1, c) - log_p(0, c) for c in range(ALPHABET * ALPHABET)]
+    # a few dozen strings of each held-out value, for a low quantile of few would be their least
+    unseen = unseen.select("v", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("i"))
+    token = F.substring(F.base64(F.unhex(F.sha2(F.concat("v", F.col("i").cast("string")), 256))), 1, 20)
+    low = unseen.select(_ratio(token, F.lit(ratios)).alias("r")).agg(F.percentile_approx("r", CUT_MISSED, 10_000)).first()[0]
+    return Model(ratios, max(MIN_RATIO, CUT_SHARE * low) if low is not None else MIN_RATIO)
 
 
-def scan(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-         min_ratio: float = MIN_RATIO) -> DataFrame:
+def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, the text ``t`` and its ``spans``: (start, kind number, end) sorted by start, then kind."""
     ks = [f"k{i}" for i in range(len(keep))]
     d = docs.select(*[F.col(c).alias(k) for k, c in zip(ks, keep, strict=True)], text_or_empty(text).alias("t"))
@@ -148,11 +177,10 @@ def scan(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("doc_id",
     d = d.select("*", *[_lens(f"f{x}").alias(f"l{x}") for x in "achm"])
     d = d.select("*", *[_block_sums(F.col(f"l{x}")).alias(f"l{x}_sums") for x in "achm"])
     always = lambda m, i: F.lit(True)
-    table_ = F.lit(model)
+    ratios = F.lit(model.ratios)
 
     def random_like(m: Column, i: Column) -> Column:
-        cells = _cells(m)
-        return F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.get(table_, c)) > min_ratio * F.size(cells)
+        return _ratio(m, ratios) > model.cut
 
     d = d.select(*ks, "t", F.concat(
         _spans("fa", "la", 0, lambda m, i: F.length(F.get(F.col("fa.g2"), i)) >= 12),
@@ -165,9 +193,9 @@ def scan(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("doc_id",
 
 
 def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-                 train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_RATIO) -> DataFrame:
+                 train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Train on ``docs`` and scan them."""
-    return scan(docs, train(docs, text, train_docs), keep, text, min_ratio)
+    return scan(docs, train(docs, text, train_docs), keep, text)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", train_docs: int = TRAIN_DOCS) -> DataFrame:
