@@ -14,7 +14,9 @@ Everything is a function of the text, so hits are gathered per text digest: a
 group of equal copies folds together before the shuffle, and repeated rows each
 get the result.  Null and empty texts have no words and no hits; null or empty
 items have no windows; an item id that occurs twice counts once; other columns
-are not looked at.
+are not looked at.  A very long text is cut into
+short runs of words that go through one by one.  Without items, or without any word in
+them, no document is hit; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations

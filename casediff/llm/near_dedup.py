@@ -27,8 +27,8 @@ link at exactly 0.8 with probability (1 - 0.8^4)^32 = 5e-8, and a closer one les
 
 Edge cases: null and empty texts have no shingles and are near nothing, but equal
 texts (also empty ones; null counts as empty) share a class; null ids come last
-when a class is named; repeated rows each get a row; an empty table gives an
-empty result; other columns are ignored.
+when a class is named; repeated rows each get a row; a very long text is read whole, by
+one task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ Cut pieces: halving makes classes 1, 2, 4 ... exact, so only tails (shorter than
 ``finest``) can leave room, at most ``finest`` ids in a sequence of theirs.
 
 Edge cases: a null or empty text is one piece, the end id; repeated rows are
-packed one by one; an empty table gives no pieces; other columns are ignored.
+packed one by one; a very long text is encoded whole by one task and cut into pieces
+like any other (one with a run of ``tokens.LONG_RUN`` blanks or non-blanks by the library
+that takes it); an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations

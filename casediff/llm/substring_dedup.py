@@ -25,7 +25,8 @@ Steps, each written to the shared folder before the next:
 Edge cases: null and empty texts have no words; null ids come after all others;
 rows with equal id and text are one document and get the same result; equal ids
 with different texts are ordered by the texts' digests; of exact copies with
-other ids only the one with the smallest id is kept (if it has a window); an
+other ids only the one with the smallest id is kept (if it has a window); a
+very long text is hashed in pieces and all of its windows count; an
 empty table gives an empty result; other columns are ignored.
 """
 

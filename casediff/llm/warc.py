@@ -18,8 +18,9 @@ third of the pages share is folded together before the shuffle.
 Edge cases: a null payload is empty; payloads below ``min_bytes`` are always
 responses; rows that tie for the largest id are all responses; a null id counts
 as smaller than every other; a null URL is an empty header; control characters
-and blanks in URLs are percent-encoded in the header and whole in the index; an
-empty table writes no archive and reads back no rows; other columns are ignored.
+and blanks in URLs are percent-encoded in the header and whole in the index; a
+very long payload is one record, held whole by its task; an empty table writes no
+archive and reads back no rows; other columns are ignored.
 """
 
 from __future__ import annotations

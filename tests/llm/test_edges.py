@@ -151,3 +151,12 @@ def test_archives_are_read_in_as_many_tasks_as_chunks(spark):
     back = warc.read_records(index, chunk=8 << 10)
     assert back.rdd.getNumPartitions() == -(-size // (8 << 10)) > 4
     assert back.count() == 200
+
+
+def test_nothing_is_contaminated_without_a_benchmark(spark, docs, items):
+    d = docs(ROWS)
+    for none in (items.where("false"), items.where("item_id in (2, 3)")):
+        out = decontaminate.report(d, none).collect()
+        assert len(out) == len(ROWS) and not any(r.contaminated or r.n_items for r in out)
+        assert decontaminate.drop_contaminated(d, none).count() == len(ROWS)
+    assert decontaminate.report(d.where("false"), items).count() == 0
