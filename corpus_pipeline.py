@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns the next documents; the last
 returns the packed pieces.  ``run`` writes every stage's rows as Parquet to the
 shared folder and reads them again, so a lost executor costs one stage at most.
+Rows with null or empty texts, null ids, repeated rows, very long texts and ties are
+treated as each stage's operator says (a text without words is rejected by the quality
+rules, of equal texts one row stays); an empty table gives no pieces; extra columns of
+documents go through all stages but the last, whatever their names.
 No SQL can express near-duplicate classes, the Markov models and the packing:
 tests hold the result against brute force.
 """
