@@ -1,26 +1,29 @@
-"""Exact removal of repeated word runs by hashed windows, grouped by their minimisers.
+"""Exact removal of repeated word runs with prefix-partitioned suffix trees.
 
 Every window of ``width`` words that also starts earlier (in a document with a
 smaller id, or earlier in the same one) is repeated; the words it covers go.
 
-This stands in for prefix-partitioned suffix trees: there is no order of suffixes
-and there are no nodes of other depths, hence no maximal repeats.  Windows are
-grouped by their anchor, the run of ``ANCHOR`` words with the smallest hash inside
-the window.  Equal windows have equal anchors at equal places, so they meet in one
-group, and all windows with one anchor travel as one short context instead of one
-row each.  A group's windows are sorted by a hash of 128 bits; of equal ones, all
-but the first are repeats.
-
-Steps, each written to the shared folder before the next:
-
-1. one row per distinct text (exact copies fold together by digest before the
-   shuffle) with its anchors;
-2. anchors that occur twice, by a counted partial aggregate: a suffix whose anchor
-   is unique is unique, and goes no further;
-3. contexts of the remaining anchors, grouped by anchor.  An anchor with more
-   than ``GROUP`` places is split over salted groups, so that a group always fits
-   in memory; its groups' first leaves are then compared by a native aggregate;
-4. the repeated windows join the texts.
+The trees are sparse: of the suffixes of a text they hold those that start at an
+anchor, the run of ``ANCHOR`` words with the smallest hash inside some window.  Equal
+windows have their anchors at equal places, so no repeat of ``width`` words is lost,
+and a suffix travels with the words of its windows only.
+
+* The first ``ANCHOR`` words of a suffix are its prefix; suffixes with one prefix
+  form one subtree.  A counted pass drops prefixes that occur once (such suffixes are
+  unique) and splits prefixes with more than ``GROUP`` suffixes over salted parts, so
+  that a part always fits in memory; the nodes as deep as a whole window, the longest
+  prefixes, are then merged over the parts by a native aggregate of their first leaves.
+* In a task the suffixes of its subtrees are sorted by their words, and neighbours'
+  common lengths give the nodes: the leaves below a node of depth d are a run of
+  suffixes that share d words.  The words before the anchors are sorted the same way,
+  backwards.  Suffixes that share ``width - o`` words and have the same ``o`` words
+  before them lie in one window of ``width`` words: all leaves of such a node but the
+  first are repeats.
+* ``maximal_repeats`` joins the windows that follow each other in both places, so
+  that every repeat is as long as it gets.
+
+Words are compared by hashes of 64 bits, merged nodes by hashes of 128 bits.  Each
+step is written to the shared folder before the next.
 
 Edge cases: null and empty texts have no words; null ids come after all others;
 rows with equal id and text are one document and get the same result; equal ids
@@ -36,14 +39,14 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import digest128, materialise, table, text_or_empty
 from .wordhash import mix, run_hashes, word_hashes
 
 WIDTH, ANCHOR = 20, 8
-#: Places of one anchor that are compared in one group.
+#: Suffixes with one prefix that are sorted in one part.
 GROUP = 8_000
 LAST = 2**63 - 1
 
@@ -91,14 +94,14 @@ def _with_anchors(texts: DataFrame, width: int, anchor: int) -> DataFrame:
 
 
 def _contexts(found: DataFrame, width: int, anchor: int) -> DataFrame:
-    """A row per wanted anchor of a text: the words its windows cover, as 8-byte hashes."""
+    """A row per wanted anchor of a text: the words its windows cover, as 8-byte hashes, ``left`` of them before it."""
 
     def cut(batches):
         for b in batches:
             digest, order, text, wanted, salts = (b.column(i) for i in range(5))
             for i in range(b.num_rows):
                 words = word_hashes(text[i].as_buffer())
-                h, _, first, n = anchors(words, width, anchor)
+                h, place, first, n = anchors(words, width, anchor)
                 want = wanted[i].values.to_numpy().view(np.uint64)
                 sort = np.argsort(want)
                 at = np.searchsorted(want[sort], h).clip(0, len(want) - 1)
@@ -114,78 +117,132 @@ def _contexts(found: DataFrame, width: int, anchor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(h[use].view(np.int64)), pa.array(salt.astype(np.int32)),
                     pa.array(of.astype(np.int32)), pa.array([order[i].as_py()] * k, pa.int64()),
-                    pa.array([digest[i].as_py()] * k, pa.binary()), pa.array(start.astype(np.int32)),
+                    pa.array([digest[i].as_py()] * k, pa.binary()), pa.array(start.astype(np.int32)), pa.array((place[use] - start).astype(np.int32)),
                     pa.array([raw[8 * s:8 * e] for s, e in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())],
-                    names=["anchor", "salt", "salts", "ord", "digest", "start", "words"])
+                    names=["anchor", "salt", "salts", "ord", "digest", "start", "left", "words"])
 
     return found.mapInArrow(
-        cut, "anchor bigint, salt int, salts int, ord bigint, digest binary, start int, words binary")
+        cut, "anchor bigint, salt int, salts int, ord bigint, digest binary, start int, left int, words binary")
 
 
-def _leaves(rows: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
-    """Compare the suffixes of whole groups: repeats as (ord, digest, start, bits), and the first leaf of
-    every node of a split group with the node's two hashes."""
-    t = pa.Table.from_batches(rows).combine_chunks()
-    order, start = t["ord"].to_numpy(), t["start"].to_numpy().astype(np.int64)
-    digest = np.frombuffer(b"".join(t["digest"].to_pylist()), dtype=">u8").reshape(-1, 2).astype(np.uint64)
-    contexts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["words"].combine_chunks()]
-    counts = np.array([len(c) - width + 1 for c in contexts])
-    node = [np.concatenate([run_hashes(c, width, which) for c in contexts]) for which in (1, 2)]
-    row = np.repeat(np.arange(len(contexts)), counts)
-    shift = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    sort = np.lexsort((start[row] + shift, digest[row, 1], digest[row, 0], order[row], node[1], node[0]))
-    a, b = node[0][sort], node[1][sort]
-    head = np.ones(len(sort), dtype=bool)
-    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    again = sort[~head]
-    bits = np.zeros(len(contexts), dtype=np.int64)
-    np.bitwise_or.at(bits, row[again], np.int64(1) << shift[again])
-    dup = np.flatnonzero(bits)
-    split = sort[head]
-    split = split[t["salts"].to_numpy()[row[split]] > 1]
-    take = np.concatenate([dup, row[split]])
-    none = np.zeros(len(dup), dtype=np.int64)
-    return pa.RecordBatch.from_arrays([
-        pa.array(order[take]), t["digest"].combine_chunks().take(pa.array(take)),
-        pa.array(np.concatenate([start[dup], start[row[split]] + shift[split]]).astype(np.int32)),
-        pa.array(np.concatenate([bits[dup], np.ones(len(split), dtype=np.int64)])),
-        pa.array(np.concatenate([none, node[0][split].view(np.int64)])),
-        pa.array(np.concatenate([none, node[1][split].view(np.int64)])),
-        pa.array(np.arange(len(take)) >= len(dup))],
-        names=["ord", "digest", "start", "bits", "node", "node2", "head"])
+def suffix_order(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by group and symbols, and how many symbols each shares with the one before (-1 in another group)."""
+    sort = np.lexsort((*symbols.T[::-1], group))
+    s, g = symbols[sort], group[sort]
+    shared = np.full(len(sort), -1)
+    same = np.logical_and.accumulate(s[1:] == s[:-1], axis=1).sum(axis=1)
+    shared[1:] = np.where(g[1:] == g[:-1], same, -1)
+    return sort, shared
+
+
+def nodes(sort: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """Number of the node of every row at a depth: the rows between two that share fewer symbols."""
+    node = np.empty(len(sort), dtype=np.int64)
+    node[sort] = np.cumsum(shared < depth)
+    return node
 
 
-def _subtrees(contexts: DataFrame, width: int) -> DataFrame:
+def _symbols(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The words at the places ``at``, 0 outside ``low``..``high``."""
+    inside = (at >= low[:, None]) & (at < high[:, None])
+    return np.where(inside, words[np.where(inside, at, 0)], np.uint64(0))
+
+
+def _leaves(rows: list[pa.RecordBatch], width: int, anchor: int, sources: bool) -> pa.RecordBatch:
+    """Nodes of whole subtrees.  Repeats as (ord, digest, start, bits), with ``sources`` one a window and with the
+    first leaf of its node; then the first leaf of every node of a split subtree, with the node's two hashes."""
+    t = pa.Table.from_batches(rows).combine_chunks()
+    order, start, left = (t[c].to_numpy().astype(np.int64) for c in ("ord", "start", "left"))
+    digests = t["digest"].combine_chunks()
+    digest = np.frombuffer(b"".join(digests.to_pylist()), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+    contexts = t["words"].to_pylist()
+    words = np.frombuffer(b"".join(contexts), dtype=np.uint64)
+    high = np.cumsum([len(c) // 8 for c in contexts])
+    low = np.concatenate([[0], high[:-1]])
+    windows = high - low - width + 1
+    key = np.stack([t["anchor"].to_numpy(), t["salt"].to_numpy().astype(np.int64)])
+    group = np.cumsum(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+    place = low + left
+    onward = suffix_order(_symbols(words, place[:, None] + np.arange(width), low, high), group)
+    back = suffix_order(_symbols(words, place[:, None] - 1 - np.arange(width - anchor), low, high), group)
+
+    spot = np.stack([order.astype(np.uint64), digest[:, 0], digest[:, 1], (start + left).astype(np.uint64)])
+    rank = np.lexsort((spot[3], spot[2], spot[1], order))
+    leaf = np.empty(len(rank), dtype=np.int64)  # rows of one document read twice are one leaf
+    leaf[rank] = np.cumsum(np.concatenate([[True], (spot[:, rank][:, 1:] != spot[:, rank][:, :-1]).any(axis=0)]))
+
+    none = np.empty(0, dtype=np.int64)
+    split = t["salts"].to_numpy() > 1
+    again, heads = [(none, none, none)], [(none, none)]
+    for before in range(width - anchor + 1):
+        shift = left - before
+        use = rank[(shift[rank] >= 0) & (shift[rank] < windows[rank])]
+        node = nodes(*onward, width - before)[use] * (len(rank) + 1) + nodes(*back, before)[use]
+        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        head = use[first]
+        later = leaf[use] != leaf[head[which]]
+        again.append((use[later], shift[use[later]], head[which][later]))
+        head = head[split[head]]
+        heads.append((head, shift[head]))
+    row, shift, of = (np.concatenate(x) for x in zip(*again, strict=True))
+    at = start[of] + left[of] - (left[row] - shift)
+    bits = np.int64(1) << shift
+    if not sources:
+        some = np.zeros(len(rank), dtype=np.int64)
+        np.bitwise_or.at(some, row, bits)
+        row = np.flatnonzero(some)
+        bits = some[row]
+    head, move = (np.concatenate(x) for x in zip(*heads, strict=True))
+    made = {r: [run_hashes(np.frombuffer(contexts[r], dtype=np.uint64), width, which) for which in (1, 2)]
+            for r in np.unique(head).tolist()}
+    hashes = [np.array([made[r][which][m] for r, m in zip(head.tolist(), move.tolist(), strict=True)],
+                       dtype=np.uint64).view(np.int64) for which in (0, 1)]
+    take = np.concatenate([row, head])
+    zero, missing = np.zeros(len(row), dtype=np.int64), pa.nulls(len(head), pa.int32())
+    return pa.RecordBatch.from_arrays([
+        pa.array(order[take]), digests.take(pa.array(take)),
+        pa.array(np.concatenate([start[row], start[head] + move]).astype(np.int32)),
+        pa.array(np.concatenate([bits, np.ones(len(head), dtype=np.int64)])),
+        digests.take(pa.concat_arrays([pa.array(of.astype(np.int32)), missing]) if sources
+                     else pa.nulls(len(take), pa.int32())),
+        pa.concat_arrays([pa.array(at.astype(np.int32)), missing]) if sources else pa.nulls(len(take), pa.int32()),
+        pa.array(np.concatenate([zero, hashes[0]])), pa.array(np.concatenate([zero, hashes[1]])),
+        pa.array(np.arange(len(take)) >= len(row))],
+        names=["ord", "digest", "start", "bits", "of", "at", "node", "node2", "head"])
+
+
+def _subtrees(contexts: DataFrame, width: int, anchor: int, sources: bool) -> DataFrame:
     def compare(batches):
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            # whole groups go on; the last one may continue in the next batch
+            # whole subtrees go on; the last one may continue in the next batch
             key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
             if held:
                 last = held[-1]
                 end = (last.column(0)[last.num_rows - 1].as_py(), last.column(1)[last.num_rows - 1].as_py())
                 if end != (key[0, 0], key[1, 0]):
-                    yield _leaves(held, width)
+                    yield _leaves(held, width, anchor, sources)
                     held = []
             if len(cuts):
                 n = int(cuts[-1]) + 1
-                yield _leaves([*held, b.slice(0, n)], width)
+                yield _leaves([*held, b.slice(0, n)], width, anchor, sources)
                 held = [b.slice(n)]
             else:
                 held.append(b)
         if held:
-            yield _leaves(held, width)
+            yield _leaves(held, width, anchor, sources)
 
     return contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(
-        compare, "ord bigint, digest binary, start int, bits bigint, node bigint, node2 bigint, head boolean")
+        compare, "ord bigint, digest binary, start int, bits bigint, of binary, at int, node bigint, node2 bigint, head boolean")
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
-                     anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """One row per distinct text: ``digest``, ``owner`` (smallest id), ``runs``: (start, bits) of its repeated windows."""
+def _repeats(docs: DataFrame, id_col: str, text: str, width: int, anchor: int, group: int,
+             sources: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct texts (``digest``, ``owner``), the leaves found in the parts, and the leaves of split nodes
+    (``leaf``) that are not the ``first`` of all parts."""
     texts = _texts(docs, id_col, text)
     own = materialise(_with_anchors(texts, width, anchor).groupBy("digest").agg(
         F.min("ord").alias("owner"), F.first("anchors").alias("anchors"), F.first("times").alias("times")), "anchors")
@@ -198,14 +255,51 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         F.first("owner").alias("owner"), F.collect_list(F.struct("anchor", "salts")).alias("a")), "wanted")
     w = wanted.select(F.col("digest").alias("d"), "owner", F.col("a.anchor").alias("wanted"), F.col("a.salts").alias("salts"))
     found = texts.join(w, (texts.digest == w.d) & (texts.ord == w.owner)).select("digest", "ord", "t", "wanted", "salts")
-    leaves = materialise(_subtrees(_contexts(found, width, anchor), width), "leaves")
+    leaves = materialise(_subtrees(_contexts(found, width, anchor), width, anchor, sources), "leaves")
     heads = leaves.where("head").select("node", "node2", F.struct("ord", "digest", "start").alias("leaf")).distinct()
     first = heads.groupBy("node", "node2").agg(F.min("leaf").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = heads.join(first, ["node", "node2"]).where("leaf != first").select(
-        "leaf.digest", "leaf.start", F.lit(1).cast("bigint").alias("bits"))
-    runs = leaves.where("not head").select("digest", "start", "bits").unionAll(later).groupBy("digest").agg(
+    later = heads.join(first, ["node", "node2"]).where("leaf != first").select("leaf", "first")
+    return own.select("digest", "owner"), leaves.where("not head"), later
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
+                     anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """One row per distinct text: ``digest``, ``owner`` (smallest id), ``runs``: (start, bits) of its repeated windows."""
+    own, leaves, later = _repeats(docs, id_col, text, width, anchor, group, sources=False)
+    runs = leaves.select("digest", "start", "bits").unionAll(later.select(
+        "leaf.digest", "leaf.start", F.lit(1).cast("bigint").alias("bits"))).groupBy("digest").agg(
         F.collect_list(F.struct("start", "bits")).alias("runs"))
-    return materialise(own.select("digest", "owner").join(runs, "digest", "left"), "repeats")
+    return materialise(own.join(runs, "digest", "left"), "repeats")
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
+                    anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """The repeats of ``width`` or more words between or within distinct texts (ids: the smallest with that text;
+    null for texts of null ids alone): id, ``start``, ``n_words``, ``first_id``, ``first_start``, words counted from 0.
+
+    Each window is set against the place where it comes first; windows that go on together in both places are one
+    repeat, as long as it gets."""
+    own, leaves, later = _repeats(docs, id_col, text, width, anchor, group, sources=True)
+    start = F.expr("start + cast(log2(bits) as int)").alias("start")
+    within = leaves.select("digest", start, "of", "at")
+    moved = later.select(F.col("leaf.digest").alias("of"), F.col("leaf.start").alias("at"),
+                         F.col("first.digest").alias("of2"), F.col("first.start").alias("at2"))
+    pairs = within.join(moved, ["of", "at"], "left").select(
+        "digest", "start", F.coalesce("of2", "of").alias("of"), F.coalesce("at2", "at").alias("at")).unionAll(
+        later.select("leaf.digest", "leaf.start", "first.digest", "first.start"))
+    along = Window.partitionBy("digest", "of", F.col("start") - F.col("at")).orderBy("start")
+    spans = pairs.withColumn("run", F.col("start") - F.row_number().over(along)).groupBy(
+        "digest", "of", (F.col("start") - F.col("at")).alias("gap"), "run").agg(
+        F.min("start").alias("start"), (F.count(F.lit(1)) + width - 1).alias("n_words"))
+
+    def name(c: str):
+        return F.when(F.col(c) != LAST, F.col(c))
+
+    a = own.select("digest", name("owner").alias("a"))
+    b = own.select(F.col("digest").alias("of"), name("owner").alias("b"))
+    return spans.join(a, "digest").join(b, "of").select(
+        F.col("a").alias(id_col), F.col("start").cast("bigint"), "n_words", F.col("b").alias("first_id"),
+        (F.col("start") - F.col("gap")).cast("bigint").alias("first_start"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
