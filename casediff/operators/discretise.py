@@ -10,10 +10,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Different values whose counts may go to the driver.
+SMALL = 100_000
+
 
 @dataclass
 class EqualWidth:
@@ -57,20 +61,51 @@ class EqualWidth:
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float]:
     """Quantiles with linear interpolation, without gathering the values in one task.
 
-    The values are folded to counts and dealt out by range; the driver gets a row
-    count per range and then the two values next to each quantile.
+    The values are folded to counts.  Up to ``SMALL`` different values, counted first, go to
+    the driver; more are dealt out by range, and the driver gets a row count per range and
+    then the two values next to each quantile.
     """
     values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("v")
+    folded = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if folded.count() <= SMALL:
+            at = _ranked(folded, qs, col)
+        else:
+            at = _ranked_by_range(folded, qs, col)
+    finally:
+        folded.unpersist()
+    total = at["total"]
+    out = []
+    for x in ((total - 1) * q for q in qs):
+        lo, hi = math.floor(x), math.ceil(x)
+        out.append(at[lo] if lo == hi else (hi - x) * at[lo] + (x - lo) * at[hi])
+    return [float(v) for v in out]
+
+
+def _wanted(total: int, qs: Sequence[float], col: str) -> list[int]:
+    """The ranks next to the quantiles."""
+    if not total:
+        raise ValueError(f"no values in {col} to take quantiles of")
+    return sorted({f((total - 1) * q) for q in qs for f in (math.floor, math.ceil)})
+
+
+def _ranked(folded: DataFrame, qs: Sequence[float], col: str) -> dict:
+    """The values at the wanted ranks and the ``total`` of rows, from few counts."""
+    pdf = folded.toPandas().sort_values("v")
+    to = pdf["n"].to_numpy().cumsum()
+    wanted = _wanted(int(to[-1]) if len(to) else 0, qs, col)
+    found = pdf["v"].to_numpy()[np.searchsorted(to, wanted, side="right")]
+    return {"total": int(to[-1]), **dict(zip(wanted, found.tolist(), strict=True))}
+
+
+def _ranked_by_range(folded: DataFrame, qs: Sequence[float], col: str) -> dict:
+    """As ``_ranked``, with the counts dealt out by range."""
     # kept, so that both passes see the same ranges
-    counts = counts.withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = folded.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         parts = counts.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).orderBy("lo").collect()
         total = sum(r["n"] for r in parts)
-        if not total:
-            raise ValueError(f"no values in {col} to take quantiles of")
-        places = [(total - 1) * q for q in qs]
-        wanted = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+        wanted = _wanted(total, qs, col)
         before, ranges = 0, []
         for r in parts:
             ranks = [w for w in wanted if before <= w < before + r["n"]]
@@ -86,14 +121,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float]
         start_of = {p: s for p, s, _ in ranges}
         rows = [(start_of[r["part"]] + r["to"] - r["n"], start_of[r["part"]] + r["to"], r["v"])
                 for r in c.where(hit).collect()]
-        at = {k: next(v for lo, hi, v in rows if lo <= k < hi) for k in wanted}
+        return {"total": total, **{k: next(v for lo, hi, v in rows if lo <= k < hi) for k in wanted}}
     finally:
         counts.unpersist()
-    out = []
-    for x in places:
-        lo, hi = math.floor(x), math.ceil(x)
-        out.append(at[lo] if lo == hi else (hi - x) * at[lo] + (x - lo) * at[hi])
-    return [float(v) for v in out]
 
 
 @dataclass

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casediff.operators import discretise
 from casediff.operators.discretise import EqualFrequency, exact_quantiles
 from casediff.operators.knn import DistanceSpec, broadcast_cases, knn_join
 from casediff.operators.vdm import cvdhm_lookup, vdm_lookup
@@ -91,14 +92,17 @@ def test_broadcast_bound_counts_carried_columns(spark):
     broadcast_cases(c, broadcast_bytes=100_000).release()
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("small", [100_000, 2])
+def test_quantiles_equal_numpy(spark, monkeypatch, small):
+    monkeypatch.setattr(discretise, "SMALL", small)
     rng = np.random.default_rng(5)
     for values in (rng.normal(size=1001), rng.integers(0, 3, 500).astype(float), np.array([4.0])):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
         qs = [0, 0.1, 1 / 3, 0.5, 0.99, 1]
         assert np.allclose(exact_quantiles(df, "v", qs), np.quantile(values, qs), rtol=0, atol=1e-12)
-    with pytest.raises(ValueError):
-        EqualFrequency(3).fit(spark.createDataFrame([], "v double"), "v")
+    for rows in ([], [(None,)]):
+        with pytest.raises(ValueError):
+            EqualFrequency(3).fit(spark.createDataFrame(rows, "v double"), "v")
 
 
 def test_value_distances_against_brute_force(spark):
