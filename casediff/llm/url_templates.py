@@ -34,7 +34,7 @@ from .common import materialise, table
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block"))
-DEPTH, FAN_OUT, Z, MIN_LABELS, PURITY, STRENGTH = 6, 24, 1.96, 5, 0.8, 2.0
+DEPTH, FAN_OUT, Z, MIN_LABELS, PURITY, STRENGTH = 16, 24, 1.96, 5, 0.8, 2.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
