@@ -34,17 +34,20 @@ materialise ``|Q| x |C|`` rows.  Instead the join is *blocked*:
   groups in blocks.
 * **tiles** (without numeric features, and for random neighbours): queries get a block ``hash(id) % Bq`` and are
   copied once per case block; cases get ``hash(id) % Bc`` and are copied once
-  per query block.  ``cogroup`` on ``(qblock, cblock)`` hands each tile to a
-  NumPy kernel that computes the distance tile in bounded chunks and emits only
-  its local top-k per query.  A window ``row_number() <= k`` per query merges
-  the ``Bc * k`` candidates (Spark pre-limits it before the shuffle).  Tile
-  sizes are bounded by ``tile_rows`` on each side, whatever the key skew,
-  because blocks come from a hash of the id, never from a data value.
+  per query block, so blocks never come from a data value.
 * **broadcast** (small case base, size checked before it is collected): the
-  case base is shipped once to every executor and each query partition is
-  scored in place with ``mapInPandas`` -- no shuffle at all.
-
-Neither path emits a pair that is not a top-k candidate.
+  case base is shipped once to every executor as one Arrow table and each query
+  partition is scored in place with ``mapInArrow`` -- no shuffle at all.
+
+Cells, groups and tiles first write both sides to the scratch folder with a row
+number.  In cells and groups a task gets the cases of a block before the queries that
+meet it, keeps the block as one matrix of at most ``tile_bytes`` and reads its queries
+as a stream of Arrow batches, so its memory follows the block and not the number of
+queries; tiles are a cogroup of bounded sides.  A task emits ids, distances and row numbers of its local top-k only.  A window
+``row_number() <= k`` per query merges these candidates, and the columns of
+``carry`` and ``keep`` are joined to the k that are left, by row number.
+
+No path emits a pair that is not a top-k candidate.
 """
 
 from __future__ import annotations
@@ -56,12 +59,19 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Elements of a distance chunk held at once inside a task (float64 -> 32 MiB).
-_CHUNK_ELEMS = 4_000_000
+from casediff.session import scratch_path
+
+# Elements of a distance chunk held at once inside a task (float64 -> 16 MiB).
+_CHUNK_ELEMS = 2_000_000
+# Answers of a tile's queries at most, of all values of ``by``.
+_TILE_ANSWERS = 500_000
+# Rows of an Arrow batch that a task hands on, and queries that it compares at once.
+_OUT_ROWS, _ASKED_ROWS = 4096, 2048
 # From this many numeric dimensions on, Euclidean candidates are pre-selected
 # with a BLAS product and the exact distance is re-computed for them only.
 _BLAS_MIN_DIM = 4
@@ -166,8 +176,10 @@ def _pair_sq(qx, cx, qc, cc, rows, cols, spec: DistanceSpec) -> np.ndarray:
     return d2
 
 
-def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None):
-    """(row, col, d2) triplets containing every top-k pair (ties included)."""
+def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=None, cap=None):
+    """(row, col, d2) triplets containing every top-k pair (ties included).
+
+    ``cap``: for each query a squared distance beyond which none of its first k lies (infinite: not known)."""
     nq, nc = qx.shape[0], cx.shape[0]
     dropped = None                    # pairs that are no neighbours, whatever their distance
     if qg is not None:
@@ -175,7 +187,7 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
     if exclude_self:
         same = qid[:, None] == cid[None, :]
         dropped = same if dropped is None else dropped | same
-    approx = exact = None
+    product = exact = None
     if spec.random_seed is not None:
         exact = _pair_hash(qid, cid, spec.random_seed)
     elif spec.numeric == "sq" and not spec.tables and qx.shape[1] >= _BLAS_MIN_DIM:
@@ -183,32 +195,41 @@ def _candidates(qid, qx, qc, cid, cx, cc, k, exclude_self, spec, qg=None, cg=Non
         cn = np.einsum("ij,ij->i", cx, cx)
         # Missing values (NaN) and overflowing squares take the exact way.
         if math.isfinite(4.0 * (float(qn.max(initial=0.0)) + float(cn.max(initial=0.0)))):
-            approx = qx @ cx.T
-            approx *= -2.0
-            approx += qn[:, None]
-            approx += cn[None, :]
-    if approx is None and exact is None:
+            product = qx @ cx.T       # |q - c|^2 = |q|^2 - 2 (q.c - |c|^2 / 2)
+            product -= cn / 2.0
+            # Error of the expansion is below ~2 d u (|q|^2 + |c|^2); the relative grain
+            # keeps pairs that tie with the k-th after rounding to 12 digits.
+            err = 8.0 * qx.shape[1] * _EPS * (qn + cn.max(initial=0.0))
+    if product is None and exact is None:
         exact = _exact_sq(qx, cx, qc, cc, spec)
 
-    base = exact if exact is not None else approx
-    if spec.random_seed is None and exact is not None:
-        base = _digits(base)
-    if dropped is not None:
-        base[dropped] = np.inf
-    kk = min(k, nc)
-    if kk < nc:
-        kth = np.partition(base, kk - 1, axis=1)[:, kk - 1]
-    else:
-        kth = np.full(nq, np.inf)
-    if approx is not None:
-        # Error of the expansion is below ~2 d u (|q|^2 + |c|^2); the relative grain
-        # keeps pairs that tie with the k-th after rounding to 12 digits.
-        dim = qx.shape[1]
-        err = 8.0 * dim * _EPS * (qn + (cn.max() if cn.size else 0.0))
-        tol = 2e-11 * np.abs(np.where(np.isfinite(kth), kth, 0.0)) + err
-        mask = base <= (kth + tol)[:, None]
-    else:
-        mask = base <= kth[:, None]
+    def within(bound):
+        """Products of the pairs whose distance may lie within the bound."""
+        return (qn - bound - 2e-11 * np.abs(np.where(np.isfinite(bound), bound, 0.0)) - err) / 2.0
+
+    mask = None
+    if product is not None and cap is not None and np.isfinite(cap).all():
+        mask = product >= within(cap)[:, None]
+        if np.count_nonzero(mask) > nq * (8 * k + 64):
+            mask = None               # a wide cap: the k-th of the chunk is closer
+    if mask is None:
+        if product is not None:
+            base = np.multiply(product, -2.0, out=product)
+            base += qn[:, None]
+        else:
+            base = exact if spec.random_seed is not None else _digits(exact)
+        if dropped is not None:
+            base[dropped] = np.inf
+        kk = min(k, nc)
+        if kk < nc:
+            kth = np.partition(base, kk - 1, axis=1)[:, kk - 1]
+        else:
+            kth = np.full(nq, np.inf)
+        if product is not None:
+            tol = 2e-11 * np.abs(np.where(np.isfinite(kth), kth, 0.0)) + err
+            mask = base <= (kth + tol)[:, None]
+        else:
+            mask = base <= kth[:, None]
     if dropped is not None:
         mask &= ~dropped
     rows, cols = np.nonzero(mask)
@@ -242,40 +263,60 @@ def _select(rows, cols, d2, cid, k, random: bool):
     return rows[keep], cols[keep], d2[keep], key[keep], rank[keep]
 
 
-def _stack(col: pd.Series, width: int) -> np.ndarray:
-    """Vectors as the rows of a matrix; whatever is missing becomes NaN."""
+def _stack(col, width: int) -> np.ndarray:
+    """Vectors of an Arrow column as the rows of a matrix; whatever is missing becomes NaN."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    col = col.cast(pa.list_(pa.float64()))
+    there = np.asarray(col.is_valid())
+    sizes = col.value_lengths().fill_null(width).to_numpy(zero_copy_only=False)
+    if (sizes != width).any():
+        raise ValueError(f"a vector has {sizes[sizes != width][0]} entries, the case base {width}")
+    flat = col.flatten().to_numpy(zero_copy_only=False).reshape(int(there.sum()), width)
+    if there.all() and np.isfinite(flat).all():
+        return flat
     out = np.full((len(col), width), np.nan)
-    for i, v in enumerate(col.values):
-        if v is None:
-            continue
-        if len(v) != width:
-            raise ValueError(f"a vector has {len(v)} entries, the case base {width}")
-        out[i] = v
-    out[~np.isfinite(out)] = np.nan
+    out[there] = np.where(np.isfinite(flat), flat, np.nan)
     return out
 
 
-def _as_matrix(pdf: pd.DataFrame, width: int, unknown: tuple[int, ...]):
-    """Ids, features and codes; ``unknown`` holds the code of a missing value per nominal feature."""
-    if pdf["id"].isna().any():
+def _ids(col) -> np.ndarray:
+    if col.null_count:
         raise ValueError("a case or query has a null id")
-    ids = pdf["id"].to_numpy(dtype=np.int64)
-    x = _stack(pdf["x"], width)
+    return col.to_numpy().astype(np.int64, copy=False)
+
+
+def _as_matrix(rows, width: int, unknown: tuple[int, ...]):
+    """Ids, features and codes; ``unknown`` holds the code of a missing value per nominal feature."""
+    ids = _ids(rows.column("id"))
+    x = _stack(rows.column("x"), width)
     if unknown:
-        codes = _stack(pdf["codes"], len(unknown))
+        codes = _stack(rows.column("codes"), len(unknown))
         codes = np.where(np.isnan(codes), np.asarray(unknown), codes).astype(np.int64)
     else:
-        codes = np.zeros((len(pdf), 0), dtype=np.int64)
+        codes = np.zeros((rows.num_rows, 0), dtype=np.int64)
     return ids, x, codes
 
 
-def _group_codes(qpdf: pd.DataFrame, cpdf: pd.DataFrame, group: str | None):
+def _codes_of(col) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the values of an Arrow column, and the values; a null is a value of its own."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    coded = col.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _group_codes(qrows, crows, group: str | None):
     """Numbers of the group values on both sides, equal for equal values; a null is a value of its own."""
     if group is None:
         return None, None
-    both = pd.concat([qpdf[group], cpdf[group]], ignore_index=True)
-    codes = pd.factorize(both, use_na_sentinel=False)[0]
-    return codes[:len(qpdf)], codes[len(qpdf):]
+    q, c = qrows.column(group), crows.column(group)
+    if q.type == c.type:
+        codes = _codes_of(pa.chunked_array([x for side in (q, c) for x in (side.chunks if isinstance(side, pa.ChunkedArray) else [side])],
+                                           type=q.type))[0]
+    else:
+        codes = pd.factorize(pd.concat([q.to_pandas(), c.to_pandas()], ignore_index=True), use_na_sentinel=False)[0]
+    return codes[:len(q)], codes[len(q):]
 
 
 def _distinct_rows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +327,7 @@ def _distinct_rows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse
 
 
-def _nearest(qid, qx, qc, qg, cid, cx, cc, cg, k, exclude_self, spec, match, counter=None):
+def _nearest(qid, qx, qc, qg, cid, cx, cc, cg, k, exclude_self, spec, match, counter=None, cap=None):
     """(query row, case row, d2, rounded d2, rank) of the first k of every query, in chunks of bounded size.
 
     Queries that agree in everything but the id are compared once, with one neighbour more where a query may meet
@@ -297,8 +338,12 @@ def _nearest(qid, qx, qc, qg, cid, cx, cc, cg, k, exclude_self, spec, match, cou
         if sum(p.size for p in parts):
             first, inverse = _distinct_rows(parts)
             if len(first) * 2 <= len(qid):
+                widest = None
+                if cap is not None:
+                    widest = np.zeros(len(first))
+                    np.maximum.at(widest, inverse, cap)
                 some = _nearest(qid[first], qx[first], qc[first], None if qg is None else qg[first], cid, cx, cc, cg,
-                                k + exclude_self, False, spec, match, counter)
+                                k + exclude_self, False, spec, match, counter, widest)
                 return _expand(some, inverse, qid, cid, k, exclude_self)
     out = []
     if match:
@@ -306,7 +351,8 @@ def _nearest(qid, qx, qc, qg, cid, cx, cc, cg, k, exclude_self, spec, match, cou
             mine, theirs = np.flatnonzero(qg == g), np.flatnonzero(cg == g)
             if len(theirs):
                 rows, cols, *rest = _nearest(qid[mine], qx[mine], qc[mine], None, cid[theirs], cx[theirs], cc[theirs],
-                                             None, k, exclude_self, spec, False, counter)
+                                             None, k, exclude_self, spec, False, counter,
+                                             None if cap is None else cap[mine])
                 out.append((mine[rows], theirs[cols], *rest))
     else:
         step = max(1, _CHUNK_ELEMS // max(1, len(cid)))
@@ -315,7 +361,7 @@ def _nearest(qid, qx, qc, qg, cid, cx, cc, cg, k, exclude_self, spec, match, cou
             if counter is not None:
                 counter.add(len(qid[sl]) * len(cid))
             rows, cols, d2 = _candidates(qid[sl], qx[sl], qc[sl], cid, cx, cc, k, exclude_self, spec,
-                                         None if qg is None else qg[sl], cg)
+                                         None if qg is None else qg[sl], cg, None if cap is None else cap[sl])
             rows, cols, d2, key, rank = _select(rows, cols, d2, cid, k, random)
             out.append((rows + at, cols, d2, key, rank))
     if not out:
@@ -344,48 +390,159 @@ def _expand(some, inverse, qid, cid, k, exclude_self):
     return to, cols[at], d2[at], key[at], rank[good]
 
 
-def _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry, keep, width,
-                final_rank_col="rank", group=None, match=False, cmat=None, counter=None):
-    """Top-k rows of one (query block, case block) tile as a pandas frame."""
-    if len(cpdf) == 0 or len(qpdf) == 0:
-        return None
-    unknown = spec.unknown()
-    qid, qx, qc = _as_matrix(qpdf, width, unknown)
-    cid_all, cx_all, cc_all = cmat if cmat is not None else _as_matrix(cpdf, width, unknown)
-    out_parts = []
-    groups = [(None, np.arange(len(cpdf)))]
-    if by is not None:
-        codes, labels = pd.factorize(cpdf[by], use_na_sentinel=False)
-        groups = [(None if pd.isna(lab) else lab, np.flatnonzero(codes == i)) for i, lab in enumerate(labels)]
-    random = spec.random_seed is not None
-    qg, cg_all = _group_codes(qpdf, cpdf, group)
-    for lab, idx in groups:
-        cid = cid_all[idx]
-        rows, cols, d2, key, rank = _nearest(qid, qx, qc, qg, cid, cx_all[idx], cc_all[idx],
-                                             None if group is None else cg_all[idx], k, exclude_self, spec, match, counter)
-        if random:
-            dist = d2
-        elif spec.final == "half":
-            dist = d2 / 2.0
-        else:
-            dist = np.sqrt(d2)
-        part = {
-            "query_id": qid[rows],
-            "neighbour_id": cid[cols],
-            final_rank_col: rank.astype(np.int32),
-            "dist": dist,
-            "d2r": key,
-        }
-        if by is not None:
-            part[by] = np.repeat(np.asarray([lab], dtype=object), rows.size) if rows.size else np.array([], dtype=object)
-        for name, src in carry:
-            part[name] = cpdf[src].to_numpy()[idx][cols]
-        for name, src in keep:
-            part[name] = qpdf[src].to_numpy()[rows]
-        out_parts.append(pd.DataFrame(part))
-    if not out_parts:
-        return None
-    return pd.concat(out_parts, ignore_index=True)
+class _Block:
+    """Cases of a task as matrices, those of one ``by`` value (and, with ``ring``, one cell) side by side."""
+
+    def __init__(self, rows, width: int, unknown: tuple[int, ...], by: str | None, ring: bool = False):
+        label, self.labels = (np.zeros(rows.num_rows, dtype=np.int64), None) if by is None else _codes_of(rows.column(by))
+        cell = rows.column("_cell").to_numpy() if ring else np.zeros(rows.num_rows, dtype=np.int64)
+        if by is not None or ring:
+            order = np.lexsort(([rows.column("_away").to_numpy()] if ring else []) + [cell, label])
+            rows, label, cell = rows.take(pa.array(order)), label[order], cell[order]
+        self.rows = rows
+        self.id, self.x, self.codes = _as_matrix(rows, width, unknown)
+        new = np.flatnonzero((np.diff(label) != 0) | (np.diff(cell) != 0)) + 1
+        begin = np.r_[0, new].astype(np.int64) if rows.num_rows else new
+        #: begin, end, number of the ``by`` value, cell
+        self.parts = [(int(i), int(j), int(label[i]), int(cell[i])) for i, j in zip(begin, np.r_[begin[1:], rows.num_rows], strict=True)]
+        self.away = rows.column("_away").to_numpy() if ring else None
+
+
+def _top_k(qrows, block: _Block, k, exclude_self, spec, width, group=None, match=False, counter=None):
+    """(query row, case row, label, d2, rounded d2, rank): the first k of every query in a block, per ``by`` value."""
+    q = _as_matrix(qrows, width, spec.unknown())
+    qg, cg = _group_codes(qrows, block.rows, group)
+    found = []
+    for i, j, label, _ in block.parts:
+        rows, cols, *rest = _nearest(*q, qg, block.id[i:j], block.x[i:j], block.codes[i:j], None if cg is None else cg[i:j],
+                                     k, exclude_self, spec, match, counter)
+        found.append((rows, cols + i, np.full(len(rows), label), *rest))
+    if not found:
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none, none.astype(float), none.astype(float), none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _final(d2: np.ndarray, spec: DistanceSpec) -> np.ndarray:
+    if spec.random_seed is not None:
+        return d2
+    return d2 / 2.0 if spec.final == "half" else np.sqrt(d2)
+
+
+def _taken(rows, name: str, at: np.ndarray) -> pa.Array:
+    col = rows.column(name).take(pa.array(at))
+    return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+
+
+def _batch(names: list[str], arrays: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
+
+
+# --------------------------------------------------------------------------
+# Blocks of cases and the queries that meet them
+# --------------------------------------------------------------------------
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder with a number of its own for each row, ``_row``."""
+    path = scratch_path(df.sparkSession, name)
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def meet(q: DataFrame, c: DataFrame, keys: list[str], n: int, task, schema: T.StructType) -> DataFrame:
+    """Queries and cases of equal ``keys``: ``task`` is ``(prepare, ask)``; ``prepare(table)`` gets the cases of a key,
+    ``ask(block or None, batch)`` the queries of the key, a batch at a time, and yields batches of ``schema``.
+
+    With ``_part`` as the key, a number below ``n``, each key is a partition (beyond ``_MAX_TASKS`` several are)."""
+    prepare, ask = task
+    n = max(1, min(n, _MAX_TASKS))
+    both = c.withColumn("_side", F.lit(0)).unionByName(q.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    both = both.repartitionById(n, F.col("_part")) if keys == ["_part"] else both.repartition(n, *keys)
+    both = both.sortWithinPartitions(*keys, "_side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, cases, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sorted_by = [batch.column(x).to_numpy() for x in (*keys, "_side")]
+            begin = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)])
+            for i, j in zip(begin, np.r_[begin[1:], batch.num_rows], strict=True):
+                key = tuple(int(x[i]) for x in sorted_by[:-1])
+                if key != current:
+                    current, cases, block = key, [], None
+                part = batch.slice(i, j - i)
+                if sorted_by[-1][i] == 0:
+                    cases.append(part)
+                    continue
+                if cases:
+                    block, cases = prepare(pa.Table.from_batches(cases)), []
+                for at in range(0, part.num_rows, _ASKED_ROWS):
+                    yield from ask(block, part.slice(at, _ASKED_ROWS))
+
+    return both.mapInArrow(run, schema)
+
+
+def asked_columns(q: DataFrame, spec: DistanceSpec, group: str | None) -> list[str]:
+    """What comparing needs of a query."""
+    return ["_row", "id", "x", *(["codes"] if spec.tables else []), *([group] if group else [])]
+
+
+def compared_columns(c: DataFrame, spec: DistanceSpec, by: str | None, group: str | None) -> list[str]:
+    """What comparing needs of a case."""
+    return list(dict.fromkeys(asked_columns(c, spec, group) + ([by] if by is not None else [])))
+
+
+def found_schema(schema: T.StructType, by: str | None) -> T.StructType:
+    """Candidates as tasks emit them: ids, distances and the row numbers of both sides."""
+    long, double = T.LongType(), T.DoubleType()
+    return T.StructType([T.StructField("query_id", long), T.StructField("neighbour_id", long),
+                         *([schema[by]] if by is not None else []), T.StructField("dist", double),
+                         T.StructField("d2r", double), T.StructField("_q", long), T.StructField("_c", long)])
+
+
+def found_batches(qrows, block: _Block, rows, cols, label, d2, key, spec: DistanceSpec, by: str | None) -> Iterator[pa.RecordBatch]:
+    names = ["query_id", "neighbour_id", *([by] if by is not None else []), "dist", "d2r", "_q", "_c"]
+    qid, qrow = _ids(qrows.column("id")), qrows.column("_row").to_numpy()
+    crow = block.rows.column("_row").to_numpy()
+    for i in range(0, len(rows), _OUT_ROWS * 4):
+        sl = slice(i, i + _OUT_ROWS * 4)
+        r, c = rows[sl], cols[sl]
+        yield _batch(names, [qid[r], block.id[c], *([block.labels.take(pa.array(label[sl]))] if by is not None else []),
+                             _final(d2[sl], spec), key[sl], qrow[r], crow[c]])
+
+
+def plain_task(k, exclude_self, spec, by, group, match, width, counter=None):
+    """The task of :func:`meet` that compares all queries with all cases of a block."""
+    def prepare(rows):
+        return _Block(rows, width, spec.unknown(), by)
+
+    def ask(block, qrows):
+        if block is not None:
+            rows, cols, label, d2, key, _ = _top_k(qrows, block, k, exclude_self, spec, width, group, match, counter)
+            yield from found_batches(qrows, block, rows, cols, label, d2, key, spec, by)
+
+    return prepare, ask
+
+
+def best_of(cand: DataFrame, q: DataFrame, c: DataFrame, schema: T.StructType, by: str | None, k: int, carry, keep,
+            store: bool = False) -> DataFrame:
+    """The first k of the candidates of every query with their columns of both sides.
+
+    ``store`` writes the neighbours to the scratch folder, so that later reads compare nothing again."""
+    w = Window.partitionBy("_q", *([F.col(f"`{by}`")] if by is not None else [])).orderBy("d2r", "neighbour_id", "_c")
+    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if store:
+        path = scratch_path(q.sparkSession, "knn-neighbours")
+        out.write.parquet(path)
+        out = q.sparkSession.read.schema(out.schema).parquet(path)
+    if carry:
+        out = out.join(c.select(F.col("_row").alias("_c"), *[F.col(f"`{src}`").alias(name) for name, src in carry]), "_c")
+    if keep:
+        out = out.join(q.select(F.col("_row").alias("_q"), *[F.col(f"`{src}`").alias(name) for name, src in keep]), "_q")
+    return out.select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 # --------------------------------------------------------------------------
@@ -419,10 +576,6 @@ def _norm_pairs(cols) -> list[tuple[str, str]]:
     return out
 
 
-def _fit_empty(schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-
-
 @dataclass
 class BroadcastCases:
     """A case base shipped to the executors once and reused by many joins
@@ -502,17 +655,25 @@ def _fewer_cases(c: DataFrame, k: int, stats: _Stats, by: str | None, group: str
     return distinct_cases(c, k, by, group), rows
 
 
-def _collect_within(c: DataFrame, stats: _Stats, rows: int, limit: int) -> pd.DataFrame | None:
+def _collect_within(c: DataFrame, stats: _Stats, rows: int, limit: int) -> pa.Table | None:
     """The case base on the driver, or None if it may have more than ``limit`` bytes.
 
     All ``stats.n`` rows fit, or no more rows are asked for than fit at the size of the largest."""
     if rows >= stats.n:
-        return c.toPandas() if stats.bytes <= limit else None
+        return c.toArrow() if stats.bytes <= limit else None
     most = limit // max(stats.row_bytes, 1)
     if rows > most:
         return None
-    pdf = c.limit(most + 1).toPandas()
-    return pdf if len(pdf) <= most else None
+    found = c.limit(most + 1).toArrow()
+    return found if found.num_rows <= most else None
+
+
+def _ship(spark, rows: pa.Table, c: DataFrame, width: int, k: int | None = None) -> "BroadcastCases":
+    """One Arrow stream for all executors."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return BroadcastCases(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex, rows.num_rows, c, width, k)
 
 
 def broadcast_cases(cases: DataFrame, *, by: str | None = None,
@@ -533,11 +694,10 @@ def broadcast_cases(cases: DataFrame, *, by: str | None = None,
         broadcast_bytes = int(spark.conf.get("casediff.knn.broadcastBytes", str(32 << 20)))
     stats = _case_stats(c, by)
     fewer, rows = _fewer_cases(c, k, stats, by, None) if k else (c, stats.n)
-    cpdf = _collect_within(fewer, stats, rows, broadcast_bytes)
-    if cpdf is None:
+    found = _collect_within(fewer, stats, rows, broadcast_bytes)
+    if found is None:
         raise ValueError(f"case base of ~{stats.bytes} bytes exceeds the broadcast bound {broadcast_bytes}")
-    return BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c, stats.width,
-                          k if rows < stats.n else None)
+    return _ship(spark, found, c, stats.width, k if rows < stats.n else None)
 
 
 def knn_join(
@@ -552,7 +712,7 @@ def knn_join(
     keep: Sequence[str | tuple[str, str]] = (),
     strategy: str = "auto",
     tile_rows: int | None = None,
-    tile_bytes: int = 128 << 20,
+    tile_bytes: int = 32 << 20,
     broadcast_bytes: int | None = None,
     seed: int = 17,
     exclude_group: str | None = None,
@@ -613,9 +773,9 @@ def knn_join(
         c, rows = _fewer_cases(c, k, stats, by, exclude_group)
     if strategy in ("auto", "broadcast"):
         limit = max(broadcast_bytes, 1) - spec.nbytes()
-        cpdf = _collect_within(c, stats, rows, limit)
-        if cpdf is not None:
-            shipped = BroadcastCases(spark.sparkContext.broadcast(cpdf), uuid.uuid4().hex, len(cpdf), c, stats.width)
+        found = _collect_within(c, stats, rows, limit)
+        if found is not None:
+            shipped = _ship(spark, found, c, stats.width)
             return _broadcast_plan(q, k, exclude_self, spec, by, carry_p, keep_p, stats.width, schema,
                                    exclude_group, match, n_queries, shipped, counter)
         if strategy == "broadcast":
@@ -623,7 +783,7 @@ def knn_join(
                              f"{broadcast_bytes}; use another strategy")
         strategy = "groups" if match else "tiles" if spec.random_seed is not None or not stats.width else "cells"
 
-    # A tile side holds at most tile_rows rows and about tile_bytes bytes.
+    # A block holds at most tile_rows rows and about tile_bytes bytes.
     if tile_rows is None:
         tile_rows = int(spark.conf.get("casediff.knn.tileRows", "200000"))
     tile_rows = min(tile_rows, max(64, tile_bytes // max(row_bytes, 1)))
@@ -671,14 +831,14 @@ def _spread_queries(q, n_cases: int, n_queries: int | None = None):
 _CASE_CACHE: dict = {}
 
 
-def _cached_cases(bc, token: str, width: int, unknown: tuple[int, ...]):
-    key = (token, unknown)
+def _cached_cases(bc, token: str, width: int, unknown: tuple[int, ...], by: str | None) -> _Block:
+    key = (token, unknown, by)
     hit = _CASE_CACHE.get(key)
     if hit is None:
-        cases_pdf = bc.value
-        hit = (cases_pdf, _as_matrix(cases_pdf, width, unknown))
         while len(_CASE_CACHE) >= 2:
             _CASE_CACHE.pop(next(iter(_CASE_CACHE)))
+        with pa.ipc.open_stream(bc.value) as stream:
+            hit = _Block(stream.read_all().combine_chunks(), width, unknown, by)
         _CASE_CACHE[key] = hit
     return hit
 
@@ -687,63 +847,70 @@ def _broadcast_plan(q, k, exclude_self, spec, by, carry_p, keep_p, width, schema
                     group, match, n_queries, prepared, counter=None):
     bc, token = prepared.bc, prepared.token
     q = _spread_queries(q, prepared.n, n_queries)
+    names = schema.names
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cases_pdf, cmat = _cached_cases(bc, token, width, spec.unknown())
-        for qpdf in batches:
-            if len(qpdf) == 0:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _cached_cases(bc, token, width, spec.unknown(), by)
+        for qrows in batches:
+            if not qrows.num_rows or not block.rows.num_rows:
                 continue
-            out = _topk_frame(qpdf, cases_pdf, k, exclude_self, spec, by, carry_p,
-                              keep_p, width, group=group, match=match, cmat=cmat, counter=counter)
-            if out is not None:
-                yield out
+            rows, cols, label, d2, key, rank = _top_k(qrows, block, k, exclude_self, spec, width, group, match, counter)
+            qid = _ids(qrows.column("id"))
+            # The columns of both sides are copied for a few rows at a time.
+            for i in range(0, len(rows), _OUT_ROWS):
+                sl = slice(i, i + _OUT_ROWS)
+                r, c = rows[sl], cols[sl]
+                yield _batch(names, [
+                    qid[r], block.id[c], *([block.labels.take(pa.array(label[sl]))] if by is not None else []),
+                    rank[sl].astype(np.int32), _final(d2[sl], spec), key[sl],
+                    *[_taken(block.rows, src, c) for _, src in carry_p], *[_taken(qrows, src, r) for _, src in keep_p]])
 
-    return q.mapInPandas(score, schema)
+    return q.mapInArrow(score, schema)
 
 
 def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
                n_cases, tile_rows, seed, group, match, n_queries, counter=None):
-    spark = q.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
+    parallelism = q.sparkSession.sparkContext.defaultParallelism
+    if spec.random_seed is not None:
+        width = 0                     # a random order looks at ids only
+    q, c = stored(q, "knn-queries"), stored(c, "knn-cases")
+    # A cogroup hands its answers back as one frame: that bounds the queries of a tile.
+    labels = 1 if by is None else max(1, c.select(F.col(f"`{by}`")).distinct().count())
+    q_rows = min(tile_rows, max(64, _TILE_ANSWERS // (k * labels)))
     bc = max(1, math.ceil(n_cases / tile_rows))
-    bq = max(1, math.ceil(n_queries / tile_rows), math.ceil(parallelism / bc))
-    # Fresh aliases on both sides: a self join would otherwise hand the cogroup
-    # two plans with the same attribute ids.
-    qb = q.select(*[F.col(n).alias("_q_" + n) for n in q.columns]) \
-          .withColumn("_qb", F.pmod(F.xxhash64("_q_id", F.lit(seed)), F.lit(bq)).cast("int")) \
-          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
-    cb = c.select(*[F.col(n).alias("_c_" + n) for n in c.columns]) \
-          .withColumn("_cb", F.pmod(F.xxhash64("_c_id", F.lit(seed + 1)), F.lit(bc)).cast("int")) \
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    local_rank = "rank" if bc == 1 else "local_rank"
-    tile_schema = schema if bc == 1 else T.StructType(
-        [T.StructField(local_rank if f.name == "rank" else f.name, f.dataType)
-         for f in schema.fields])
+    bq = max(1, math.ceil(n_queries / q_rows), math.ceil(parallelism / bc))
+
+    def slim(df):
+        return df if width else df.withColumn("x", F.array().cast("array<double>"))
+
+    asked = slim(q.select(*asked_columns(q, spec, group))).withColumn(
+        "_qb", F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(bq)).cast("int")).withColumn(
+        "_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
+    lying = slim(c.select(*compared_columns(c, spec, by, group))).withColumn(
+        "_cb", F.pmod(F.xxhash64("_row", F.lit(seed + 1)), F.lit(bc)).cast("int")).withColumn(
+        "_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    found = found_schema(schema, by)
+    prepare, ask = plain_task(k, exclude_self, spec, by, group, match, width, counter)
 
     def tile(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return _fit_empty(tile_schema)
-        qpdf = qpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
-        cpdf = cpdf.drop(columns=["_qb", "_cb"]).rename(columns=lambda n: n[3:])
-        out = _topk_frame(qpdf, cpdf, k, exclude_self, spec, by, carry_p, keep_p,
-                          width, final_rank_col=local_rank, group=group, match=match, counter=counter)
-        return out if out is not None else _fit_empty(tile_schema)
+        out = []
+        if len(qpdf) and len(cpdf):
+            block = prepare(pa.Table.from_pandas(cpdf, preserve_index=False))
+            qrows = pa.Table.from_pandas(qpdf, preserve_index=False).combine_chunks()
+            for at in range(0, len(qpdf), _ASKED_ROWS):
+                out += ask(block, qrows.slice(at, _ASKED_ROWS))
+        if not out:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in found.fields})
+        return pa.Table.from_batches(out).to_pandas()
 
     # Tiles are light in bytes but heavy in compute: an explicit partition count
     # (one per tile) keeps AQE from coalescing many tiles into one task.  Both
     # sides are hash-partitioned alike, so the cogroup adds no exchange.
     # Block ids are INT on both sides, so equal keys hash alike.
     n_parts = min(max(bq * bc, parallelism), _MAX_TASKS)
-    qb = qb.repartition(n_parts, "_qb", "_cb")
-    cb = cb.repartition(n_parts, "_qb", "_cb")
-    cand = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInPandas(
-        tile, tile_schema)
-    if bc == 1:
-        return cand
-    part = ["query_id"] + ([by] if by is not None else [])
-    w = Window.partitionBy(*part).orderBy("d2r", "neighbour_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(*[f.name for f in schema.fields])
+    asked, lying = (x.repartition(n_parts, "_qb", "_cb") for x in (asked, lying))
+    cand = asked.groupBy("_qb", "_cb").cogroup(lying.groupBy("_qb", "_cb")).applyInPandas(tile, found)
+    return best_of(cand, q, c, schema, by, k, carry_p, keep_p)
 
 
 def self_knn(cases: DataFrame, k: int, **kw) -> DataFrame:

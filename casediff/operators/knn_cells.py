@@ -7,25 +7,28 @@ case knows its distance to its pivot.  The numeric part of every distance here i
 a metric, and nominal features only add to it, so for a query ``q``, a pivot ``p``
 and a case ``s`` of its cell ``|d(q,p) - d(s,p)| <= d(q,s)``.
 
-1. Cases are assigned, cells counted; a cell of more than ``block_rows`` cases is
-   several blocks, dealt out by a hash of the id.  The driver gets one row a
-   block: number of cases, nearest and farthest distance to the pivot.
+1. Cases are assigned, cells counted.  Neighbouring cells share a block of up to
+   ``block_rows`` cases; a larger cell is several blocks, dealt out by a hash of the
+   row.  The driver gets one row a cell: number of cases, nearest and farthest
+   distance to the pivot.
 2. Every query meets a probe of its own cell: ``PROBE_ROWS`` cases, chosen by a hash.
    The k-th distance found is a radius within which its neighbours lie.
-3. It then visits the blocks whose ring of distances meets its own within that
-   radius, and in a block only cases of that ring are compared.
+3. It then visits the blocks with a cell whose ring of distances meets its own within
+   that radius, and in a block only cases of these rings are compared, exactly those
+   that the radius does not rule out.
 4. Each query's candidates of all blocks are ranked once more.
 
 A case with a missing feature has no such bound: these cases form a cell that all
 queries visit, and a query with a missing feature visits all blocks.  A query
 without k cases in its probe (per class with ``by``) has no radius and visits all.
-Partitions follow the queries that visit a block, in chunks of ``block_rows``; the
-cases of a block are copied once a chunk.
+Partitions follow the queries that visit a block, in chunks of ``block_rows`` (smaller
+ones while there are fewer than two for a core); the cases of a block are copied once
+a chunk, and the queries of a chunk reach the task as a stream of Arrow batches.
 
 Groups
 ------
 With ``match_group`` both sides meet by group: small groups whole, and large ones
-in blocks of ``block_rows`` on each side.  No pair of different groups is formed.
+in blocks of ``block_rows`` on each side (query blocks small enough for all cores).  No pair of different groups is formed.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ import math
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,13 +56,6 @@ RING = 256
 MISSING = -1
 
 
-def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
-    x = ids.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
-
-
 def _to_pivots(x: np.ndarray, pivots: np.ndarray, numeric: str) -> np.ndarray:
     """Numeric distances of the rows to all pivots, summed feature by feature."""
     out = np.zeros((len(x), len(pivots)))
@@ -103,181 +99,212 @@ def _nearest_pivot(x: np.ndarray, pivots: np.ndarray, numeric: str) -> tuple[np.
 
 
 def _with(df: DataFrame, add, *fields: T.StructField) -> DataFrame:
-    """``df`` with columns that ``add`` computes a batch at a time."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield add(pdf)
+    """``df`` with columns that ``add`` computes from a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = [pa.array(x) for x in add(batch)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[f.name for f in fields]])
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
 def _int(name: str) -> T.StructField:
     return T.StructField(name, T.IntegerType())
 
 
-def _meet(q: DataFrame, c: DataFrame, keys: list[str], n: int, function, schema) -> DataFrame:
-    """Cogroup both sides by ``keys`` in ``n`` pinned partitions."""
-    n = max(1, min(n, knn._MAX_TASKS))
-    q = q.select(*[F.col(f"`{x}`").alias("_q_" + x) for x in q.columns]).repartition(n, *["_q_" + k for k in keys])
-    c = c.select(*[F.col(f"`{x}`").alias("_c_" + x) for x in c.columns]).repartition(n, *["_c_" + k for k in keys])
+def _meet(q: DataFrame, c: DataFrame, keys: list[str], n: int, task, schema) -> DataFrame:
+    """Both sides by ``keys`` in ``n`` pinned partitions."""
+    return knn.meet(q, c, keys, n, task, schema)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        out = function(qpdf.rename(columns=lambda x: x[3:]), cpdf.rename(columns=lambda x: x[3:])) if len(qpdf) else None
-        return out if out is not None else knn._fit_empty(schema)
+def _at(values, index):
+    """Entry ``index`` (from 0) of a list of whole numbers, as a column."""
+    return F.get(F.expr(f"array({', '.join(str(int(v)) for v in values)})"), index)
 
-    return q.groupBy(*["_q_" + k for k in keys]).cogroup(c.groupBy(*["_c_" + k for k in keys])).applyInPandas(run, schema)
 
+def _dealt(row, parts, seed: int):
+    """A number below ``parts`` by a hash of the row."""
+    return F.pmod(F.xxhash64(row, F.lit(seed)), parts).cast("int")
 
-def _ranked(cand: DataFrame, schema: T.StructType, by: str | None, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id", *([by] if by is not None else [])).orderBy("d2r", "neighbour_id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(*[f.name for f in schema.fields]))
 
+def _chunks(n: dict, block_rows: int, parallelism: int) -> dict:
+    """Chunks of the queries of each key: of ``block_rows`` at most, and two for a core where they have rows enough."""
+    least = math.ceil(2 * parallelism / max(1, len(n)))
+    return {x: max(math.ceil(m / block_rows), min(least, math.ceil(m / knn._ASKED_ROWS))) for x, m in n.items()}
 
-def _local(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField("local_rank" if f.name == "rank" else f.name, f.dataType) for f in schema.fields])
+
+def _blocks(cells: dict, pivots: np.ndarray, block_rows: int) -> list[tuple[list[int], int]]:
+    """Cells in bundles of up to ``block_rows`` cases, and the blocks of each bundle (several for one large cell only)."""
+    out = [([MISSING], math.ceil(cells[MISSING]["n"] / block_rows))] if MISSING in cells else []
+    left = sorted(x for x in cells if x != MISSING)
+    at, some, rows = None, [], 0
+    while left:
+        # the next cell is the nearest one
+        at = left[0] if at is None else left[int(((pivots[left] - pivots[at]) ** 2).sum(axis=1).argmin())]
+        left.remove(at)
+        n = cells[at]["n"]
+        if some and rows + n > block_rows:
+            out.append((some, 1))
+            some, rows = [], 0
+        if n > block_rows:
+            out.append(([at], math.ceil(n / block_rows)))
+        else:
+            some.append(at)
+            rows += n
+    return [*out, (some, 1)] if some else out
 
 
 def cell_plan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, spec, by, carry, keep, width: int,
               schema: T.StructType, group: str | None, n_cases: int, block_rows: int, seed: int, counter=None) -> DataFrame:
     parallelism = q.sparkSession.sparkContext.defaultParallelism
+    ring, probe_rows = RING, PROBE_ROWS
+    cases = knn.stored(c, "knn-cases")
     wanted = max(1, min(MAX_PIVOTS, max(parallelism, CELLS_PER_BLOCK * math.ceil(n_cases / block_rows)),
                         n_cases // (4 * (k + 1)) + 1))
-    pivots = choose_pivots(c, wanted, width, spec.numeric, seed)
+    pivots = choose_pivots(cases, wanted, width, spec.numeric, seed)
 
-    def place(pdf):
-        near, dist = _nearest_pivot(knn._stack(pdf["x"], width), pivots, spec.numeric)
-        return pdf.assign(_cell=near.astype(np.int32), _away=dist)
+    def place(batch):
+        near, dist = _nearest_pivot(knn._stack(batch.column("x"), width), pivots, spec.numeric)
+        return near.astype(np.int32), dist
 
-    placed = _with(c, place, _int("_cell"), T.StructField("_away", T.DoubleType()))
+    placed = _kept(_with(cases.select(*knn.compared_columns(cases, spec, by, group)), place, _int("_cell"),
+                         T.StructField("_away", T.DoubleType())), "knn-cells")
     cells = {r["_cell"]: r for r in placed.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("_away").alias("lo"), F.max("_away").alias("hi")).collect()}
     kept = np.array(sorted(x for x in cells if x != MISSING), dtype=np.int64)
-    blocks = {x: math.ceil(r["n"] / block_rows) for x, r in cells.items()}
     labels = None
     if by is not None:
-        labels = c.select(by).distinct().count()
+        labels = cases.select(F.col(f"`{by}`")).distinct().count()
 
     # -- the probe: a radius for every query
-    def own(pdf):
-        near, _ = _nearest_pivot(knn._stack(pdf["x"], width), pivots[kept], spec.numeric)
-        near = np.where(near == MISSING, MISSING, kept[near] if len(kept) else MISSING)
-        return pdf.assign(_cell=near.astype(np.int32))
-
-    asked = _with(q, own, _int("_cell"))
-    per_cell = {r["_cell"]: r["n"] for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = {x: math.ceil(n / block_rows) for x, n in per_cell.items()}
-
-    def chunk(pdf):
-        n = pdf["_cell"].map(chunks).to_numpy()
-        return pdf.assign(_chunk=(_hash(pdf["id"].to_numpy(dtype=np.int64), seed + 1) % n.astype(np.uint64)).astype(np.int32))
-
-    asked = _with(asked, chunk, _int("_chunk"))
-
-    def probe_part(pdf):
-        n = pdf["_cell"].map(lambda x: cells[x]["n"]).to_numpy()
-        h = _hash(pdf["id"].to_numpy(dtype=np.int64), seed + 2).astype(np.float64) / float(1 << 63)
-        pdf = pdf[(h < PROBE_ROWS / n) & (pdf["_cell"].to_numpy() != MISSING)]
-        copies = pdf["_cell"].map(lambda x: chunks.get(x, 0)).to_numpy(dtype=np.int64)
-        out = pdf.loc[pdf.index.repeat(copies)]
-        return out.assign(_chunk=(np.arange(len(out)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.int32))
-
-    probes = _with(placed.drop("_away"), probe_part, _int("_chunk"))
-    reached = T.StructType([*q.schema.fields, T.StructField("_radius", T.DoubleType())])
-
-    def probe(qpdf, cpdf):
-        qpdf = qpdf.drop(columns=["_cell", "_chunk"])
-        radius = np.full(len(qpdf), np.inf)
-        if len(cpdf):
-            numbered = qpdf.assign(_at=np.arange(len(qpdf)))
-            found = knn._topk_frame(numbered, cpdf, k, exclude_self, spec, by, [], [("_at", "_at")], width,
-                                    group=group, counter=counter)
-            last = found[found["rank"] == k]
-            worst = last.groupby("_at")["d2r"].max()
-            if by is not None:
-                # every class must have shown k cases
-                worst = worst[last.groupby("_at").size() == labels]
-            radius[worst.index.to_numpy(dtype=np.int64)] = np.sqrt(worst.to_numpy(dtype=float))
-        return qpdf.assign(_radius=radius)
-
-    n_probe = sum(chunks.values())
-    path = scratch_path(q.sparkSession, "knn-queries")
-    _meet(asked, probes, ["_cell", "_chunk"], max(n_probe, parallelism), probe, reached).write.parquet(path)
-    seen = q.sparkSession.read.schema(reached).parquet(path)
-
-    # -- the visits
-    low = np.array([cells[int(x)]["lo"] for x in kept])
-    high = np.array([cells[int(x)]["hi"] for x in kept])
-
-    def visits(pdf):
-        x, r = knn._stack(pdf["x"], width), pdf["_radius"].to_numpy()
-        rows, to = [], []
-        step = max(1, knn._CHUNK_ELEMS // max(1, len(kept)))
-        for i in range(0, len(x), step):
-            d = _to_pivots(x[i:i + step], pivots[kept], spec.numeric)
-            reach = _wider(r[i:i + step, None], d, high[None, :])
-            # a missing feature makes d NaN: such a query is ruled out nowhere
-            near = ~((d - reach > high[None, :]) | (d + reach < low[None, :]))
-            a, b = np.nonzero(near)
-            rows.append(a + i)
-            to.append(kept[b])
-        if MISSING in cells:
-            rows.append(np.arange(len(x)))
-            to.append(np.full(len(x), MISSING))
-        rows, to = np.concatenate([*rows, np.empty(0, dtype=np.int64)]), np.concatenate([*to, np.empty(0, dtype=np.int64)])
-        n = np.array([blocks[int(t)] for t in to], dtype=np.int64)
-        out = pdf.iloc[np.repeat(rows, n)]
-        block = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-        return out.assign(_cell=np.repeat(to, n).astype(np.int32), _block=block.astype(np.int32))
-
-    visiting = _with(seen, visits, _int("_cell"), _int("_block"))
-    # the number of visits by (cell, block): rows of the driver as many as there are blocks
-    visited = {(r["_cell"], r["_block"]): math.ceil(r["n"] / block_rows) for r in visiting.groupBy("_cell", "_block").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-
-    def part_of(pdf):
-        n = np.array([visited[x] for x in zip(pdf["_cell"], pdf["_block"], strict=True)], dtype=np.uint64)
-        return pdf.assign(_chunk=(_hash(pdf["id"].to_numpy(dtype=np.int64), seed + 3) % n).astype(np.int32))
-
-    def copies(pdf):
-        n = pdf["_cell"].map(blocks).to_numpy(dtype=np.uint64)
-        pdf = pdf.assign(_block=(_hash(pdf["id"].to_numpy(dtype=np.int64), seed + 4) % n).astype(np.int32))
-        n = np.array([visited.get(x, 0) for x in zip(pdf["_cell"], pdf["_block"], strict=True)], dtype=np.int64)
-        out = pdf.iloc[np.repeat(np.arange(len(pdf)), n)]
-        return out.assign(_chunk=(np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
-
-    visiting = _with(visiting, part_of, _int("_chunk"))
-    lying = _with(placed, copies, _int("_block"), _int("_chunk"))
-    local = _local(schema)
-
-    def compare(qpdf, cpdf):
-        cell = int(qpdf["_cell"].iloc[0])
-        qpdf, cpdf = qpdf.drop(columns=["_cell", "_block", "_chunk"]), cpdf.drop(columns=["_cell", "_block", "_chunk"])
-        args = (k, exclude_self, spec, by, carry, keep, width)
-        if cell == MISSING:
-            return knn._topk_frame(qpdf, cpdf, *args, final_rank_col="local_rank", group=group, counter=counter)
-        cpdf = cpdf.sort_values("_away", kind="stable", ignore_index=True)
-        away = cpdf["_away"].to_numpy()
-        matrix = knn._as_matrix(cpdf, width, spec.unknown())
-        d = _to_pivots(knn._stack(qpdf["x"], width), pivots[cell:cell + 1], spec.numeric)[:, 0]
-        reach = _wider(qpdf["_radius"].to_numpy(), d, away[-1:])
-        begin, end = np.where(np.isnan(d), -np.inf, d - reach), np.where(np.isnan(d), np.inf, d + reach)
-        order = np.lexsort((end, begin))
-        parts = []
-        for i in range(0, len(order), RING):
-            some = order[i:i + RING]
-            lo = int(np.searchsorted(away, begin[some].min(), side="left"))
-            hi = int(np.searchsorted(away, end[some].max(), side="right"))
-            if lo < hi:
-                parts.append(knn._topk_frame(qpdf.iloc[some], cpdf.iloc[lo:hi], *args, final_rank_col="local_rank",
-                                             group=group, cmat=tuple(m[lo:hi] for m in matrix), counter=counter))
-        parts = [p for p in parts if p is not None and len(p)]
-        return pd.concat(parts, ignore_index=True) if parts else None
-
-    n_parts = sum(visited.values())
-    cand = _meet(visiting, lying, ["_cell", "_block", "_chunk"], max(n_parts, parallelism), compare, local)
-    return _ranked(cand, schema, by, k)
+    def own(batch):
+        near, _ = _nearest_pivot(knn._stack(batch.column("x"), width), pivots[kept], spec.numeric)
+        return (np.where(near == MISSING, MISSING, kept[near] if len(kept) else MISSING).astype(np.int32),)
+
+    queries = _kept(_with(q.withColumn("_row", F.monotonically_increasing_id()), own, _int("_cell")), "knn-queries")
+    columns = knn.asked_columns(queries, spec, group)
+    per_cell = {r["_cell"]: r["n"] for r in queries.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chunks = _chunks(per_cell, block_rows, parallelism)
+    # cells count from MISSING, so the place of a cell in a list is its number + 1
+    every = range(MISSING, len(pivots))
+    n_chunks = [chunks.get(x, 0) for x in every]
+    first = np.cumsum([0, *n_chunks])[:-1]
+    spot = F.col("_cell") - MISSING
+    asked = queries.select(*columns, (_at(first, spot) + _dealt("_row", _at(n_chunks, spot), seed + 1)).alias("_part"))
+    share = [0 if x == MISSING or x not in cells else min(1 << 31, math.ceil((1 << 31) * probe_rows / cells[x]["n"])) for x in every]
+    probes = placed.where(F.pmod(F.xxhash64("_row", F.lit(seed + 2)), F.lit(1 << 31)) < _at(share, spot)).where(_at(n_chunks, spot) > 0)
+    probes = probes.select(*knn.compared_columns(cases, spec, by, group), F.explode(F.sequence(
+        _at(first, spot), _at(first, spot) + _at(n_chunks, spot) - 1)).alias("_part"))
+
+    bundles = _blocks(cells, pivots, block_rows)
+    low, high = (np.array([cells[int(x)][name] for x in kept], dtype=float) for name in ("lo", "hi"))
+    belongs = np.zeros((len(kept), len(bundles)), dtype=np.float32)
+    for i, (some, _) in enumerate(bundles):
+        belongs[np.isin(kept, some), i] = 1
+    always = np.array([some == [MISSING] for some, _ in bundles], dtype=bool)
+
+    def visits(x, r):
+        """For each query which bundles it visits."""
+        d = _to_pivots(x, pivots[kept], spec.numeric)
+        # a missing feature makes d NaN: such a query is ruled out nowhere
+        return (_met(d, r[:, None], low[None, :], high[None, :]).astype(np.float32) @ belongs > 0) | always[None, :]
+
+    reached = T.StructType([*[queries.schema[x] for x in columns], T.StructField("_radius", T.DoubleType()),
+                            T.StructField("_to", T.ArrayType(T.IntegerType()))])
+
+    def prepare_probe(rows):
+        return knn._Block(rows, width, spec.unknown(), by)
+
+    def probe(block, batch):
+        radius = np.full(batch.num_rows, np.inf)
+        if block is not None:
+            rows, _, _, _, d2r, rank = knn._top_k(batch, block, k, exclude_self, spec, width, group, False, counter)
+            last = rank == k
+            worst, n = np.zeros(batch.num_rows), np.bincount(rows[last], minlength=batch.num_rows)
+            np.maximum.at(worst, rows[last], d2r[last])
+            # with classes, every class must have shown k cases
+            sure = n == (1 if labels is None else labels)
+            radius[sure] = np.sqrt(worst[sure])
+        to = visits(knn._stack(batch.column("x"), width), radius)
+        ends = np.r_[0, np.cumsum(to.sum(axis=1))].astype(np.int32)
+        to = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(to)[1].astype(np.int32)))
+        yield knn._batch(reached.names, [*[batch.column(x) for x in columns], radius, to])
+
+    n_probe = sum(n_chunks)
+    seen = _kept(_meet(asked, probes, ["_part"], max(n_probe, 1), (prepare_probe, probe), reached), "knn-radii")
+
+    # -- the visits: as many rows of the driver as there are bundles
+    visiting = seen.withColumn("_bundle", F.explode("_to")).drop("_to")
+    visited = {r["_bundle"]: r["n"] for r in visiting.groupBy("_bundle").agg(F.count(F.lit(1)).alias("n")).collect()}
+    visited = _chunks(visited, block_rows, parallelism)
+    # the parts of a bundle: each of its blocks with each chunk of its queries
+    n_blocks = [b for _, b in bundles]
+    n_chunks = [visited.get(i, 0) for i in range(len(bundles))]
+    first = np.cumsum([0, *[b * n for b, n in zip(n_blocks, n_chunks, strict=True)]])
+    n_parts, first = int(first[-1]), first[:-1]
+    of_cell = {x: i for i, (some, _) in enumerate(bundles) for x in some}
+    bundle = F.col("_bundle")
+    base, n_b, n_c = _at(first, bundle), _at(n_blocks, bundle), _at(n_chunks, bundle)
+    visiting = visiting.withColumn("_chunk", _dealt("_row", n_c, seed + 3))
+    visiting = visiting.withColumn("_block", F.explode(F.sequence(F.lit(0), n_b - 1)))
+    visiting = visiting.withColumn("_part", base + F.col("_block") * n_c + F.col("_chunk")).drop("_bundle", "_chunk", "_block")
+    lying = placed.withColumn("_bundle", _at([of_cell.get(x, -1) for x in every], spot)).where(n_c > 0)
+    lying = lying.withColumn("_block", _dealt("_row", n_b, seed + 4))
+    lying = lying.withColumn("_part", F.explode(F.sequence(base + F.col("_block") * n_c, base + F.col("_block") * n_c + n_c - 1)))
+    lying = lying.drop("_bundle", "_block")
+
+    def prepare(rows):
+        return knn._Block(rows, width, spec.unknown(), by, ring=True)
+
+    def compare(block, batch):
+        if block is None:
+            return
+        qid, qx, qc = knn._as_matrix(batch, width, spec.unknown())
+        qg, cg = knn._group_codes(batch, block.rows, group)
+        radius = batch.column("_radius").to_numpy()
+        cap = radius * radius * (1 + 1e-9)
+        found = []
+        for i, j, label, cell in block.parts:
+            away = block.away[i:j]
+            if cell == MISSING:
+                slices = [(np.arange(len(qid)), 0, j - i)]
+            else:
+                d = _to_pivots(qx, pivots[cell:cell + 1], spec.numeric)[:, 0]
+                mine = np.flatnonzero(_met(d, radius, away[0], away[-1]))
+                reach = _wider(radius[mine], d[mine], away[-1])
+                begin, end = np.where(np.isnan(d[mine]), -np.inf, d[mine] - reach), np.where(np.isnan(d[mine]), np.inf, d[mine] + reach)
+                order = np.lexsort((end, begin))
+                slices = []
+                for at in range(0, len(order), ring):
+                    some = order[at:at + ring]
+                    slices.append((mine[some], int(np.searchsorted(away, begin[some].min(), side="left")),
+                                   int(np.searchsorted(away, end[some].max(), side="right"))))
+            for some, lo, hi in slices:
+                if lo < hi:
+                    part = slice(i + lo, i + hi)
+                    rows, cols, d2, key, _ = knn._nearest(
+                        qid[some], qx[some], qc[some], None if qg is None else qg[some], block.id[part], block.x[part],
+                        block.codes[part], None if cg is None else cg[part], k, exclude_self, spec, False, counter, cap[some])
+                    found.append((some[rows], cols + i + lo, np.full(len(rows), label), d2, key))
+        if found:
+            rows, cols, label, d2, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            # the first k of the block, of all its cells
+            order = np.lexsort((block.id[cols], key, label, rows))
+            rows, cols, label, d2, key = (x[order] for x in (rows, cols, label, d2, key))
+            start = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(label) != 0)])[:len(rows)]
+            near = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)])) < k
+            yield from knn.found_batches(batch, block, rows[near], cols[near], label[near], d2[near], key[near], spec, by)
+
+    cand = _meet(visiting, lying, ["_part"], max(n_parts, 1), (prepare, compare), knn.found_schema(schema, by))
+    return knn.best_of(cand, queries, cases, schema, by, k, carry, keep, store=True)
 
 
 def _wider(radius: np.ndarray, d: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -285,33 +312,39 @@ def _wider(radius: np.ndarray, d: np.ndarray, other: np.ndarray) -> np.ndarray:
     return radius * (1 + 1e-9) + 1e-11 * (np.abs(np.nan_to_num(d)) + other)
 
 
+def _met(d, radius, low, high) -> np.ndarray:
+    """Whether a cell's ring meets the query's; a NaN of a missing feature rules nothing out."""
+    reach = _wider(radius, d, high)
+    return ~((d - reach > high) | (d + reach < low))
+
+
 def group_plan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, spec, by, carry, keep, width: int,
                schema: T.StructType, group: str, block_rows: int, seed: int, counter=None) -> DataFrame:
     """Neighbours within groups: both sides by (group, query block, case block)."""
     parallelism = q.sparkSession.sparkContext.defaultParallelism
+    q, c = knn.stored(q, "knn-queries"), knn.stored(c, "knn-cases")
+    n_queries, n_cases = q.count(), c.count()
+    # small tables are cut finer, so that all cores have a part
+    q_rows = min(block_rows, max(knn._ASKED_ROWS, math.ceil(n_queries / (2 * parallelism))))
     key = F.xxhash64(F.col(f"`{group}`"))
 
-    def sizes(df):
+    def sizes(df, rows):
         """Groups of more than a block, by the hash of their value: as many as rows / block_rows at most."""
         n = df.groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-        return n.where(F.col("n") > block_rows).select("_g", F.ceil(F.col("n") / block_rows).cast("int").alias("n"))
+        return n.where(F.col("n") > rows).select("_g", F.ceil(F.col("n") / rows).cast("int").alias("n"))
 
-    large_q, large_c = (F.broadcast(sizes(x).withColumnRenamed("n", name)) for x, name in ((q, "_nq"), (c, "_nc")))
+    large_q, large_c = (F.broadcast(sizes(x, rows).withColumnRenamed("n", name))
+                        for x, rows, name in ((q, q_rows, "_nq"), (c, block_rows, "_nc")))
 
-    def dealt(df, mine, own, other, salt):
-        df = df.withColumn("_g", key).join(large_q, "_g", "left").join(large_c, "_g", "left")
+    def dealt(df, columns, mine, own, other, salt):
+        df = df.select(*columns).withColumn("_g", key).join(large_q, "_g", "left").join(large_c, "_g", "left")
         df = df.fillna(1, ["_nq", "_nc"])
         df = df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(seed + salt)), F.col(mine)).cast("int"))
         others = "_nc" if mine == "_nq" else "_nq"
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_nq", "_nc")
 
-    local = _local(schema)
-
-    def compare(qpdf, cpdf):
-        drop = ["_g", "_qb", "_cb"]
-        return knn._topk_frame(qpdf.drop(columns=drop), cpdf.drop(columns=drop), k, exclude_self, spec, by, carry, keep,
-                               width, final_rank_col="local_rank", group=group, match=True, counter=counter)
-
-    n = max(parallelism, math.ceil((q.count() + c.count()) / block_rows))
-    cand = _meet(dealt(q, "_nq", "_qb", "_cb", 1), dealt(c, "_nc", "_cb", "_qb", 2), ["_g", "_qb", "_cb"], n, compare, local)
-    return _ranked(cand, schema, by, k)
+    n = max(2 * parallelism, math.ceil(n_queries / q_rows) * math.ceil(n_cases / block_rows))
+    cand = _meet(dealt(q, knn.asked_columns(q, spec, group), "_nq", "_qb", "_cb", 1),
+                 dealt(c, knn.compared_columns(c, spec, by, group), "_nc", "_cb", "_qb", 2), ["_g", "_qb", "_cb"], n,
+                 knn.plain_task(k, exclude_self, spec, by, group, True, width, counter), knn.found_schema(schema, by))
+    return knn.best_of(cand, q, c, schema, by, k, carry, keep, store=True)
