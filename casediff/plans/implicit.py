@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from casediff.operators import differences as D
 from casediff.operators import vote as V
 from casediff.operators.adapters import MLClassAdapter, TreeAdapter
-from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join
+from casediff.operators.knn import EUCLIDEAN, DistanceSpec, knn_join, stored
 from casediff.operators.prep import MAX_VOCABULARY
 from casediff.operators.sampling import random_cases
 
@@ -181,6 +181,8 @@ def predict_nearest_pair(cases: DataFrame, queries: DataFrame, *,
                   keep=[("q_x", "x")], carry=[("n_x", "x"), ("n_y", "y")])
     qpairs = nn.select(F.col("query_id").alias("id"), D.case_pair().alias("x"),
                        F.col("n_y").alias("grp"))
+    # Both sides are neighbour joins of their own, and a join reads its input several times: written once.
+    qpairs, pair_cases = stored(qpairs, "query-pairs").drop("_row"), stored(pair_cases, "case-pairs").drop("_row")
     best = knn_join(qpairs, pair_cases, 1, strategy=strategy, match_group="grp",
                     carry=["label"])
     return best.select("query_id", F.col("label").alias(out))
