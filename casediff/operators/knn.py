@@ -37,7 +37,7 @@ materialise ``|Q| x |C|`` rows.  Instead the join is *blocked*:
   per query block, so blocks never come from a data value.
 * **broadcast** (small case base, size checked before it is collected): the
   case base is shipped once to every executor as one Arrow table and each query
-  partition is scored in place with ``mapInArrow`` -- no shuffle at all.
+  partition is scored in place with ``mapInPandas`` -- no shuffle at all.
 
 Cells, groups and tiles first write both sides to the scratch folder with a row
 number.  In cells and groups a task gets the cases of a block before the queries that
@@ -402,9 +402,9 @@ class _Block:
         self.rows = rows
         self.id, self.x, self.codes = _as_matrix(rows, width, unknown)
         new = np.flatnonzero((np.diff(label) != 0) | (np.diff(cell) != 0)) + 1
-        begin = np.r_[0, new].astype(np.int64) if rows.num_rows else new
+        edges = [0, *new.tolist(), rows.num_rows] if rows.num_rows else []
         #: begin, end, number of the ``by`` value, cell
-        self.parts = [(int(i), int(j), int(label[i]), int(cell[i])) for i, j in zip(begin, np.r_[begin[1:], rows.num_rows], strict=True)]
+        self.parts = [(i, j, int(label[i]), int(cell[i])) for i, j in zip(edges, edges[1:])]
         self.away = rows.column("_away").to_numpy() if ring else None
 
 
@@ -429,9 +429,9 @@ def _final(d2: np.ndarray, spec: DistanceSpec) -> np.ndarray:
     return d2 / 2.0 if spec.final == "half" else np.sqrt(d2)
 
 
-def _taken(rows, name: str, at: np.ndarray) -> pa.Array:
-    col = rows.column(name).take(pa.array(at))
-    return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+def _pandas(col) -> pd.Series:
+    """An Arrow column for pandas; whole numbers stay whole beside nulls."""
+    return col.to_pandas(integer_object_nulls=True)
 
 
 def _batch(names: list[str], arrays: list) -> pa.RecordBatch:
@@ -528,11 +528,11 @@ def plain_task(k, exclude_self, spec, by, group, match, width, counter=None):
 
 
 def best_of(cand: DataFrame, q: DataFrame, c: DataFrame, schema: T.StructType, by: str | None, k: int, carry, keep,
-            store: bool = False) -> DataFrame:
-    """The first k of the candidates of every query with their columns of both sides.
+            store: bool = False, query: str = "query_id") -> DataFrame:
+    """The first k of the candidates of every ``query`` (an id, or ``_q``: a row) with their columns of both sides.
 
     ``store`` writes the neighbours to the scratch folder, so that later reads compare nothing again."""
-    w = Window.partitionBy("_q", *([F.col(f"`{by}`")] if by is not None else [])).orderBy("d2r", "neighbour_id", "_c")
+    w = Window.partitionBy(query, *([F.col(f"`{by}`")] if by is not None else [])).orderBy("d2r", "neighbour_id", "_q", "_c")
     out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if store:
         path = scratch_path(q.sparkSession, "knn-neighbours")
@@ -847,25 +847,29 @@ def _broadcast_plan(q, k, exclude_self, spec, by, carry_p, keep_p, width, schema
                     group, match, n_queries, prepared, counter=None):
     bc, token = prepared.bc, prepared.token
     q = _spread_queries(q, prepared.n, n_queries)
-    names = schema.names
+    columns = ["id", "x", *(["codes"] if spec.tables else []), *([group] if group else [])]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = _cached_cases(bc, token, width, spec.unknown(), by)
-        for qrows in batches:
-            if not qrows.num_rows or not block.rows.num_rows:
+        for qpdf in batches:
+            if not len(qpdf) or not block.rows.num_rows:
                 continue
+            qrows = pa.Table.from_pandas(qpdf[columns], preserve_index=False)
             rows, cols, label, d2, key, rank = _top_k(qrows, block, k, exclude_self, spec, width, group, match, counter)
             qid = _ids(qrows.column("id"))
             # The columns of both sides are copied for a few rows at a time.
             for i in range(0, len(rows), _OUT_ROWS):
                 sl = slice(i, i + _OUT_ROWS)
                 r, c = rows[sl], cols[sl]
-                yield _batch(names, [
-                    qid[r], block.id[c], *([block.labels.take(pa.array(label[sl]))] if by is not None else []),
-                    rank[sl].astype(np.int32), _final(d2[sl], spec), key[sl],
-                    *[_taken(block.rows, src, c) for _, src in carry_p], *[_taken(qrows, src, r) for _, src in keep_p]])
+                out = {"query_id": qid[r], "neighbour_id": block.id[c]}
+                if by is not None:
+                    out[by] = _pandas(block.labels.take(pa.array(label[sl])))
+                out |= {"rank": rank[sl].astype(np.int32), "dist": _final(d2[sl], spec), "d2r": key[sl]}
+                out |= {name: _pandas(block.rows.column(src).take(pa.array(c))) for name, src in carry_p}
+                out |= {name: qpdf[src].to_numpy()[r] for name, src in keep_p}
+                yield pd.DataFrame(out)
 
-    return q.mapInArrow(score, schema)
+    return q.mapInPandas(score, schema)
 
 
 def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
@@ -910,7 +914,8 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
     n_parts = min(max(bq * bc, parallelism), _MAX_TASKS)
     asked, lying = (x.repartition(n_parts, "_qb", "_cb") for x in (asked, lying))
     cand = asked.groupBy("_qb", "_cb").cogroup(lying.groupBy("_qb", "_cb")).applyInPandas(tile, found)
-    return best_of(cand, q, c, schema, by, k, carry_p, keep_p)
+    # with one block of cases a tile has the first k of each of its rows
+    return best_of(cand, q, c, schema, by, k, carry_p, keep_p, query="_q" if bc == 1 else "query_id")
 
 
 def self_knn(cases: DataFrame, k: int, **kw) -> DataFrame:
