@@ -34,7 +34,9 @@ materialise ``|Q| x |C|`` rows.  Instead the join is *blocked*:
   groups in blocks.
 * **tiles** (without numeric features, and for random neighbours): queries get a block ``hash(id) % Bq`` and are
   copied once per case block; cases get ``hash(id) % Bc`` and are copied once
-  per query block, so blocks never come from a data value.
+  per query block, so blocks never come from a data value.  Where a distance has nominal
+  codes or few features, a task sorts its cases in strips and leaves out what cannot be
+  near (see :mod:`casediff.operators.knn_strips`).
 * **broadcast** (small case base, size checked before it is collected): the
   case base is shipped once to every executor as one Arrow table and each query
   partition is scored in place with ``mapInPandas`` -- no shuffle at all.
@@ -406,6 +408,13 @@ class _Block:
         #: begin, end, number of the ``by`` value, cell
         self.parts = [(i, j, int(label[i]), int(cell[i])) for i, j in zip(edges, edges[1:])]
         self.away = rows.column("_away").to_numpy() if ring else None
+        #: for each of ``parts`` its cases in strips, or None
+        self.strips: list = [None] * len(self.parts)
+
+    def sort_in_strips(self, least: int) -> "_Block":
+        from casediff.operators.knn_strips import Strips
+        self.strips = [Strips.of(self.id[i:j], self.x[i:j], self.codes[i:j], least) for i, j, _, _ in self.parts]
+        return self
 
 
 def _top_k(qrows, block: _Block, k, exclude_self, spec, width, group=None, match=False, counter=None):
@@ -413,9 +422,13 @@ def _top_k(qrows, block: _Block, k, exclude_self, spec, width, group=None, match
     q = _as_matrix(qrows, width, spec.unknown())
     qg, cg = _group_codes(qrows, block.rows, group)
     found = []
-    for i, j, label, _ in block.parts:
-        rows, cols, *rest = _nearest(*q, qg, block.id[i:j], block.x[i:j], block.codes[i:j], None if cg is None else cg[i:j],
-                                     k, exclude_self, spec, match, counter)
+    for (i, j, label, _), strips in zip(block.parts, block.strips, strict=True):
+        of = None if cg is None else cg[i:j]
+        if strips is not None:
+            rows, cols, *rest = strips.nearest(*q, qg, of, k, exclude_self, spec, counter)
+        else:
+            rows, cols, *rest = _nearest(*q, qg, block.id[i:j], block.x[i:j], block.codes[i:j], of,
+                                         k, exclude_self, spec, match, counter)
         found.append((rows, cols + i, np.full(len(rows), label), *rest))
     if not found:
         none = np.empty(0, dtype=np.int64)
@@ -514,10 +527,14 @@ def found_batches(qrows, block: _Block, rows, cols, label, d2, key, spec: Distan
                              _final(d2[sl], spec), key[sl], qrow[r], crow[c]])
 
 
-def plain_task(k, exclude_self, spec, by, group, match, width, counter=None):
-    """The task of :func:`meet` that compares all queries with all cases of a block."""
+def plain_task(k, exclude_self, spec, by, group, match, width, counter=None, strips: int | None = None):
+    """The task of :func:`meet` that finds the first k of all cases of a block.
+
+    ``strips``: blocks of so many cases are sorted, and only what may be near is compared (see
+    :mod:`casediff.operators.knn_strips`); else all pairs are."""
     def prepare(rows):
-        return _Block(rows, width, spec.unknown(), by)
+        block = _Block(rows, width, spec.unknown(), by)
+        return block if strips is None else block.sort_in_strips(strips)
 
     def ask(block, qrows):
         if block is not None:
@@ -894,7 +911,9 @@ def _tile_plan(q, c, k, exclude_self, spec, by, carry_p, keep_p, width, schema,
         "_cb", F.pmod(F.xxhash64("_row", F.lit(seed + 1)), F.lit(bc)).cast("int")).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
     found = found_schema(schema, by)
-    prepare, ask = plain_task(k, exclude_self, spec, by, group, match, width, counter)
+    from casediff.operators import knn_strips
+    prepare, ask = plain_task(k, exclude_self, spec, by, group, match, width, counter,
+                              knn_strips.MIN_CASES if knn_strips.suits(spec, width, match) else None)
 
     def tile(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         out = []
